@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def r6(c: Column | str) -> Column:
-    """Round a double to 6 decimals (the precision results are compared at)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Normalise a double for comparison: 6 decimals below 1e4, else 10 significant digits.
+
+    Large magnitudes (epoch seconds ~1.7e9) have no stable 6th decimal across
+    engines; scaling to [1, 10), rounding to 9 decimals and scaling back gives
+    identical results for nearly equal inputs.  -0.0 becomes 0.0.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    big = F.round(x / p, 9) * p
+    return (F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x)
+            .when(F.abs(x) < F.lit(1e4), F.round(x, 6)).otherwise(big) + F.lit(0.0))
 
 
 def d(x) -> Column:

@@ -76,8 +76,13 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     else:
         lagged = list(_LAGGED)
 
-    rows = df.withColumn("_b", F.floor(F.col(order).cast("double") / width))
-    wb = Window.partitionBy(group, "_b").orderBy(*ordering)
+    # Non-nullable surrogate keys: a NULL sender is its own group, and no
+    # null-rejecting filter gets inferred into one branch of the join below.
+    rows = (df.withColumn("_gn", F.col(group).isNull())
+            .withColumn("_g", F.coalesce(F.col(group), F.lit(0).cast(df.schema[group].dataType)))
+            .withColumn("_b", F.coalesce(F.floor(F.col(order).cast("double") / width), F.lit(-(1 << 62)))))
+    keys = ["_g", "_gn", "_b"]
+    wb = Window.partitionBy(*keys).orderBy(*ordering)
     rows = rows.withColumn("_rn", F.row_number().over(wb))
     for c in lagged:
         rows = rows.withColumn(f"_l_{c}", F.lag(c).over(wb))
@@ -89,7 +94,7 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
 
     # --- one row per (sender, bucket) -------------------------------------------------
     last_vals = F.struct(*[F.col(c).alias(c) for c in lagged])
-    buckets = rows.groupBy(group, "_b").agg(
+    buckets = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max_by(last_vals, ord_struct).alias("_last"),
         F.min_by(F.struct(F.col("posx").alias("posx"), F.col("posy").alias("posy")), ord_struct).alias("_first"),
@@ -98,8 +103,8 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
         F.count("_pc_in").alias("_pn"), F.avg("_pc_in").alias("_pm"),
         (F.var_pop("_pc_in") * F.count("_pc_in")).alias("_p2"),
     )
-    wt = Window.partitionBy(group).orderBy("_b")
-    wall = Window.partitionBy(group)
+    wt = Window.partitionBy("_g", "_gn").orderBy("_b")
+    wall = Window.partitionBy("_g", "_gn")
     buckets = (buckets
                .withColumn("_off", F.coalesce(F.sum("_n").over(wt.rowsBetween(Window.unboundedPreceding, -1)),
                                               F.lit(0)))
@@ -129,10 +134,10 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
         m2_tot = F.sum(F.coalesce(F.col(m2), d(0)) + F.col(n) * dev * dev).over(wall)
         std = F.when(F.col(f"{pref}_N") > 1, F.sqrt(F.greatest(m2_tot, d(0)) / (F.col(f"{pref}_N") - 1)))
         buckets = buckets.withColumn(f"{pref}_std", std)
-    carry = buckets.select(group, "_b", "_off", "_prev", F.col("_s_std"), F.col("_p_std"))
+    carry = buckets.select(*keys, "_off", "_prev", F.col("_s_std"), F.col("_p_std"))
 
     # --- back to the rows ----------------------------------------------------------------
-    out = rows.join(carry, [group, "_b"], "left")
+    out = rows.join(carry, keys, "inner")
     no_sender = F.col(group).isNull()
     first = F.col("_rn") == 1
 

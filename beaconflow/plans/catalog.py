@@ -37,7 +37,7 @@ def round_doubles(df: DataFrame) -> DataFrame:
 
 
 def _sql_round(cols: list[str]) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return ", ".join(S.r6(c, c) for c in cols)
 
 
 _FEAT_DOUBLES = [c for c in ENGINEERED_17 if c not in ("sender_sequence", "hour", "night_hours")]
@@ -63,3 +63,356 @@ def q_sender_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.features import engineer_features, sender_consistency
     f = engineer_features(load_messages(spark, sf_dir), keep=["row_id", "senderpseudo"])
     return round_doubles(sender_consistency(f))
+
+
+# --------------------------------------------------------------------------- shared inputs
+from ..schema import CLASS_GROUP, CLASS_NAMES, FEATURES_8, FEATURES_15, MESSAGE_29, NUMERIC_13  # noqa: E402
+from ..schema import POSITION_SET, SEARCH_CLASSES  # noqa: E402
+
+PROFILE_COLS = MESSAGE_29 + ["class"]
+_INT_TYPES = {"type": "int", "sender": "bigint", "senderpseudo": "bigint", "messageid": "bigint", "class": "int"}
+# Columns of the messages view that are constant by construction of the view
+# (the profiling queries find them dynamically; the oracle lists them).
+CONSTANT_COLS = ["type", "posz", "posz_n", "spdz", "spdz_n", "aclz", "aclx_n", "acly_n", "aclz_n", "hedz", "hedz_n"]
+VARYING_COLS = [c for c in PROFILE_COLS if c not in CONSTANT_COLS]
+
+
+def _is_double(c: str) -> bool:
+    return c not in _INT_TYPES
+
+
+def _messages_grouped(spark, sf_dir):
+    from ..operators.labels import regroup
+    return regroup(load_messages(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- S1 / S3 / S7
+@register("csv_contract_scan", S.with_messages(
+    "SELECT " + ", ".join([S.r6(c, c) if _is_double(c) else c for c in PROFILE_COLS]) + " FROM messages"))
+def q_csv_contract_scan(spark, sf_dir):
+    """Messages written as CSV with a header, scanned back with the declared schema, contract-checked."""
+    from ..session import scratch_dir
+    from ..sources.messages import check_contract, read_messages
+    from ..sources.sinks import write_csv
+    path = scratch_dir(spark, "messages-csv")
+    write_csv(load_messages(spark, sf_dir).select(*PROFILE_COLS), path)
+    df = read_messages(spark, path, fmt="csv", labelled=True)
+    check_contract(df.drop("class"))
+    return round_doubles(df)
+
+
+# --------------------------------------------------------------------------- profiling
+def _info_sql():
+    sel = [f"SELECT '{c}' AS feature, '{_INT_TYPES.get(c, 'double')}' AS dtype, count({c}) AS non_null FROM messages"
+           for c in PROFILE_COLS]
+    return S.with_messages(S.union_all(sel))
+
+
+@register("profile_info", _info_sql())
+def q_profile_info(spark, sf_dir):
+    from ..operators.profile import profile_info
+    return profile_info(load_messages(spark, sf_dir).select(*PROFILE_COLS))
+
+
+def _describe_sql():
+    sel = []
+    for c in PROFILE_COLS:
+        x = f"CAST({c} AS DOUBLE)"
+        sel.append(f"SELECT '{c}' AS feature, count({x}) AS count, {S.r6(f'avg({x})', 'mean')}, "
+                   f"{S.r6(f'stddev_samp({x})', 'std')}, {S.r6(f'min({x})', 'min')}, "
+                   f"{S.r6(f'quantile_cont({x}, 0.25)', 'q25')}, {S.r6(f'quantile_cont({x}, 0.5)', 'q50')}, "
+                   f"{S.r6(f'quantile_cont({x}, 0.75)', 'q75')}, {S.r6(f'max({x})', 'max')} FROM messages")
+    return S.with_messages(S.union_all(sel))
+
+
+@register("profile_describe", _describe_sql())
+def q_profile_describe(spark, sf_dir):
+    from ..operators.profile import profile_describe
+    return round_doubles(profile_describe(load_messages(spark, sf_dir), PROFILE_COLS))
+
+
+def _missing_sql():
+    sel = []
+    for c in PROFILE_COLS:
+        cond = f"{c} IS NULL OR isnan({c})" if _is_double(c) else f"{c} IS NULL"
+        sel.append(f"SELECT '{c}' AS feature, count_if({cond}) AS n_missing FROM messages")
+    return S.with_messages(S.union_all(sel))
+
+
+@register("profile_missing", _missing_sql())
+def q_profile_missing(spark, sf_dir):
+    from ..operators.profile import profile_missing
+    return profile_missing(load_messages(spark, sf_dir), PROFILE_COLS)
+
+
+@register("profile_inf", S.with_messages(S.union_all(
+    [f"SELECT '{c}' AS feature, count_if(isinf(CAST({c} AS DOUBLE))) AS n_inf FROM messages" for c in PROFILE_COLS])))
+def q_profile_inf(spark, sf_dir):
+    from ..operators.profile import profile_inf
+    return profile_inf(load_messages(spark, sf_dir), PROFILE_COLS)
+
+
+@register("profile_duplicates", S.with_messages(f"""
+    SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates, CAST(count_if(c > 1) AS BIGINT) AS n_duplicated_groups
+    FROM (SELECT count(*) AS c FROM messages GROUP BY {', '.join(FEATURES_8)}) g"""))
+def q_profile_duplicates(spark, sf_dir):
+    """Duplicate rows of the 8-feature projection (29 -> 8 columns, L5)."""
+    from ..operators.profile import profile_duplicates
+    from ..sources.messages import select_features
+    return profile_duplicates(select_features(load_messages(spark, sf_dir), FEATURES_8))
+
+
+@register("class_distribution", S.with_messages("""
+    SELECT class, count(*) AS n, round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 2) AS pct
+    FROM messages GROUP BY class"""))
+def q_class_distribution(spark, sf_dir):
+    from ..operators.profile import class_distribution
+    return class_distribution(load_messages(spark, sf_dir), "class")
+
+
+@register("class_order", S.with_messages(f"""
+    SELECT class_group, count(*) AS n, round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 2) AS pct
+    FROM (SELECT {S.class_group_case('class', CLASS_GROUP)} AS class_group FROM messages) m GROUP BY class_group"""))
+def q_class_order(spark, sf_dir):
+    """P14 on the regrouped label (frequency order; compared as a multiset)."""
+    from ..operators.profile import class_order
+    return class_order(_messages_grouped(spark, sf_dir), "class_group")
+
+
+@register("class_distribution_by_split", S.with_messages(f"""
+    SELECT split, class, n, level,
+      CASE WHEN level = 0 THEN round(CAST(n AS DOUBLE) * 100 / max(CASE WHEN level = 1 THEN n END) OVER (PARTITION BY split), 2) END AS pct_of_split,
+      round(CAST(n AS DOUBLE) * 100 / sum(CASE WHEN level = 3 THEN n END) OVER (), 2) AS pct_of_total
+    FROM (
+      SELECT h.split AS split, m.class_group AS class, CAST(count(*) AS BIGINT) AS n,
+             CAST(GROUPING(h.split, m.class_group) AS INTEGER) AS level
+      FROM (SELECT senderpseudo, {S.class_group_case('class', CLASS_GROUP)} AS class_group FROM messages) m
+      LEFT JOIN holdout h USING (senderpseudo)
+      GROUP BY GROUPING SETS ((h.split, m.class_group), (h.split), (m.class_group), ())
+    ) g""", S.holdout_cte()))
+def q_class_distribution_by_split(spark, sf_dir):
+    from ..operators.profile import class_distribution_by_split
+    from ..operators.splits import group_holdout
+    df = group_holdout(_messages_grouped(spark, sf_dir))
+    return class_distribution_by_split(df, "class_group", "split")
+
+
+@register("distinct_counts", S.with_messages(S.union_all(
+    [f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_distinct FROM messages" for c in PROFILE_COLS])))
+def q_distinct_counts(spark, sf_dir):
+    from ..operators.profile import distinct_counts
+    return distinct_counts(load_messages(spark, sf_dir), PROFILE_COLS)
+
+
+@register("zero_variance", S.with_messages("SELECT * FROM (" + S.union_all(
+    [f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_distinct FROM messages" for c in PROFILE_COLS])
+    + ") d WHERE n_distinct = 1"))
+def q_zero_variance(spark, sf_dir):
+    from ..operators.profile import zero_variance
+    return zero_variance(load_messages(spark, sf_dir), PROFILE_COLS)
+
+
+def _hist_sql():
+    sel = []
+    for c in PROFILE_COLS:
+        sel.append(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM messages WHERE {c} IS NOT NULL")
+    return S.with_messages(f"""
+    SELECT feature, bin, {S.r6('lo + bin * ((hi - lo) / 30)', 'bin_lo')}, {S.r6('lo + (bin + 1) * ((hi - lo) / 30)', 'bin_hi')},
+           count(*) AS n
+    FROM (
+      SELECT l.feature, r.lo, r.hi,
+             CAST(least(floor((l.value - r.lo) / (r.hi - r.lo) * 30), 29) AS INTEGER) AS bin
+      FROM long_values l JOIN (
+        SELECT feature,
+          CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+          CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi
+        FROM long_values GROUP BY feature) r USING (feature)
+    ) b GROUP BY feature, bin, lo, hi""", "long_values AS (" + S.union_all(sel) + ")")
+
+
+@register("histogram_30", _hist_sql())
+def q_histogram_30(spark, sf_dir):
+    from ..operators.profile import histogram
+    return round_doubles(histogram(load_messages(spark, sf_dir), PROFILE_COLS, 30))
+
+
+@register("variance_topk", S.with_messages("SELECT * FROM (" + S.union_all(
+    [f"SELECT '{c}' AS feature, {S.r6(f'var_samp(CAST({c} AS DOUBLE))', 'variance')} FROM messages"
+     for c in VARYING_COLS if c != "class"]) + ") v ORDER BY variance, feature LIMIT 10"))  # variance already normalised
+def q_variance_topk(spark, sf_dir):
+    """P11 then P12: drop single-valued columns, rank the rest (but the label) by sample variance."""
+    from ..operators.profile import drop_zero_variance, variance_topk
+    m = drop_zero_variance(load_messages(spark, sf_dir).select(*PROFILE_COLS))
+    return round_doubles(variance_topk(m, [c for c in m.columns if c != "class"], 10))
+
+
+def _corr_sql():
+    sel = []
+    for i, a in enumerate(VARYING_COLS):
+        for b in VARYING_COLS[i:]:
+            sel.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
+                       f"{S.r6(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))', 'corr')} FROM messages")
+    return S.with_messages(S.union_all(sel))
+
+
+@register("correlation_matrix", _corr_sql())
+def q_correlation_matrix(spark, sf_dir):
+    """P11 then P13: Pearson correlation of the remaining numeric columns (class included)."""
+    from ..operators.profile import correlation_matrix, drop_zero_variance
+    m = drop_zero_variance(load_messages(spark, sf_dir).select(*PROFILE_COLS))
+    return round_doubles(correlation_matrix(m, m.columns))
+
+
+# --------------------------------------------------------------------------- labels
+@register("regroup_classes", S.with_messages(
+    f"SELECT row_id, class, {S.class_group_case('class', CLASS_GROUP)} AS class_group FROM messages"))
+def q_regroup_classes(spark, sf_dir):
+    return _messages_grouped(spark, sf_dir).select("row_id", "class", "class_group")
+
+
+@register("class_names", S.with_messages(f"""
+    SELECT class_group, {S.name_case('class_group', CLASS_NAMES)} AS class_name, count(*) AS n
+    FROM (SELECT {S.class_group_case('class', CLASS_GROUP)} AS class_group FROM messages) m GROUP BY class_group"""))
+def q_class_names(spark, sf_dir):
+    from ..operators.labels import with_class_name
+    g = _messages_grouped(spark, sf_dir).groupBy("class_group").agg(F.count(F.lit(1)).alias("n"))
+    return with_class_name(g).select("class_group", "class_name", "n")
+
+
+def _onehot_sql():
+    arr = "[" + ", ".join(f"CAST(CASE WHEN class_group = {k} THEN 1 ELSE 0 END AS DOUBLE)" for k in range(6)) + "]"
+    return S.with_messages(f"""
+    SELECT row_id, class_group, CAST(list_position(oh, list_max(oh)) - 1 AS INTEGER) AS decoded
+    FROM (SELECT row_id, class_group, {arr} AS oh
+          FROM (SELECT row_id, {S.class_group_case('class', CLASS_GROUP)} AS class_group FROM messages) m) x""")
+
+
+@register("one_hot_roundtrip", _onehot_sql())
+def q_one_hot_roundtrip(spark, sf_dir):
+    from ..operators.labels import onehot_decode, onehot_encode
+    m = _messages_grouped(spark, sf_dir).select("row_id", "class_group")
+    enc = onehot_encode(m, "class_group", list(range(6)), prefix="oh_")
+    dec = onehot_decode(enc, [f"oh_{k}" for k in range(6)], out="decoded")
+    return dec.select("row_id", "class_group", "decoded")
+
+
+_REMAP = {old: new for new, old in enumerate(sorted(SEARCH_CLASSES))}
+
+
+@register("filter_remap_classes", S.with_messages(f"""
+    SELECT row_id, class_group, CAST(CASE {' '.join(f'WHEN class_group = {o} THEN {n}' for o, n in _REMAP.items())} END AS INTEGER) AS label
+    FROM (SELECT row_id, {S.class_group_case('class', CLASS_GROUP)} AS class_group FROM messages) m
+    WHERE class_group IN ({', '.join(str(c) for c in SEARCH_CLASSES)})"""))
+def q_filter_remap_classes(spark, sf_dir):
+    from ..operators.labels import filter_remap
+    kept, _, _ = filter_remap(_messages_grouped(spark, sf_dir), "class_group", SEARCH_CLASSES, out="label")
+    return kept.select("row_id", "class_group", "label")
+
+
+_POS_COLS = [FEATURES_15[i] for i in POSITION_SET]
+
+
+@register("coerce_numeric", S.with_messages(
+    "SELECT " + ", ".join(S.r6(f"TRY_CAST({c} AS DOUBLE)", c) for c in _POS_COLS) + " FROM messages"))
+def q_coerce_numeric(spark, sf_dir):
+    """L5 (29 -> 15) then L6 (project by position, coerce to double)."""
+    from ..operators.labels import select_by_position
+    from ..sources.messages import select_features
+    m = select_features(load_messages(spark, sf_dir), FEATURES_15)
+    return round_doubles(select_by_position(m, POSITION_SET))
+
+
+# --------------------------------------------------------------------------- splits
+@register("group_holdout", S.with_messages(
+    "SELECT m.row_id, m.senderpseudo, h.split FROM messages m LEFT JOIN holdout h USING (senderpseudo)",
+    S.holdout_cte()))
+def q_group_holdout(spark, sf_dir):
+    from ..operators.splits import group_holdout
+    return group_holdout(load_messages(spark, sf_dir)).select("row_id", "senderpseudo", "split")
+
+
+@register("union_splits", S.with_messages(
+    "SELECT m.row_id, h.split FROM messages m JOIN holdout h USING (senderpseudo)", S.holdout_cte()))
+def q_union_splits(spark, sf_dir):
+    """The two sender splits as separate frames, concatenated again by name."""
+    from ..operators.labels import union_splits
+    from ..operators.splits import group_holdout
+    h = group_holdout(load_messages(spark, sf_dir)).select("row_id", "split")
+    return union_splits(h.where(F.col("split") == "train_val"), h.where(F.col("split") == "test"))
+
+
+@register("keep_senders", S.with_messages("""
+    SELECT m.row_id, CASE WHEN h.split = 'test' THEN 'kept' ELSE 'dropped' END AS side
+    FROM messages m JOIN holdout h USING (senderpseudo)""", S.holdout_cte()))
+def q_keep_senders(spark, sf_dir):
+    """Distinct senders of the test split; rows kept by a semi join, the rest by an anti join."""
+    from ..operators.labels import distinct_senders, keep_senders
+    from ..operators.splits import group_holdout
+    m = load_messages(spark, sf_dir)
+    test_senders = distinct_senders(group_holdout(m).where(F.col("split") == "test"))
+    kept = keep_senders(m, test_senders, keep=True).select("row_id", F.lit("kept").alias("side"))
+    dropped = keep_senders(m, test_senders, keep=False).select("row_id", F.lit("dropped").alias("side"))
+    return kept.unionByName(dropped)
+
+
+@register("split_overlap", S.with_messages("""
+    SELECT h.split, CAST(count(DISTINCT m.senderpseudo) AS BIGINT) AS n_senders, CAST(count(*) AS BIGINT) AS n_rows,
+           CAST(0 AS BIGINT) AS n_shared_senders
+    FROM messages m JOIN holdout h USING (senderpseudo) GROUP BY h.split""", S.holdout_cte()))
+def q_split_overlap(spark, sf_dir):
+    """Per split, senders and rows, and senders that also occur in another split (must be 0)."""
+    from ..operators.labels import sender_overlap
+    from ..operators.splits import group_holdout
+    h = group_holdout(load_messages(spark, sf_dir)).where(F.col("split").isNotNull())
+    shared = sender_overlap(h).select("senderpseudo", F.lit(1).alias("_shared"))
+    j = h.join(shared, "senderpseudo", "left")
+    return j.groupBy("split").agg(F.count_distinct("senderpseudo").cast("long").alias("n_senders"),
+                                  F.count(F.lit(1)).cast("long").alias("n_rows"),
+                                  F.count_distinct(F.when(F.col("_shared") == 1, F.col("senderpseudo")))
+                                  .cast("long").alias("n_shared_senders"))
+
+
+@register("stratified_split", S.with_messages("""
+    SELECT row_id, class,
+      CASE WHEN rk < nt THEN 'test' WHEN rk < nt + floor(CAST(0.2 AS DOUBLE) * (n - nt)) THEN 'val' ELSE 'train' END AS split
+    FROM (SELECT *, floor(CAST(0.2 AS DOUBLE) * n) AS nt FROM (
+      SELECT row_id, class,
+        row_number() OVER (PARTITION BY class ORDER BY md5(concat('42', ':', CAST(row_id AS VARCHAR)))) - 1 AS rk,
+        count(*) OVER (PARTITION BY class) AS n
+      FROM messages) r) c"""))
+def q_stratified_split(spark, sf_dir):
+    from ..operators.splits import stratified_split
+    return stratified_split(load_messages(spark, sf_dir).select("row_id", "class"), "class", "row_id")
+
+
+@register("group_kfold", S.with_messages(
+    "SELECT m.row_id, m.senderpseudo, f.fold FROM messages m LEFT JOIN kfold f USING (senderpseudo)",
+    S.kfold_cte(5)))
+def q_group_kfold(spark, sf_dir):
+    from ..operators.splits import group_kfold
+    return group_kfold(load_messages(spark, sf_dir).select("row_id", "senderpseudo"), k=5)
+
+
+@register("stratified_sample", S.with_messages("""
+    SELECT row_id, class FROM (
+      SELECT row_id, class,
+        row_number() OVER (PARTITION BY class ORDER BY md5(concat('42', ':', CAST(row_id AS VARCHAR)))) - 1 AS rk,
+        count(*) OVER (PARTITION BY class) AS n
+      FROM messages) r WHERE rk < floor(CAST(0.2 AS DOUBLE) * n)"""))
+def q_stratified_sample(spark, sf_dir):
+    from ..operators.splits import stratified_sample
+    return stratified_sample(load_messages(spark, sf_dir).select("row_id", "class"), "class", 0.2)
+
+
+def _repeated_sql(trials=3, ratio=0.85, seed=42):
+    ctes = [S.holdout_cte(ratio, seed + t, name=f"h{t}") for t in range(trials)]
+    body = S.union_all([f"SELECT CAST({t} AS INTEGER) AS trial, senderpseudo, split FROM h{t}" for t in range(trials)])
+    return S.with_messages(body, *ctes)
+
+
+@register("repeated_holdout", _repeated_sql())
+def q_repeated_holdout(spark, sf_dir):
+    """Three sender splits (ratio 0.85), seed 42 + trial."""
+    from ..operators.splits import repeated_group_holdout
+    r = repeated_group_holdout(load_messages(spark, sf_dir), 3, ratio=0.85, seed=42)
+    return r.select(F.col("trial").cast("int"), "senderpseudo", "split")

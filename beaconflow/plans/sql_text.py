@@ -61,3 +61,54 @@ FEATURES_CTE = """feat_base AS (
 def with_messages(body: str, *ctes: str) -> str:
     parts = [MESSAGES_CTE] + list(ctes)
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def r6(expr: str, alias: str) -> str:
+    """Same normalisation as ``functions.columns.r6``."""
+    x = f"({expr})"
+    return (f"(CASE WHEN isnan({x}) OR isinf({x}) THEN {x} WHEN abs({x}) < 1e4 THEN round({x}, 6) "
+            f"ELSE round({x} / pow(CAST(10 AS DOUBLE), floor(log10(abs({x})))), 9) "
+            f"* pow(CAST(10 AS DOUBLE), floor(log10(abs({x})))) END) + CAST(0 AS DOUBLE) AS {alias}")
+
+
+def union_all(selects: list[str]) -> str:
+    return "\nUNION ALL\n".join(selects)
+
+
+def holdout_cte(ratio: float = 0.8, seed: int = 42, name: str = "holdout", src: str = "messages",
+                first: str = "train_val", second: str = "test") -> str:
+    return f"""{name}_rank AS (
+  SELECT senderpseudo,
+    row_number() OVER (ORDER BY md5(concat('{seed}', ':', CAST(senderpseudo AS VARCHAR)))) - 1 AS rk,
+    count(*) OVER () AS n_senders
+  FROM (SELECT DISTINCT senderpseudo FROM {src} WHERE senderpseudo IS NOT NULL) s
+), {name} AS (
+  SELECT senderpseudo,
+    CASE WHEN rk < floor(CAST({ratio} AS DOUBLE) * n_senders) THEN '{first}' ELSE '{second}' END AS split
+  FROM {name}_rank
+)"""
+
+
+def kfold_cte(k: int = 5, name: str = "kfold", src: str = "messages") -> str:
+    return f"""{name}_sizes AS (
+  SELECT senderpseudo, count(*) AS n_rows FROM {src} WHERE senderpseudo IS NOT NULL GROUP BY senderpseudo
+), {name}_rank AS (
+  SELECT *, row_number() OVER (ORDER BY n_rows DESC, senderpseudo ASC) - 1 AS rk FROM {name}_sizes
+), {name} AS (
+  SELECT senderpseudo, n_rows,
+    CAST(CASE WHEN (rk // {k}) % 2 = 0 THEN rk % {k} ELSE {k - 1} - rk % {k} END AS INTEGER) AS fold
+  FROM {name}_rank
+)"""
+
+
+def class_group_case(col: str, mapping: dict) -> str:
+    inv: dict = {}
+    for k, v in mapping.items():
+        inv.setdefault(v, []).append(k)
+    whens = " ".join(f"WHEN {col} IN ({', '.join(str(x) for x in sorted(ks))}) THEN {v}" for v, ks in sorted(inv.items()))
+    return f"CAST(CASE {whens} ELSE NULL END AS INTEGER)"
+
+
+def name_case(col: str, names: dict) -> str:
+    whens = " ".join(f"WHEN {col} = {k} THEN '{v}'" for k, v in names.items())
+    return f"CASE {whens} ELSE concat('Class ', CAST({col} AS VARCHAR)) END"
