@@ -13,9 +13,9 @@ from ..functions.columns import argmax
 from ..schema import GAP_BANDS, GAP_OTHERWISE
 
 
-def confusion(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Long-form confusion counts (label, prediction, n)."""
-    return (df.groupBy(F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("prediction"))
+def confusion(df: DataFrame, label: str = "label", pred: str = "prediction", by: list[str] | None = None) -> DataFrame:
+    """Long-form confusion counts (by..., label, prediction, n)."""
+    return (df.groupBy(*(by or []), F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("prediction"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -24,31 +24,32 @@ def confusion_wide(df: DataFrame, label: str = "label", pred: str = "prediction"
     return c.groupBy("label").pivot("prediction", classes).sum("n").fillna(0)
 
 
-def per_class(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+def per_class(df: DataFrame, label: str = "label", pred: str = "prediction", by: list[str] | None = None) -> DataFrame:
     """Per class over labels seen in truth or prediction: tp, support, predicted, precision, recall, f1."""
-    c = confusion(df, label, pred)
-    truth = c.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"),
-                                                       F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")))
-                                                       .alias("tp"))
-    predicted = c.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    j = truth.join(predicted, "cls", "full_outer").fillna(0, subset=["support", "tp", "predicted"])
+    by = by or []
+    c = confusion(df, label, pred, by)
+    truth = c.groupBy(*by, F.col("label").alias("cls")).agg(
+        F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n"))).alias("tp"))
+    predicted = c.groupBy(*by, F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
+    j = truth.join(predicted, by + ["cls"], "full_outer").fillna(0, subset=["support", "tp", "predicted"])
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
                     F.lit(0.0))
     return (j.withColumn("precision", prec).withColumn("recall", rec).withColumn("f1", f1)
-            .select(F.col("cls").alias("label"), "tp", "support", "predicted", "precision", "recall", "f1"))
-
-
-def scores(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """One row with n, accuracy, macro F1 (plain mean over labels), weighted F1."""
-    p = per_class(df, label, pred)
-    return p.agg(F.sum("support").alias("n"),
-                 (F.sum("tp") / F.sum("support")).alias("accuracy"),
-                 F.avg("f1").alias("macro_f1"),
-                 (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
-                 F.avg("precision").alias("macro_precision"),
-                 F.avg("recall").alias("macro_recall"))
+            .select(*by, F.col("cls").alias("label"), "tp", "support", "predicted", "precision", "recall", "f1"))
+
+
+def scores(df: DataFrame, label: str = "label", pred: str = "prediction", by: list[str] | None = None) -> DataFrame:
+    """N, accuracy, macro F1 (plain mean over labels), weighted F1, macro precision / recall."""
+    by = by or []
+    p = per_class(df, label, pred, by)
+    return p.groupBy(*by).agg(F.sum("support").alias("n"),
+                              (F.sum("tp") / F.sum("support")).alias("accuracy"),
+                              F.avg("f1").alias("macro_f1"),
+                              (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
+                              F.avg("precision").alias("macro_precision"),
+                              F.avg("recall").alias("macro_recall"))
 
 
 def classification_report(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:

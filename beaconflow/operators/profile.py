@@ -129,20 +129,36 @@ def variance_topk(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
     return _long(agg, cols, {"v": "variance"}).orderBy(r6("variance"), "feature").limit(k)
 
 
-def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation, long form (col_a < col_b and the diagonal).
-
-    Built from covariance / std in one aggregate; ``try_divide`` gives NULL for a
-    constant column instead of the ANSI divide-by-zero error.
+def correlation_matrix(df: DataFrame, cols: list[str], method: str = "auto") -> DataFrame:
+    """Pairwise-complete Pearson correlation, long form (col_a <= col_b, upper triangle).
+
+    Without missing values (checked in one aggregate) the Gram matrix is built by
+    Spark ML's ``Correlation`` in one tree-aggregate pass; the k x k result is
+    bounded by the column count.  With missing values each pair uses only rows
+    where both are present: covariance / std in one aggregate, ``try_divide``
+    giving NULL for a constant column instead of the ANSI divide-by-zero error.
     """
-    exprs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            xa, yb = F.when(both, x), F.when(both, y)
-            exprs.append(F.try_divide(F.covar_samp(xa, yb), F.stddev_samp(xa) * F.stddev_samp(yb)).alias(f"c{len(pairs)}"))
-            pairs.append((a, b))
+    spark = df.sparkSession
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    if method in ("auto", "gram"):
+        n_missing = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c)
+                             for c in cols]).first()
+        if method == "gram" or not any(n_missing[c] for c in cols):
+            from pyspark.ml.feature import VectorAssembler
+            from pyspark.ml.stat import Correlation
+            vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(
+                df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+            mat = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+            idx = {c: i for i, c in enumerate(cols)}
+            data = [(a, b, None if mat[idx[a], idx[b]] != mat[idx[a], idx[b]] else float(mat[idx[a], idx[b]]))
+                    for a, b in pairs]
+            return spark.createDataFrame(data, "col_a string, col_b string, corr double")
+    exprs = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        xa, yb = F.when(both, x), F.when(both, y)
+        exprs.append(F.try_divide(F.covar_samp(xa, yb), F.stddev_samp(xa) * F.stddev_samp(yb)).alias(f"c{i}"))
     agg = df.agg(*exprs)
     structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
                for i, (a, b) in enumerate(pairs)]

@@ -416,3 +416,297 @@ def q_repeated_holdout(spark, sf_dir):
     from ..operators.splits import repeated_group_holdout
     r = repeated_group_holdout(load_messages(spark, sf_dir), 3, ratio=0.85, seed=42)
     return r.select(F.col("trial").cast("int"), "senderpseudo", "split")
+
+
+# --------------------------------------------------------------------------- scaling and weights
+def _scale_sql(check: bool) -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERIC_13)
+    scaled = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1 ELSE s_{c} END AS {c}"
+                       for c in NUMERIC_13)
+    ctes = [S.holdout_cte(),
+            f"tv AS (SELECT m.* FROM messages m JOIN holdout h USING (senderpseudo) WHERE h.split = 'train_val')",
+            f"stats AS (SELECT {stats} FROM tv)",
+            f"scaled AS (SELECT row_id, senderpseudo, {scaled} FROM messages CROSS JOIN stats)"]
+    if check:
+        body = S.union_all([f"SELECT '{c}' AS feature, {S.r6(f'avg(s.{c})', 'mean')}, {S.r6(f'stddev_pop(s.{c})', 'std')} "
+                            f"FROM scaled s JOIN holdout h USING (senderpseudo) WHERE h.split = 'train_val'"
+                            for c in NUMERIC_13])
+    else:
+        body = "SELECT row_id, " + ", ".join(S.r6(c, c) for c in NUMERIC_13) + " FROM scaled"
+    return S.with_messages(body, *ctes)
+
+
+def _standardized(spark, sf_dir):
+    from ..operators.scaling import apply_scaler, fit_scaler
+    from ..operators.splits import group_holdout
+    m = group_holdout(load_messages(spark, sf_dir))
+    stats = fit_scaler(m.where(F.col("split") == "train_val"), NUMERIC_13)
+    return apply_scaler(m, stats)
+
+
+@register("standardize", _scale_sql(False))
+def q_standardize(spark, sf_dir):
+    """Mean / population std fitted on the train_val senders, applied to every row."""
+    return round_doubles(_standardized(spark, sf_dir).select("row_id", *NUMERIC_13))
+
+
+@register("scaled_check", _scale_sql(True))
+def q_scaled_check(spark, sf_dir):
+    """On the fit split the scaled columns have mean 0 and std 1."""
+    from ..operators.scaling import scaled_check
+    s = _standardized(spark, sf_dir).where(F.col("split") == "train_val")
+    return round_doubles(scaled_check(s, NUMERIC_13))
+
+
+def _weights_sql(method: str, rows: bool = False) -> str:
+    w = "CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c)"
+    if method == "sqrt":
+        w = f"sqrt({w})"
+    grouped = f"(SELECT {S.class_group_case('class', CLASS_GROUP)} AS class_group, row_id FROM messages) g"
+    cw = f"cw AS (SELECT class_group, n_c, {w} AS weight FROM (SELECT class_group, count(*) AS n_c FROM {grouped} " \
+         f"WHERE class_group IS NOT NULL GROUP BY class_group) c)"
+    if rows:
+        return S.with_messages(f"SELECT g.row_id, g.class_group, {S.r6('cw.weight', 'weight')} FROM {grouped} "
+                               "LEFT JOIN cw USING (class_group)", cw)
+    return S.with_messages(f"SELECT class_group, n_c, {S.r6('weight', 'weight')} FROM cw", cw)
+
+
+@register("class_weights_balanced", _weights_sql("balanced"))
+def q_class_weights_balanced(spark, sf_dir):
+    from ..operators.scaling import class_weights
+    return round_doubles(class_weights(_messages_grouped(spark, sf_dir), "class_group", "balanced"))
+
+
+@register("class_weights_sqrt", _weights_sql("sqrt"))
+def q_class_weights_sqrt(spark, sf_dir):
+    from ..operators.scaling import class_weights
+    return round_doubles(class_weights(_messages_grouped(spark, sf_dir), "class_group", "sqrt"))
+
+
+@register("row_weights", _weights_sql("balanced", rows=True))
+def q_row_weights(spark, sf_dir):
+    from ..operators.scaling import class_weights, with_weight
+    m = _messages_grouped(spark, sf_dir)
+    return round_doubles(with_weight(m, class_weights(m, "class_group"), "class_group").select(
+        "row_id", "class_group", "weight"))
+
+
+# --------------------------------------------------------------------------- evaluation
+_LBL = "(SELECT quality, toxic FROM labels) lbl"
+_PC_LABELS = S.per_class_cte(_LBL, "quality", "toxic")
+
+
+@register("confusion_matrix", S.with_messages(
+    "SELECT label, prediction, count(*) AS n FROM (SELECT CAST(quality AS INTEGER) AS label, "
+    "CAST(toxic AS INTEGER) AS prediction FROM labels) x GROUP BY label, prediction"))
+def q_confusion_matrix(spark, sf_dir):
+    """E4 on the labels table (truth = quality, prediction = toxic)."""
+    from ..operators.evaluate import confusion
+    from ..sources.messages import read_table
+    return confusion(read_table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@register("classification_report", S.with_messages(f"""
+    SELECT CAST(label AS VARCHAR) AS row, {S.r6('precision', 'precision')}, {S.r6('recall', 'recall')},
+           {S.r6('f1', 'f1')}, support FROM pc
+    UNION ALL SELECT 'accuracy', {S.r6('accuracy', 'precision')}, {S.r6('accuracy', 'recall')}, {S.r6('accuracy', 'f1')}, n
+    FROM pc_scores
+    UNION ALL SELECT 'macro avg', {S.r6('avg(precision)', 'precision')}, {S.r6('avg(recall)', 'recall')},
+           {S.r6('avg(f1)', 'f1')}, CAST(sum(support) AS BIGINT) FROM pc
+    UNION ALL SELECT 'weighted avg', {S.r6('sum(precision * support) / sum(support)', 'precision')},
+           {S.r6('sum(recall * support) / sum(support)', 'recall')}, {S.r6('sum(f1 * support) / sum(support)', 'f1')},
+           CAST(sum(support) AS BIGINT) FROM pc""", _PC_LABELS))
+def q_classification_report(spark, sf_dir):
+    from ..operators.evaluate import classification_report
+    from ..sources.messages import read_table
+    return round_doubles(classification_report(read_table(spark, sf_dir, "labels"), "quality", "toxic"))
+
+
+_SCORE_COLS = ["accuracy", "macro_f1", "weighted_f1", "macro_precision", "macro_recall"]
+
+
+@register("accuracy_f1", S.with_messages(
+    "SELECT n, " + ", ".join(S.r6(c, c) for c in _SCORE_COLS) + " FROM pc_scores", _PC_LABELS))
+def q_accuracy_f1(spark, sf_dir):
+    """Accuracy, macro F1 (mean over labels in truth or prediction), weighted F1."""
+    from ..operators.evaluate import scores
+    from ..sources.messages import read_table
+    return round_doubles(scores(read_table(spark, sf_dir, "labels"), "quality", "toxic"))
+
+
+# A deterministic baseline predictor on messages (no training): rule_class from posy.
+_RULE_SQL = "CAST(least(floor(posy / CAST(17 AS DOUBLE)), CAST(5 AS DOUBLE)) AS INTEGER)"
+
+
+def _rule_predictions(spark, sf_dir):
+    from ..sources.messages import with_rule_class
+    return with_rule_class(_messages_grouped(spark, sf_dir)).withColumnRenamed("rule_class", "prediction")
+
+
+_RULE_CTE = (f"pred AS (SELECT row_id, senderpseudo, {S.class_group_case('class', CLASS_GROUP)} AS class_group, "
+             f"{_RULE_SQL} AS prediction FROM messages)")
+
+
+def _gap_sql():
+    ctes = [_RULE_CTE, S.holdout_cte(),
+            "tv AS (SELECT p.* FROM pred p JOIN holdout h USING (senderpseudo) WHERE h.split = 'train_val')",
+            "te AS (SELECT p.* FROM pred p JOIN holdout h USING (senderpseudo) WHERE h.split = 'test')",
+            S.kfold_cte(5, src="tv"),
+            "tvf AS (SELECT tv.*, kfold.fold FROM tv JOIN kfold USING (senderpseudo))",
+            S.per_class_cte("tvf", "class_group", "prediction", ["fold"], name="cvf"),
+            S.per_class_cte("te", "class_group", "prediction", name="tst")]
+    body = f"""SELECT {S.r6('cv', 'cv_accuracy')}, {S.r6('t', 'test_accuracy')}, {S.r6('cv - t', 'gap')},
+      CASE WHEN cv - t < 0.02 THEN 'excellent' WHEN cv - t < 0.05 THEN 'good' WHEN cv - t < 0.10 THEN 'moderate'
+           ELSE 'severe' END AS band
+    FROM (SELECT avg(accuracy) AS cv FROM cvf_scores) a, (SELECT accuracy AS t FROM tst_scores) b"""
+    return S.with_messages(body, *ctes)
+
+
+@register("gap_bands", _gap_sql())
+def q_gap_bands(spark, sf_dir):
+    """Mean fold accuracy (5 sender folds of train_val) minus test accuracy, and its band."""
+    from ..operators.evaluate import gap_bands, scores
+    from ..operators.splits import group_holdout, group_kfold
+    p = group_holdout(_rule_predictions(spark, sf_dir))
+    tv = group_kfold(p.where(F.col("split") == "train_val"), k=5)
+    cv = scores(tv, "class_group", "prediction", ["fold"]).agg(F.avg("accuracy").alias("cv_accuracy"))
+    te = scores(p.where(F.col("split") == "test"), "class_group", "prediction").select(
+        F.col("accuracy").alias("test_accuracy"))
+    g = gap_bands(cv.crossJoin(te))  # two one-row frames
+    return round_doubles(g.select("cv_accuracy", "test_accuracy", "gap", "band"))
+
+
+def _fold_summary_sql():
+    ctes = [_RULE_CTE, S.kfold_cte(5, src="pred"),
+            "pf AS (SELECT pred.*, kfold.fold FROM pred JOIN kfold USING (senderpseudo))",
+            S.per_class_cte("pf", "class_group", "prediction", ["fold"], name="fs")]
+    body = S.union_all([f"SELECT '{m}' AS metric, CAST(count(*) AS BIGINT) AS n_folds, {S.r6(f'avg({m})', 'mean')}, "
+                        f"{S.r6(f'2 * stddev_pop({m})', 'two_std')} FROM fs_scores" for m in ("accuracy", "macro_f1")])
+    return S.with_messages(body, *ctes)
+
+
+@register("fold_summary", _fold_summary_sql())
+def q_fold_summary(spark, sf_dir):
+    """Per-fold accuracy and macro F1 over 5 sender folds -> mean and 2 * population std."""
+    from ..operators.evaluate import fold_summary, scores
+    from ..operators.splits import group_kfold
+    p = group_kfold(_rule_predictions(spark, sf_dir), k=5)
+    s = scores(p.where(F.col("fold").isNotNull()), "class_group", "prediction", ["fold"])
+    long = s.select("fold", F.inline(F.array(
+        F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+        F.struct(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")))))
+    return round_doubles(fold_summary(long, ["metric"]))
+
+
+# Published figures of the reference's manual model (fixed values): accuracy 0.87, macro F1 0.76.
+REFERENCE_BASELINE = {"accuracy": 0.87, "macro_f1": 0.76}
+
+
+def _delta_sql():
+    ctes = [_RULE_CTE, S.holdout_cte(),
+            "te AS (SELECT p.* FROM pred p JOIN holdout h USING (senderpseudo) WHERE h.split = 'test')",
+            S.per_class_cte("te", "class_group", "prediction", name="tst"),
+            "cur AS (" + S.union_all([f"SELECT '{m}' AS metric, {m} AS current FROM tst_scores"
+                                      for m in REFERENCE_BASELINE]) + ")",
+            "base AS (" + S.union_all([f"SELECT '{m}' AS metric, CAST({v} AS DOUBLE) AS baseline"
+                                       for m, v in REFERENCE_BASELINE.items()]) + ")"]
+    body = f"""SELECT metric, {S.r6('current', 'current')}, {S.r6('baseline', 'baseline')},
+      {S.r6('current - baseline', 'delta')}, {S.r6('(current - baseline) * 100 / baseline', 'delta_pct')},
+      CASE WHEN current - baseline > 0 THEN 'improved' WHEN current - baseline < 0 THEN 'worse' ELSE 'equal' END AS verdict
+    FROM cur JOIN base USING (metric)"""
+    return S.with_messages(body, *ctes)
+
+
+@register("baseline_delta", _delta_sql())
+def q_baseline_delta(spark, sf_dir):
+    """Test-split scores of the rule predictor against the reference's published baseline."""
+    from ..operators.evaluate import baseline_delta, scores
+    from ..operators.splits import group_holdout
+    p = group_holdout(_rule_predictions(spark, sf_dir)).where(F.col("split") == "test")
+    s = scores(p, "class_group", "prediction")
+    cur = s.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                                      for m in REFERENCE_BASELINE])))
+    base = spark.createDataFrame([(m, float(v)) for m, v in REFERENCE_BASELINE.items()], "metric string, value double")
+    out = baseline_delta(cur, base)
+    return round_doubles(out.select("metric", "current", "baseline", "delta", "delta_pct", "verdict"))
+
+
+# --------------------------------------------------------------------------- voting, export, preview
+def _vote_frames(spark, sf_dir):
+    """Three deterministic 6-class probability vectors per message: one-hot at the rule class,
+    one-hot at the next class, uniform."""
+    from ..sources.messages import with_rule_class
+    m = with_rule_class(load_messages(spark, sf_dir)).select("row_id", "rule_class")
+    a = m.select("row_id", F.array(*[(F.col("rule_class") == k).cast("double") for k in range(6)]).alias("probability"))
+    b = m.select("row_id", F.array(*[(F.pmod(F.col("rule_class") + 1, F.lit(6)) == k).cast("double")
+                                     for k in range(6)]).alias("probability"))
+    c = m.select("row_id", F.array(*[F.lit(1.0 / 6.0) for _ in range(6)]).alias("probability"))
+    return [a, b, c]
+
+
+def _vote_cte():
+    rc = _RULE_SQL
+    pa = [f"CAST({rc} = {k} AS DOUBLE)" for k in range(6)]
+    pb = [f"CAST(({rc} + 1) % 6 = {k} AS DOUBLE)" for k in range(6)]
+    pc = "CAST(1 AS DOUBLE) / CAST(6 AS DOUBLE)"
+    arr = "[" + ", ".join(f"({pa[k]} + {pb[k]} + {pc}) / CAST(3 AS DOUBLE)" for k in range(6)) + "]"
+    return (f"vote AS (SELECT row_id, p, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS prediction "
+            f"FROM (SELECT row_id, {arr} AS p FROM messages) x)")
+
+
+@register("soft_vote", S.with_messages(
+    f"SELECT row_id, prediction, {S.r6('list_max(p)', 'confidence')} FROM vote", _vote_cte()))
+def q_soft_vote(spark, sf_dir):
+    """M8: mean probability vector of three scorers, class = argmax (first wins a tie)."""
+    from ..operators.evaluate import soft_vote
+    v = soft_vote(_vote_frames(spark, sf_dir))
+    return round_doubles(v.select("row_id", "prediction", F.array_max("probability").alias("confidence")))
+
+
+@register("prediction_export", S.with_messages("""
+    SELECT CAST(row_number() OVER (ORDER BY row_id) AS BIGINT) AS row,
+      concat('Class ', CAST(prediction AS VARCHAR)) AS predicted_class,
+      printf('%.2f%%', list_max(p) * 100) AS confidence,
+      array_to_string(list_transform(p, lambda x: printf('%.4f', x)), ';') AS probabilities
+    FROM vote""", _vote_cte()))
+def q_prediction_export(spark, sf_dir):
+    """Export rows (1-based row number by input order, class label, confidence %, probabilities)."""
+    from ..operators.evaluate import soft_vote
+    from ..plans.scoring import export_table
+    return export_table(soft_vote(_vote_frames(spark, sf_dir)), order="row_id")
+
+
+@register("preview_topn", S.with_messages("""
+    SELECT row_id, prediction, CAST(count(*) OVER () AS BIGINT) AS n_total, count(*) OVER () > 100 AS has_more
+    FROM vote QUALIFY row_number() OVER (ORDER BY row_id) <= 100""", _vote_cte()))
+def q_preview_topn(spark, sf_dir):
+    """Q3/Q5: first 100 predictions by input order, the total scored, and whether more exist."""
+    from ..operators.evaluate import soft_vote
+    from ..plans.scoring import preview
+    return preview(soft_vote(_vote_frames(spark, sf_dir)).select("row_id", "prediction"), 100, "row_id")
+
+
+# --------------------------------------------------------------------------- record parsing, rate windows
+@register("parse_records", S.with_messages(
+    "SELECT row_id, " + ", ".join([S.r6(c, c) if _is_double(c) else c for c in MESSAGE_29]) + " FROM messages"))
+def q_parse_records(spark, sf_dir):
+    """Each message as a 29-value text record plus a short (28) and a long (30) variant;
+    only the well-formed records come back as typed rows."""
+    from ..sources.messages import parse_records
+    m = load_messages(spark, sf_dir)
+    text = F.concat_ws(",", *[F.col(c).cast("string") for c in MESSAGE_29])
+    short = F.concat_ws(",", *[F.col(c).cast("string") for c in MESSAGE_29[:-1]])
+    recs = m.select("row_id", F.inline(F.array(F.struct(text.alias("record")), F.struct(short.alias("record")),
+                                               F.struct(F.concat(text, F.lit(",0")).alias("record")))))
+    good, _rejects = parse_records(recs, "record", keep=["row_id"])
+    return round_doubles(good)
+
+
+@register("rate_windows", S.with_messages("""
+    SELECT CAST(floor(sendtime / 3600) * 3600 AS BIGINT) AS window_start, senderpseudo, count(*) AS n
+    FROM messages GROUP BY 1, 2"""))
+def q_rate_windows(spark, sf_dir):
+    """T3 (batch form): messages per sender per 1-hour tumbling window of send time."""
+    from ..streaming.features import rate_windows
+    m = load_messages(spark, sf_dir).withColumn("ts", F.timestamp_seconds("sendtime"))
+    return rate_windows(m, "ts", "1 hour", watermark=None)

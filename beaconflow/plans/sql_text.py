@@ -112,3 +112,34 @@ def class_group_case(col: str, mapping: dict) -> str:
 def name_case(col: str, names: dict) -> str:
     whens = " ".join(f"WHEN {col} = {k} THEN '{v}'" for k, v in names.items())
     return f"CASE {whens} ELSE concat('Class ', CAST({col} AS VARCHAR)) END"
+
+
+def per_class_cte(src: str, label: str, pred: str, by: list[str] | None = None, name: str = "pc") -> str:
+    """SQL form of ``operators.evaluate.per_class`` over ``src``."""
+    by = by or []
+    b = "".join(f"{c}, " for c in by)
+    on = " AND ".join([f"t.{c} = p.{c}" for c in by] + ["t.cls = p.cls"])
+    sel_by = "".join(f"coalesce(t.{c}, p.{c}) AS {c}, " for c in by)
+    return f"""{name}_c AS (
+  SELECT {b}CAST({label} AS INTEGER) AS label, CAST({pred} AS INTEGER) AS prediction, count(*) AS n
+  FROM {src} GROUP BY {b}CAST({label} AS INTEGER), CAST({pred} AS INTEGER)
+), {name}_t AS (
+  SELECT {b}label AS cls, sum(n) AS support, sum(CASE WHEN label = prediction THEN n END) AS tp FROM {name}_c GROUP BY {b}label
+), {name}_p AS (
+  SELECT {b}prediction AS cls, sum(n) AS predicted FROM {name}_c GROUP BY {b}prediction
+), {name}_j AS (
+  SELECT {sel_by}coalesce(t.cls, p.cls) AS label, CAST(coalesce(t.tp, 0) AS BIGINT) AS tp,
+    CAST(coalesce(t.support, 0) AS BIGINT) AS support, CAST(coalesce(p.predicted, 0) AS BIGINT) AS predicted
+  FROM {name}_t t FULL OUTER JOIN {name}_p p ON {on}
+), {name}_pr AS (
+  SELECT *, CASE WHEN predicted = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / predicted END AS precision,
+    CASE WHEN support = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / support END AS recall
+  FROM {name}_j
+), {name} AS (
+  SELECT *, CASE WHEN precision + recall = 0 THEN CAST(0 AS DOUBLE)
+    ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM {name}_pr
+), {name}_scores AS (
+  SELECT {b}CAST(sum(support) AS BIGINT) AS n, CAST(sum(tp) AS DOUBLE) / sum(support) AS accuracy, avg(f1) AS macro_f1,
+    sum(f1 * support) / sum(support) AS weighted_f1, avg(precision) AS macro_precision, avg(recall) AS macro_recall
+  FROM {name} {'GROUP BY ' + ', '.join(by) if by else ''}
+)"""
