@@ -710,3 +710,188 @@ def q_rate_windows(spark, sf_dir):
     from ..streaming.features import rate_windows
     m = load_messages(spark, sf_dir).withColumn("ts", F.timestamp_seconds("sendtime"))
     return rate_windows(m, "ts", "1 hour", watermark=None)
+
+
+# --------------------------------------------------------------------------- models (rows-only checks)
+# Small budgets for the registered ML queries (tests and benches); the library
+# defaults stay those of the reference (e.g. 100 trees of depth 10, 501 boosting rounds).
+ML_FOREST = {"n_estimators": 20, "max_depth": 5, "seed": 42}
+ML_BOOSTED = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1, "seed": 42}
+
+
+def _ml_split(spark, sf_dir):
+    """Feature table with sender hold-out split and balanced row weights on the learnable label."""
+    from ..operators.scaling import class_weights, with_weight
+    from ..operators.splits import group_holdout
+    from .models import feature_table
+    f = group_holdout(feature_table(spark, sf_dir))
+    tv = f.where(F.col("split") == "train_val")
+    f = with_weight(f, class_weights(tv, "rule_class", "balanced"), "rule_class", out="weight")
+    return f.where(F.col("split") == "train_val"), f.where(F.col("split") == "test")
+
+
+@register("train_forest")
+def q_train_forest(spark, sf_dir):
+    """M3/M4/M7: weighted random forest on the train_val senders, predictions for unseen test senders."""
+    from .models import fit, make_pipeline, model_features, predict
+    tv, te = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
+    return predict(model, te, ["row_id", "rule_class"]).select(
+        "row_id", "rule_class", "prediction", F.round(F.array_max("probability"), 6).alias("confidence"))
+
+
+@register("train_boosted_ovr")
+def q_train_boosted_ovr(spark, sf_dir):
+    """M1/M5: one-vs-rest boosted trees (6 classes), probabilities from normalised margins."""
+    from .models import fit, make_pipeline, model_features, predict
+    tv, te = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("boosted", model_features(), "rule_class", "weight", ML_BOOSTED), tv)
+    return predict(model, te, ["row_id", "rule_class"]).select(
+        "row_id", "rule_class", "prediction", F.round(F.array_max("probability"), 6).alias("confidence"))
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    """5 sender folds of train_val; per-fold metrics, fold-model soft vote on test, gap band."""
+    from ..operators.evaluate import fold_summary, gap_band, scores
+    from ..operators.splits import group_kfold
+    from .models import cross_validate, model_features
+    tv, te = _ml_split(spark, sf_dir)
+    res = cross_validate(group_kfold(tv, k=5), "forest", "rule_class", weight="weight", params=ML_FOREST,
+                         features=model_features(), test=te, parallelism=2)
+    m = res["metrics"]
+    summ = fold_summary(m, ["metric"]).withColumnRenamed("mean", "value").select(
+        "metric", F.lit(None).cast("int").alias("fold"), "value", "two_std")
+    vote = scores(res["vote"], "rule_class", "prediction").select(
+        F.inline(F.array(F.struct(F.lit("test_accuracy").alias("metric"), F.col("accuracy").alias("value")),
+                         F.struct(F.lit("test_macro_f1").alias("metric"), F.col("macro_f1").alias("value")))))
+    cv_acc = m.where(F.col("metric") == "accuracy").agg(F.avg("value").alias("cv"))
+    gap = cv_acc.crossJoin(vote.where(F.col("metric") == "test_accuracy").select(F.col("value").alias("t")))  # 1 x 1 rows
+    gap = gap.select(F.lit("gap").alias("metric"), (F.col("cv") - F.col("t")).alias("value"),
+                     gap_band(F.col("cv") - F.col("t")).alias("band"))
+    per_fold = m.select("metric", "fold", "value", F.lit(None).cast("double").alias("two_std"))
+    out = per_fold.unionByName(summ).unionByName(
+        vote.select("metric", F.lit(None).cast("int").alias("fold"), "value", F.lit(None).cast("double").alias("two_std")))
+    return out.withColumn("band", F.lit(None).cast("string")).unionByName(
+        gap.select("metric", F.lit(None).cast("int").alias("fold"), "value", F.lit(None).cast("double").alias("two_std"),
+                   "band"))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """M9: top-15 forest feature importances."""
+    from .models import feature_importance, fit, make_pipeline, model_features
+    tv, _ = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
+    return feature_importance(model, model_features(), 15)
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    """Decision tree, logistic regression, one-vs-rest linear SVM, perceptron, forest, boosted trees."""
+    from .models import compare_models, model_features
+    tv, te = _ml_split(spark, sf_dir)
+    params = {"forest": ML_FOREST, "boosted": ML_BOOSTED, "tree": {"max_depth": 5}, "logreg": {"max_iter": 50},
+              "svc_ovr": {"max_iter": 20}, "mlp": {"max_iter": 50, "hidden": 16}}
+    r = compare_models(tv, te, ["tree", "logreg", "svc_ovr", "mlp", "forest", "boosted"], "rule_class", "weight",
+                       params, model_features())
+    return r.select("model", "accuracy", "macro_f1", "weighted_f1")
+
+
+@register("feature_search")
+def q_feature_search(spark, sf_dir):
+    """H1-H3: battle-royale subset search (forest fitness, 20 % stratified sample, sqrt class weights),
+    6 players x 3 generations; returns the progress table."""
+    from ..operators.splits import group_holdout
+    from .models import model_features
+    from .search import feature_search
+    tv, _ = _ml_split(spark, sf_dir)
+    inner = group_holdout(tv, ratio=0.8, seed=7, names=("train", "valid"), out="inner")
+    feats = model_features()
+    r = feature_search(inner.where(F.col("inner") == "train"), inner.where(F.col("inner") == "valid"), feats,
+                       "rule_class", players=6, generations=3, max_features=10, sampling_rate=0.2,
+                       weight_method="sqrt", fitness="forest", params=ML_FOREST, seed=42, parallelism=3)
+    return r["progress"]
+
+
+@register("feature_search_nb")
+def q_feature_search_nb(spark, sf_dir):
+    """H2 with the one-pass Gaussian naive-Bayes fitness (a generation per job), 32 players x 10 generations."""
+    from ..operators.splits import group_holdout
+    from .models import model_features
+    from .search import feature_search
+    tv, _ = _ml_split(spark, sf_dir)
+    inner = group_holdout(tv, ratio=0.8, seed=7, names=("train", "valid"), out="inner")
+    r = feature_search(inner.where(F.col("inner") == "train"), inner.where(F.col("inner") == "valid"),
+                       model_features(), "rule_class", players=32, generations=10, fitness="naive_bayes",
+                       weight_method=None, seed=42)
+    return r["candidates"]
+
+
+@register("param_search")
+def q_param_search(spark, sf_dir):
+    """H5: differential evolution (best/1/bin) over the 9-parameter vector, objective -macroF1 on a fixed
+    sender split; forest model, population 4 x 2 generations, bounds scaled down for the smoke run."""
+    from ..operators.splits import group_holdout
+    from .models import model_features
+    from .search import param_search
+    tv, _ = _ml_split(spark, sf_dir)
+    inner = group_holdout(tv, ratio=0.85, seed=42, names=("train", "valid"), out="split2")
+    bounds = [(3, 6), (0.03, 0.15), (5, 15), (0.8, 1.0), (0.8, 1.0), (0, 2), (1, 5), (0, 5), (0.5, 3)]
+    start = [4, 0.07, 10, 0.9, 0.9, 0, 1, 0, 1]
+    r = param_search(inner.drop("split").withColumnRenamed("split2", "split"), "rule_class", model_features(), bounds,
+                     start, generations=2, population=4, objective="holdout", kind="forest", weight="weight",
+                     parallelism=4)
+    return r["runs"]
+
+
+@register("score_batch")
+def q_score_batch(spark, sf_dir):
+    """Fit + save a pipeline on train_val, load it, score every message (contract, 8 -> 25 features)."""
+    from ..session import scratch_dir
+    from .models import fit, load_model, make_pipeline, model_features, save_model
+    from .scoring import score_batch
+    tv, _ = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
+    path = scratch_dir(spark, "model")
+    save_model(model, path)
+    m = load_messages(spark, sf_dir).drop("class")
+    return score_batch(m, load_model(path)).select("row_id", "prediction", "confidence")
+
+
+def _stream_source(spark, sf_dir):
+    """Messages written once as Parquet files for a file stream."""
+    from ..schema import MESSAGE_29
+    from ..session import scratch_dir
+    src = scratch_dir(spark, "stream-src")
+    load_messages(spark, sf_dir).select("row_id", *MESSAGE_29).repartition(4, "row_id").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def _run_stream(spark, sdf, name):
+    from ..session import scratch_dir
+    out, ckpt = scratch_dir(spark, f"{name}-out"), scratch_dir(spark, f"{name}-ckpt")
+    q = sdf.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append") \
+        .trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_features")
+def q_stream_features(spark, sf_dir):
+    """Per-sender state across micro-batches (applyInPandasWithState), Parquet sink, availableNow."""
+    from ..streaming.features import stream_features
+    return _run_stream(spark, stream_features(_stream_source(spark, sf_dir)), "stream-features")
+
+
+@register("stream_scores")
+def q_stream_scores(spark, sf_dir):
+    """Streaming features -> fitted pipeline -> predictions, Parquet sink with checkpoint."""
+    from ..streaming.features import stream_scores
+    from .models import fit, make_pipeline, model_features
+    tv, _ = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
+    s = stream_scores(_stream_source(spark, sf_dir), model)
+    return _run_stream(spark, s.select("row_id", "senderpseudo", "prediction",
+                                       F.array_max("probability").alias("confidence")), "stream-scores")

@@ -27,3 +27,46 @@ def preview(pred: DataFrame, n: int = 100, order: str = "row_id") -> DataFrame:
     total = pred.select(F.count(F.lit(1))).scalar()
     head = pred.orderBy(order).limit(n)
     return head.withColumn("n_total", total.cast("long")).withColumn("has_more", total > F.lit(n))
+
+
+def score_batch(df: DataFrame, model, key: str = "row_id", order: str = "row_id", group: str = "senderpseudo",
+                bucket_width: float | None = None) -> DataFrame:
+    """Q1: 29-column contract -> 8 columns -> 17 sequence features -> saved pipeline -> class + probabilities.
+
+    ``model`` is a fitted ``PipelineModel`` (scaler + classifier) or a path to one.
+    Input order is kept through ``key``; nothing is collected.
+    """
+    from ..operators.features import engineer_features
+    from ..schema import FEATURES_8, MESSAGE_29
+    from ..sources.messages import check_contract, select_features
+    from .models import load_model, predict
+
+    if isinstance(model, str):
+        model = load_model(model)
+    check_contract(df.drop(*[c for c in df.columns if c not in MESSAGE_29]))
+    base = select_features(df, [key] + [c for c in FEATURES_8 if c != key])
+    feats = engineer_features(base, group=group, order=order, bucket_width=bucket_width)
+    pred = predict(model, feats, [key])
+    return pred.withColumn("confidence", F.round(F.array_max("probability") * 100, 2))
+
+
+def score_records(records: DataFrame, model, history: DataFrame | None = None, col: str = "record",
+                  key: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """Q2: text records -> typed rows (rejects kept apart) -> scored.
+
+    A record alone has no previous message, so when ``history`` (earlier messages
+    with the same columns and ``key``) is given the records are placed after their
+    sender's history before the sequence features are computed; only the new
+    records are returned.
+    """
+    from ..schema import MESSAGE_29
+    from ..sources.messages import parse_records
+
+    good, rejects = parse_records(records, col, keep=[key])
+    if history is None:
+        return score_batch(good, model, key=key), rejects
+    both = (history.select(key, *MESSAGE_29).withColumn("_new", F.lit(False))
+            .unionByName(good.withColumn("_new", F.lit(True))))
+    scored = score_batch(both.drop("_new"), model, key=key)
+    new_keys = good.select(key)
+    return scored.join(new_keys, key, "left_semi"), rejects

@@ -1,9 +1,112 @@
-"""Streaming variants."""
+"""Structured Streaming variants.
+
+T1 keeps per-sender state across micro-batches with ``applyInPandasWithState``:
+message count, the last values needed for lag differences, and running moments
+(n, mean, M2) for the two consistency stds.  Rows of one sender inside a batch
+are ordered by the order key before the state is advanced; messages arriving
+after a later one of the same sender in an earlier batch are not re-ordered
+(cross-batch lateness is unsupported and documented).  F12/F13 over the whole
+sender are not causal; the stream emits their running value so far.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+_LAG = ["spdx", "spdy", "posx", "posy", "hedy"]
+_BASE = ["posx", "posy", "posx_n", "spdx", "spdy", "hedy", "hedx_n"]
+_OUT_SCHEMA = ("row_id long, senderpseudo long, posx double, posy double, posx_n double, spdx double, spdy double, "
+               "hedy double, hedx_n double, sender_sequence long, inter_arrival_time double, "
+               "speed_magnitude double, acceleration_x double, acceleration_y double, acceleration_magnitude double, "
+               "position_change_x double, position_change_y double, position_change_magnitude double, "
+               "heading_change double, heading_magnitude double, speed_consistency double, "
+               "position_consistency double, hour long, night_hours int, speed_position_interaction double, "
+               "inter_arrival_speed_ratio double")
+_STATE_SCHEMA = ("n long, spdx double, spdy double, posx double, posy double, hedy double, "
+                 "s_n long, s_mean double, s_m2 double, p_n long, p_mean double, p_m2 double")
+
+
+def _running(vals: np.ndarray, n0: int, mean0: float, m20: float):
+    """Running (n, mean, M2) after each element (NaN values skipped), starting from a prior state."""
+    n_out, m_out, m2_out = [], [], []
+    n, mean, m2 = n0, mean0, m20
+    for v in vals:
+        if not np.isnan(v):
+            n += 1
+            dlt = v - mean
+            mean += dlt / n
+            m2 += dlt * (v - mean)
+        n_out.append(n)
+        m_out.append(mean)
+        m2_out.append(m2)
+    return np.array(n_out), np.array(m_out), np.array(m2_out), (n, mean, m2)
+
+
+def _advance(key, pdfs, state):
+    frames = list(pdfs)
+    pdf = pd.concat(frames, ignore_index=True).sort_values("row_id", kind="stable")
+    if state.exists:
+        (n0, l_spdx, l_spdy, l_posx, l_posy, l_hedy, s_n, s_mean, s_m2, p_n, p_mean, p_m2) = state.get
+        prev = {"spdx": l_spdx, "spdy": l_spdy, "posx": l_posx, "posy": l_posy, "hedy": l_hedy}
+    else:
+        n0, s_n, s_mean, s_m2, p_n, p_mean, p_m2 = 0, 0, 0.0, 0.0, 0, 0.0, 0.0
+        prev = None
+    k = len(pdf)
+    seq = np.arange(n0, n0 + k, dtype=np.int64)
+    out = pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "senderpseudo": np.full(k, key[0], dtype=np.int64)})
+    for c in _BASE:
+        out[c] = pdf[c].to_numpy(float)
+    out["sender_sequence"] = seq
+    out["inter_arrival_time"] = 1.0
+    spd = np.sqrt(pdf["spdx"].to_numpy(float) ** 2 + pdf["spdy"].to_numpy(float) ** 2)
+    diffs = {}
+    for c in _LAG:
+        v = pdf[c].to_numpy(float)
+        lag = np.concatenate([[np.nan if prev is None or prev[c] is None else prev[c]], v[:-1]])
+        dv = v - lag
+        if prev is None:
+            dv[0] = 0.0
+        diffs[c] = np.nan_to_num(dv, nan=0.0)
+    out["speed_magnitude"] = spd
+    out["acceleration_x"], out["acceleration_y"] = diffs["spdx"], diffs["spdy"]
+    out["acceleration_magnitude"] = np.sqrt(diffs["spdx"] ** 2 + diffs["spdy"] ** 2)
+    out["position_change_x"], out["position_change_y"] = diffs["posx"], diffs["posy"]
+    pcm = np.sqrt(diffs["posx"] ** 2 + diffs["posy"] ** 2)
+    out["position_change_magnitude"] = pcm
+    out["heading_change"] = diffs["hedy"]
+    out["heading_magnitude"] = np.sqrt(pdf["hedx_n"].to_numpy(float) ** 2 + pdf["hedy"].to_numpy(float) ** 2)
+    sn, _, sm2, (s_n, s_mean, s_m2) = _running(spd, s_n, s_mean, s_m2)
+    pn, _, pm2, (p_n, p_mean, p_m2) = _running(pcm, p_n, p_mean, p_m2)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out["speed_consistency"] = np.where(sn > 1, np.sqrt(sm2 / np.maximum(sn - 1, 1)), 0.0)
+        out["position_consistency"] = np.where(pn > 1, np.sqrt(pm2 / np.maximum(pn - 1, 1)), 0.0)
+    out["hour"] = seq % 24
+    out["night_hours"] = np.zeros(k, dtype=np.int32)
+    out["speed_position_interaction"] = spd * pcm
+    out["inter_arrival_speed_ratio"] = 1.0 / (spd + 1e-6)
+    out = out.fillna(0.0)
+    last = pdf.iloc[-1]
+    state.update((int(n0 + k), *[None if pd.isna(last[c]) else float(last[c]) for c in _LAG],
+                  int(s_n), float(s_mean), float(s_m2), int(p_n), float(p_mean), float(p_m2)))
+    yield out
+
+
+def stream_features(sdf: DataFrame, group: str = "senderpseudo") -> DataFrame:
+    """Per-sender sequence features on a stream of messages (append mode)."""
+    cols = ["row_id", group, *_BASE]
+    src = sdf.select(*cols).where(F.col(group).isNotNull())
+    return src.groupBy(group).applyInPandasWithState(
+        _advance, _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_scores(sdf: DataFrame, model) -> DataFrame:
+    """Streaming features -> fitted pipeline -> class and probabilities (append mode)."""
+    from ..plans.models import predict
+    return predict(model, stream_features(sdf), ["row_id", "senderpseudo"])
 
 
 def rate_windows(df: DataFrame, ts: str = "ts", width: str = "1 hour", group: str = "senderpseudo",
