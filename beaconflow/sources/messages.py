@@ -118,8 +118,11 @@ def parse_records(df: DataFrame, col: str = "record", keep: list[str] | None = N
     n = F.size(parts)
     casts = []
     for i, f in enumerate(MESSAGE_SCHEMA.fields):
-        raw = F.trim(F.get(parts, i))
-        casts.append(raw.try_cast(f.dataType.simpleString()).alias(f.name))
+        num = F.trim(F.get(parts, i)).try_cast("double")
+        if isinstance(f.dataType, (T.IntegerType, T.LongType)):
+            # integer fields accept integral numbers written as floats ("4.0")
+            num = F.when(num == F.floor(num), num.try_cast(f.dataType.simpleString()))
+        casts.append(num.alias(f.name))
     parsed = df.select(*keep, F.col(col), n.alias("_n_fields"), *casts)
     bad_num = F.lit(False)
     for f in MESSAGE_SCHEMA.fields:
