@@ -859,12 +859,18 @@ def q_score_batch(spark, sf_dir):
     return score_batch(m, load_model(path)).select("row_id", "prediction", "confidence")
 
 
-def _stream_source(spark, sf_dir):
-    """Messages written once as Parquet files for a file stream."""
+def _stream_source(spark, sf_dir, chunks: int = 4):
+    """Messages appended as Parquet files in ``row_id`` order (one append per id range),
+    so that the file stream delivers each sender's messages in order across micro-batches."""
     from ..schema import MESSAGE_29
     from ..session import scratch_dir
     src = scratch_dir(spark, "stream-src")
-    load_messages(spark, sf_dir).select("row_id", *MESSAGE_29).repartition(4, "row_id").write.parquet(src)
+    m = load_messages(spark, sf_dir).select("row_id", *MESSAGE_29)
+    lo, hi = m.agg(F.min("row_id"), F.max("row_id")).first()
+    step = (hi - lo) // chunks + 1
+    for i in range(chunks):
+        part = m.where((F.col("row_id") >= lo + i * step) & (F.col("row_id") < lo + (i + 1) * step))
+        part.write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
 
