@@ -65,3 +65,33 @@ def values_at_ranks(ranked: DataFrame, group_cols: list[str], targets: DataFrame
     j = r.join(F.broadcast(t), cond, "inner")
     others = [c for c in targets.columns if c not in group_cols]
     return j.select(*[F.col(f"_t_{c}").alias(c) for c in group_cols], *others, *value_cols)
+
+
+def hash_rank_cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, targets: DataFrame,
+                      digits: int = 5) -> DataFrame:
+    """The value of ``hcol`` (a lowercase hex digest) at rank ``_k`` inside each group, without sorting all rows.
+
+    Digests are uniform, so their first ``digits`` hex characters cut every group
+    into 16**digits nearly equal blocks.  Block counts (an aggregate) and their
+    running sums (a window over at most 16**digits rows per group) locate the
+    block holding rank k; only the rows of those few blocks are ordered.
+    ``targets`` = group_cols + ``_k`` (small).  Returns group_cols + ``_k`` + ``_cut``
+    (NULL when k is at or beyond the group size).
+    """
+    blk = F.conv(F.substring(F.col(hcol), 1, digits), 16, 10).cast("long")
+    kb = keys.select(*group_cols, F.col(hcol), blk.alias("_blk"))
+    counts = kb.groupBy(*group_cols, "_blk").agg(F.count(F.lit(1)).alias("_bn"))
+    w = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
+    t = targets.select(*[F.col(c).alias(f"_t_{c}") for c in group_cols], "_k")
+    cond = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in group_cols]
+    cond += [F.col("_k") >= F.col("_before"), F.col("_k") < F.col("_before") + F.col("_bn")]
+    hit = counts.join(F.broadcast(t), cond).select(*group_cols, "_blk", "_k", (F.col("_k") - F.col("_before")).alias("_local"))
+    cand = kb.join(F.broadcast(hit), group_cols + ["_blk"]) if group_cols else kb.join(F.broadcast(hit), ["_blk"])
+    wr = Window.partitionBy(*group_cols, "_blk", "_k").orderBy(hcol)
+    found = (cand.withColumn("_r", F.row_number().over(wr) - 1).where(F.col("_r") == F.col("_local"))
+             .select(*group_cols, "_k", F.col(hcol).alias("_cut")))
+    back = targets.select(*[F.col(c).alias(f"_t_{c}") for c in group_cols], F.col("_k").alias("_tk"))
+    cond2 = [F.col(f"_t_{c}").eqNullSafe(F.col(c)) for c in group_cols] + [F.col("_tk") == F.col("_k")]
+    return back.join(found, cond2, "left").select(*[F.col(f"_t_{c}").alias(c) for c in group_cols],
+                                                   F.col("_tk").alias("_k"), "_cut")

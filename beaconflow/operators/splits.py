@@ -2,7 +2,8 @@
 
 NumPy's permutations cannot be reproduced; every random order here is the
 order of ``md5('<seed>:<key>')``, which Spark and DuckDB compute identically.
-Ranks come from ``rank_within`` (range partitions + offsets), so no step puts
+Cut-offs in hash order come from hash-prefix block counts (aggregates only);
+size ranks come from ``rank_within`` (range partitions + offsets).  No step puts
 all senders or all rows of a class into one task.  Only per-class cut-off
 values (one row per class and cut) are brought back to the rows, by a join
 on the class.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import rank_within
+from ..functions.ranking import hash_rank_cutoffs, rank_within
 
 
 def seeded_hash(key: str, seed: int) -> Column:
@@ -21,18 +22,18 @@ def seeded_hash(key: str, seed: int) -> Column:
 
 
 def _cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, counts_to_cuts) -> DataFrame:
-    """Rank ``keys`` by ``hcol`` inside each group and return, per group and cut, the hash at rank k.
+    """Per group and cut, the hash at rank k (hash order inside the group).
 
-    ``counts_to_cuts(n)`` maps the group size to an ordered list of ranks ``k``;
-    the result has one row per (group, cut index) with column ``_cut`` (NULL when
-    k == n: everything is before the cut).
+    ``counts_to_cuts(n)`` maps the group size to an ordered list of ranks ``k``; the
+    result has one row per (group, cut index) with ``_cut`` (NULL when k == n:
+    everything is before the cut).  Uses hash-prefix blocks: aggregates only, and
+    only the rows of the blocks holding a cut are ordered.
     """
-    ranked = rank_within(keys, group_cols, [hcol])
     sizes = keys.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
-    cuts = sizes.select(*group_cols, "_size", F.posexplode(counts_to_cuts(F.col("_size"))).alias("_ci", "_k"))
-    hit = ranked.select(*group_cols, "_rank", F.col(hcol).alias("_cut"))
-    cond = [cuts[c].eqNullSafe(hit[c]) for c in group_cols] + [cuts["_k"] == hit["_rank"]]
-    return cuts.join(hit, cond, "left").select(*[cuts[c] for c in group_cols], "_ci", "_k", "_cut")
+    cuts = sizes.select(*group_cols, F.posexplode(counts_to_cuts(F.col("_size"))).alias("_ci", "_k"))
+    found = hash_rank_cutoffs(keys, group_cols, hcol, cuts.select(*group_cols, "_k"))
+    cond = [cuts[c].eqNullSafe(found[c]) for c in group_cols] + [cuts["_k"] == found["_k"]]
+    return cuts.join(found, cond, "left").select(*[cuts[c] for c in group_cols], "_ci", cuts["_k"], "_cut")
 
 
 def group_holdout(df: DataFrame, group: str = "senderpseudo", ratio: float = 0.8, seed: int = 42,

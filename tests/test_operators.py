@@ -200,3 +200,18 @@ def test_scaler_and_weights(spark):
     assert all(abs(a["weight"] - math.sqrt(b["weight"])) < 1e-12 for a, b in
                zip(sorted(ws, key=lambda r: r["class"]), sorted(w, key=lambda r: r["class"])))
     assert {r["weight"] for r in Z.class_weights(m, "class", None).collect()} == {1.0}
+
+
+@pytest.mark.parametrize("digits", [1, 2, 5])
+def test_hash_rank_cutoffs_exact(spark, digits):
+    from beaconflow.functions.ranking import hash_rank_cutoffs
+    m = load_messages(spark, SF_SMALL).select("class", F.md5(F.col("row_id").cast("string")).alias("h"))
+    local = {}
+    for r in m.collect():
+        local.setdefault(r["class"], []).append(r["h"])
+    targets = [(c, k) for c, hs in local.items() for k in (0, len(hs) // 3, len(hs) - 1, len(hs))]
+    t = spark.createDataFrame(targets, "class int, _k long")
+    got = {(r["class"], r["_k"]): r["_cut"] for r in hash_rank_cutoffs(m, ["class"], "h", t, digits).collect()}
+    for c, k in targets:
+        hs = sorted(local[c])
+        assert got[(c, k)] == (hs[k] if k < len(hs) else None)
