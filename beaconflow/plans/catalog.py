@@ -694,10 +694,10 @@ def q_parse_records(spark, sf_dir):
     only the well-formed records come back as typed rows."""
     from ..sources.messages import parse_records
     m = load_messages(spark, sf_dir)
-    text = F.concat_ws(",", *[F.col(c).cast("string") for c in MESSAGE_29])
-    short = F.concat_ws(",", *[F.col(c).cast("string") for c in MESSAGE_29[:-1]])
-    recs = m.select("row_id", F.inline(F.array(F.struct(text.alias("record")), F.struct(short.alias("record")),
-                                               F.struct(F.concat(text, F.lit(",0")).alias("record")))))
+    text = m.select("row_id", F.concat_ws(",", *[F.col(c).cast("string") for c in MESSAGE_29]).alias("t"))
+    short = F.regexp_replace("t", ",[^,]*$", "")
+    recs = text.select("row_id", F.inline(F.array(F.struct(F.col("t").alias("record")), F.struct(short.alias("record")),
+                                                  F.struct(F.concat("t", F.lit(",0")).alias("record")))))
     good, _rejects = parse_records(recs, "record", keep=["row_id"])
     return round_doubles(good)
 
@@ -724,7 +724,9 @@ def _ml_split(spark, sf_dir):
     from ..operators.scaling import class_weights, with_weight
     from ..operators.splits import group_holdout
     from .models import feature_table
-    f = group_holdout(feature_table(spark, sf_dir))
+    # Reliable checkpoint: the table feeds class weights, fits, predictions and folds;
+    # windows and splits are computed once.
+    f = group_holdout(feature_table(spark, sf_dir)).checkpoint(eager=True)
     tv = f.where(F.col("split") == "train_val")
     f = with_weight(f, class_weights(tv, "rule_class", "balanced"), "rule_class", out="weight")
     return f.where(F.col("split") == "train_val"), f.where(F.col("split") == "test")

@@ -36,12 +36,11 @@ BOOSTED_SEARCH = dict(max_depth=15, learning_rate=0.05, n_estimators=100, subsam
 FOREST = dict(n_estimators=100, max_depth=10, seed=42)
 
 
-def feature_table(spark: SparkSession, sf_dir: str, drop_id: bool = False) -> DataFrame:
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """messages -> regrouped label + learnable rule label -> 25 model features."""
     m = with_rule_class(regroup(load_messages(spark, sf_dir)))
     keep = ["row_id", *FEATURES_8, "class_group", "rule_class"]
-    f = engineer_features(m, keep=keep)
-    return f.drop("senderpseudo_feature") if drop_id else f
+    return engineer_features(m, keep=keep)
 
 
 def model_features(drop_id: bool = False) -> list[str]:
@@ -116,8 +115,16 @@ def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def fit(pipeline: Pipeline, df: DataFrame) -> tuple[PipelineModel, float]:
+    """Fit with the input persisted for the fit's several passes (scaler, split finding, tree levels)."""
     t = time.time()
-    model = pipeline.fit(df)
+    cached = df.storageLevel != StorageLevel.NONE
+    if not cached:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = pipeline.fit(df)
+    finally:
+        if not cached:
+            df.unpersist()
     return model, time.time() - t
 
 

@@ -114,23 +114,28 @@ def parse_records(df: DataFrame, col: str = "record", keep: list[str] | None = N
     a reason.  Pure column expressions, so it runs inside whole-stage codegen.
     """
     keep = keep or []
-    parts = F.split(F.trim(F.col(col)), ",")
-    n = F.size(parts)
+    # Parse once into an array (a separate projection: Catalyst does not inline a
+    # non-cheap expression into its 30 references).
+    vals = F.transform(F.split(F.trim(F.col(col)), ","), lambda x: F.trim(x).try_cast("double"))
+    step = df.select(*keep, F.col(col), vals.alias("_vals"))
     casts = []
     for i, f in enumerate(MESSAGE_SCHEMA.fields):
-        num = F.trim(F.get(parts, i)).try_cast("double")
+        num = F.get(F.col("_vals"), i)
         if isinstance(f.dataType, (T.IntegerType, T.LongType)):
             # integer fields accept integral numbers written as floats ("4.0")
             num = F.when(num == F.floor(num), num.try_cast(f.dataType.simpleString()))
         casts.append(num.alias(f.name))
-    parsed = df.select(*keep, F.col(col), n.alias("_n_fields"), *casts)
-    bad_num = F.lit(False)
-    for f in MESSAGE_SCHEMA.fields:
-        bad_num = bad_num | F.col(f.name).isNull()
-    reason = (F.when(F.col("_n_fields") < 29, F.lit("too few values"))
-              .when(F.col("_n_fields") > 29, F.lit("too many values"))
+    n = F.size("_vals")
+    ints_ok = F.lit(True)
+    for i, f in enumerate(MESSAGE_SCHEMA.fields):
+        if isinstance(f.dataType, (T.IntegerType, T.LongType)):
+            v = F.get(F.col("_vals"), i)
+            ints_ok = ints_ok & (v == F.floor(v))
+    bad_num = F.exists("_vals", lambda x: x.isNull()) | ~F.coalesce(ints_ok, F.lit(False))
+    reason = (F.when(n < 29, F.lit("too few values"))
+              .when(n > 29, F.lit("too many values"))
               .when(bad_num, F.lit("non-numeric value")))
-    tagged = parsed.withColumn("_reason", reason)
+    tagged = step.select(*keep, F.col(col), reason.alias("_reason"), *casts)
     good = tagged.where(F.col("_reason").isNull()).select(*keep, *MESSAGE_29)
     rejects = tagged.where(F.col("_reason").isNotNull()).select(*keep, F.col(col), F.col("_reason").alias("reason"))
     return good, rejects
