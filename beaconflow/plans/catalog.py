@@ -872,7 +872,8 @@ def _stream_source(spark, sf_dir, chunks: int = 4):
     step = (hi - lo) // chunks + 1
     for i in range(chunks):
         part = m.where((F.col("row_id") >= lo + i * step) & (F.col("row_id") < lo + (i + 1) * step))
-        part.write.mode("append").parquet(src)
+        # one file per id range, written in order: each micro-batch is the next range
+        part.coalesce(1).sortWithinPartitions("row_id").write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
 

@@ -31,24 +31,31 @@ _STATE_SCHEMA = ("n long, spdx double, spdy double, posx double, posy double, he
 
 
 def _running(vals: np.ndarray, n0: int, mean0: float, m20: float):
-    """Running (n, mean, M2) after each element (NaN values skipped), starting from a prior state."""
-    n_out, m_out, m2_out = [], [], []
-    n, mean, m2 = n0, mean0, m20
-    for v in vals:
-        if not np.isnan(v):
-            n += 1
-            dlt = v - mean
-            mean += dlt / n
-            m2 += dlt * (v - mean)
-        n_out.append(n)
-        m_out.append(mean)
-        m2_out.append(m2)
-    return np.array(n_out), np.array(m_out), np.array(m2_out), (n, mean, m2)
+    """Running (n, M2) after each element (NaN skipped), continuing a prior (n, mean, M2) state.
+
+    Vectorised: batch prefix moments combined with the prior state by the
+    parallel-variance formula.
+    """
+    ok = ~np.isnan(vals)
+    x = np.where(ok, vals, 0.0)
+    m = np.cumsum(ok)
+    s1 = np.cumsum(x)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean_b = np.where(m > 0, s1 / np.maximum(m, 1), 0.0)
+        dev = np.where(ok, x - mean_b, 0.0)
+        # exact prefix M2 via Welford-equivalent cumulative form
+        m2_b = np.cumsum(np.where(ok, (x - np.concatenate([[0.0], mean_b[:-1]])) * dev, 0.0))
+        n = n0 + m
+        delta = mean_b - mean0
+        m2 = m20 + m2_b + np.where(n > 0, delta * delta * n0 * m / np.maximum(n, 1), 0.0)
+        mean = np.where(n > 0, (n0 * mean0 + s1) / np.maximum(n, 1), 0.0)
+    if len(vals):
+        return n, m2, (int(n[-1]), float(mean[-1]), float(m2[-1]))
+    return n, m2, (n0, mean0, m20)
 
 
 def _advance(key, pdfs, state):
-    frames = list(pdfs)
-    pdf = pd.concat(frames, ignore_index=True).sort_values("row_id", kind="stable")
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("row_id", kind="stable")
     if state.exists:
         (n0, l_spdx, l_spdy, l_posx, l_posy, l_hedy, s_n, s_mean, s_m2, p_n, p_mean, p_m2) = state.get
         prev = {"spdx": l_spdx, "spdy": l_spdy, "posx": l_posx, "posy": l_posy, "hedy": l_hedy}
@@ -56,47 +63,53 @@ def _advance(key, pdfs, state):
         n0, s_n, s_mean, s_m2, p_n, p_mean, p_m2 = 0, 0, 0.0, 0.0, 0, 0.0, 0.0
         prev = None
     k = len(pdf)
+    cols = {c: pdf[c].to_numpy(float) for c in _BASE}
     seq = np.arange(n0, n0 + k, dtype=np.int64)
-    out = pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "senderpseudo": np.full(k, key[0], dtype=np.int64)})
-    for c in _BASE:
-        out[c] = pdf[c].to_numpy(float)
-    out["sender_sequence"] = seq
-    out["inter_arrival_time"] = 1.0
-    spd = np.sqrt(pdf["spdx"].to_numpy(float) ** 2 + pdf["spdy"].to_numpy(float) ** 2)
+    spd = np.sqrt(cols["spdx"] ** 2 + cols["spdy"] ** 2)
     diffs = {}
     for c in _LAG:
-        v = pdf[c].to_numpy(float)
-        lag = np.concatenate([[np.nan if prev is None or prev[c] is None else prev[c]], v[:-1]])
-        dv = v - lag
-        if prev is None:
-            dv[0] = 0.0
+        v = cols[c]
+        first = np.nan if prev is None or prev[c] is None else prev[c]
+        dv = v - np.concatenate([[first], v[:-1]])
         diffs[c] = np.nan_to_num(dv, nan=0.0)
-    out["speed_magnitude"] = spd
-    out["acceleration_x"], out["acceleration_y"] = diffs["spdx"], diffs["spdy"]
-    out["acceleration_magnitude"] = np.sqrt(diffs["spdx"] ** 2 + diffs["spdy"] ** 2)
-    out["position_change_x"], out["position_change_y"] = diffs["posx"], diffs["posy"]
     pcm = np.sqrt(diffs["posx"] ** 2 + diffs["posy"] ** 2)
-    out["position_change_magnitude"] = pcm
-    out["heading_change"] = diffs["hedy"]
-    out["heading_magnitude"] = np.sqrt(pdf["hedx_n"].to_numpy(float) ** 2 + pdf["hedy"].to_numpy(float) ** 2)
-    sn, _, sm2, (s_n, s_mean, s_m2) = _running(spd, s_n, s_mean, s_m2)
-    pn, _, pm2, (p_n, p_mean, p_m2) = _running(pcm, p_n, p_mean, p_m2)
+    sn, sm2, s_state = _running(spd, s_n, s_mean, s_m2)
+    pn, pm2, p_state = _running(pcm, p_n, p_mean, p_m2)
     with np.errstate(invalid="ignore", divide="ignore"):
-        out["speed_consistency"] = np.where(sn > 1, np.sqrt(sm2 / np.maximum(sn - 1, 1)), 0.0)
-        out["position_consistency"] = np.where(pn > 1, np.sqrt(pm2 / np.maximum(pn - 1, 1)), 0.0)
-    out["hour"] = seq % 24
-    out["night_hours"] = np.zeros(k, dtype=np.int32)
-    out["speed_position_interaction"] = spd * pcm
-    out["inter_arrival_speed_ratio"] = 1.0 / (spd + 1e-6)
-    out = out.fillna(0.0)
-    last = pdf.iloc[-1]
-    state.update((int(n0 + k), *[None if pd.isna(last[c]) else float(last[c]) for c in _LAG],
-                  int(s_n), float(s_mean), float(s_m2), int(p_n), float(p_mean), float(p_m2)))
-    yield out
+        s_std = np.where(sn > 1, np.sqrt(np.maximum(sm2, 0) / np.maximum(sn - 1, 1)), 0.0)
+        p_std = np.where(pn > 1, np.sqrt(np.maximum(pm2, 0) / np.maximum(pn - 1, 1)), 0.0)
+    spd0 = np.nan_to_num(spd, nan=0.0)
+    hm = np.sqrt(cols["hedx_n"] ** 2 + cols["hedy"] ** 2)
+    out = {"row_id": pdf["row_id"].to_numpy(), "senderpseudo": np.full(k, key[0], dtype=np.int64), **cols,
+           "sender_sequence": seq, "inter_arrival_time": np.ones(k), "speed_magnitude": spd0,
+           "acceleration_x": diffs["spdx"], "acceleration_y": diffs["spdy"],
+           "acceleration_magnitude": np.sqrt(diffs["spdx"] ** 2 + diffs["spdy"] ** 2),
+           "position_change_x": diffs["posx"], "position_change_y": diffs["posy"],
+           "position_change_magnitude": pcm, "heading_change": diffs["hedy"],
+           "heading_magnitude": np.nan_to_num(hm, nan=0.0), "speed_consistency": s_std,
+           "position_consistency": p_std, "hour": seq % 24, "night_hours": np.zeros(k, dtype=np.int32),
+           "speed_position_interaction": np.nan_to_num(spd * pcm, nan=0.0),
+           "inter_arrival_speed_ratio": np.nan_to_num(1.0 / (spd + 1e-6), nan=0.0)}
+    last = {c: cols[c][-1] for c in _LAG}
+    state.update((int(n0 + k), *[None if np.isnan(last[c]) else float(last[c]) for c in _LAG],
+                  s_state[0], s_state[1], s_state[2], p_state[0], p_state[1], p_state[2]))
+    yield pd.DataFrame(out)
+
+
+def _ship_by_value() -> None:
+    """Pickle this module's functions with their code, so executors need no copy of the package."""
+    import sys
+
+    from pyspark import cloudpickle
+    try:
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except ValueError:  # already registered
+        pass
 
 
 def stream_features(sdf: DataFrame, group: str = "senderpseudo") -> DataFrame:
     """Per-sender sequence features on a stream of messages (append mode)."""
+    _ship_by_value()
     cols = ["row_id", group, *_BASE]
     src = sdf.select(*cols).where(F.col(group).isNotNull())
     return src.groupBy(group).applyInPandasWithState(
