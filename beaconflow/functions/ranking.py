@@ -95,3 +95,18 @@ def hash_rank_cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, targets
     cond2 = [F.col(f"_t_{c}").eqNullSafe(F.col(c)) for c in group_cols] + [F.col("_tk") == F.col("_k")]
     return back.join(found, cond2, "left").select(*[F.col(f"_t_{c}").alias(c) for c in group_cols],
                                                    F.col("_tk").alias("_k"), "_cut")
+
+
+def file_order_index(df: DataFrame, name: str = "_idx") -> DataFrame:
+    """Dense 0-based index in scan order (partition, then position), without a sort.
+
+    For a file scan the order is the file order (one file: its splits in offset order).
+    Per-partition counts become offsets in a table of at most ``num_partitions`` rows.
+    The scan is deterministic, so counting and indexing see the same layout.
+    """
+    x = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    part = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"), F.min("_mid").alias("_m0"))
+    part = part.withColumn("_off", F.coalesce(
+        F.sum("_pn").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = x.join(F.broadcast(part.select("_pid", "_off", "_m0")), "_pid")
+    return j.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0")).drop("_pid", "_mid", "_off", "_m0")

@@ -129,3 +129,24 @@ def evaluate_predictions(df: DataFrame, label: str = "label", pred: str = "predi
     """Small dict for run records (accuracy, macro F1, weighted F1)."""
     r = scores(df, label, pred).first()
     return {"accuracy": r["accuracy"], "macro_f1": r["macro_f1"], "weighted_f1": r["weighted_f1"], "n": r["n"]}
+
+
+def auc_one_vs_rest(pred: DataFrame, label: str = "label", prob: str = "probability", n_classes: int | None = None):
+    """ROC AUC of class k against the rest from probability[k], per class, plus their mean.
+
+    Each AUC is Spark's BinaryClassificationEvaluator (a distributed sort of the scores).
+    """
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    spark = pred.sparkSession
+    k = n_classes or len(pred.select(prob).first()[0])
+    ev = BinaryClassificationEvaluator(rawPredictionCol="_score", labelCol="_is", metricName="areaUnderROC")
+    rows = []
+    for c in range(k):
+        d = pred.select(F.col(prob)[c].alias("_score"), (F.col(label) == c).cast("double").alias("_is"))
+        if d.where(F.col("_is") == 1.0).limit(1).count() == 0 or d.where(F.col("_is") == 0.0).limit(1).count() == 0:
+            rows.append((str(c), None))
+            continue
+        rows.append((str(c), float(ev.evaluate(d))))
+    vals = [v for _, v in rows if v is not None]
+    rows.append(("mean", float(sum(vals) / len(vals)) if vals else None))
+    return spark.createDataFrame(rows, "class string, auc double")

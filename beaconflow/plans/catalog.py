@@ -904,3 +904,149 @@ def q_stream_scores(spark, sf_dir):
     s = stream_scores(_stream_source(spark, sf_dir), model)
     return _run_stream(spark, s.select("row_id", "senderpseudo", "prediction",
                                        F.array_max("probability").alias("confidence")), "stream-scores")
+
+
+# --------------------------------------------------------------------------- more sources / sinks / profile
+@register("profile_head", S.with_messages(
+    "SELECT row_id, " + ", ".join([S.r6(c, c) if _is_double(c) else c for c in PROFILE_COLS])
+    + " FROM messages ORDER BY row_id LIMIT 5"))
+def q_profile_head(spark, sf_dir):
+    """First 5 messages in order (a top-k, not a full sort)."""
+    from ..operators.profile import profile_head
+    return round_doubles(profile_head(load_messages(spark, sf_dir).select("row_id", *PROFILE_COLS), 5, "row_id"))
+
+
+@register("xy_pair_load", S.with_messages(
+    "SELECT " + ", ".join(S.r6(f"CAST({c} AS DOUBLE)", c) for c in FEATURES_15) + ", class FROM messages"))
+def q_xy_pair_load(spark, sf_dir):
+    """Features and labels written as two row-aligned CSV files, paired again by file order."""
+    from ..session import scratch_dir
+    from ..sources.messages import read_xy
+    from ..sources.sinks import write_csv
+    m = load_messages(spark, sf_dir).orderBy("row_id")
+    xp, yp = scratch_dir(spark, "X"), scratch_dir(spark, "y")
+    write_csv(m.select(*FEATURES_15).coalesce(1), xp)   # one file per side, written in row order
+    write_csv(m.select("class").coalesce(1), yp)
+    return round_doubles(read_xy(spark, xp, yp).drop("row_index"))
+
+
+@register("split_files", S.with_messages(
+    "SELECT m.row_id, m.class FROM messages m JOIN holdout h USING (senderpseudo) WHERE h.split = 'test'",
+    S.holdout_cte()))
+def q_split_files(spark, sf_dir):
+    """The sender split written as one table partitioned by split; the test rows read back by pruning."""
+    from ..operators.splits import group_holdout
+    from ..session import scratch_dir
+    from ..sources.sinks import write_splits
+    path = scratch_dir(spark, "splits")
+    write_splits(group_holdout(load_messages(spark, sf_dir)).select("row_id", "class", "split"), path)
+    return spark.read.parquet(path).where(F.col("split") == "test").select("row_id", "class")
+
+
+@register("run_record", S.with_messages(
+    "SELECT metric, " + S.r6("value", "value") + " FROM (" + S.union_all(
+        [f"SELECT '{m}' AS metric, {m} AS value FROM pc_scores" for m in _SCORE_COLS]) + ") x", _PC_LABELS))
+def q_run_record(spark, sf_dir):
+    """A run's metrics appended to a runs table (with id and parameters) and read back."""
+    import uuid
+
+    from ..operators.evaluate import scores
+    from ..session import scratch_dir
+    from ..sources.messages import read_table
+    from ..sources.sinks import log_run
+    s = scores(read_table(spark, sf_dir, "labels"), "quality", "toxic")
+    long = s.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                                       for m in _SCORE_COLS])))
+    path, run_id = scratch_dir(spark, "runs"), uuid.uuid4().hex
+    log_run(long, path, run_id, {"truth": "quality", "prediction": "toxic"})
+    return round_doubles(spark.read.parquet(path).where(F.col("run_id") == run_id).select("metric", "value"))
+
+
+@register("prediction_totals", S.with_messages(
+    "SELECT prediction, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM vote GROUP BY prediction",
+    _vote_cte()))
+def q_prediction_totals(spark, sf_dir):
+    """Q5: samples scored in total and per predicted class."""
+    from ..operators.evaluate import soft_vote
+    v = soft_vote(_vote_frames(spark, sf_dir))
+    g = v.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+    return g.withColumn("total", F.sum("n").over(Window.partitionBy()).cast("long"))
+
+
+# --------------------------------------------------------------------------- more model / search / scoring
+@register("auc_ovr")
+def q_auc_ovr(spark, sf_dir):
+    """One-vs-rest ROC AUC per class of forest probabilities on the unseen senders, and their mean."""
+    from ..operators.evaluate import auc_one_vs_rest
+    from .models import fit, make_pipeline, model_features, predict
+    tv, te = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
+    return auc_one_vs_rest(predict(model, te, ["rule_class"]), "rule_class", n_classes=6)
+
+
+@register("score_records")
+def q_score_records(spark, sf_dir):
+    """Q2: the most recent message of every sender as a CSV text record, scored after its sender's history."""
+    from pyspark.sql import Window
+    from ..schema import MESSAGE_29
+    from .models import fit, make_pipeline, model_features
+    from .scoring import score_records
+    tv, _ = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
+    m = load_messages(spark, sf_dir).drop("class")
+    last = m.groupBy("senderpseudo").agg(F.max("row_id").alias("row_id")).select("row_id")  # one per sender
+    # the records arrive as a file (one CSV text line per message), as uploads do
+    from ..session import scratch_dir
+    path = scratch_dir(spark, "records")
+    m.join(last, "row_id", "left_semi").select(
+        "row_id", F.concat_ws(",", *[F.col(c).cast("string") for c in MESSAGE_29]).alias("record")).write.parquet(path)
+    text = spark.read.parquet(path)
+    hist = m.join(last, "row_id", "left_anti")
+    scored, _ = score_records(text, model, history=hist)
+    del Window
+    return scored.select("row_id", "prediction", "confidence")
+
+
+@register("evaluate_subset")
+def q_evaluate_subset(spark, sf_dir):
+    """H4: naive-Bayes subset search on train_val, then the best subset refitted (forest) and scored on test."""
+    from ..operators.splits import group_holdout
+    from .models import model_features
+    from .search import evaluate_subset, feature_search
+    tv, te = _ml_split(spark, sf_dir)
+    inner = group_holdout(tv, ratio=0.8, seed=7, names=("train", "valid"), out="inner")
+    feats = model_features()
+    best = feature_search(inner.where(F.col("inner") == "train"), inner.where(F.col("inner") == "valid"), feats,
+                          "rule_class", players=16, generations=3, fitness="naive_bayes", weight_method=None)["best"]
+    r = evaluate_subset(tv, te, feats, best, "rule_class", "weight", "forest", ML_FOREST)
+    return r["report"].withColumn("n_selected", F.lit(r["n_selected"])).withColumn(
+        "reduction_pct", F.lit(r["reduction_pct"]))
+
+
+@register("param_search_cv")
+def q_param_search_cv(spark, sf_dir):
+    """H6: differential evolution with the mean macro F1 over 3 sender folds (population 4, 1 generation)."""
+    from ..operators.splits import group_kfold
+    from .models import model_features
+    from .search import param_search
+    tv, _ = _ml_split(spark, sf_dir)
+    bounds = [(3, 6), (0.01, 0.3), (5, 15), (0.6, 1.0), (0.6, 1.0), (0, 5), (1, 10), (0, 10), (0, 10)]
+    start = [4, 0.07, 10, 0.9, 0.9, 0, 1, 0, 1]
+    r = param_search(group_kfold(tv, k=3), "rule_class", model_features(), bounds, start, generations=1,
+                     population=4, objective="group_cv", kind="forest", weight="weight", parallelism=4)
+    return r["history"]
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    """H7: ParamGridBuilder x CrossValidator over 3 precomputed sender folds (foldCol)."""
+    from ..operators.splits import group_kfold
+    from .models import model_features
+    from .search import grid_search
+    tv, _ = _ml_split(spark, sf_dir)
+    cv = grid_search(group_kfold(tv, k=3), "rule_class", model_features(),
+                     {"maxDepth": [3, 5], "numTrees": [5, 10]}, "forest", "fold", "f1", parallelism=2)
+    rows = [(str({p.name: v for p, v in pm.items()}), float(mt)) for pm, mt in zip(cv.getEstimatorParamMaps(),
+                                                                                    cv.avgMetrics)]
+    return spark.createDataFrame(rows, "params string, avg_weighted_f1 double")

@@ -63,6 +63,9 @@ def score_records(records: DataFrame, model, history: DataFrame | None = None, c
     from ..sources.messages import parse_records
 
     good, rejects = parse_records(records, col, keep=[key])
+    # Parsed records are a small, stable input; a reliable checkpoint keeps the parse
+    # expressions out of the union + window + semi-join plan that follows.
+    good = good.checkpoint(eager=True)
     if history is None:
         return score_batch(good, model, key=key), rejects
     both = (history.select(key, *MESSAGE_29).withColumn("_new", F.lit(False))

@@ -145,3 +145,25 @@ __all__ = [
     "read_table", "messages_from_events", "load_messages", "with_rule_class", "read_messages",
     "nan_to_null_all", "check_contract", "select_features", "lower_columns", "parse_records", "MESSAGE_DDL",
 ]
+
+
+def read_xy(spark: SparkSession, x_path: str, y_path: str, fmt: str = "csv", label: str = "class") -> DataFrame:
+    """Pair a feature file and a label file row by row (file order); the label is y's first column.
+
+    Each side gets a dense file-order index (no sort) and the two are joined on it;
+    files of different lengths raise ``ValueError``.  CSV values are coerced to
+    numbers (bad values -> NULL), the label to int.
+    """
+    from ..functions.ranking import file_order_index
+
+    def read(p):
+        r = spark.read.option("header", True)
+        return r.csv(p) if fmt == "csv" else r.parquet(p)
+    xr = read(x_path)
+    x = file_order_index(xr.select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in xr.columns]), "_row")
+    yr = read(y_path)
+    y = file_order_index(yr.select(F.col(f"`{yr.columns[0]}`").try_cast("double").try_cast("int").alias(label)), "_row")
+    n_x, n_y = x.count(), y.count()
+    if n_x != n_y:
+        raise ValueError(f"X has {n_x} rows but y has {n_y}")
+    return x.join(y, "_row", "inner").withColumnRenamed("_row", "row_index")
