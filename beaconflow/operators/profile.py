@@ -89,11 +89,9 @@ def class_order(df: DataFrame, label: str = "class") -> DataFrame:
 def class_distribution_by_split(df: DataFrame, label: str = "class", split: str = "split",
                                 names: DataFrame | None = None) -> DataFrame:
     """Per split and class, per split, per class, and total, via GROUPING SETS."""
-    df.createOrReplaceTempView("_bf_p8")
-    out = df.sparkSession.sql(f"""
-        SELECT {split} AS split, {label} AS class, CAST(count(*) AS BIGINT) AS n,
-               CAST(grouping_id({split}, {label}) AS INT) AS level
-        FROM _bf_p8 GROUP BY GROUPING SETS (({split}, {label}), ({split}), ({label}), ())""")
+    out = df.groupingSets([[split, label], [split], [label], []], split, label).agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.grouping_id(split, label).cast("int").alias("level"))
+    out = out.select(F.col(split).alias("split"), F.col(label).alias("class"), "n", "level")
     tot = F.sum(F.when(F.col("level") == 3, F.col("n"))).over(Window.partitionBy())
     split_tot = F.max(F.when(F.col("level") == 1, F.col("n"))).over(Window.partitionBy("split"))
     return (out.withColumn("pct_of_split", F.when(F.col("level") == 0, F.round(F.col("n") * 100.0 / split_tot, 2)))
@@ -112,8 +110,22 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool =
 
 
 def zero_variance(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Columns with exactly one distinct value (all-missing columns have 0 and are kept)."""
-    return distinct_counts(df, cols).where(F.col("n_distinct") == 1)
+    """Columns with exactly one distinct non-missing value (all-missing columns are kept).
+
+    ``n_distinct == 1`` is ``count > 0 and min == max`` after NaN -> NULL: one cheap
+    aggregate instead of a distinct count per column.
+    """
+    cols = cols or df.columns
+    fl = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+
+    def v(c):
+        return F.nanvl(F.col(c), F.lit(None).cast("double")) if c in fl else F.col(c)
+    aggs = []
+    for c in cols:
+        aggs += [F.count(v(c)).alias(f"n__{c}"), (F.min(v(c)) == F.max(v(c))).alias(f"eq__{c}")]
+    out = _long(df.agg(*aggs), cols, {"n": "n", "eq": "eq"})
+    return (out.where((F.col("n") > 0) & F.col("eq"))
+            .select("feature", F.lit(1).cast("long").alias("n_distinct")))
 
 
 def drop_zero_variance(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -169,14 +181,19 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     """P10: equal-width bins between min and max, last bin closed on the right.
 
     A constant column spans [v-0.5, v+0.5] (so its values land in the middle bin).
-    One aggregate for the ranges, then one grouped count over (column, bin).
+    One wide aggregate for the ranges (one row per column, broadcast), then one
+    grouped count over (column, bin) of the exploded values.
     """
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                         for c in cols]))).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    rng = long.groupBy("feature").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    def v(c):
+        x = F.col(c).cast("double")
+        return F.nanvl(x, F.lit(None).cast("double"))
+    rng = _long(df.agg(*[F.min(v(c)).alias(f"lo__{c}") for c in cols], *[F.max(v(c)).alias(f"hi__{c}") for c in cols]),
+                cols, {"lo": "vmin", "hi": "vmax"})
     rng = (rng.withColumn("lo", F.when(F.col("vmin") == F.col("vmax"), F.col("vmin") - 0.5).otherwise(F.col("vmin")))
            .withColumn("hi", F.when(F.col("vmin") == F.col("vmax"), F.col("vmax") + 0.5).otherwise(F.col("vmax")))
            .select("feature", "lo", "hi"))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), v(c).alias("value"))
+                                         for c in cols]))).where(F.col("value").isNotNull())
     j = long.join(F.broadcast(rng), "feature")  # one row per column: bounded
     b = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
     g = j.groupBy("feature", b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))

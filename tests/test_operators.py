@@ -215,3 +215,21 @@ def test_hash_rank_cutoffs_exact(spark, digits):
     for c, k in targets:
         hs = sorted(local[c])
         assert got[(c, k)] == (hs[k] if k < len(hs) else None)
+
+
+def test_histogram_matches_numpy(spark):
+    rng = np.random.default_rng(7)
+    vals = rng.normal(size=500).tolist()
+    df = spark.createDataFrame([(float(v), 3.0) for v in vals], "a double, c double")
+    got = {(r["feature"], r["bin"]): r["n"] for r in P.histogram(df, ["a", "c"], 30).collect()}
+    counts, _ = np.histogram(vals, bins=30)
+    assert [got.get(("a", i), 0) for i in range(30)] == counts.tolist()
+    ccounts, _ = np.histogram([3.0] * 500, bins=30)
+    assert [got.get(("c", i), 0) for i in range(30)] == ccounts.tolist()
+
+
+def test_grouping_sets_distribution(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1), ("b", 1)], "split string, class int")
+    r = {(x["split"], x["class"], x["level"]): x for x in P.class_distribution_by_split(df).collect()}
+    assert r[("b", 1, 0)]["n"] == 2 and r[("b", 1, 0)]["pct_of_split"] == 100.0
+    assert r[(None, None, 3)]["n"] == 4 and r[(None, 1, 2)]["pct_of_total"] == 75.0
