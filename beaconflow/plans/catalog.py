@@ -95,7 +95,9 @@ def q_csv_contract_scan(spark, sf_dir):
     from ..sources.messages import check_contract, read_messages
     from ..sources.sinks import write_csv
     path = scratch_dir(spark, "messages-csv")
-    write_csv(load_messages(spark, sf_dir).select(*PROFILE_COLS), path)
+    # written with upper-case names in reverse order: the scan lower-cases, checks the set, casts by name
+    m = load_messages(spark, sf_dir)
+    write_csv(m.select(*[F.col(c).alias(c.upper()) for c in reversed(PROFILE_COLS)]), path)
     df = read_messages(spark, path, fmt="csv", labelled=True)
     check_contract(df.drop("class"))
     return round_doubles(df)

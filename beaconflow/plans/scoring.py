@@ -47,7 +47,9 @@ def score_batch(df: DataFrame, model, key: str = "row_id", order: str = "row_id"
     base = select_features(df, [key] + [c for c in FEATURES_8 if c != key])
     feats = engineer_features(base, group=group, order=order, bucket_width=bucket_width)
     pred = predict(model, feats, [key])
-    return pred.withColumn("confidence", F.round(F.array_max("probability") * 100, 2))
+    # Q4: confidence in % with 2 decimals, per-class % with 1 decimal
+    return (pred.withColumn("confidence", F.round(F.array_max("probability") * 100, 2))
+            .withColumn("class_pct", F.transform("probability", lambda p: F.round(p * 100, 1))))
 
 
 def score_records(records: DataFrame, model, history: DataFrame | None = None, col: str = "record",

@@ -71,11 +71,22 @@ def nan_to_null_all(df: DataFrame) -> DataFrame:
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", labelled: bool = True,
                   header: bool = True) -> DataFrame:
-    """Scan with a declared schema (never inferred); NaN -> NULL."""
+    """Scan with declared types (never inferred); NaN -> NULL.
+
+    CSV with a header may name the columns in any letter case and any order:
+    names are lower-cased (S5), checked against the contract (S3, as a set) and
+    cast by name, bad values becoming NULL.  Without a header the columns are
+    taken positionally in the record order.
+    """
     schema = LABELLED_SCHEMA if labelled else MESSAGE_SCHEMA
-    if fmt == "csv":
-        df = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
-              .option("nanValue", "NaN").csv(path))
+    if fmt == "csv" and header:
+        raw = lower_columns(spark.read.option("header", True).csv(path))
+        want = [f.name for f in schema.fields]
+        check_contract(raw.drop(*[c for c in ("class",) if c in raw.columns and not labelled]),
+                       want if labelled else MESSAGE_29)
+        df = raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    elif fmt == "csv":
+        df = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(path)
     else:
         df = spark.read.schema(schema).parquet(path)
     return nan_to_null_all(df)

@@ -78,3 +78,19 @@ def test_fixed_mode(spark):
     assert "inter_arrival_seconds" in f.columns
     bad = f.where((F.col("hour") >= 22) & (F.col("night_hours") != 1)).count()
     assert bad == 0
+
+
+def test_hot_sender_is_split_and_exact(spark):
+    from beaconflow.operators.features import auto_bucket_width
+    from conftest import SF_MID
+    m = load_messages(spark, SF_MID)
+    # one sender owns a third of all messages
+    hot = m.withColumn("senderpseudo", F.when(F.pmod("row_id", F.lit(3)) == 0, F.lit(999_999)).otherwise(F.col("senderpseudo")))
+    per_task = 600
+    fast = engineer_features(hot, rows_per_bucket=per_task)
+    assert rows(fast, COLS) == rows(engineer_features_simple(hot), COLS)
+    width = auto_bucket_width(hot, "row_id", per_task)
+    sizes = hot.groupBy("senderpseudo", F.floor(F.col("row_id") / width).alias("b")).count()
+    biggest = sizes.agg(F.max("count")).first()[0]
+    hot_rows = hot.where(F.col("senderpseudo") == 999_999).count()
+    assert hot_rows > 3000 and biggest <= per_task
