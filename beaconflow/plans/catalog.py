@@ -807,6 +807,8 @@ def q_feature_search(spark, sf_dir):
     """H1-H3: battle-royale subset search (forest fitness, 20 % stratified sample, sqrt class weights),
     6 players x 3 generations; returns the progress table."""
     from ..operators.splits import group_holdout
+    from ..session import scratch_dir
+    progress = scratch_dir(spark, "search-progress")
     from .models import model_features
     from .search import feature_search
     tv, _ = _ml_split(spark, sf_dir)
@@ -814,8 +816,9 @@ def q_feature_search(spark, sf_dir):
     feats = model_features()
     r = feature_search(inner.where(F.col("inner") == "train"), inner.where(F.col("inner") == "valid"), feats,
                        "rule_class", players=6, generations=3, max_features=10, sampling_rate=0.2,
-                       weight_method="sqrt", fitness="forest", params=ML_FOREST, seed=42, parallelism=3)
-    return r["progress"]
+                       weight_method="sqrt", fitness="forest", params=ML_FOREST, seed=42, parallelism=3,
+                       progress_path=progress)
+    return spark.read.parquet(progress)  # H3: the persisted progress table
 
 
 @register("feature_search_nb")

@@ -62,9 +62,12 @@ def make_classifier(kind: str, label: str, weight: str | None, params: dict | No
                                      subsamplingRate=float(p.get("subsample", 1.0)),
                                      featureSubsetStrategy=str(p.get("colsample_bytree", "auto")), **common)
     elif kind in ("boosted", "gbt_ovr"):
-        gbt = GBTClassifier(maxDepth=_depth(p.get("max_depth", 5)), stepSize=float(p.get("learning_rate", 0.1)),
-                            maxIter=int(p.get("n_estimators", 20)), subsamplingRate=float(p.get("subsample", 1.0)),
-                            featureSubsetStrategy=str(p.get("colsample_bytree", "all")),
+        d = BOOSTED_FINAL
+        gbt = GBTClassifier(maxDepth=_depth(p.get("max_depth", d["max_depth"])),
+                            stepSize=float(p.get("learning_rate", d["learning_rate"])),
+                            maxIter=int(p.get("n_estimators", d["n_estimators"])),
+                            subsamplingRate=float(p.get("subsample", d["subsample"])),
+                            featureSubsetStrategy=str(p.get("colsample_bytree", d["colsample_bytree"])),
                             minInfoGain=float(p.get("gamma", 0.0)),
                             minWeightFractionPerNode=min(0.49, float(p.get("min_child_weight", 0.0)) / 1000.0),
                             seed=seed, checkpointInterval=10, featuresCol=features)
