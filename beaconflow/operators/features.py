@@ -22,6 +22,8 @@ the join, so the rows are shuffled once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,20 @@ def _hyp(a: Column, b: Column) -> Column:
     return F.sqrt(a * a + b * b)
 
 
-def auto_bucket_width(df: DataFrame, order: str, rows_per_bucket: int = 1 << 20) -> Column:
+def auto_bucket_width(df: DataFrame, order: str, rows_per_bucket: int = 1 << 20) -> float:
     """Width of an order-key bucket holding ~``rows_per_bucket`` rows of *all* senders.
 
-    Evaluated as a scalar subquery (one partial aggregate over one column), so
-    the operator stays lazy.  Any single (sender, bucket) holds at most that
-    many rows when the order key is spread evenly; pass ``bucket_width``
-    explicitly when the message rate is known (e.g. seconds of ``sendtime``).
+    One narrow aggregate (min, max, count of one column), run once; the result is
+    used as a literal, so both branches of the feature plan share it.  Any single
+    (sender, bucket) holds at most that many rows when the order key is spread
+    evenly; pass ``bucket_width`` explicitly when the message rate is known
+    (e.g. seconds of ``sendtime``).
     """
     o = F.col(order).cast("double")
-    return df.select(
-        F.greatest(d(1), F.ceil((F.max(o) - F.min(o) + d(1)) * d(rows_per_bucket) / F.greatest(F.count(o), F.lit(1))))
-        .cast("double")
-    ).scalar()
+    lo, hi, n = df.select(F.min(o), F.max(o), F.count(o)).first()
+    if n == 0 or lo is None:
+        return 1.0
+    return float(max(1.0, math.ceil((hi - lo + 1.0) * rows_per_bucket / n)))
 
 
 def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "row_id",
@@ -67,8 +70,8 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     ``hour >= 22 or hour < 5`` instead of an empty interval, and an extra
     ``inter_arrival_seconds`` (difference of ``sendtime``) is added.
     """
-    width = bucket_width if isinstance(bucket_width, Column) else (
-        d(bucket_width) if bucket_width is not None else auto_bucket_width(df, order, rows_per_bucket))
+    width = bucket_width if isinstance(bucket_width, Column) else d(
+        bucket_width if bucket_width is not None else auto_bucket_width(df, order, rows_per_bucket))
     ordering = [F.col(order)] + ([F.col(tiebreak)] if tiebreak else [])
     ord_struct = F.struct(*ordering)
     if fixed and "sendtime" not in _LAGGED:
