@@ -43,8 +43,10 @@ def group_holdout(df: DataFrame, group: str = "senderpseudo", ratio: float = 0.8
     senders = df.select(group).distinct().where(F.col(group).isNotNull()).withColumn("_h", h)
     cut = _cutoffs(senders, [], "_h",
                    lambda n: F.array(F.floor(F.lit(float(ratio)) * n).cast("long")))
-    thr = cut.select("_cut").scalar() if hasattr(cut.select("_cut"), "scalar") else None
-    first = F.coalesce(h < thr, F.lit(True))
+    # One value (the hash at the cut rank), computed once and used as a literal, so
+    # every later branch over the split reuses it instead of re-running the cut jobs.
+    thr = cut.select("_cut").first()[0]
+    first = F.lit(True) if thr is None else (h < F.lit(thr))
     return df.withColumn(out, F.when(F.col(group).isNull(), F.lit(None).cast("string"))
                          .when(first, F.lit(names[0])).otherwise(F.lit(names[1])))
 
