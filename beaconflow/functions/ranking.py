@@ -86,8 +86,9 @@ def hash_rank_cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, targets
     t = targets.select(*[F.col(c).alias(f"_t_{c}") for c in group_cols], "_k")
     cond = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in group_cols]
     cond += [F.col("_k") >= F.col("_before"), F.col("_k") < F.col("_before") + F.col("_bn")]
-    hit = counts.join(F.broadcast(t), cond).select(*group_cols, "_blk", "_k", (F.col("_k") - F.col("_before")).alias("_local"))
-    cand = kb.join(F.broadcast(hit), group_cols + ["_blk"]) if group_cols else kb.join(F.broadcast(hit), ["_blk"])
+    # targets and hits have one row per (group, cut): AQE broadcasts them when measured small
+    hit = counts.join(t, cond).select(*group_cols, "_blk", "_k", (F.col("_k") - F.col("_before")).alias("_local"))
+    cand = kb.join(hit, group_cols + ["_blk"])
     wr = Window.partitionBy(*group_cols, "_blk", "_k").orderBy(hcol)
     found = (cand.withColumn("_r", F.row_number().over(wr) - 1).where(F.col("_r") == F.col("_local"))
              .select(*group_cols, "_k", F.col(hcol).alias("_cut")))

@@ -675,7 +675,14 @@ def q_prediction_export(spark, sf_dir):
     """Export rows (1-based row number by input order, class label, confidence %, probabilities)."""
     from ..operators.evaluate import soft_vote
     from ..plans.scoring import export_table
-    return export_table(soft_vote(_vote_frames(spark, sf_dir)), order="row_id")
+    from ..session import scratch_dir
+    from ..sources.sinks import EXPORT_HEADER, export_predictions
+    path = scratch_dir(spark, "export")
+    export_predictions(export_table(soft_vote(_vote_frames(spark, sf_dir)), order="row_id"), path)
+    back = spark.read.option("header", True).csv(path)
+    names = ["row", "predicted_class", "confidence", "probabilities"]
+    return back.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(EXPORT_HEADER, names)]).withColumn(
+        "row", F.col("row").cast("long"))
 
 
 @register("preview_topn", S.with_messages("""
