@@ -17,7 +17,8 @@ last message (for the first lag of the next bucket), and mergeable moments
 (one row per bucket) resolves offsets, the previous bucket and sender-level
 stds; an equi-join on (sender, bucket) brings them back.  The row side keeps
 its (sender, bucket) hash partitioning through the window, the aggregate and
-the join, so the rows are shuffled once.
+the join; both branches read the same projected columns, so the input is
+scanned and shuffled once (the exchange is reused).
 """
 
 from __future__ import annotations
@@ -81,6 +82,10 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
 
     # Non-nullable surrogate keys: a NULL sender is its own group, and no
     # null-rejecting filter gets inferred into one branch of the join below.
+    base = keep if keep is not None else df.columns
+    inputs = ["spdx", "spdy", "posx", "posy", "hedy", "hedx_n"] + (["sendtime"] if fixed else [])
+    needed = list(dict.fromkeys([*base, group, order, *([tiebreak] if tiebreak else []), *inputs]))
+    df = df.select(*[F.col(f"`{c}`") for c in needed])
     rows = (df.withColumn("_gn", F.col(group).isNull())
             .withColumn("_g", F.coalesce(F.col(group), F.lit(0).cast(df.schema[group].dataType)))
             .withColumn("_b", F.coalesce(F.floor(F.col(order).cast("double") / width), F.lit(-(1 << 62)))))
@@ -96,7 +101,10 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     rows = rows.withColumn("_speed", speed).withColumn("_pc_in", pc_in)
 
     # --- one row per (sender, bucket) -------------------------------------------------
-    last_vals = F.struct(*[F.col(c).alias(c) for c in lagged])
+    # The last row carries every projected column (not only the lagged ones): the bucket
+    # branch then reads the same columns as the row branch, so both share one scan and
+    # one shuffle (the exchange is reused) instead of scanning the input twice.
+    last_vals = F.struct(*[F.col(f"`{c}`").alias(c) for c in dict.fromkeys(lagged + needed)])
     buckets = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max_by(last_vals, ord_struct).alias("_last"),
@@ -177,7 +185,6 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     # Final fill: every remaining missing value of an engineered feature becomes 0.
     fill = {n: 0.0 for n, e in feats.items() if n not in ("sender_sequence", "hour", "night_hours")}
     out = out.fillna(fill)
-    base = keep if keep is not None else df.columns
     return out.select(*base, *feats.keys())
 
 
