@@ -233,3 +233,45 @@ def test_grouping_sets_distribution(spark):
     r = {(x["split"], x["class"], x["level"]): x for x in P.class_distribution_by_split(df).collect()}
     assert r[("b", 1, 0)]["n"] == 2 and r[("b", 1, 0)]["pct_of_split"] == 100.0
     assert r[(None, None, 3)]["n"] == 4 and r[(None, 1, 2)]["pct_of_total"] == 75.0
+
+
+def test_read_xy_pairs_and_rejects_length_mismatch(spark, tmp_path):
+    from beaconflow.sources.messages import read_xy
+    from beaconflow.sources.sinks import write_csv
+    m = load_messages(spark, SF_SMALL).orderBy("row_id")
+    xp, yp, y2 = str(tmp_path / "x"), str(tmp_path / "y"), str(tmp_path / "y2")
+    write_csv(m.select("row_id", "posx").coalesce(1), xp)
+    write_csv(m.select("class").coalesce(1), yp)
+    write_csv(m.select("class").limit(10).coalesce(1), y2)
+    got = read_xy(spark, xp, yp)
+    ref = m.select(F.col("row_id").cast("double"), "posx", "class")
+    assert rows(got.select("row_id", "posx", "class")) == rows(ref)
+    with pytest.raises(ValueError):
+        read_xy(spark, xp, y2)
+
+
+def test_export_format(spark):
+    from beaconflow.plans.scoring import export_table
+    df = spark.createDataFrame([(7, [0.125, 0.875], 1), (3, [0.5, 0.5], 0)],
+                               "row_id long, probability array<double>, prediction int")
+    got = {r["row"]: r for r in export_table(df).collect()}
+    assert got[1]["predicted_class"] == "Class 0" and got[1]["confidence"] == "50.00%"
+    assert got[1]["probabilities"] == "0.5000;0.5000"
+    assert got[2]["confidence"] == "87.50%" and got[2]["probabilities"] == "0.1250;0.8750"
+
+
+def test_rate_windows_stream_matches_batch(spark, tmp_path):
+    from beaconflow.streaming.features import rate_windows
+    m = load_messages(spark, SF_SMALL).withColumn("ts", F.timestamp_seconds("sendtime")).select("ts", "senderpseudo")
+    src = str(tmp_path / "src")
+    m.write.parquet(src)
+    sdf = spark.readStream.schema(m.schema).parquet(src)
+    q = (rate_windows(sdf, "ts", "1 hour", watermark="1 hour").writeStream.outputMode("append")
+         .format("memory").queryName("rw_test").trigger(availableNow=True)
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.awaitTermination()
+    streamed = spark.sql("SELECT * FROM rw_test")
+    batch = rate_windows(m, "ts", "1 hour", watermark=None)
+    # append mode emits a window once the watermark passes it; the last windows stay open
+    last = batch.agg(F.max("window_start")).first()[0]
+    assert rows(streamed.where(F.col("window_start") < last - 3600)) == rows(batch.where(F.col("window_start") < last - 3600))
