@@ -1062,3 +1062,18 @@ def q_grid_search(spark, sf_dir):
     rows = [(str({p.name: v for p, v in pm.items()}), float(mt)) for pm, mt in zip(cv.getEstimatorParamMaps(),
                                                                                     cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, avg_weighted_f1 double")
+
+
+@register("engineer_features_fixed", S.with_messages(f"""
+    SELECT row_id, senderpseudo, sender_sequence, hour,
+      CAST(CASE WHEN hour >= 22 OR hour < 5 THEN 1 ELSE 0 END AS INTEGER) AS night_hours,
+      {S.r6('coalesce(sendtime - lag(sendtime) OVER (PARTITION BY senderpseudo ORDER BY row_id), 0)',
+            'inter_arrival_seconds')},
+      {S.r6('position_consistency', 'position_consistency')}
+    FROM features""", S.FEATURES_CTE))
+def q_engineer_features_fixed(spark, sf_dir):
+    """F14/F15 and K1 repaired: night flag from the hour counter, seconds between a sender's messages."""
+    from ..operators.features import engineer_features
+    f = engineer_features(load_messages(spark, sf_dir), keep=["row_id", "senderpseudo", "sendtime"], fixed=True)
+    return round_doubles(f.select("row_id", "senderpseudo", "sender_sequence", "hour", "night_hours",
+                                  "inter_arrival_seconds", "position_consistency"))
