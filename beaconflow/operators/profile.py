@@ -6,6 +6,8 @@ aggregation on the executors), never with one scan per column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,25 +204,17 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation (h = (n-1)p), distributed.
-
-    Values are counted per (column, value), ranked by ``rank_within`` (no task
-    holds more than one range partition), and only the two ranks around each
-    h are looked up.
-    """
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                          for c in cols]))).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_within(vc, ["feature"], ["value"], weight=F.col("_n"))
-    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_cnt"))
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    t = n.select("feature", "_cnt", F.explode(ps).alias("p")).withColumn("_h", (F.col("_cnt") - 1) * F.col("p"))
-    t = t.withColumn("_fl", F.floor("_h").cast("long"))
-    tl = t.select("feature", "p", "_h", "_fl", F.col("_fl").alias("_target"), F.lit(0).alias("_side"))
-    th = t.select("feature", "p", "_h", "_fl", F.least(F.col("_fl") + 1, F.col("_cnt") - 1).alias("_target"),
-                  F.lit(1).alias("_side"))
-    hits = values_at_ranks(ranked, ["feature"], tl.unionByName(th), ["value"])
+
+
+def _pick_and_interpolate(ranked: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """targets: keys + p, _h, _fl, _r0, _r1 (ranks inside ``ranked``'s groups) -> (feature, p, value)."""
+    extra = [c for c in ("p", "_h", "_fl") if c not in keys]
+    tl = targets.select(*keys, *extra, F.col("_r0").alias("_target"), F.lit(0).alias("_side"))
+    th = targets.select(*keys, *extra, F.col("_r1").alias("_target"), F.lit(1).alias("_side"))
+    hits = values_at_ranks(ranked, keys, tl.unionByName(th), ["value"])
     piv = hits.groupBy("feature", "p", "_h", "_fl").agg(
         F.max(F.when(F.col("_side") == 0, F.col("value"))).alias("v0"),
         F.max(F.when(F.col("_side") == 1, F.col("value"))).alias("v1"))
@@ -228,6 +222,101 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
     return piv.select("feature", "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * frac).alias("value"))
 
 
+def exact_quantiles_ranked(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles by ranking every distinct value (fallback path; sorts all values)."""
+    long = _long_values(df, cols)
+    vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = rank_within(vc, ["feature"], ["value"], weight=F.col("_n"))
+    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_cnt"))
+    t = n.select("feature", "_cnt", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    t = t.withColumn("_h", (F.col("_cnt") - 1) * F.col("p")).withColumn("_fl", F.floor("_h").cast("long"))
+    t = t.withColumn("_r0", F.col("_fl")).withColumn("_r1", F.least(F.col("_fl") + 1, F.col("_cnt") - 1))
+    return _pick_and_interpolate(ranked, ["feature"], t)
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000,
+                    attempts: int = 3, window_limit: int = 2_000_000, method: str = "auto",
+                    rank_all_below: int = 20_000_000) -> DataFrame:
+    """Exact quantiles with linear interpolation (h = (n-1)p), without sorting all values.
+
+    1. One sketch pass: count and ``percentile_approx`` at p +/- margin per column
+       bracket each target rank in a narrow value interval [lo, hi].
+    2. One aggregate: values below lo (offset) and inside [lo, hi] per (column, p).
+    3. Only the values inside the intervals are ranked (``rank_within``) and the two
+       ranks around h are read.
+    The counts prove the bracket holds; otherwise the margin widens, and after
+    ``attempts`` the affected columns fall back to ranking all their values.
+    ``method="auto"`` ranks all values directly when there are at most
+    ``rank_all_below`` of them (one cheap row count decides); ``"sketch"`` forces
+    the bracketed path.
+    """
+    spark = df.sparkSession
+    if method == "ranked" or (method == "auto" and df.count() * len(cols) <= rank_all_below):
+        # small enough that ranking every value is a cheap distributed sort
+        return exact_quantiles_ranked(df, cols, probs)
+    long = _long_values(df, cols)
+    margin = 2.0 / accuracy
+    pending = list(cols)
+    pieces = []
+    for _ in range(attempts):
+        if not pending:
+            break
+        qp = sorted({min(1.0, max(0.0, p + sgn * margin)) for p in probs for sgn in (-1, 1)})
+        sk = (long.where(F.col("feature").isin(pending)).groupBy("feature")
+              .agg(F.count(F.lit(1)).alias("_cnt"), F.percentile_approx("value", qp, accuracy).alias("_q"))).collect()
+        rows_t = []  # (feature, p, lo, hi, cnt, h, fl, r0, r1): bounded by columns x probs
+        for r in sk:
+            q = dict(zip(qp, r["_q"]))
+            for p in probs:
+                lo = q[min(1.0, max(0.0, p - margin))]
+                hi = q[min(1.0, max(0.0, p + margin))]
+                h = (r["_cnt"] - 1) * p
+                fl = int(math.floor(h))
+                rows_t.append((r["feature"], float(p), float(lo), float(hi), int(r["_cnt"]), float(h), fl, fl,
+                               min(fl + 1, r["_cnt"] - 1)))
+        if not rows_t:
+            break
+        t = spark.createDataFrame(rows_t, "feature string, p double, lo double, hi double, _cnt long, _h double, "
+                                          "_fl long, _r0 long, _r1 long")
+        j = long.join(F.broadcast(t), "feature")  # columns x probs rows
+        cnt = j.groupBy("feature", "p").agg(F.count_if(F.col("value") < F.col("lo")).alias("_below"),
+                                           F.count_if((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+                                           .alias("_inside")).collect()
+        ok = {}
+        for r in cnt:
+            ok[(r["feature"], r["p"])] = (r["_below"], r["_inside"])
+        good_t, bad_feats, biggest = [], set(), 0
+        for row in rows_t:
+            below, inside = ok.get((row[0], row[1]), (0, 0))
+            r0, r1 = row[7] - below, row[8] - below
+            if r0 >= 0 and r1 < inside:
+                good_t.append((*row[:7], r0, r1))
+                biggest = max(biggest, inside)
+            else:
+                bad_feats.add(row[0])
+        good_t = [g for g in good_t if g[0] not in bad_feats]
+        if good_t:
+            tt = spark.createDataFrame(good_t, t.schema)
+            cand = long.join(F.broadcast(tt.select("feature", "p", "lo", "hi")), "feature").where(
+                (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))).select("feature", "p", "value")
+            if biggest <= window_limit:
+                # every interval's size is counted above: a window per (column, p) is bounded by it
+                w = Window.partitionBy("feature", "p").orderBy("value")
+                ranked = cand.withColumn("_rank", (F.row_number().over(w) - 1).cast("long")).withColumn(
+                    "_w", F.lit(1).cast("long"))
+            else:
+                ranked = rank_within(cand, ["feature", "p"], ["value"])
+            pieces.append(_pick_and_interpolate(ranked, ["feature", "p"], tt.drop("lo", "hi", "_cnt")))
+        pending = sorted(bad_feats)
+        margin *= 4
+    if pending:
+        pieces.append(exact_quantiles_ranked(df, pending, probs))
+    out = pieces[0]
+    for p_ in pieces[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
 def profile_describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, std (ddof 1), min, 25/50/75 % (linear interpolation), max.
 

@@ -55,9 +55,10 @@ def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(1)
     vals = rng.normal(size=301).round(2).tolist() + [0.5] * 40
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    got = {r["p"]: r["value"] for r in P.exact_quantiles(df, ["v"], [0.25, 0.5, 0.75]).collect()}
-    for p in (0.25, 0.5, 0.75):
-        assert abs(got[p] - np.percentile(vals, p * 100)) < 1e-12
+    for method in ("auto", "sketch"):
+        got = {r["p"]: r["value"] for r in P.exact_quantiles(df, ["v"], [0.25, 0.5, 0.75], method=method).collect()}
+        for p in (0.25, 0.5, 0.75):
+            assert abs(got[p] - np.percentile(vals, p * 100)) < 1e-12
 
 
 def test_describe_approx_close(spark):
@@ -275,3 +276,17 @@ def test_rate_windows_stream_matches_batch(spark, tmp_path):
     # append mode emits a window once the watermark passes it; the last windows stay open
     last = batch.agg(F.max("window_start")).first()[0]
     assert rows(streamed.where(F.col("window_start") < last - 3600)) == rows(batch.where(F.col("window_start") < last - 3600))
+
+
+def test_exact_quantiles_fallback_and_ties(spark):
+    # heavy ties and a tiny accuracy force both the widening and the full-ranking fallback paths
+    vals = [1.0] * 50 + [2.0] * 3 + [float(i) for i in range(100, 160)]
+    df = spark.createDataFrame([(v, -v) for v in vals], "a double, b double")
+    for acc in (10, 10000):
+        got = {(r["feature"], r["p"]): r["value"]
+               for r in P.exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75], acc, method="sketch").collect()}
+        for p in (0.25, 0.5, 0.75):
+            assert abs(got[("a", p)] - np.percentile(vals, p * 100)) < 1e-12
+            assert abs(got[("b", p)] - np.percentile([-v for v in vals], p * 100)) < 1e-12
+    ranked = {(r["feature"], r["p"]): r["value"] for r in P.exact_quantiles_ranked(df, ["a"], [0.5]).collect()}
+    assert abs(ranked[("a", 0.5)] - np.percentile(vals, 50)) < 1e-12
