@@ -743,10 +743,11 @@ def _ml_split(spark, sf_dir):
 
 @register("train_forest")
 def q_train_forest(spark, sf_dir):
-    """M3/M4/M7: weighted random forest on the train_val senders, predictions for unseen test senders."""
-    from .models import fit, make_pipeline, model_features, predict
+    """M3/M4/M7: weighted random forest with the reference settings (100 trees, depth 10, seed 42)
+    on the train_val senders, predictions for the unseen test senders."""
+    from .models import FOREST, fit, make_pipeline, model_features, predict
     tv, te = _ml_split(spark, sf_dir)
-    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
+    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", FOREST), tv)
     return predict(model, te, ["row_id", "rule_class"]).select(
         "row_id", "rule_class", "prediction", F.round(F.array_max("probability"), 6).alias("confidence"))
 
