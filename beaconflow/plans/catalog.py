@@ -1078,3 +1078,18 @@ def q_engineer_features_fixed(spark, sf_dir):
     f = engineer_features(load_messages(spark, sf_dir), keep=["row_id", "senderpseudo", "sendtime"], fixed=True)
     return round_doubles(f.select("row_id", "senderpseudo", "sender_sequence", "hour", "night_hours",
                                   "inter_arrival_seconds", "position_consistency"))
+
+
+@register("training_run")
+def q_training_run(spark, sf_dir):
+    """Whole training workflow on the learnable label: sender split, features, weights, 5 sender folds,
+    fold-model vote, final fit, unseen-sender test, gap band; model saved, run record appended."""
+    from ..session import scratch_dir
+    from ..sources.messages import with_rule_class
+    from .training import run_training
+    m = with_rule_class(load_messages(spark, sf_dir))
+    runs = scratch_dir(spark, "runs")
+    r = run_training(m, label="rule_class", kind="forest", params=ML_FOREST, k=5,
+                     model_path=scratch_dir(spark, "model"), runs_path=runs)
+    return spark.read.parquet(runs).where(F.col("run_id") == r["run_id"]).select("scope", "fold", "metric", "value",
+                                                                               "band")

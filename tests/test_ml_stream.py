@@ -111,3 +111,15 @@ def test_differential_evolution_minimises(spark):
     assert score < 0.05 and hist[-1][1] < hist[0][1] / 10
     d = H.decode_params([8.7, 0.071234, 500.9, 0.9, 0.9, 0, 1.6, 0, 1])
     assert d["max_depth"] == 8 and d["n_estimators"] == 500 and d["min_child_weight"] == 1 and d["learning_rate"] == 0.0712
+
+
+def test_training_run_end_to_end(spark, tmp_path):
+    from beaconflow.plans.training import run_training
+    from beaconflow.sources.messages import with_rule_class
+    m = with_rule_class(load_messages(spark, SF_MID))
+    r = run_training(m, label="rule_class", params=SMALL_FOREST, k=3, model_path=str(tmp_path / "model"),
+                     runs_path=str(tmp_path / "runs"))
+    met = {(x["scope"], x["metric"]): x["value"] for x in r["metrics"].where("scope != 'fold'").collect()}
+    assert met[("test", "accuracy")] > 0.8 and r["band"] in {"excellent", "good", "moderate", "severe"}
+    assert spark.read.parquet(str(tmp_path / "runs")).where(F.col("run_id") == r["run_id"]).count() > 0
+    assert M.load_model(str(tmp_path / "model")) is not None
