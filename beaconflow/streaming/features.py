@@ -2,11 +2,19 @@
 
 T1 keeps per-sender state across micro-batches with ``applyInPandasWithState``:
 message count, the last values needed for lag differences, and running moments
-(n, mean, M2) for the two consistency stds.  Rows of one sender inside a batch
-are ordered by the order key before the state is advanced; messages arriving
-after a later one of the same sender in an earlier batch are not re-ordered
-(cross-batch lateness is unsupported and documented).  F12/F13 over the whole
-sender are not causal; the stream emits their running value so far.
+(n, mean, M2) for the two consistency stds.  Two modes:
+
+- order-key mode: a micro-batch's rows of one sender are sorted by the order key
+  and continue the state (a message arriving after a later one of its sender in
+  an earlier batch is not re-ordered);
+- event-time mode (``event_time=..., delay=...``): the stream is watermarked,
+  rows wait in state until the watermark passes them and are emitted in
+  event-time order; an event-time timeout flushes quiet senders.  Messages up to
+  ``delay`` late are placed correctly.
+
+F12/F13 over the whole sender are not causal; the stream emits their running
+value so far.  A sender's rows of one micro-batch form one group (bounded by the
+trigger size, e.g. ``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -54,10 +62,10 @@ def _running(vals: np.ndarray, n0: int, mean0: float, m20: float):
     return n, m2, (n0, mean0, m20)
 
 
-def _advance(key, pdfs, state):
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("row_id", kind="stable")
-    if state.exists:
-        (n0, l_spdx, l_spdy, l_posx, l_posy, l_hedy, s_n, s_mean, s_m2, p_n, p_mean, p_m2) = state.get
+def _sequence(key, pdf: pd.DataFrame, counters: tuple | None):
+    """Advance one sender's sequence over rows already in order; returns (output frame, new counters)."""
+    if counters is not None:
+        (n0, l_spdx, l_spdy, l_posx, l_posy, l_hedy, s_n, s_mean, s_m2, p_n, p_mean, p_m2) = counters
         prev = {"spdx": l_spdx, "spdy": l_spdy, "posx": l_posx, "posy": l_posy, "hedy": l_hedy}
     else:
         n0, s_n, s_mean, s_m2, p_n, p_mean, p_m2 = 0, 0, 0.0, 0.0, 0, 0.0, 0.0
@@ -80,7 +88,7 @@ def _advance(key, pdfs, state):
         p_std = np.where(pn > 1, np.sqrt(np.maximum(pm2, 0) / np.maximum(pn - 1, 1)), 0.0)
     spd0 = np.nan_to_num(spd, nan=0.0)
     hm = np.sqrt(cols["hedx_n"] ** 2 + cols["hedy"] ** 2)
-    out = {"row_id": pdf["row_id"].to_numpy(), "senderpseudo": np.full(k, key[0], dtype=np.int64), **cols,
+    out = {"row_id": pdf["row_id"].to_numpy(dtype=np.int64), "senderpseudo": np.full(k, key[0], dtype=np.int64), **cols,
            "sender_sequence": seq, "inter_arrival_time": np.ones(k), "speed_magnitude": spd0,
            "acceleration_x": diffs["spdx"], "acceleration_y": diffs["spdy"],
            "acceleration_magnitude": np.sqrt(diffs["spdx"] ** 2 + diffs["spdy"] ** 2),
@@ -90,10 +98,46 @@ def _advance(key, pdfs, state):
            "position_consistency": p_std, "hour": seq % 24, "night_hours": np.zeros(k, dtype=np.int32),
            "speed_position_interaction": np.nan_to_num(spd * pcm, nan=0.0),
            "inter_arrival_speed_ratio": np.nan_to_num(1.0 / (spd + 1e-6), nan=0.0)}
-    last = {c: cols[c][-1] for c in _LAG}
-    state.update((int(n0 + k), *[None if np.isnan(last[c]) else float(last[c]) for c in _LAG],
-                  s_state[0], s_state[1], s_state[2], p_state[0], p_state[1], p_state[2]))
-    yield pd.DataFrame(out)
+    if k:
+        last = {c: cols[c][-1] for c in _LAG}
+        counters = (int(n0 + k), *[None if np.isnan(last[c]) else float(last[c]) for c in _LAG],
+                    s_state[0], s_state[1], s_state[2], p_state[0], p_state[1], p_state[2])
+    return pd.DataFrame(out), counters
+
+
+def _advance(key, pdfs, state):
+    """Unbuffered mode: each micro-batch's rows of a sender, in order-key order, continue its state."""
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("row_id", kind="stable")
+    out, counters = _sequence(key, pdf, state.get if state.exists else None)
+    state.update(counters)
+    yield out
+
+
+_BUF_COLS = ["row_id", "_t", *_BASE]
+
+
+def _advance_buffered(key, pdfs, state):
+    """Event-time mode: rows wait in state until the watermark passes them, then are emitted
+    in (event time, order key) order; an event-time timeout flushes a quiet sender."""
+    frames = [f for f in pdfs]
+    new = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=_BUF_COLS)
+    if len(new):
+        new = new.assign(_t=pd.to_datetime(new["_ts"]).astype("int64") / 1e9).drop(columns=["_ts"])
+    counters, buf = None, pd.DataFrame(columns=_BUF_COLS)
+    if state.exists:
+        st = state.get
+        counters = None if st[0] is None else tuple(st[:12])
+        buf = pd.DataFrame({c: list(v) for c, v in zip(_BUF_COLS, st[12:])})
+    rows = pd.concat([buf, new[_BUF_COLS]] if len(new) else [buf], ignore_index=True)
+    wm = state.getCurrentWatermarkMs() / 1000.0
+    ready = rows[rows["_t"] <= wm].sort_values(["_t", "row_id"], kind="stable")
+    wait = rows[rows["_t"] > wm]
+    out, counters = _sequence(key, ready, counters)
+    cnt = counters if counters is not None else (None,) * 12
+    state.update((*cnt, *[wait[c].tolist() for c in _BUF_COLS]))
+    if len(wait):
+        state.setTimeoutTimestamp(int(wait["_t"].max() * 1000) + 1)
+    yield out
 
 
 def _ship_by_value() -> None:
@@ -107,13 +151,28 @@ def _ship_by_value() -> None:
         pass
 
 
-def stream_features(sdf: DataFrame, group: str = "senderpseudo") -> DataFrame:
-    """Per-sender sequence features on a stream of messages (append mode)."""
+def stream_features(sdf: DataFrame, group: str = "senderpseudo", event_time: str | None = None,
+                    delay: str = "30 seconds") -> DataFrame:
+    """Per-sender sequence features on a stream of messages (append mode).
+
+    Without ``event_time`` each micro-batch's rows continue their sender's state in
+    order-key order (a message arriving after a later one of its sender is not
+    re-ordered).  With ``event_time`` (a timestamp column) the stream is watermarked
+    by ``delay``: rows are buffered in state until the watermark passes them and are
+    emitted in event-time order, so messages up to ``delay`` late are placed
+    correctly; buffered rows wait for the watermark (append-mode semantics).
+    """
     _ship_by_value()
     cols = ["row_id", group, *_BASE]
-    src = sdf.select(*cols).where(F.col(group).isNotNull())
+    if event_time is None:
+        src = sdf.select(*cols).where(F.col(group).isNotNull())
+        return src.groupBy(group).applyInPandasWithState(
+            _advance, _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    src = (sdf.withWatermark(event_time, delay).select(*cols, F.col(event_time).alias("_ts"))
+           .where(F.col(group).isNotNull()))
+    buf_schema = ", ".join([f"b_{c} array<{'long' if c == 'row_id' else 'double'}>" for c in _BUF_COLS])
     return src.groupBy(group).applyInPandasWithState(
-        _advance, _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _advance_buffered, _OUT_SCHEMA, f"{_STATE_SCHEMA}, {buf_schema}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_scores(sdf: DataFrame, model) -> DataFrame:
