@@ -23,6 +23,7 @@ def get_session(app: str = "beaconflow", cores: int | str | None = None,
          .master(os.environ.get("SPARK_MASTER", f"local[{cores}]"))
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

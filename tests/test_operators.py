@@ -290,3 +290,15 @@ def test_exact_quantiles_fallback_and_ties(spark):
             assert abs(got[("b", p)] - np.percentile([-v for v in vals], p * 100)) < 1e-12
     ranked = {(r["feature"], r["p"]): r["value"] for r in P.exact_quantiles_ranked(df, ["a"], [0.5]).collect()}
     assert abs(ranked[("a", 0.5)] - np.percentile(vals, 50)) < 1e-12
+
+
+def test_sender_folds_snake_order_brute_force(spark):
+    m = load_messages(spark, SF_MID).select("senderpseudo")
+    got = {r["senderpseudo"]: r["fold"] for r in X.sender_folds(m, k=4).collect()}
+    sizes = {}
+    for r in m.collect():
+        sizes[r["senderpseudo"]] = sizes.get(r["senderpseudo"], 0) + 1
+    order = sorted(sizes, key=lambda s: (-sizes[s], s))
+    for rank, s in enumerate(order):
+        q, pos = divmod(rank, 4)
+        assert got[s] == (pos if q % 2 == 0 else 3 - pos)
