@@ -89,15 +89,24 @@ def class_order(df: DataFrame, label: str = "class") -> DataFrame:
 
 
 def class_distribution_by_split(df: DataFrame, label: str = "class", split: str = "split",
-                                names: DataFrame | None = None) -> DataFrame:
-    """Per split and class, per split, per class, and total, via GROUPING SETS."""
+                                names: dict | None = None) -> DataFrame:
+    """Per split and class, per split, per class, and total, via GROUPING SETS.
+
+    With ``names`` ({id: name}) a ``class_name`` column is added (``Class <id>`` for
+    unknown ids, NULL on the split and total lines).
+    """
     out = df.groupingSets([[split, label], [split], [label], []], split, label).agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.grouping_id(split, label).cast("int").alias("level"))
     out = out.select(F.col(split).alias("split"), F.col(label).alias("class"), "n", "level")
     tot = F.sum(F.when(F.col("level") == 3, F.col("n"))).over(Window.partitionBy())
     split_tot = F.max(F.when(F.col("level") == 1, F.col("n"))).over(Window.partitionBy("split"))
-    return (out.withColumn("pct_of_split", F.when(F.col("level") == 0, F.round(F.col("n") * 100.0 / split_tot, 2)))
-            .withColumn("pct_of_total", F.round(F.col("n") * 100.0 / tot, 2)))
+    out = (out.withColumn("pct_of_split", F.when(F.col("level") == 0, F.round(F.col("n") * 100.0 / split_tot, 2)))
+           .withColumn("pct_of_total", F.round(F.col("n") * 100.0 / tot, 2)))
+    if names is not None:
+        from .labels import with_class_name
+        out = with_class_name(out, "class", "class_name", names).withColumn(
+            "class_name", F.when(F.col("class").isNotNull(), F.col("class_name")))
+    return out
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:

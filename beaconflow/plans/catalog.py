@@ -182,7 +182,7 @@ def q_class_order(spark, sf_dir):
 
 
 @register("class_distribution_by_split", S.with_messages(f"""
-    SELECT split, class, n, level,
+    SELECT split, class, CASE WHEN class IS NOT NULL THEN {S.name_case('class', CLASS_NAMES)} END AS class_name, n, level,
       CASE WHEN level = 0 THEN round(CAST(n AS DOUBLE) * 100 / max(CASE WHEN level = 1 THEN n END) OVER (PARTITION BY split), 2) END AS pct_of_split,
       round(CAST(n AS DOUBLE) * 100 / sum(CASE WHEN level = 3 THEN n END) OVER (), 2) AS pct_of_total
     FROM (
@@ -196,7 +196,7 @@ def q_class_distribution_by_split(spark, sf_dir):
     from ..operators.profile import class_distribution_by_split
     from ..operators.splits import group_holdout
     df = group_holdout(_messages_grouped(spark, sf_dir))
-    return class_distribution_by_split(df, "class_group", "split")
+    return class_distribution_by_split(df, "class_group", "split", names=CLASS_NAMES)
 
 
 @register("distinct_counts", S.with_messages(S.union_all(
@@ -1093,3 +1093,17 @@ def q_training_run(spark, sf_dir):
                      model_path=scratch_dir(spark, "model"), runs_path=runs)
     return spark.read.parquet(runs).where(F.col("run_id") == r["run_id"]).select("scope", "fold", "metric", "value",
                                                                                "band")
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    """H7 (random form): 4 seeded parameter draws, CrossValidator over 3 sender folds."""
+    from ..operators.splits import group_kfold
+    from .models import model_features
+    from .search import random_search
+    tv, _ = _ml_split(spark, sf_dir)
+    cv = random_search(group_kfold(tv, k=3), "rule_class", model_features(),
+                       {"maxDepth": (3, 6), "numTrees": (5, 15), "subsamplingRate": (0.6, 1.0)}, n=4, seed=42)
+    rows = [(str(sorted((p.name, v) for p, v in pm.items())), float(mt))
+            for pm, mt in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
+    return spark.createDataFrame(rows, "params string, avg_weighted_f1 double")
