@@ -175,10 +175,10 @@ def stream_features(sdf: DataFrame, group: str = "senderpseudo", event_time: str
         _advance_buffered, _OUT_SCHEMA, f"{_STATE_SCHEMA}, {buf_schema}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_scores(sdf: DataFrame, model) -> DataFrame:
+def stream_scores(sdf: DataFrame, model, event_time: str | None = None, delay: str = "30 seconds") -> DataFrame:
     """Streaming features -> fitted pipeline -> class and probabilities (append mode)."""
     from ..plans.models import predict
-    return predict(model, stream_features(sdf), ["row_id", "senderpseudo"])
+    return predict(model, stream_features(sdf, event_time=event_time, delay=delay), ["row_id", "senderpseudo"])
 
 
 def rate_windows(df: DataFrame, ts: str = "ts", width: str = "1 hour", group: str = "senderpseudo",

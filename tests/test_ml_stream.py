@@ -158,3 +158,16 @@ def test_stream_event_time_reorders_late_messages(spark, tmp_path):
     emitted = s.select("row_id")
     assert s.count() > 0.6 * b.count()  # the last ~1.5 slices wait behind the final watermark
     assert rows(s, ["row_id"] + causal) == rows(b.join(emitted, "row_id", "left_semi"), ["row_id"] + causal)
+
+
+def test_param_search_resplit_deterministic(spark, split):
+    tv, _ = split
+    bounds = [(3, 4), (0.05, 0.1), (3, 5), (0.8, 1.0), (0.8, 1.0), (0, 1), (1, 2), (0, 1), (0.5, 1)]
+    start = [3, 0.07, 4, 0.9, 0.9, 0, 1, 0, 1]
+    r1 = H.param_search(tv, "rule_class", M.model_features(), bounds, start, generations=1, population=4,
+                        kind="forest", resplit=True, parallelism=2)
+    r2 = H.param_search(tv, "rule_class", M.model_features(), bounds, start, generations=1, population=4,
+                        kind="forest", resplit=True, parallelism=2)
+    a = sorted((r["run"], round(r["macro_f1"], 9)) for r in r1["runs"].collect())
+    b = sorted((r["run"], round(r["macro_f1"], 9)) for r in r2["runs"].collect())
+    assert a == b and [x for x, _ in a] == list(range(8))
