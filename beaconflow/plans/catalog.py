@@ -90,7 +90,8 @@ def _messages_grouped(spark, sf_dir):
 @register("csv_contract_scan", S.with_messages(
     "SELECT " + ", ".join([S.r6(c, c) if _is_double(c) else c for c in PROFILE_COLS]) + " FROM messages"))
 def q_csv_contract_scan(spark, sf_dir):
-    """Messages written as CSV with a header, scanned back with the declared schema, contract-checked."""
+    """Messages written as CSV (upper-case names, reversed order), scanned back: names
+    lower-cased, the column set contract-checked, values cast by name to the declared types."""
     from ..session import scratch_dir
     from ..sources.messages import check_contract, read_messages
     from ..sources.sinks import write_csv
@@ -566,7 +567,8 @@ def _gap_sql():
 
 @register("gap_bands", _gap_sql())
 def q_gap_bands(spark, sf_dir):
-    """Mean fold accuracy (5 sender folds of train_val) minus test accuracy, and its band."""
+    """For the deterministic rule predictor (class group vs. rule class), mean fold accuracy over
+    5 sender folds of train_val minus test accuracy, and its band."""
     from ..operators.evaluate import gap_bands, scores
     from ..operators.splits import group_holdout, group_kfold
     p = group_holdout(_rule_predictions(spark, sf_dir))
@@ -589,7 +591,8 @@ def _fold_summary_sql():
 
 @register("fold_summary", _fold_summary_sql())
 def q_fold_summary(spark, sf_dir):
-    """Per-fold accuracy and macro F1 over 5 sender folds -> mean and 2 * population std."""
+    """Per-fold accuracy and macro F1 of the deterministic rule predictor over 5 sender folds
+    -> mean and 2 * population std."""
     from ..operators.evaluate import fold_summary, scores
     from ..operators.splits import group_kfold
     p = group_kfold(_rule_predictions(spark, sf_dir), k=5)
