@@ -65,7 +65,11 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
                       tiebreak: str | None = None, fixed: bool = False,
                       bucket_width: float | Column | None = None, rows_per_bucket: int = 1 << 20,
                       keep: list[str] | None = None) -> DataFrame:
-    """Add the 17 sequence features to ``df`` (all input columns are kept).
+    """Add the 17 sequence features to ``df`` (``keep`` selects the passed-through columns;
+    default: all input columns).
+
+    ``order`` (plus ``tiebreak``) must order each sender's messages uniquely, as for
+    any lag: with ties the previous message is not defined.
 
     ``fixed=True`` repairs the two reference quirks: ``night_hours`` uses
     ``hour >= 22 or hour < 5`` instead of an empty interval, and an extra

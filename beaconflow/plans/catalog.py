@@ -1110,3 +1110,14 @@ def q_random_search(spark, sf_dir):
     rows = [(str(sorted((p.name, v) for p, v in pm.items())), float(mt))
             for pm, mt in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, avg_weighted_f1 double")
+
+
+@register("duplicate_rows", S.with_messages(
+    "SELECT " + ", ".join([S.r6(c, c) if _is_double(c) else c for c in FEATURES_8])
+    + ", CAST(count(*) - 1 AS BIGINT) AS n_extra_copies FROM messages GROUP BY " + ", ".join(FEATURES_8)
+    + " HAVING count(*) > 1"))
+def q_duplicate_rows(spark, sf_dir):
+    """P6 (rows): each duplicated row of the 8-feature projection with its number of extra copies."""
+    from ..operators.profile import duplicate_rows
+    from ..sources.messages import select_features
+    return round_doubles(duplicate_rows(select_features(load_messages(spark, sf_dir), FEATURES_8)))
