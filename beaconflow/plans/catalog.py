@@ -1121,3 +1121,63 @@ def q_duplicate_rows(spark, sf_dir):
     from ..operators.profile import duplicate_rows
     from ..sources.messages import select_features
     return round_doubles(duplicate_rows(select_features(load_messages(spark, sf_dir), FEATURES_8)))
+
+
+# --------------------------------------------------------------------------- wide vectors (embeddings table)
+EMB_DIM = 64
+EMB_COLS = [f"e{i}" for i in range(EMB_DIM)]
+_EMB_SQL = ("emb AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}"
+                                                         for i in range(EMB_DIM)) + " FROM embeddings)")
+
+
+def _embedding_frame(spark, sf_dir):
+    """embeddings(vec_id, embedding array<float>(64), label) -> one double column per dimension."""
+    from ..sources.messages import read_table
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMB_COLS)])
+
+
+@register("embedding_filter_remap", S.with_messages(f"""
+    SELECT vec_id, label, CAST(CASE {' '.join(f'WHEN label = {o} THEN {n}' for o, n in _REMAP.items())} END AS INTEGER) AS target
+    FROM embeddings WHERE label IN ({', '.join(str(c) for c in SEARCH_CLASSES)})"""))
+def q_embedding_filter_remap(spark, sf_dir):
+    """L4 on the wide-vector table: keep labels 0, 1, 3, 4 and remap them to 0..3."""
+    from ..operators.labels import filter_remap
+    kept, _, _ = filter_remap(_embedding_frame(spark, sf_dir), "label", SEARCH_CLASSES, out="target")
+    return kept.select("vec_id", "label", "target")
+
+
+@register("embedding_sample", S.with_messages("""
+    SELECT vec_id, label FROM (
+      SELECT vec_id, label,
+        row_number() OVER (PARTITION BY label ORDER BY md5(concat('42', ':', CAST(vec_id AS VARCHAR)))) - 1 AS rk,
+        count(*) OVER (PARTITION BY label) AS n
+      FROM embeddings) r WHERE rk < floor(CAST(0.2 AS DOUBLE) * n)"""))
+def q_embedding_sample(spark, sf_dir):
+    """X4 on the wide-vector table: floor(0.2 * n) vectors per label."""
+    from ..operators.splits import stratified_sample
+    return stratified_sample(_embedding_frame(spark, sf_dir), "label", 0.2, key="vec_id").select("vec_id", "label")
+
+
+def _emb_scale_sql():
+    stats = ", ".join(f"avg(e{i}) AS m{i}, stddev_pop(e{i}) AS s{i}" for i in range(EMB_DIM))
+    scaled = ", ".join(S.r6(f"(e{i} - m{i}) / CASE WHEN s{i} = 0 OR s{i} IS NULL THEN 1 ELSE s{i} END", f"e{i}")
+                       for i in range(EMB_DIM))
+    return S.with_messages(f"SELECT vec_id, {scaled} FROM emb CROSS JOIN (SELECT {stats} FROM emb) st", _EMB_SQL)
+
+
+@register("embedding_standardize", _emb_scale_sql())
+def q_embedding_standardize(spark, sf_dir):
+    """Z1 on 64 dimensions: population-std standardisation fitted and applied in one projection."""
+    from ..operators.scaling import standardize
+    e = _embedding_frame(spark, sf_dir)
+    return round_doubles(standardize(e, EMB_COLS).select("vec_id", *EMB_COLS))
+
+
+@register("embedding_variance_topk", S.with_messages("SELECT * FROM (" + S.union_all(
+    [f"SELECT 'e{i}' AS feature, {S.r6(f'var_samp(e{i})', 'variance')} FROM emb" for i in range(EMB_DIM)])
+    + ") v ORDER BY variance, feature LIMIT 10", _EMB_SQL))
+def q_embedding_variance_topk(spark, sf_dir):
+    """P12 on 64 dimensions: the 10 lowest sample variances."""
+    from ..operators.profile import variance_topk
+    return round_doubles(variance_topk(_embedding_frame(spark, sf_dir), EMB_COLS, 10))
