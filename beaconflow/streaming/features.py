@@ -107,7 +107,10 @@ def _sequence(key, pdf: pd.DataFrame, counters: tuple | None):
 
 def _advance(key, pdfs, state):
     """Unbuffered mode: each micro-batch's rows of a sender, in order-key order, continue its state."""
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("row_id", kind="stable")
+    frames = [f for f in pdfs if len(f)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True).sort_values("row_id", kind="stable")
     out, counters = _sequence(key, pdf, state.get if state.exists else None)
     state.update(counters)
     yield out
@@ -119,7 +122,7 @@ _BUF_COLS = ["row_id", "_t", *_BASE]
 def _advance_buffered(key, pdfs, state):
     """Event-time mode: rows wait in state until the watermark passes them, then are emitted
     in (event time, order key) order; an event-time timeout flushes a quiet sender."""
-    frames = [f for f in pdfs]
+    frames = [f for f in pdfs if len(f)]
     new = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=_BUF_COLS)
     if len(new):
         new = new.assign(_t=pd.to_datetime(new["_ts"]).astype("int64") / 1e9).drop(columns=["_ts"])
@@ -128,7 +131,9 @@ def _advance_buffered(key, pdfs, state):
         st = state.get
         counters = None if st[0] is None else tuple(st[:12])
         buf = pd.DataFrame({c: list(v) for c, v in zip(_BUF_COLS, st[12:])})
-    rows = pd.concat([buf, new[_BUF_COLS]] if len(new) else [buf], ignore_index=True)
+    parts = [f for f in (buf, new[_BUF_COLS] if len(new) else None) if f is not None and len(f)]
+    rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in _BUF_COLS})
+    rows = rows.astype({"row_id": "int64", **{c: "float64" for c in _BUF_COLS if c != "row_id"}})
     wm = state.getCurrentWatermarkMs() / 1000.0
     ready = rows[rows["_t"] <= wm].sort_values(["_t", "row_id"], kind="stable")
     wait = rows[rows["_t"] > wm]
@@ -168,8 +173,9 @@ def stream_features(sdf: DataFrame, group: str = "senderpseudo", event_time: str
         src = sdf.select(*cols).where(F.col(group).isNotNull())
         return src.groupBy(group).applyInPandasWithState(
             _advance, _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    # a message without event time cannot be placed in time order; it is left out of this mode
     src = (sdf.withWatermark(event_time, delay).select(*cols, F.col(event_time).alias("_ts"))
-           .where(F.col(group).isNotNull()))
+           .where(F.col(group).isNotNull() & F.col("_ts").isNotNull()))
     buf_schema = ", ".join([f"b_{c} array<{'long' if c == 'row_id' else 'double'}>" for c in _BUF_COLS])
     return src.groupBy(group).applyInPandasWithState(
         _advance_buffered, _OUT_SCHEMA, f"{_STATE_SCHEMA}, {buf_schema}", "append", GroupStateTimeout.EventTimeTimeout)
