@@ -67,6 +67,25 @@ def values_at_ranks(ranked: DataFrame, group_cols: list[str], targets: DataFrame
     return j.select(*[F.col(f"_t_{c}").alias(c) for c in group_cols], *others, *value_cols)
 
 
+def hash_cutoffs_by_size(keys: DataFrame, group_cols: list[str], hcol: str, counts_to_cuts,
+                         digits: int = 5) -> DataFrame:
+    """Like ``hash_rank_cutoffs`` with the ranks derived from each group's size.
+
+    ``counts_to_cuts(size)`` -> array of ranks; group sizes are the sums of the
+    block counts, so the input is not scanned again for them.  Returns
+    group_cols + ``_ci`` (cut index) + ``_k`` + ``_cut``.
+    """
+    blk = F.conv(F.substring(F.col(hcol), 1, digits), 16, 10).cast("long")
+    kb = keys.select(*group_cols, F.col(hcol), blk.alias("_blk"))
+    # small (groups x 16**digits rows at most) and read three times: materialise it once
+    counts = kb.groupBy(*group_cols, "_blk").agg(F.count(F.lit(1)).alias("_bn")).checkpoint(eager=True)
+    sizes = counts.groupBy(*group_cols).agg(F.sum("_bn").alias("_size"))
+    cuts = sizes.select(*group_cols, F.posexplode(counts_to_cuts(F.col("_size"))).alias("_ci", "_k"))
+    found = _cutoffs_from_counts(kb, counts, group_cols, hcol, cuts.select(*group_cols, "_k"))
+    cond = [cuts[c].eqNullSafe(found[c]) for c in group_cols] + [cuts["_k"] == found["_k"]]
+    return cuts.join(found, cond, "left").select(*[cuts[c] for c in group_cols], "_ci", cuts["_k"], "_cut")
+
+
 def hash_rank_cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, targets: DataFrame,
                       digits: int = 5) -> DataFrame:
     """The value of ``hcol`` (a lowercase hex digest) at rank ``_k`` inside each group, without sorting all rows.
@@ -81,6 +100,11 @@ def hash_rank_cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, targets
     blk = F.conv(F.substring(F.col(hcol), 1, digits), 16, 10).cast("long")
     kb = keys.select(*group_cols, F.col(hcol), blk.alias("_blk"))
     counts = kb.groupBy(*group_cols, "_blk").agg(F.count(F.lit(1)).alias("_bn"))
+    return _cutoffs_from_counts(kb, counts, group_cols, hcol, targets)
+
+
+def _cutoffs_from_counts(kb: DataFrame, counts: DataFrame, group_cols: list[str], hcol: str,
+                         targets: DataFrame) -> DataFrame:
     w = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_bn").over(w), F.lit(0)))
     t = targets.select(*[F.col(c).alias(f"_t_{c}") for c in group_cols], "_k")

@@ -236,7 +236,7 @@ def exact_quantiles_ranked(df: DataFrame, cols: list[str], probs: list[float]) -
     long = _long_values(df, cols)
     vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = rank_within(vc, ["feature"], ["value"], weight=F.col("_n"))
-    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_cnt"))
+    n = ranked.groupBy("feature").agg(F.sum("_w").alias("_cnt"))  # from the ranked table, no extra scan
     t = n.select("feature", "_cnt", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     t = t.withColumn("_h", (F.col("_cnt") - 1) * F.col("p")).withColumn("_fl", F.floor("_h").cast("long"))
     t = t.withColumn("_r0", F.col("_fl")).withColumn("_r1", F.least(F.col("_fl") + 1, F.col("_cnt") - 1))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import hash_rank_cutoffs, rank_within
+from ..functions.ranking import hash_cutoffs_by_size, rank_within
 
 
 def seeded_hash(key: str, seed: int) -> Column:
@@ -26,14 +26,11 @@ def _cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, counts_to_cuts)
 
     ``counts_to_cuts(n)`` maps the group size to an ordered list of ranks ``k``; the
     result has one row per (group, cut index) with ``_cut`` (NULL when k == n:
-    everything is before the cut).  Uses hash-prefix blocks: aggregates only, and
-    only the rows of the blocks holding a cut are ordered.
+    everything is before the cut).  Uses hash-prefix blocks: aggregates only (the
+    group sizes are sums of block counts), and only the rows of the blocks holding
+    a cut are ordered.
     """
-    sizes = keys.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
-    cuts = sizes.select(*group_cols, F.posexplode(counts_to_cuts(F.col("_size"))).alias("_ci", "_k"))
-    found = hash_rank_cutoffs(keys, group_cols, hcol, cuts.select(*group_cols, "_k"))
-    cond = [cuts[c].eqNullSafe(found[c]) for c in group_cols] + [cuts["_k"] == found["_k"]]
-    return cuts.join(found, cond, "left").select(*[cuts[c] for c in group_cols], "_ci", cuts["_k"], "_cut")
+    return hash_cutoffs_by_size(keys, group_cols, hcol, counts_to_cuts)
 
 
 def group_holdout(df: DataFrame, group: str = "senderpseudo", ratio: float = 0.8, seed: int = 42,
