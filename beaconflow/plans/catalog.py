@@ -1181,3 +1181,79 @@ def q_embedding_variance_topk(spark, sf_dir):
     """P12 on 64 dimensions: the 10 lowest sample variances."""
     from ..operators.profile import variance_topk
     return round_doubles(variance_topk(_embedding_frame(spark, sf_dir), EMB_COLS, 10))
+
+
+# --------------------------------------------------------------------------- larger tables (lineitem, orders)
+LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _read(spark, sf_dir, name):
+    from ..sources.messages import read_table
+    return read_table(spark, sf_dir, name)
+
+
+def _li_describe_sql():
+    sel = []
+    for c in LI_NUM:
+        x = f"CAST({c} AS DOUBLE)"
+        sel.append(f"SELECT '{c}' AS feature, count({x}) AS count, {S.r6(f'avg({x})', 'mean')}, "
+                   f"{S.r6(f'stddev_samp({x})', 'std')}, {S.r6(f'min({x})', 'min')}, "
+                   f"{S.r6(f'quantile_cont({x}, 0.25)', 'q25')}, {S.r6(f'quantile_cont({x}, 0.5)', 'q50')}, "
+                   f"{S.r6(f'quantile_cont({x}, 0.75)', 'q75')}, {S.r6(f'max({x})', 'max')} FROM lineitem")
+    return S.union_all(sel)
+
+
+@register("lineitem_describe", _li_describe_sql())
+def q_lineitem_describe(spark, sf_dir):
+    """P3 on the largest table: count, mean, std, min, exact quartiles, max of four numeric columns."""
+    from ..operators.profile import profile_describe
+    return round_doubles(profile_describe(_read(spark, sf_dir, "lineitem"), LI_NUM))
+
+
+@register("lineitem_distinct_counts", S.union_all(
+    [f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_distinct FROM lineitem"
+     for c in ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", *LI_NUM]]))
+def q_lineitem_distinct_counts(spark, sf_dir):
+    """P9 on the largest table (keys, flags and measures)."""
+    from ..operators.profile import distinct_counts
+    return distinct_counts(_read(spark, sf_dir, "lineitem"),
+                           ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", *LI_NUM])
+
+
+_ORD_HOLDOUT = S.holdout_cte(0.8, 42, name="ch", src="(SELECT o_custkey AS senderpseudo FROM orders)")
+
+
+@register("orders_customer_holdout", f"""WITH {_ORD_HOLDOUT}
+    SELECT o.o_orderkey, o.o_custkey, ch.split FROM orders o LEFT JOIN ch ON o.o_custkey = ch.senderpseudo""")
+def q_orders_customer_holdout(spark, sf_dir):
+    """X1 with customers as the groups: no customer's orders on both sides."""
+    from ..operators.splits import group_holdout
+    return group_holdout(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), group="o_custkey")
+
+
+_ORD_KFOLD = S.kfold_cte(5, name="ck", src="(SELECT o_custkey AS senderpseudo FROM orders)")
+
+
+@register("orders_customer_kfold", f"""WITH {_ORD_KFOLD}
+    SELECT o.o_orderkey, o.o_custkey, ck.fold FROM orders o LEFT JOIN ck ON o.o_custkey = ck.senderpseudo""")
+def q_orders_customer_kfold(spark, sf_dir):
+    """X3 with customers as the groups: 5 folds balanced by order count."""
+    from ..operators.splits import group_kfold
+    return group_kfold(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), group="o_custkey", k=5)
+
+
+@register("lineitem_stratified_split", """
+    SELECT li_key, l_returnflag,
+      CASE WHEN rk < nt THEN 'test' WHEN rk < nt + floor(CAST(0.2 AS DOUBLE) * (n - nt)) THEN 'val' ELSE 'train' END AS split
+    FROM (SELECT *, floor(CAST(0.2 AS DOUBLE) * n) AS nt FROM (
+      SELECT l_orderkey * 100 + l_linenumber AS li_key, l_returnflag,
+        row_number() OVER (PARTITION BY l_returnflag
+                           ORDER BY md5(concat('42', ':', CAST(l_orderkey * 100 + l_linenumber AS VARCHAR)))) - 1 AS rk,
+        count(*) OVER (PARTITION BY l_returnflag) AS n
+      FROM lineitem) r) c""")
+def q_lineitem_stratified_split(spark, sf_dir):
+    """X2 on the largest table, stratified by return flag (line key = order key * 100 + line number)."""
+    from ..operators.splits import stratified_split
+    li = _read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("li_key"), "l_returnflag")
+    return stratified_split(li, "l_returnflag", "li_key")
