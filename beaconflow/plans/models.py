@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import argmax
-from ..operators.evaluate import scores, soft_vote
+from ..operators.evaluate import scores
 from ..operators.features import engineer_features
 from ..operators.labels import regroup
 from ..schema import ENGINEERED_25, FEATURES_8
@@ -159,12 +159,47 @@ def cross_validate(df: DataFrame, kind: str = "forest", label: str = "label", fo
     models = [m for m, _ in results]
     vote = None
     if test is not None:
-        frames = [predict(m, test, [key]).select(key, "probability") for m in models]
-        vote = soft_vote(frames, key).join(test.select(key, label), key)
+        vote = soft_vote_models(models, test, [key, label])
     df.unpersist()
     return {"metrics": metrics, "models": models, "vote": vote}
 
 
+def _renamed(model: PipelineModel, i: int) -> PipelineModel:
+    """Copy of a fitted assembler -> scaler -> classifier pipeline writing ``_*_{i}`` columns."""
+    asm, scaler, clf = [st.copy() for st in model.stages]
+    asm.setOutputCol(f"_raw_{i}")
+    scaler.setInputCol(f"_raw_{i}").setOutputCol(f"_feat_{i}")
+    clf.setFeaturesCol(f"_feat_{i}").setPredictionCol(f"_pred_{i}").setRawPredictionCol(f"_rawp_{i}")
+    if hasattr(clf, "setProbabilityCol"):
+        clf.setProbabilityCol(f"_prob_{i}")
+    return PipelineModel([asm, scaler, clf])
+
+
+def _probability_of(df: DataFrame, i: int):
+    if f"_prob_{i}" in df.columns:
+        return vector_to_array(f"_prob_{i}")
+    raw = vector_to_array(f"_rawp_{i}")
+    sig = F.transform(raw, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * m)))
+    tot = F.aggregate(sig, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(sig, lambda v: v / tot)
+
+
+def soft_vote_models(models: list[PipelineModel], df: DataFrame, keep: list[str]) -> DataFrame:
+    """M8 without a shuffle: the k fitted pipelines score the same rows one after another
+    (per-model column names), and the probability vectors are averaged row-wise in model
+    order; class = argmax (first wins)."""
+    out = df
+    for i, m in enumerate(models):
+        out = _renamed(m, i).transform(out)
+    probs = [_probability_of(out, i) for i in range(len(models))]
+    acc = probs[0]
+    for p_ in probs[1:]:
+        acc = F.zip_with(acc, p_, lambda a, b: a + b)
+    mean = F.transform(acc, lambda v: v / F.lit(float(len(models))))
+    res = out.select(*keep, mean.alias("probability"))
+    return res.withColumn("prediction", argmax(F.col("probability")))
+
+
 def feature_importance(model: PipelineModel, features: list[str], top: int = 15) -> DataFrame:
     """M9: tree-ensemble feature importances, top ``top`` descending (a k-row table)."""
     spark = SparkSession.getActiveSession()

@@ -171,3 +171,17 @@ def test_param_search_resplit_deterministic(spark, split):
     a = sorted((r["run"], round(r["macro_f1"], 9)) for r in r1["runs"].collect())
     b = sorted((r["run"], round(r["macro_f1"], 9)) for r in r2["runs"].collect())
     assert a == b and [x for x, _ in a] == list(range(8))
+
+
+def test_soft_vote_models_equals_frame_vote(spark, split):
+    from beaconflow.operators.evaluate import soft_vote
+    tv, te = split
+    models = []
+    for seed in (1, 2, 3):
+        m, _ = M.fit(M.make_pipeline("forest", M.model_features(), "rule_class", None,
+                                     {"n_estimators": 5, "max_depth": 4, "seed": seed}), tv)
+        models.append(m)
+    chained = M.soft_vote_models(models, te, ["row_id"])
+    frames = [M.predict(m, te, ["row_id"]).select("row_id", "probability") for m in models]
+    grouped = soft_vote(frames, "row_id")
+    assert rows(chained.select("row_id", "prediction")) == rows(grouped.select("row_id", "prediction"))
