@@ -39,8 +39,13 @@ def rank_within(df: DataFrame, group_cols: list[str], order: list[Column | str],
     part = srt.groupBy("_pid").agg(F.sum("_w").alias("_pw"))
     part = part.withColumn("_poff", F.coalesce(
         F.sum("_pw").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    x = srt.withColumn("_cw", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    if weight is None:
+        # monotonically_increasing_id = partition id << 33 | position in the partition:
+        # the in-partition rank needs no window (and no shuffle)
+        x = srt.withColumn("_cw", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    else:
+        inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+        x = srt.withColumn("_cw", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     # at most num_partitions rows: a proven bound for broadcasting
     x = x.join(F.broadcast(part.select("_pid", "_poff")), "_pid").withColumn("_g_lo", F.col("_poff") + F.col("_cw"))
     if group_cols:
