@@ -8,16 +8,30 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+TARGET_PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(input_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES, minimum: int = 8) -> int:
+    """Shuffle partitions so that each holds about ``target_bytes`` of the input
+    (AQE then coalesces small ones); e.g. 100 TB -> ~800k partitions of 128 MB."""
+    return max(minimum, -(-int(input_bytes) // int(target_bytes)))
+
+
 def get_session(app: str = "beaconflow", cores: int | str | None = None,
-                shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, extra: dict | None = None,
+                input_bytes: int | None = None) -> SparkSession:
     """Session for local runs and tests.
 
     On a cluster the launcher supplies master, memory and ``spark.checkpoint.dir``;
-    this helper only fills in what is unset.  AQE (coalescing, skew-join splitting,
+    this helper only fills in what is unset.  ``input_bytes`` sizes the shuffle
+    partitions (~128 MB each, ``partitions_for``); file splits and AQE's advisory
+    partition size use the same target.  AQE (coalescing, skew-join splitting,
     runtime broadcast by measured size) is switched on explicitly because several
     operators rely on it for skewed senders.
     """
     cores = cores or os.environ.get("BENCH_CPUS") or "*"
+    if shuffle_partitions is None and input_bytes:
+        shuffle_partitions = partitions_for(input_bytes)
     parts = shuffle_partitions or (int(cores) * 2 if str(cores).isdigit() else 16)
     b = (SparkSession.builder.appName(app)
          .master(os.environ.get("SPARK_MASTER", f"local[{cores}]"))
@@ -28,6 +42,8 @@ def get_session(app: str = "beaconflow", cores: int | str | None = None,
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TARGET_PARTITION_BYTES))
+         .config("spark.sql.files.maxPartitionBytes", str(TARGET_PARTITION_BYTES))
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))
