@@ -1257,3 +1257,27 @@ def q_lineitem_stratified_split(spark, sf_dir):
     li = _read(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("li_key"), "l_returnflag")
     return stratified_split(li, "l_returnflag", "li_key")
+
+
+@register("preparation_run", S.with_messages("""
+    SELECT split, class_group, count(*) AS n FROM (
+      SELECT class_group,
+        CASE WHEN rk < nt THEN 'test' WHEN rk < nt + floor(CAST(0.2 AS DOUBLE) * (n - nt)) THEN 'val' ELSE 'train' END AS split
+      FROM (SELECT *, floor(CAST(0.2 AS DOUBLE) * n) AS nt FROM (
+        SELECT class_group,
+          row_number() OVER (PARTITION BY class_group ORDER BY md5(concat('42', ':', CAST(row_id AS VARCHAR)))) - 1 AS rk,
+          count(*) OVER (PARTITION BY class_group) AS n
+        FROM (SELECT row_id, """ + S.class_group_case('class', CLASS_GROUP) + """ AS class_group FROM messages) g) r) c) s
+    GROUP BY split, class_group"""))
+def q_preparation_run(spark, sf_dir):
+    """Preprocessing workflow (upper-case input names lower-cased, regrouped, profiled, single-valued
+    columns dropped, stratified 64/16/20 split, train-fitted scaling, table partitioned by split);
+    reports rows per split and class of the written table."""
+    from ..session import scratch_dir
+    from .preparation import run_preparation
+    m = load_messages(spark, sf_dir)
+    raw = m.select(*[F.col(c).alias(c.upper()) for c in m.columns])
+    out = scratch_dir(spark, "prepared")
+    run_preparation(raw, out, profile_path=scratch_dir(spark, "profile"))
+    t = spark.read.parquet(out)
+    return t.groupBy("split", "class_group").agg(F.count(F.lit(1)).alias("n"))

@@ -302,3 +302,17 @@ def test_sender_folds_snake_order_brute_force(spark):
     for rank, s in enumerate(order):
         q, pos = divmod(rank, 4)
         assert got[s] == (pos if q % 2 == 0 else 3 - pos)
+
+
+def test_preparation_job(spark, tmp_path):
+    from beaconflow.plans.preparation import run_preparation
+    m = load_messages(spark, SF_SMALL)
+    raw = m.select(*[F.col(c).alias(c.upper()) for c in m.columns])
+    info = run_preparation(raw, str(tmp_path / "out"), profile_path=str(tmp_path / "prof"))
+    assert "posz" in info["dropped"] and "type" in info["dropped"] and "posx" in info["scaled"]
+    t = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["split"] for r in t.select("split").distinct().collect()} == {"train", "val", "test"}
+    assert t.count() == m.count() and "posz" not in t.columns
+    s = t.where(F.col("split") == "train").agg(F.avg("posx"), F.stddev_pop("posx")).first()
+    assert abs(s[0]) < 1e-9 and abs(s[1] - 1) < 1e-9
+    assert spark.read.parquet(str(tmp_path / "prof" / "classes")).count() == 6
