@@ -34,7 +34,9 @@ def score_batch(df: DataFrame, model, key: str = "row_id", order: str = "row_id"
     """Q1: 29-column contract -> 8 columns -> 17 sequence features -> saved pipeline -> class + probabilities.
 
     ``model`` is a fitted ``PipelineModel`` (scaler + classifier) or a path to one.
-    Input order is kept through ``key``; nothing is collected.
+    Besides ``key`` the input must have exactly the 29 message columns (any order).
+    Input order is kept through ``key`` (derived from file order when absent);
+    nothing is collected.
     """
     from ..operators.features import engineer_features
     from ..schema import FEATURES_8, MESSAGE_29
@@ -43,7 +45,10 @@ def score_batch(df: DataFrame, model, key: str = "row_id", order: str = "row_id"
 
     if isinstance(model, str):
         model = load_model(model)
-    check_contract(df.drop(*[c for c in df.columns if c not in MESSAGE_29]))
+    if key not in df.columns:  # keep the input order: a dense index in scan (file) order, no sort
+        from ..functions.ranking import file_order_index
+        df = file_order_index(df, key)
+    check_contract(df.drop(key))  # exactly the 29 message columns, in any order
     base = select_features(df, [key] + [c for c in FEATURES_8 if c != key])
     feats = engineer_features(base, group=group, order=order, bucket_width=bucket_width)
     pred = predict(model, feats, [key])

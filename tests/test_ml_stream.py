@@ -185,3 +185,17 @@ def test_soft_vote_models_equals_frame_vote(spark, split):
     frames = [M.predict(m, te, ["row_id"]).select("row_id", "probability") for m in models]
     grouped = soft_vote(frames, "row_id")
     assert rows(chained.select("row_id", "prediction")) == rows(grouped.select("row_id", "prediction"))
+
+
+def test_score_batch_contract_and_file_order(spark, split, tmp_path):
+    from beaconflow.plans.scoring import score_batch
+    from beaconflow.schema import MESSAGE_29
+    tv, _ = split
+    model, _ = M.fit(M.make_pipeline("forest", M.model_features(), "rule_class", None, SMALL_FOREST), tv)
+    m = load_messages(spark, SF_SMALL).orderBy("row_id")
+    with pytest.raises(ValueError):
+        score_batch(m, model)  # an extra column (class) breaks the 29-column contract
+    p = str(tmp_path / "upload")
+    m.select(*MESSAGE_29).coalesce(1).write.parquet(p)
+    s = score_batch(spark.read.parquet(p), model)  # no key: file order gives one
+    assert sorted(r["row_id"] for r in s.select("row_id").collect()) == list(range(m.count()))
