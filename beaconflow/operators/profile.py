@@ -110,14 +110,37 @@ def class_distribution_by_split(df: DataFrame, label: str = "class", split: str
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Distinct non-missing values per column (NaN counts as missing)."""
+    """Distinct non-missing values per column (NaN counts as missing).
+
+    Exact form: values are exploded into narrow (column, value) pairs (numbers as
+    double, everything else as string), de-duplicated by a grouped aggregate and
+    counted per column - two partial aggregates instead of one ``count(DISTINCT)``
+    per column (which would copy every row once per column).  ``approx=True``
+    uses HyperLogLog sketches in one pass.
+    """
     cols = cols or df.columns
     fl = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
 
     def v(c):
         return F.nanvl(F.col(c), F.lit(None).cast("double")) if c in fl else F.col(c)
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    return _long(df.agg(*[fn(v(c)).alias(f"d__{c}") for c in cols]), cols, {"d": "n_distinct"})
+    if approx:
+        return _long(df.agg(*[F.approx_count_distinct(v(c)).alias(f"d__{c}") for c in cols]), cols,
+                     {"d": "n_distinct"})
+    spark = df.sparkSession
+    num = [f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, NUMERIC)]
+    other = [c for c in cols if c not in num]
+    parts = []
+    for group, typ in ((num, "double"), (other, "string")):
+        if not group:
+            continue
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), v(c).cast(typ).alias("value"))
+                                             for c in group]))).where(F.col("value").isNotNull())
+        parts.append(long.select("feature", "value").distinct().groupBy("feature")
+                     .agg(F.count(F.lit(1)).alias("n_distinct")))
+    names = spark.createDataFrame([(c,) for c in cols], "feature string")  # columns without values count 0
+    counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return names.join(counted, "feature", "left").select(
+        "feature", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long").alias("n_distinct"))
 
 
 def zero_variance(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
