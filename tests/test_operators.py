@@ -316,3 +316,28 @@ def test_preparation_job(spark, tmp_path):
     s = t.where(F.col("split") == "train").agg(F.avg("posx"), F.stddev_pop("posx")).first()
     assert abs(s[0]) < 1e-9 and abs(s[1] - 1) < 1e-9
     assert spark.read.parquet(str(tmp_path / "prof" / "classes")).count() == 6
+
+
+def test_empty_splits_and_samples(spark):
+    m = load_messages(spark, SF_SMALL).select("row_id", "senderpseudo", "class")
+    all_tv = X.group_holdout(m, ratio=1.0)
+    assert all_tv.where(F.col("split") == "test").count() == 0 and all_tv.count() == m.count()
+    none_tv = X.group_holdout(m, ratio=0.0)
+    assert none_tv.where(F.col("split") == "train_val").count() == 0
+    assert X.stratified_sample(m, "class", 0.0).count() == 0
+    assert X.stratified_sample(m, "class", 1.0).count() == m.count()
+    empty = m.where(F.lit(False)).select(F.col("class").alias("label"), F.col("class").alias("prediction"))
+    assert E.per_class(empty).count() == 0 and Z.class_weights(m.where(F.lit(False)), "class").count() == 0
+
+
+def test_duplicate_order_key_with_tiebreak(spark):
+    from beaconflow.operators.features import engineer_features
+    schema = "t long, k long, senderpseudo long, spdx double, spdy double, posx double, posy double, hedy double, hedx_n double"
+    data = [(1, 2, 5, 3.0, 0.0, 0.0, 0.0, 0.0, 0.0), (1, 1, 5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+            (2, 1, 5, 6.0, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(data, schema)
+    for w in (1.0, 100.0):
+        out = {r["k"] * 10 + r["t"]: r for r in engineer_features(df, order="t", tiebreak="k", bucket_width=w).collect()}
+        # order (t, k): (1,1) spdx 1 -> (1,2) spdx 3 -> (2,1) spdx 6
+        assert [out[11]["sender_sequence"], out[21]["sender_sequence"], out[12]["sender_sequence"]] == [0, 1, 2]
+        assert out[21]["acceleration_x"] == 2.0 and out[12]["acceleration_x"] == 3.0
