@@ -1281,3 +1281,12 @@ def q_preparation_run(spark, sf_dir):
     run_preparation(raw, out, profile_path=scratch_dir(spark, "profile"))
     t = spark.read.parquet(out)
     return t.groupBy("split", "class_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_features_event_time")
+def q_stream_features_event_time(spark, sf_dir):
+    """T1 in event-time mode: send time as event time, 10-minute watermark, rows buffered in state and
+    emitted in event-time order; the last 10 minutes wait behind the final watermark (append mode)."""
+    from ..streaming.features import stream_features
+    src = _stream_source(spark, sf_dir).withColumn("ts", F.timestamp_seconds("sendtime"))
+    return _run_stream(spark, stream_features(src, event_time="ts", delay="10 minutes"), "stream-features-et")
