@@ -127,18 +127,15 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool =
         return _long(df.agg(*[F.approx_count_distinct(v(c)).alias(f"d__{c}") for c in cols]), cols,
                      {"d": "n_distinct"})
     spark = df.sparkSession
-    num = [f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, NUMERIC)]
-    other = [c for c in cols if c not in num]
-    parts = []
-    for group, typ in ((num, "double"), (other, "string")):
-        if not group:
-            continue
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), v(c).cast(typ).alias("value"))
-                                             for c in group]))).where(F.col("value").isNotNull())
-        parts.append(long.select("feature", "value").distinct().groupBy("feature")
-                     .agg(F.count(F.lit(1)).alias("n_distinct")))
+    num = {f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, NUMERIC)}
+    # one scan: each pair carries its value in the numeric or the string slot
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 (v(c).cast("double") if c in num else F.lit(None).cast("double")).alias("num"),
+                 (F.lit(None).cast("string") if c in num else F.col(c).cast("string")).alias("str"))
+        for c in cols]))).where(F.col("num").isNotNull() | F.col("str").isNotNull())
+    counted = long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
     names = spark.createDataFrame([(c,) for c in cols], "feature string")  # columns without values count 0
-    counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return names.join(counted, "feature", "left").select(
         "feature", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long").alias("n_distinct"))
 
