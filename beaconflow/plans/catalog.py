@@ -138,7 +138,7 @@ def _missing_sql():
     sel = []
     for c in PROFILE_COLS:
         cond = f"{c} IS NULL OR isnan({c})" if _is_double(c) else f"{c} IS NULL"
-        sel.append(f"SELECT '{c}' AS feature, count_if({cond}) AS n_missing FROM messages")
+        sel.append(f"SELECT '{c}' AS feature, CAST(count_if({cond}) AS BIGINT) AS n_missing FROM messages")
     return S.with_messages(S.union_all(sel))
 
 
@@ -149,7 +149,8 @@ def q_profile_missing(spark, sf_dir):
 
 
 @register("profile_inf", S.with_messages(S.union_all(
-    [f"SELECT '{c}' AS feature, count_if(isinf(CAST({c} AS DOUBLE))) AS n_inf FROM messages" for c in PROFILE_COLS])))
+    [f"SELECT '{c}' AS feature, CAST(count_if(isinf(CAST({c} AS DOUBLE))) AS BIGINT) AS n_inf FROM messages"
+     for c in PROFILE_COLS])))
 def q_profile_inf(spark, sf_dir):
     from ..operators.profile import profile_inf
     return profile_inf(load_messages(spark, sf_dir), PROFILE_COLS)
