@@ -51,6 +51,11 @@ def _depth(v) -> int:
     return max(1, min(30, int(v)))
 
 
+# Tree learners: node ids cached between levels (checkpointed every 10 iterations into the
+# session's checkpoint folder) and 1 GB for split statistics per pass, so deep trees need fewer passes.
+TREE_EXEC = dict(cacheNodeIds=True, maxMemoryInMB=1024)
+
+
 def make_classifier(kind: str, label: str, weight: str | None, params: dict | None = None, n_features: int = 25,
                     n_classes: int = 6, features: str = "features"):
     p = dict(params or {})
@@ -60,7 +65,8 @@ def make_classifier(kind: str, label: str, weight: str | None, params: dict | No
         clf = RandomForestClassifier(numTrees=int(p.get("n_estimators", FOREST["n_estimators"])),
                                      maxDepth=_depth(p.get("max_depth", FOREST["max_depth"])), seed=seed,
                                      subsamplingRate=float(p.get("subsample", 1.0)),
-                                     featureSubsetStrategy=str(p.get("colsample_bytree", "auto")), **common)
+                                     featureSubsetStrategy=str(p.get("colsample_bytree", "auto")), **TREE_EXEC,
+                                     **common)
     elif kind in ("boosted", "gbt_ovr"):
         d = BOOSTED_FINAL
         gbt = GBTClassifier(maxDepth=_depth(p.get("max_depth", d["max_depth"])),
@@ -70,10 +76,10 @@ def make_classifier(kind: str, label: str, weight: str | None, params: dict | No
                             featureSubsetStrategy=str(p.get("colsample_bytree", d["colsample_bytree"])),
                             minInfoGain=float(p.get("gamma", 0.0)),
                             minWeightFractionPerNode=min(0.49, float(p.get("min_child_weight", 0.0)) / 1000.0),
-                            seed=seed, checkpointInterval=10, featuresCol=features)
+                            seed=seed, checkpointInterval=10, featuresCol=features, **TREE_EXEC)
         clf = OneVsRest(classifier=gbt, **common)
     elif kind == "tree":
-        clf = DecisionTreeClassifier(maxDepth=_depth(p.get("max_depth", 10)), seed=seed, **common)
+        clf = DecisionTreeClassifier(maxDepth=_depth(p.get("max_depth", 10)), seed=seed, **TREE_EXEC, **common)
     elif kind == "logreg":
         clf = LogisticRegression(maxIter=int(p.get("max_iter", 100)), regParam=float(p.get("reg_lambda", 0.0)),
                                  family="multinomial", **common)
