@@ -1005,7 +1005,6 @@ def q_auc_ovr(spark, sf_dir):
 @register("score_records")
 def q_score_records(spark, sf_dir):
     """Q2: the most recent message of every sender as a CSV text record, scored after its sender's history."""
-    from pyspark.sql import Window
     from ..schema import MESSAGE_29
     from .models import fit, make_pipeline, model_features
     from .scoring import score_records
@@ -1021,7 +1020,6 @@ def q_score_records(spark, sf_dir):
     text = spark.read.parquet(path)
     hist = m.join(last, "row_id", "left_anti")
     scored, _ = score_records(text, model, history=hist)
-    del Window
     return scored.select("row_id", "prediction", "confidence")
 
 
