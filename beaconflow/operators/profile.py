@@ -78,9 +78,10 @@ def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def class_distribution(df: DataFrame, label: str = "class") -> DataFrame:
     """Count and share (%) per class; the class table is small (one row per class)."""
+    from ..functions.columns import pct
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     tot = F.sum("n").over(Window.partitionBy())
-    return g.withColumn("pct", F.round(F.col("n") * 100.0 / tot, 2))
+    return g.withColumn("pct", pct(F.col("n"), tot, 2))
 
 
 def class_order(df: DataFrame, label: str = "class") -> DataFrame:
@@ -100,8 +101,9 @@ def class_distribution_by_split(df: DataFrame, label: str = "class", split: str
     out = out.select(F.col(split).alias("split"), F.col(label).alias("class"), "n", "level")
     tot = F.sum(F.when(F.col("level") == 3, F.col("n"))).over(Window.partitionBy())
     split_tot = F.max(F.when(F.col("level") == 1, F.col("n"))).over(Window.partitionBy("split"))
-    out = (out.withColumn("pct_of_split", F.when(F.col("level") == 0, F.round(F.col("n") * 100.0 / split_tot, 2)))
-           .withColumn("pct_of_total", F.round(F.col("n") * 100.0 / tot, 2)))
+    from ..functions.columns import pct
+    out = (out.withColumn("pct_of_split", F.when(F.col("level") == 0, pct(F.col("n"), split_tot, 2)))
+           .withColumn("pct_of_total", pct(F.col("n"), tot, 2)))
     if names is not None:
         from .labels import with_class_name
         out = with_class_name(out, "class", "class_name", names).withColumn(

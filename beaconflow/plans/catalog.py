@@ -167,7 +167,7 @@ def q_profile_duplicates(spark, sf_dir):
 
 
 @register("class_distribution", S.with_messages("""
-    SELECT class, count(*) AS n, round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 2) AS pct
+    SELECT class, count(*) AS n, """ + S.pct("count(*)", "sum(count(*)) OVER ()") + """ AS pct
     FROM messages GROUP BY class"""))
 def q_class_distribution(spark, sf_dir):
     from ..operators.profile import class_distribution
@@ -175,7 +175,7 @@ def q_class_distribution(spark, sf_dir):
 
 
 @register("class_order", S.with_messages(f"""
-    SELECT class_group, count(*) AS n, round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 2) AS pct
+    SELECT class_group, count(*) AS n, {S.pct("count(*)", "sum(count(*)) OVER ()")} AS pct
     FROM (SELECT {S.class_group_case('class', CLASS_GROUP)} AS class_group FROM messages) m GROUP BY class_group"""))
 def q_class_order(spark, sf_dir):
     """P14 on the regrouped label (frequency order; compared as a multiset)."""
@@ -185,8 +185,8 @@ def q_class_order(spark, sf_dir):
 
 @register("class_distribution_by_split", S.with_messages(f"""
     SELECT split, class, CASE WHEN class IS NOT NULL THEN {S.name_case('class', CLASS_NAMES)} END AS class_name, n, level,
-      CASE WHEN level = 0 THEN round(CAST(n AS DOUBLE) * 100 / max(CASE WHEN level = 1 THEN n END) OVER (PARTITION BY split), 2) END AS pct_of_split,
-      round(CAST(n AS DOUBLE) * 100 / sum(CASE WHEN level = 3 THEN n END) OVER (), 2) AS pct_of_total
+      CASE WHEN level = 0 THEN {S.pct("n", "max(CASE WHEN level = 1 THEN n END) OVER (PARTITION BY split)")} END AS pct_of_split,
+      {S.pct("n", "sum(CASE WHEN level = 3 THEN n END) OVER ()")} AS pct_of_total
     FROM (
       SELECT h.split AS split, m.class_group AS class, CAST(count(*) AS BIGINT) AS n,
              CAST(GROUPING(h.split, m.class_group) AS INTEGER) AS level

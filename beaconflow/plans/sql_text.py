@@ -143,3 +143,10 @@ def per_class_cte(src: str, label: str, pred: str, by: list[str] | None = None,
     sum(f1 * support) / sum(support) AS weighted_f1, avg(precision) AS macro_precision, avg(recall) AS macro_recall
   FROM {name} {'GROUP BY ' + ', '.join(by) if by else ''}
 )"""
+
+
+def pct(n: str, total: str, digits: int = 2) -> str:
+    """Same exact half-up percentage as ``functions.columns.pct``."""
+    scale = 10 ** (digits + 2)
+    return (f"CAST((CAST({n} AS BIGINT) * {2 * scale} + CAST({total} AS BIGINT)) // (CAST({total} AS BIGINT) * 2) "
+            f"AS BIGINT) / CAST({10 ** digits} AS DOUBLE)")
