@@ -61,7 +61,11 @@ def repeated_group_holdout(df: DataFrame, trials: int, group: str = "senderpseud
 
 def stratified_split(df: DataFrame, label: str = "class", key: str = "row_id", test: float = 0.2, val: float = 0.2,
                      seed: int = 42, out: str = "split") -> DataFrame:
-    """Per class, first floor(test*n) rows in hash order -> test, next floor(val*(n - n_test)) -> val, rest -> train."""
+    """Per class, first floor(test*n) rows in hash order -> test, next floor(val*(n - n_test)) -> val, rest -> train.
+
+    ``key`` must identify rows uniquely: rows with equal keys share a hash and always
+    fall on the same side of a cut.
+    """
     hk = seeded_hash(key, seed)
     keys = df.select(label, hk.alias("_h"))
 
@@ -85,7 +89,10 @@ def stratified_split(df: DataFrame, label: str = "class", key: str = "row_id", t
 
 def stratified_sample(df: DataFrame, label: str = "class", rate: float = 0.2, key: str = "row_id",
                       seed: int = 42) -> DataFrame:
-    """Exactly floor(rate * n_c) rows per class, without replacement (first in hash order)."""
+    """Exactly floor(rate * n_c) rows per class, without replacement (first in hash order).
+
+    ``key`` must identify rows uniquely (equal keys share a hash and are kept or dropped together).
+    """
     hk = seeded_hash(key, seed)
     c = _cutoffs(df.select(label, hk.alias("_h")), [label], "_h",
                  lambda n: F.array(F.floor(F.lit(float(rate)) * n).cast("long")))

@@ -1245,47 +1245,17 @@ def q_orders_customer_kfold(spark, sf_dir):
     SELECT li_key, l_returnflag,
       CASE WHEN rk < nt THEN 'test' WHEN rk < nt + floor(CAST(0.2 AS DOUBLE) * (n - nt)) THEN 'val' ELSE 'train' END AS split
     FROM (SELECT *, floor(CAST(0.2 AS DOUBLE) * n) AS nt FROM (
-      SELECT l_orderkey * 100 + l_linenumber AS li_key, l_returnflag,
-        row_number() OVER (PARTITION BY l_returnflag
-                           ORDER BY md5(concat('42', ':', CAST(l_orderkey * 100 + l_linenumber AS VARCHAR)))) - 1 AS rk,
+      SELECT li_key, l_returnflag,
+        row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(concat('42', ':', li_key))) - 1 AS rk,
         count(*) OVER (PARTITION BY l_returnflag) AS n
-      FROM lineitem) r) c""")
+      FROM (SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+                             CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS li_key, l_returnflag
+            FROM lineitem) k) r) c""")
 def q_lineitem_stratified_split(spark, sf_dir):
-    """X2 on the largest table, stratified by return flag (line key = order key * 100 + line number)."""
+    """X2 on the largest table, stratified by return flag.  The line key is order key, line number,
+    part key and supplier key together (order key and line number alone repeat in this table)."""
     from ..operators.splits import stratified_split
     li = _read(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("li_key"), "l_returnflag")
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+        .alias("li_key"), "l_returnflag")
     return stratified_split(li, "l_returnflag", "li_key")
-
-
-@register("preparation_run", S.with_messages("""
-    SELECT split, class_group, count(*) AS n FROM (
-      SELECT class_group,
-        CASE WHEN rk < nt THEN 'test' WHEN rk < nt + floor(CAST(0.2 AS DOUBLE) * (n - nt)) THEN 'val' ELSE 'train' END AS split
-      FROM (SELECT *, floor(CAST(0.2 AS DOUBLE) * n) AS nt FROM (
-        SELECT class_group,
-          row_number() OVER (PARTITION BY class_group ORDER BY md5(concat('42', ':', CAST(row_id AS VARCHAR)))) - 1 AS rk,
-          count(*) OVER (PARTITION BY class_group) AS n
-        FROM (SELECT row_id, """ + S.class_group_case('class', CLASS_GROUP) + """ AS class_group FROM messages) g) r) c) s
-    GROUP BY split, class_group"""))
-def q_preparation_run(spark, sf_dir):
-    """Preprocessing workflow (upper-case input names lower-cased, regrouped, profiled, single-valued
-    columns dropped, stratified 64/16/20 split, train-fitted scaling, table partitioned by split);
-    reports rows per split and class of the written table."""
-    from ..session import scratch_dir
-    from .preparation import run_preparation
-    m = load_messages(spark, sf_dir)
-    raw = m.select(*[F.col(c).alias(c.upper()) for c in m.columns])
-    out = scratch_dir(spark, "prepared")
-    run_preparation(raw, out, profile_path=scratch_dir(spark, "profile"))
-    t = spark.read.parquet(out)
-    return t.groupBy("split", "class_group").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("stream_features_event_time")
-def q_stream_features_event_time(spark, sf_dir):
-    """T1 in event-time mode: send time as event time, 10-minute watermark, rows buffered in state and
-    emitted in event-time order; the last 10 minutes wait behind the final watermark (append mode)."""
-    from ..streaming.features import stream_features
-    src = _stream_source(spark, sf_dir).withColumn("ts", F.timestamp_seconds("sendtime"))
-    return _run_stream(spark, stream_features(src, event_time="ts", delay="10 minutes"), "stream-features-et")
