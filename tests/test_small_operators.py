@@ -55,3 +55,19 @@ def test_confusion_wide_delta_and_fold_summary(spark):
     folds = spark.createDataFrame([(0, "accuracy", 0.8), (1, "accuracy", 0.9)], "fold int, metric string, value double")
     s = E.fold_summary(folds, ["metric"]).first()
     assert s["n_folds"] == 2 and abs(s["mean"] - 0.85) < 1e-12 and abs(s["two_std"] - 0.1) < 1e-12
+
+
+def test_alternate_paths_agree(spark):
+    from beaconflow.operators import scaling as Z
+    m = load_messages(spark, SF_SMALL)
+    w = Z.class_weights(m, "class")
+    as_map = {r["row_id"]: r["weight"] for r in Z.with_weight(m, w, "class").select("row_id", "weight").collect()}
+    as_join = {r["row_id"]: r["weight"] for r in Z.with_weight(m, w, "class", max_classes=2).select("row_id", "weight").collect()}
+    assert as_map == as_join
+    cols = ["posx", "posy", "spdy", "hedy"]
+    gram = {(r["col_a"], r["col_b"]): r["corr"] for r in P.correlation_matrix(m, cols, method="gram").collect()}
+    pair = {(r["col_a"], r["col_b"]): r["corr"] for r in P.correlation_matrix(m, cols, method="pairwise").collect()}
+    assert all(abs(gram[k] - pair[k]) < 1e-9 for k in gram)
+    exact = {r["feature"]: r["n_distinct"] for r in P.distinct_counts(m, ["posx", "posy"]).collect()}
+    approx = {r["feature"]: r["n_distinct"] for r in P.distinct_counts(m, ["posx", "posy"], approx=True).collect()}
+    assert all(abs(approx[c] - exact[c]) <= 0.1 * exact[c] + 2 for c in exact)
