@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import chat, langid, quality, secrets, sharding
+from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,3 +57,29 @@ def op9_byte_shards(spark, sf_dir):
     return sharding.byte_shards(docs, 24, ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    """Statistics of all ``documents``, the base rule and the decision list learned from ``labels``."""
+    stats = pin(quality.statistics(table(spark, sf_dir, "documents")), "quality")
+    rules = quality.learn(stats, table(spark, sf_dir, "labels"))
+    return quality.judge(stats, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    """Language of all ``documents`` by a network trained on those whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    net = langid.learn(docs.where(F.coalesce(~held, F.lit(True))))
+    return langid.predict(docs, net).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_secret_scan(spark, sf_dir):
+    """Spans of secrets in all ``documents``, found through the trigram index."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = tuple(r.kind for r in secrets.BASE_RULES)
+    return found.select("doc_id", *[secrets.count_kind(k).alias(f"n_{k}") for k in base],
+                        F.sha2(secrets.span_text(kinds=base), 256).alias("base_sha256"), secrets.span_text().alias("spans"))

@@ -26,12 +26,10 @@ def byte_shards(df: DataFrame, n_shards: int, order: list[str], size: str = "siz
     ``order`` gives the order in which rows are laid out (ties and nulls allowed: nulls first, tied
     rows in any fixed order), ``size`` a positive long.  Empty input gives empty output; a shard
     may stay empty when single rows are larger than the target.  A row larger than the target takes a
-    shard of its own middle.  Columns of ``df`` named ``shard``, ``slot`` or starting with ``_`` clash
-    and are refused.
+    shard of its own middle.  Columns of ``df`` named ``shard`` or ``slot`` are replaced, others with a
+    leading ``_`` are left out.
     """
-    taken = [c for c in df.columns if c in ("shard", "slot") or c.startswith("_")]
-    if taken:
-        raise ValueError(f"columns in the way: {taken}")
+    df = df.drop("shard", "slot", *[c for c in df.columns if c.startswith("_")])
     laid = laid_out(df, order, "shards")
     total = laid.agg(F.sum(size)).first()[0] or 1
     rows = before(laid, {"_start": F.col(size), "_row": F.lit(1)}, [])

@@ -2,7 +2,6 @@
 
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from beaconflow.llm import chat, sharding
@@ -43,8 +42,9 @@ def test_shards_of_odd_rows(spark):
     for shard in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
     assert sharding.byte_shards(df.limit(0), 4, ["doc_id"]).collect() == []
-    with pytest.raises(ValueError):
-        sharding.byte_shards(df.withColumn("slot", F.lit(1)), 4, ["doc_id"])
+    odd = df.withColumn("slot", F.lit("x")).withColumn("_pid", F.lit(1))
+    assert {(r.doc_id, r.size, r.shard, r.slot) for r in sharding.byte_shards(odd, 4, ["doc_id", "size"]).collect()} == {
+        (r.doc_id, r.size, r.shard, r.slot) for r in sharding.byte_shards(df, 4, ["doc_id", "size"]).collect()}
 
 
 def brute_chat(rows):
