@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, quality, secrets, sharding
+from . import chat, langid, packing, quality, secrets, sharding
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: The tokenizer file of the queries; the operators take a path.
+BPE_FILE = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(BPE_FILE)
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -83,3 +92,9 @@ def op5_secret_scan(spark, sf_dir):
     base = tuple(r.kind for r in secrets.BASE_RULES)
     return found.select("doc_id", *[secrets.count_kind(k).alias(f"n_{k}") for k in base],
                         F.sha2(secrets.span_text(kinds=base), 256).alias("base_sha256"), secrets.span_text().alias("spans"))
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    """All ``documents`` as token pieces in sequences of 1024."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
