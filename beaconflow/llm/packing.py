@@ -82,11 +82,11 @@ def place_best_fit(need: np.ndarray, capacity: int) -> Counter:
     return Counter(tuple(sorted(Counter(x).items())) for x in open_)
 
 
-def solve(histogram: np.ndarray, capacity: int, eta: float, eps: float = 0.2, bend: float = 0.1,
+def solve(histogram: np.ndarray, capacity: int, eta: float, eps: float = 0.2, bend: float = 1.0,
           stop: float = 0.0006) -> Counter:
     """Uses of configurations ((length, copies), ...) that together give every piece a place.
 
-    Multiplicative weights on the covering program: a length's weight starts a little above its share
+    Multiplicative weights on the covering program: a length's weight starts above its share
     of a sequence (``bend`` favours long pieces, which fit worst) and is multiplied after each step by
     ``exp(eta * lag)``, where lag is the part of its pieces not yet covered beyond the mean.  A step
     uses the best configuration with each length, the longest first, for a part ``eps`` of its
@@ -119,7 +119,7 @@ def solve(histogram: np.ndarray, capacity: int, eta: float, eps: float = 0.2, be
     return used
 
 
-def configurations(histogram: np.ndarray, capacity: int, rates: tuple[float, ...] = (0.0, 0.01, 0.05)) -> list[tuple[tuple, int]]:
+def configurations(histogram: np.ndarray, capacity: int, rates: tuple[float, ...] = (0.005, 0.01, 0.02)) -> list[tuple[tuple, int]]:
     """The best of the solutions for a few learning rates.
 
     Its size is bounded by ``capacity`` and the steps (logarithmic in the number of pieces), not by the corpus.
