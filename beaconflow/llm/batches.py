@@ -19,10 +19,12 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def slices(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the named text or binary columns hold about ``SLICE_BYTES`` in each slice."""
+    """Cut a batch so that the named text, binary or integer list columns hold about ``SLICE_BYTES`` in each slice."""
     size = np.zeros(batch.num_rows, np.int64)
     for t in texts:
-        size += np.asarray(pc.fill_null(pc.binary_length(batch.column(t)), 0).to_numpy(zero_copy_only=False), np.int64)
+        c = batch.column(t)
+        held = pc.multiply(pc.list_value_length(c), 4) if pa.types.is_list(c.type) else pc.binary_length(c)
+        size += np.asarray(pc.fill_null(held, 0).to_numpy(zero_copy_only=False), np.int64)
     start, held = 0, 0
     for i, n in enumerate(size.tolist()):
         if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
@@ -34,19 +36,30 @@ def slices(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
 
 
 def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str,
-              texts: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Apply ``work`` (columns as lists -> columns as lists) to slices of ``df``; rows may come and go."""
+              texts: tuple[str, ...] = ("text",), raw: tuple[str, ...] = ()) -> DataFrame:
+    """Apply ``work`` (columns as lists -> columns as lists) to slices of ``df``; rows may come and go.
+
+    ``raw`` columns are handed over as Arrow arrays; results may be Arrow arrays too.
+    """
     made = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, list(texts)):
-                out = work(part.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in made], schema=made)
+                out = work({c: part.column(c) if c in raw else part.column(c).to_pylist() for c in part.schema.names})
+                cols = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in made]
+                yield pa.RecordBatch.from_arrays(cols, schema=made)
 
     return df.mapInArrow(run, schema)
 
 
+def int_lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """An Arrow list array of the given integer arrays."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied when it holds a million, so its memory is bounded."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, quality, secrets, sharding
+from . import bpe, chat, langid, packing, quality, secrets, sharding
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,12 @@ def op5_secret_scan(spark, sf_dir):
 def op4_best_fit_packing(spark, sf_dir):
     """All ``documents`` as token pieces in sequences of 1024."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op2_bpe_encode_decode(spark, sf_dir):
+    """All whole ``documents`` texts to ids with chunk reuse, and back."""
+    path = tokenizer_path()
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
