@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, secrets, sharding
+from . import bpe, chat, langid, minhash, packing, quality, secrets, sharding
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def op2_bpe_encode_decode(spark, sf_dir):
     ids = bpe.encode(table(spark, sf_dir, "documents"), path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
     return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op1_minhash_dedup(spark, sf_dir):
+    """Near-duplicate components of all ``documents`` on 3-word shingles at 85 %."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
