@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_texts
-from .common import before, laid_out
+from .common import before, laid_out, pin
 from .tokens import encoder
 
 
@@ -170,7 +170,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, key:
     separate documents; no documents, no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    p = laid_out(pieces(docs, path, capacity, end_id, key, text), ["length", key, "piece", "ids_crc32"], "pieces")
+    # written before it is counted, sampled and dealt out: texts are encoded once
+    p = laid_out(pin(pieces(docs, path, capacity, end_id, key, text), "encoded"), ["length", key, "piece", "ids_crc32"], "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for l, n in p.groupBy("length").count().collect():
         counts[l] = n
