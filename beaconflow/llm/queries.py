@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, minhash, packing, quality, secrets, sharding
+from . import bpe, chat, embeddings, langid, minhash, packing, quality, secrets, sharding
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op2_bpe_encode_decode(spark, sf_dir):
 def op1_minhash_dedup(spark, sf_dir):
     """Near-duplicate components of all ``documents`` on 3-word shingles at 85 %."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_embedding_dedup(spark, sf_dir):
+    """Links and components of all ``embeddings`` at cosine 0.9."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
