@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, langid, minhash, packing, quality, secrets, sharding
+from . import bpe, chat, embeddings, langid, lm, minhash, packing, quality, secrets, sharding
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,11 @@ def op1_minhash_dedup(spark, sf_dir):
 def op3_embedding_dedup(spark, sf_dir):
     """Links and components of all ``embeddings`` at cosine 0.9."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_lm_score(spark, sf_dir):
+    """Unigram and context-mixing scores of all ``documents``, learned from those whose crc32(doc_id) mod 5 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
+    return lm.score_texts(docs.withColumn("_held", held), "_held")
