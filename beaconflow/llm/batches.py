@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -53,6 +54,24 @@ def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+def add_columns(docs: DataFrame, keep: list[str], text: str, new: str, work: Callable[[list], dict[str, list]]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the columns that ``work`` makes of the texts (in place of any of that name).
+
+    ``new`` is their schema; the text itself goes along only if ``keep`` names it.
+    """
+    made = [f.name for f in StructType.fromDDL(new)]
+    keep = [c for c in dict.fromkeys(keep) if c not in made]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    x = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("_t"))
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        return work(cols.pop("_t")) | cols
+
+    schema = ", ".join([*[f"_c{i} {types[c]}" for i, c in enumerate(keep)], new])
+    out = map_texts(x, run, schema, ("_t",))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], *made)
+
+
 def int_lists(parts: list[np.ndarray]) -> pa.ListArray:
     """An Arrow list array of the given integer arrays."""
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)

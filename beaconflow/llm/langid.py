@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import map_texts
+from .batches import add_columns
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PAD = max(WIDTHS) - 1
@@ -128,37 +128,35 @@ def labelled_windows(labelled: DataFrame, per_lang: int = 1000, windows: int = 3
     return [w for w, _ in pairs], [lang for _, lang in pairs]
 
 
-def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` of every whole text.
+def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``keep``, ``lang_pred`` and ``score`` of every whole text.
 
     A text that is null or has no letter gets ``und`` with score 0, and so does every text when there
     was nothing to learn from (``net`` None).  Only the text is looked at.
     """
-    kind = docs.schema[key].dataType.simpleString()
     made: dict[str, list] = {}
 
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        pred, score = [UNKNOWN] * len(rows["k"]), [0.0] * len(rows["k"])
-        live = [i for i, t in enumerate(rows["text"]) if net and t and any(map(str.isalpha, t))]
+    def work(texts: list) -> dict[str, list]:
+        pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        live = [i for i, t in enumerate(texts) if net and t and any(map(str.isalpha, t))]
         if live:
             if "pairs" not in made:
                 made["pairs"] = net.pairs()
-            parts, ends, n = [], [], 0
+            parts, starts, n = [], [], 0
             for i in live:
-                b = encode(rows["text"][i])
+                b = encode(texts[i])
                 fill = -(-(len(b) + PAD) // WINDOW)
                 parts.append(b + b" " * (fill * WINDOW - len(b)))
-                ends.append(n)
+                starts.append(n)
                 n += fill
             x = np.frombuffer(b"".join(parts) + b" " * PAD, np.uint8)
-            p = np.add.reduceat(net.windows(x, made["pairs"]), ends, axis=0)
+            p = np.add.reduceat(net.windows(x, made["pairs"]), starts, axis=0)
             p /= p.sum(axis=1, keepdims=True)
             for i, best, s in zip(live, p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
                 pred[i], score[i] = net.langs[best], min(1.0, s)
-        return {"k": rows["k"], "lang_pred": pred, "score": score}
+        return {"lang_pred": pred, "score": score}
 
-    x = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    return map_texts(x, work, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
+    return add_columns(docs, [key, *keep], text, "lang_pred string, score double", work)
 
 
 def learn(labelled: DataFrame) -> ByteNet | None:

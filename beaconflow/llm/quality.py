@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import SPACES, WordHashes, map_texts, ngrams
+from .batches import SPACES, WordHashes, add_columns, ngrams
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -57,18 +57,15 @@ def text_statistics(text: str | None, hashes: WordHashes) -> tuple:
             share(UPPER, chars), share(DIGITS, chars), share(MARKS, chars), float(times.max()) / n, len(same) / n)
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, COUNTS and FEATURES of every row's whole text."""
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``keep``, COUNTS and FEATURES of every row's whole text."""
     hashes, names = WordHashes(), [*COUNTS, *FEATURES[1:]]
 
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        cols = list(zip(*[text_statistics(t, hashes) for t in rows["text"]]))
-        return {"k": rows["k"], **{c: list(v) for c, v in zip(names, cols)}}
+    def work(texts: list) -> dict[str, list]:
+        return {c: list(v) for c, v in zip(names, zip(*[text_statistics(t, hashes) for t in texts]))}
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = ", ".join([f"k {kind}", *[f"{c} long" for c in COUNTS], *[f"{c} double" for c in FEATURES[1:]]])
-    x = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    return map_texts(x, work, schema).withColumnRenamed("k", key)
+    new = ", ".join([*[f"{c} long" for c in COUNTS], *[f"{c} double" for c in FEATURES[1:]]])
+    return add_columns(docs, [key, *keep], text, new, work)
 
 
 @dataclass(frozen=True)
