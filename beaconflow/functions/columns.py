@@ -31,27 +31,15 @@ def nan_to_null(c: Column | str) -> Column:
     return F.nanvl(col, F.lit(None).cast("double"))
 
 
-def is_missing(c: str) -> Column:
-    return F.col(c).isNull() | F.isnan(F.col(c))
-
-
 def argmax(arr: Column) -> Column:
     """0-based position of the largest element; the first one wins ties."""
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
-def safe_div(num: Column, den: Column, default: float | None = 0.0) -> Column:
-    out = F.try_divide(num, den)
-    return out if default is None else F.coalesce(out, F.lit(default))
-
-
 def pct(n: Column | str, total: Column | str, digits: int = 2) -> Column:
     """100 * n / total rounded half-up to ``digits`` decimals, in exact integer arithmetic
     (a double-based round can land on either side of a .5 boundary in different engines)."""
-    n_ = (F.col(n) if isinstance(n, str) else n).cast("long")
-    t_ = (F.col(total) if isinstance(total, str) else total).cast("long")
-    scale = 10 ** (digits + 2)
-    a = n_ * (2 * scale) + t_
-    b = t_ * 2
-    q = ((a - F.pmod(a, b)) / b).cast("long")  # exact integer quotient (a - a mod b is a multiple of b)
-    return q / F.lit(float(10 ** digits))
+    n_ = (F.col(n) if isinstance(n, str) else n).cast("decimal(20,0)")
+    t_ = (F.col(total) if isinstance(total, str) else total).cast("decimal(20,0)")
+    scaled = n_ * F.lit(2 * 10 ** (digits + 2)).cast("decimal(10,0)") + t_
+    return F.call_function("div", scaled, t_ * F.lit(2).cast("decimal(1,0)")) / F.lit(float(10 ** digits))

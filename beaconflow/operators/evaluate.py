@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import argmax
+from ..functions.ranking import rank_within
 from ..schema import GAP_BANDS, GAP_OTHERWISE
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "prediction", by: list[str] | None = None) -> DataFrame:
-    """Long-form confusion counts (by..., label, prediction, n)."""
-    return (df.groupBy(*(by or []), F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("prediction"))
+    """Long-form confusion counts (by..., label, prediction, n).
+
+    Rows without a label or without a prediction cannot be judged and are left out, here and so in
+    everything that starts from these counts (E1-E6).
+    """
+    return (df.where(F.col(label).isNotNull() & F.col(pred).isNotNull()).groupBy(*(by or []), F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("prediction"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -106,47 +111,32 @@ def baseline_delta(current: DataFrame, baseline: DataFrame, keys: list[str] = ["
             .withColumn("verdict", F.when(delta > 0, "improved").when(delta < 0, "worse").otherwise("equal")))
 
 
-def soft_vote(prob_frames: list[DataFrame], key: str = "row_id", prob: str = "probability") -> DataFrame:
-    """M8: mean class-probability vector over models, class = argmax (first wins).
+def soft_vote(df: DataFrame, probs: list[str], keep: list[str]) -> DataFrame:
+    """M8: mean class-probability vector over the models' columns of a row, class = argmax (first wins).
 
-    Frames are (key, array<double>) with equal-length arrays; they are unioned and
-    summed per key in model order (a fixed order, so ties resolve the same way
-    on every run).  A key's list has one entry per model.
+    ``probs`` are array<double> columns of equal length; a projection, summed in model order (a fixed
+    order, so ties resolve the same way on every run).
     """
-    u = None
-    for i, f in enumerate(prob_frames):
-        s = f.select(key, F.struct(F.lit(i).alias("m"), F.col(prob).cast("array<double>").alias("p")).alias("_mp"))
-        u = s if u is None else u.unionByName(s)
-    k = len(prob_frames)
-    g = u.groupBy(key).agg(F.array_sort(F.collect_list("_mp")).alias("_ps"))
-    ps = F.transform(F.col("_ps"), lambda x: x["p"])
-    summed = F.aggregate(F.slice(ps, 2, k), ps[0], lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-    out = g.select(key, F.transform(summed, lambda v: v / F.lit(float(k))).alias("probability"))
-    return out.withColumn("prediction", argmax(F.col("probability")))
-
-
-def evaluate_predictions(df: DataFrame, label: str = "label", pred: str = "prediction") -> dict:
-    """Small dict for run records (accuracy, macro F1, weighted F1)."""
-    r = scores(df, label, pred).first()
-    return {"accuracy": r["accuracy"], "macro_f1": r["macro_f1"], "weighted_f1": r["weighted_f1"], "n": r["n"]}
+    total = F.col(probs[0])
+    for c in probs[1:]:
+        total = F.zip_with(total, F.col(c), lambda a, b: a + b)
+    mean = F.transform(total, lambda v: v / F.lit(float(len(probs))))
+    return df.select(*keep, mean.alias("probability")).withColumn("prediction", argmax(F.col("probability")))
 
 
-def auc_one_vs_rest(pred: DataFrame, label: str = "label", prob: str = "probability", n_classes: int | None = None):
-    """ROC AUC of class k against the rest from probability[k], per class, plus their mean.
+def auc_one_vs_rest(pred: DataFrame, label: str = "label", prob: str = "probability") -> DataFrame:
+    """Exact ROC AUC of class k against the rest from probability[k], per class, plus their mean.
 
-    Each AUC is Spark's BinaryClassificationEvaluator (a distributed sort of the scores).
+    Rows are counted per (class, distinct score); the score's rank among the rest comes from running
+    totals over range partitions, and AUC is the rank sum with ties counted half.  A class without
+    rows of its own or of others has NULL.  Rows without a label are left out.
     """
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    spark = pred.sparkSession
-    k = n_classes or len(pred.select(prob).first()[0])
-    ev = BinaryClassificationEvaluator(rawPredictionCol="_score", labelCol="_is", metricName="areaUnderROC")
-    rows = []
-    for c in range(k):
-        d = pred.select(F.col(prob)[c].alias("_score"), (F.col(label) == c).cast("double").alias("_is"))
-        if d.where(F.col("_is") == 1.0).limit(1).count() == 0 or d.where(F.col("_is") == 0.0).limit(1).count() == 0:
-            rows.append((str(c), None))
-            continue
-        rows.append((str(c), float(ev.evaluate(d))))
-    vals = [v for _, v in rows if v is not None]
-    rows.append(("mean", float(sum(vals) / len(vals)) if vals else None))
-    return spark.createDataFrame(rows, "class string, auc double")
+    long = pred.where(F.col(label).isNotNull()).select(F.col(label).alias("_l"), F.posexplode(prob).alias("_k", "_s"))
+    own = F.col("_l") == F.col("_k")
+    g = long.groupBy("_k", "_s").agg(F.count_if(own).alias("_pos"), F.count_if(~own).alias("_neg"))
+    r = rank_within(g, ["_k"], ["_s"], weight=F.col("_neg"))
+    a = r.groupBy("_k").agg(F.sum(F.col("_pos") * (F.col("_rank") + F.col("_w") / 2)).alias("_u"),
+                            F.sum("_pos").alias("_p"), F.sum("_w").alias("_n"))
+    per = a.select(F.col("_k").cast("string").alias("class"),
+                   F.try_divide(F.col("_u"), F.col("_p").cast("double") * F.col("_n")).alias("auc"))
+    return per.unionByName(per.agg(F.avg("auc").alias("auc")).select(F.lit("mean").alias("class"), "auc"))

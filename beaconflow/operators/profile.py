@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import nan_to_null
 from ..functions.ranking import rank_within, values_at_ranks
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -114,8 +115,8 @@ def class_distribution_by_split(df: DataFrame, label: str = "class", split: str
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Distinct non-missing values per column (NaN counts as missing).
 
-    Exact form: values are exploded into narrow (column, value) pairs (numbers as
-    double, everything else as string), de-duplicated by a grouped aggregate and
+    Exact form: values are exploded into narrow (column, value) pairs (floats as double,
+    integers as long, everything else as string), de-duplicated by a grouped aggregate and
     counted per column - two partial aggregates instead of one ``count(DISTINCT)``
     per column (which would copy every row once per column).  ``approx=True``
     uses HyperLogLog sketches in one pass.
@@ -129,13 +130,16 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool =
         return _long(df.agg(*[F.approx_count_distinct(v(c)).alias(f"d__{c}") for c in cols]), cols,
                      {"d": "n_distinct"})
     spark = df.sparkSession
-    num = {f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, NUMERIC)}
-    # one scan: each pair carries its value in the numeric or the string slot
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"),
-                 (v(c).cast("double") if c in num else F.lit(None).cast("double")).alias("num"),
-                 (F.lit(None).cast("string") if c in num else F.col(c).cast("string")).alias("str"))
-        for c in cols]))).where(F.col("num").isNotNull() | F.col("str").isNotNull())
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))}
+
+    def slots(c):
+        """The value in the slot of its kind: a long above 2**53 has no exact double."""
+        kind = "num" if c in fl else "whole" if c in whole else "str"
+        return [(v(c).cast(t) if k == kind else F.lit(None).cast(t)).alias(k)
+                for k, t in (("num", "double"), ("whole", "long"), ("str", "string"))]
+    # one scan: each pair carries its value in one of three slots
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *slots(c)) for c in cols]))).where(
+        F.coalesce(F.col("num").cast("string"), F.col("whole").cast("string"), F.col("str")).isNotNull())
     counted = long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
     names = spark.createDataFrame([(c,) for c in cols], "feature string")  # columns without values count 0
     return names.join(counted, "feature", "left").select(
@@ -168,46 +172,51 @@ def drop_zero_variance(df: DataFrame, cols: list[str] | None = None) -> DataFram
 
 def variance_topk(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
     """Sample variance per column, lowest first, first k (ties by name)."""
-    agg = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(f"v__{c}") for c in cols])
+    agg = df.agg(*[F.var_samp(nan_to_null(F.col(c).cast("double"))).alias(f"v__{c}") for c in cols])
     # Rank on the normalised value so that mathematically equal variances tie and fall back to the name.
     from ..functions.columns import r6
     return _long(agg, cols, {"v": "variance"}).orderBy(r6("variance"), "feature").limit(k)
 
 
-def correlation_matrix(df: DataFrame, cols: list[str], method: str = "auto") -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (col_a <= col_b, upper triangle).
 
-    Without missing values (checked in one aggregate) the Gram matrix is built by
-    Spark ML's ``Correlation`` in one tree-aggregate pass; the k x k result is
-    bounded by the column count.  With missing values each pair uses only rows
-    where both are present: covariance / std in one aggregate, ``try_divide``
-    giving NULL for a constant column instead of the ANSI divide-by-zero error.
+    A pair uses the rows where both values are present (NaN counts as missing).  Every task turns
+    its rows into co-moment sums of all pairs with a few matrix products (values shifted by the columns' means,
+    so that large offsets such as epoch seconds do not cancel digits) and emits one row
+    per pair; the sums are added by a grouped aggregate.  A constant column gives NULL.
     """
-    spark = df.sparkSession
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    if method in ("auto", "gram"):
-        n_missing = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c)
-                             for c in cols]).first()
-        if method == "gram" or not any(n_missing[c] for c in cols):
-            from pyspark.ml.feature import VectorAssembler
-            from pyspark.ml.stat import Correlation
-            vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(
-                df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-            mat = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-            idx = {c: i for i, c in enumerate(cols)}
-            data = [(a, b, None if mat[idx[a], idx[b]] != mat[idx[a], idx[b]] else float(mat[idx[a], idx[b]]))
-                    for a, b in pairs]
-            return spark.createDataFrame(data, "col_a string, col_b string, corr double")
-    exprs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        xa, yb = F.when(both, x), F.when(both, y)
-        exprs.append(F.try_divide(F.covar_samp(xa, yb), F.stddev_samp(xa) * F.stddev_samp(yb)).alias(f"c{i}"))
-    agg = df.agg(*exprs)
-    structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
-               for i, (a, b) in enumerate(pairs)]
-    return agg.select(F.inline(F.array(*structs)))
+    x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    mean = x.agg(*[F.avg(c).alias(c) for c in x.columns]).first()  # one value per column
+    shift = [mean[c] if mean[c] is not None and math.isfinite(mean[c]) else 0.0 for c in x.columns]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    a, b = [i for i, _ in pairs], [j for _, j in pairs]
+
+    def moments(batches):
+        import numpy as np
+        import pyarrow as pa
+        k = len(shift)
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, k))
+            here = ~np.isnan(v)
+            m, v = here.astype(float), np.where(here, v - shift, 0.0)
+            total += np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.array(t[a, b]) for t in total]],
+                                         names=["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    s = x.mapInArrow(moments, "a int, b int, " + ", ".join(f"{c} double" for c in names)).groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in names])
+    n = F.col("n")
+
+    def spread(sq, s1):  # n * variance; rounding noise of a constant column counts as none
+        v = n * F.col(sq) - F.col(s1) * F.col(s1)
+        return F.when(v > F.lit(1e-12) * n * F.col(sq), v)
+    r = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy")))
+    name = F.array(*[F.lit(c) for c in cols])
+    return s.select(name[F.col("a")].alias("col_a"), name[F.col("b")].alias("col_b"),
+                    F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).when(~F.isnan(r), r).alias("corr"))
 
 
 def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
@@ -253,8 +262,13 @@ def _pick_and_interpolate(ranked: DataFrame, keys: list[str], targets: DataFrame
     return piv.select("feature", "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * frac).alias("value"))
 
 
-def exact_quantiles_ranked(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact quantiles by ranking every distinct value (fallback path; sorts all values)."""
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (h = (n-1)p).
+
+    Values are counted per (column, value) first, with partial aggregation, so a value that most rows
+    share is one row; the distinct values are ranked over range partitions with their counts as
+    weights, and the two ranks around each h are read.  One path at every size.
+    """
     long = _long_values(df, cols)
     vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = rank_within(vc, ["feature"], ["value"], weight=F.col("_n"))
@@ -265,89 +279,6 @@ def exact_quantiles_ranked(df: DataFrame, cols: list[str], probs: list[float]) -
     return _pick_and_interpolate(ranked, ["feature"], t)
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000,
-                    attempts: int = 3, window_limit: int = 2_000_000, method: str = "auto",
-                    rank_all_below: int = 20_000_000) -> DataFrame:
-    """Exact quantiles with linear interpolation (h = (n-1)p), without sorting all values.
-
-    1. One sketch pass: count and ``percentile_approx`` at p +/- margin per column
-       bracket each target rank in a narrow value interval [lo, hi].
-    2. One aggregate: values below lo (offset) and inside [lo, hi] per (column, p).
-    3. Only the values inside the intervals are ranked (``rank_within``) and the two
-       ranks around h are read.
-    The counts prove the bracket holds; otherwise the margin widens, and after
-    ``attempts`` the affected columns fall back to ranking all their values.
-    ``method="auto"`` ranks all values directly when there are at most
-    ``rank_all_below`` of them (one cheap row count decides); ``"sketch"`` forces
-    the bracketed path.
-    """
-    spark = df.sparkSession
-    if method == "ranked" or (method == "auto" and df.count() * len(cols) <= rank_all_below):
-        # small enough that ranking every value is a cheap distributed sort
-        return exact_quantiles_ranked(df, cols, probs)
-    long = _long_values(df, cols)
-    margin = 2.0 / accuracy
-    pending = list(cols)
-    pieces = []
-    for _ in range(attempts):
-        if not pending:
-            break
-        qp = sorted({min(1.0, max(0.0, p + sgn * margin)) for p in probs for sgn in (-1, 1)})
-        sk = (long.where(F.col("feature").isin(pending)).groupBy("feature")
-              .agg(F.count(F.lit(1)).alias("_cnt"), F.percentile_approx("value", qp, accuracy).alias("_q"))).collect()
-        rows_t = []  # (feature, p, lo, hi, cnt, h, fl, r0, r1): bounded by columns x probs
-        for r in sk:
-            q = dict(zip(qp, r["_q"]))
-            for p in probs:
-                lo = q[min(1.0, max(0.0, p - margin))]
-                hi = q[min(1.0, max(0.0, p + margin))]
-                h = (r["_cnt"] - 1) * p
-                fl = int(math.floor(h))
-                rows_t.append((r["feature"], float(p), float(lo), float(hi), int(r["_cnt"]), float(h), fl, fl,
-                               min(fl + 1, r["_cnt"] - 1)))
-        if not rows_t:
-            break
-        t = spark.createDataFrame(rows_t, "feature string, p double, lo double, hi double, _cnt long, _h double, "
-                                          "_fl long, _r0 long, _r1 long")
-        j = long.join(F.broadcast(t), "feature")  # columns x probs rows
-        cnt = j.groupBy("feature", "p").agg(F.count_if(F.col("value") < F.col("lo")).alias("_below"),
-                                           F.count_if((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-                                           .alias("_inside")).collect()
-        ok = {}
-        for r in cnt:
-            ok[(r["feature"], r["p"])] = (r["_below"], r["_inside"])
-        good_t, bad_feats, biggest = [], set(), 0
-        for row in rows_t:
-            below, inside = ok.get((row[0], row[1]), (0, 0))
-            r0, r1 = row[7] - below, row[8] - below
-            if r0 >= 0 and r1 < inside:
-                good_t.append((*row[:7], r0, r1))
-                biggest = max(biggest, inside)
-            else:
-                bad_feats.add(row[0])
-        good_t = [g for g in good_t if g[0] not in bad_feats]
-        if good_t:
-            tt = spark.createDataFrame(good_t, t.schema)
-            cand = long.join(F.broadcast(tt.select("feature", "p", "lo", "hi")), "feature").where(
-                (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))).select("feature", "p", "value")
-            if biggest <= window_limit:
-                # every interval's size is counted above: a window per (column, p) is bounded by it
-                w = Window.partitionBy("feature", "p").orderBy("value")
-                ranked = cand.withColumn("_rank", (F.row_number().over(w) - 1).cast("long")).withColumn(
-                    "_w", F.lit(1).cast("long"))
-            else:
-                ranked = rank_within(cand, ["feature", "p"], ["value"])
-            pieces.append(_pick_and_interpolate(ranked, ["feature", "p"], tt.drop("lo", "hi", "_cnt")))
-        pending = sorted(bad_feats)
-        margin *= 4
-    if pending:
-        pieces.append(exact_quantiles_ranked(df, pending, probs))
-    out = pieces[0]
-    for p_ in pieces[1:]:
-        out = out.unionByName(p_)
-    return out
-
-
 def profile_describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, std (ddof 1), min, 25/50/75 % (linear interpolation), max.
 

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .labels import map_literal
+from ..functions.columns import nan_to_null
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    """Z1 fit: mean and population std per column, in one aggregate (one row reaches the driver)."""
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
+    """Z1 fit: mean and population std per column (NaN counts as missing), in one aggregate (one row reaches the driver)."""
+    x = [nan_to_null(F.col(c).cast("double")) for c in cols]
+    row = df.agg(*[F.avg(v).alias(f"m_{i}") for i, v in enumerate(x)],
+                 *[F.stddev_pop(v).alias(f"s_{i}") for i, v in enumerate(x)]).first()
     return {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(cols)}
 
 
-def scaler_table(stats: dict[str, tuple[float, float]], spark) -> DataFrame:
-    return spark.createDataFrame([(c, m, s) for c, (m, s) in stats.items()], "column string, mean double, std double")
-
-
 def apply_scaler(df: DataFrame, stats: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:
     """Z1 apply: (x - mean) / std, a zero (or undefined) std divides by 1.  Pure projection."""
     out = df
@@ -60,11 +57,7 @@ def class_weights(df: DataFrame, label: str = "class", method: str | None = "bal
     return g.withColumn("weight", w.cast("double"))
 
 
-def with_weight(df: DataFrame, weights: DataFrame, label: str = "class", out: str = "weight",
-                max_classes: int = 10_000) -> DataFrame:
-    """Row weight from its class, as a map lookup (the class table is checked to be small)."""
-    rows = weights.select(label, "weight").limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        return df.join(weights.select(label, F.col("weight").alias(out)), label, "left")
-    m = map_literal({r[0]: float(r[1]) for r in rows if r[0] is not None})
-    return df.withColumn(out, F.element_at(m, F.col(label)).cast("double"))
+def with_weight(df: DataFrame, weights: DataFrame, label: str = "class", out: str = "weight") -> DataFrame:
+    """Row weight from its class, by a left join with the class table (a row without a class gets NULL)."""
+    w = weights.select(F.col(label).alias("_class"), F.col("weight").alias(out))
+    return df.join(w, df[label] == w["_class"], "left").drop("_class")

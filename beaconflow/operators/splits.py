@@ -26,9 +26,8 @@ def _cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, counts_to_cuts)
 
     ``counts_to_cuts(n)`` maps the group size to an ordered list of ranks ``k``; the
     result has one row per (group, cut index) with ``_cut`` (NULL when k == n:
-    everything is before the cut).  Uses hash-prefix blocks: aggregates only (the
-    group sizes are sums of block counts), and only the rows of the blocks holding
-    a cut are ordered.
+    everything is before the cut).  Uses hash-prefix blocks: aggregates only, and only the
+    rows of the blocks holding a cut are ordered.
     """
     return hash_cutoffs_by_size(keys, group_cols, hcol, counts_to_cuts)
 
@@ -102,18 +101,48 @@ def stratified_sample(df: DataFrame, label: str = "class", rate: float = 0.2, ke
     return j.where(keep).drop("_h", "_k", "_cut")
 
 
+def _deal(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Folds of groups, largest first, each to the fold with the fewest rows (ties: the lowest fold).
+
+    ``sizes``: (size, number of groups), largest first.  Groups of one size are dealt together: rows
+    (size, first rank, end rank, cycle) say that the group of rank r gets ``cycle[(r - first) % len]``.  While the
+    lightest folds stay below the next one they take turns, so whole rounds are booked at once.
+    """
+    load, rows = [0] * k, []
+    for size, n in sizes:
+        rank = 0
+        while rank < n:
+            order = sorted(range(k), key=lambda f: (load[f], f))
+            # the folds within one group of the lightest take one each, in this order, before any takes a second
+            turn = [f for f in order if load[f] - load[order[0]] < size]
+            above = [load[f] for f in order[len(turn):]]
+            rounds = (n - rank) // len(turn)
+            if above:  # as long as even the heaviest of them stays below the next fold
+                rounds = min(rounds, max(0, (min(above) - load[turn[-1]] - 1) // size))
+            if rounds < 1:
+                turn, rounds = [order[0]], 1
+            rows.append((size, rank, rank + rounds * len(turn), turn))
+            for f in turn:
+                load[f] += rounds * size
+            rank += rounds * len(turn)
+    return rows
+
+
 def sender_folds(df: DataFrame, group: str = "senderpseudo", k: int = 5) -> DataFrame:
-    """Fold per sender: senders by size (desc, id asc) dealt to folds in snake order 0..k-1, k-1..0, ...
+    """Fold per sender: the largest sender first, each to the fold with the fewest rows so far (ties: lowest fold,
+    equal senders by id).
 
-    Keeps fold sizes balanced by rows like largest-first greedy assignment, and
-    needs only a distributed ranking of the sender table.
+    The rule only sees sizes, so the driver deals the table of distinct sizes (its rows are at most
+    the square root of twice the number of messages); senders find their fold by their rank within their size.
     """
+    spark = df.sparkSession
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-    r = rank_within(sizes, [], [F.col("n_rows").desc(), F.col(group).asc()])
-    q = F.floor(F.col("_rank") / k)
-    pos = F.pmod(F.col("_rank"), F.lit(k))
-    fold = F.when(F.pmod(q, F.lit(2)) == 0, pos).otherwise(F.lit(k - 1) - pos).cast("int")
-    return r.select(group, "n_rows", fold.alias("fold"))
+    r = rank_within(sizes, ["n_rows"], [F.col(group).asc()])
+    table = sorted(((x["n_rows"], x["n"]) for x in r.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    dealt = spark.createDataFrame(_deal(table, k), "_size long, _a long, _b long, _turn array<int>")
+    j = r.join(dealt, (F.col("n_rows") == F.col("_size")) & (F.col("_rank") >= F.col("_a")) & (F.col("_rank") < F.col("_b")))
+    place = F.pmod(F.col("_rank") - F.col("_a"), F.size("_turn").cast("long")).cast("int")
+    return j.select(group, "n_rows", F.get(F.col("_turn"), place).cast("int").alias("fold"))
 
 
 def group_kfold(df: DataFrame, group: str = "senderpseudo", k: int = 5, out: str = "fold") -> DataFrame:

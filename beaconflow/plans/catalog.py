@@ -638,16 +638,16 @@ def q_baseline_delta(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- voting, export, preview
-def _vote_frames(spark, sf_dir):
-    """Three deterministic 6-class probability vectors per message: one-hot at the rule class,
+def _vote(spark, sf_dir):
+    """The vote of three deterministic 6-class probability vectors per message: one-hot at the rule class,
     one-hot at the next class, uniform."""
+    from ..operators.evaluate import soft_vote
     from ..sources.messages import with_rule_class
-    m = with_rule_class(load_messages(spark, sf_dir)).select("row_id", "rule_class")
-    a = m.select("row_id", F.array(*[(F.col("rule_class") == k).cast("double") for k in range(6)]).alias("probability"))
-    b = m.select("row_id", F.array(*[(F.pmod(F.col("rule_class") + 1, F.lit(6)) == k).cast("double")
-                                     for k in range(6)]).alias("probability"))
-    c = m.select("row_id", F.array(*[F.lit(1.0 / 6.0) for _ in range(6)]).alias("probability"))
-    return [a, b, c]
+    m = with_rule_class(load_messages(spark, sf_dir)).select(
+        "row_id", F.array(*[(F.col("rule_class") == k).cast("double") for k in range(6)]).alias("p0"),
+        F.array(*[(F.pmod(F.col("rule_class") + 1, F.lit(6)) == k).cast("double") for k in range(6)]).alias("p1"),
+        F.array(*[F.lit(1.0 / 6.0) for _ in range(6)]).alias("p2"))
+    return soft_vote(m, ["p0", "p1", "p2"], ["row_id"])
 
 
 def _vote_cte():
@@ -664,8 +664,7 @@ def _vote_cte():
     f"SELECT row_id, prediction, {S.r6('list_max(p)', 'confidence')} FROM vote", _vote_cte()))
 def q_soft_vote(spark, sf_dir):
     """M8: mean probability vector of three scorers, class = argmax (first wins a tie)."""
-    from ..operators.evaluate import soft_vote
-    v = soft_vote(_vote_frames(spark, sf_dir))
+    v = _vote(spark, sf_dir)
     return round_doubles(v.select("row_id", "prediction", F.array_max("probability").alias("confidence")))
 
 
@@ -677,12 +676,11 @@ def q_soft_vote(spark, sf_dir):
     FROM vote""", _vote_cte()))
 def q_prediction_export(spark, sf_dir):
     """Export rows (1-based row number by input order, class label, confidence %, probabilities)."""
-    from ..operators.evaluate import soft_vote
     from ..plans.scoring import export_table
     from ..session import scratch_dir
     from ..sources.sinks import EXPORT_HEADER, export_predictions
     path = scratch_dir(spark, "export")
-    export_predictions(export_table(soft_vote(_vote_frames(spark, sf_dir)), order="row_id"), path)
+    export_predictions(export_table(_vote(spark, sf_dir), order="row_id"), path)
     back = spark.read.option("header", True).csv(path)
     names = ["row", "predicted_class", "confidence", "probabilities"]
     return back.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(EXPORT_HEADER, names)]).withColumn(
@@ -694,9 +692,8 @@ def q_prediction_export(spark, sf_dir):
     FROM vote QUALIFY row_number() OVER (ORDER BY row_id) <= 100""", _vote_cte()))
 def q_preview_topn(spark, sf_dir):
     """Q3/Q5: first 100 predictions by input order, the total scored, and whether more exist."""
-    from ..operators.evaluate import soft_vote
     from ..plans.scoring import preview
-    return preview(soft_vote(_vote_frames(spark, sf_dir)).select("row_id", "prediction"), 100, "row_id")
+    return preview(_vote(spark, sf_dir).select("row_id", "prediction"), 100, "row_id")
 
 
 # --------------------------------------------------------------------------- record parsing, rate windows
@@ -984,8 +981,7 @@ def q_run_record(spark, sf_dir):
     _vote_cte()))
 def q_prediction_totals(spark, sf_dir):
     """Q5: samples scored in total and per predicted class."""
-    from ..operators.evaluate import soft_vote
-    v = soft_vote(_vote_frames(spark, sf_dir))
+    v = _vote(spark, sf_dir)
     g = v.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
     return g.withColumn("total", F.sum("n").over(Window.partitionBy()).cast("long"))
@@ -999,7 +995,7 @@ def q_auc_ovr(spark, sf_dir):
     from .models import fit, make_pipeline, model_features, predict
     tv, te = _ml_split(spark, sf_dir)
     model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
-    return auc_one_vs_rest(predict(model, te, ["rule_class"]), "rule_class", n_classes=6)
+    return auc_one_vs_rest(predict(model, te, ["rule_class"]), "rule_class")
 
 
 @register("score_records")
@@ -1233,7 +1229,7 @@ def q_orders_customer_holdout(spark, sf_dir):
 _ORD_KFOLD = S.kfold_cte(5, name="ck", src="(SELECT o_custkey AS senderpseudo FROM orders)")
 
 
-@register("orders_customer_kfold", f"""WITH {_ORD_KFOLD}
+@register("orders_customer_kfold", f"""WITH RECURSIVE {_ORD_KFOLD}
     SELECT o.o_orderkey, o.o_custkey, ck.fold FROM orders o LEFT JOIN ck ON o.o_custkey = ck.senderpseudo""")
 def q_orders_customer_kfold(spark, sf_dir):
     """X3 with customers as the groups: 5 folds balanced by order count."""

@@ -60,7 +60,7 @@ FEATURES_CTE = """feat_base AS (
 
 def with_messages(body: str, *ctes: str) -> str:
     parts = [MESSAGES_CTE] + list(ctes)
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
 def r6(expr: str, alias: str) -> str:
@@ -90,14 +90,17 @@ def holdout_cte(ratio: float = 0.8, seed: int = 42, name: str = "holdout", src:
 
 
 def kfold_cte(k: int = 5, name: str = "kfold", src: str = "messages") -> str:
-    return f"""{name}_sizes AS (
-  SELECT senderpseudo, count(*) AS n_rows FROM {src} WHERE senderpseudo IS NOT NULL GROUP BY senderpseudo
-), {name}_rank AS (
-  SELECT *, row_number() OVER (ORDER BY n_rows DESC, senderpseudo ASC) - 1 AS rk FROM {name}_sizes
+    """Senders, the largest first, one after another to the fold with the fewest rows."""
+    return f"""{name}_rank AS (
+  SELECT senderpseudo, count(*) AS n_rows, row_number() OVER (ORDER BY count(*) DESC, senderpseudo ASC) AS rk
+  FROM {src} WHERE senderpseudo IS NOT NULL GROUP BY senderpseudo
+), {name}_greedy AS (
+  SELECT CAST(0 AS BIGINT) AS rk, CAST([{", ".join("0" * k)}] AS BIGINT[]) AS loads, CAST(NULL AS INTEGER) AS fold
+  UNION ALL
+  SELECT n.rk, list_transform(g.loads, lambda x, i: CASE WHEN i = g.at THEN x + n.n_rows ELSE x END), CAST(g.at - 1 AS INTEGER)
+  FROM (SELECT *, list_position(loads, list_min(loads)) AS at FROM {name}_greedy) g JOIN {name}_rank n ON n.rk = g.rk + 1
 ), {name} AS (
-  SELECT senderpseudo, n_rows,
-    CAST(CASE WHEN (rk // {k}) % 2 = 0 THEN rk % {k} ELSE {k - 1} - rk % {k} END AS INTEGER) AS fold
-  FROM {name}_rank
+  SELECT r.senderpseudo, r.n_rows, g.fold FROM {name}_rank r JOIN {name}_greedy g ON g.rk = r.rk
 )"""
 
 

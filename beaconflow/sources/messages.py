@@ -7,6 +7,8 @@ column pruning and filters still reach the Parquet scan.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,13 +95,11 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", labelled
 
 
 def check_contract(df: DataFrame, columns: list[str] = MESSAGE_29) -> DataFrame:
-    """S3: exactly these columns, in any order; raises ValueError otherwise."""
-    have = set(df.columns)
-    want = set(columns)
+    """S3: exactly these columns, each once, in any order; raises ValueError otherwise."""
+    have, want = Counter(df.columns), Counter(columns)
     if have != want:
-        missing = sorted(want - have)
-        extra = sorted(have - want)
-        raise ValueError(f"expected {len(columns)} columns; missing={missing} extra={extra}")
+        raise ValueError(f"expected {len(columns)} columns; missing={sorted((want - have).elements())} "
+                         f"extra={sorted((have - want).elements())}")
     return df
 
 
@@ -125,23 +125,24 @@ def parse_records(df: DataFrame, col: str = "record", keep: list[str] | None = N
     a reason.  Pure column expressions, so it runs inside whole-stage codegen.
     """
     keep = keep or []
-    # Parse once into an array (a separate projection: Catalyst does not inline a
+    # Parse once into arrays (a separate projection: Catalyst does not inline a
     # non-cheap expression into its 30 references).
-    vals = F.transform(F.split(F.trim(F.col(col)), ","), lambda x: F.trim(x).try_cast("double"))
-    step = df.select(*keep, F.col(col), vals.alias("_vals"))
-    casts = []
+    parts = F.transform(F.split(F.trim(F.col(col)), ","), lambda x: F.trim(x))
+    step = df.select(*keep, F.col(col), parts.alias("_parts"),
+                     F.transform(parts, lambda x: x.try_cast("double")).alias("_vals"))
+    casts, ints_ok = [], F.lit(True)
     for i, f in enumerate(MESSAGE_SCHEMA.fields):
         num = F.get(F.col("_vals"), i)
         if isinstance(f.dataType, (T.IntegerType, T.LongType)):
-            # integer fields accept integral numbers written as floats ("4.0")
-            num = F.when(num == F.floor(num), num.try_cast(f.dataType.simpleString()))
+            kind = f.dataType.simpleString()
+            text = F.get(F.col("_parts"), i)
+            # digits are read as an integer (a double has no room for ids above 2**53); integral
+            # numbers written as floats ("4.0") come through the double
+            whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(kind)).when(num == F.floor(num), num.try_cast(kind))
+            ints_ok = ints_ok & whole.isNotNull()
+            num = whole
         casts.append(num.alias(f.name))
     n = F.size("_vals")
-    ints_ok = F.lit(True)
-    for i, f in enumerate(MESSAGE_SCHEMA.fields):
-        if isinstance(f.dataType, (T.IntegerType, T.LongType)):
-            v = F.get(F.col("_vals"), i)
-            ints_ok = ints_ok & (v == F.floor(v))
     bad_num = F.exists("_vals", lambda x: x.isNull()) | ~F.coalesce(ints_ok, F.lit(False))
     reason = (F.when(n < 29, F.lit("too few values"))
               .when(n > 29, F.lit("too many values"))
@@ -170,10 +171,9 @@ def read_xy(spark: SparkSession, x_path: str, y_path: str, fmt: str = "csv", lab
     def read(p):
         r = spark.read.option("header", True)
         return r.csv(p) if fmt == "csv" else r.parquet(p)
-    xr = read(x_path)
-    x = file_order_index(xr.select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in xr.columns]), "_row")
-    yr = read(y_path)
-    y = file_order_index(yr.select(F.col(f"`{yr.columns[0]}`").try_cast("double").try_cast("int").alias(label)), "_row")
+    xr, yr = read(x_path), read(y_path)
+    x = file_order_index(xr, "_row").select("_row", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in xr.columns])
+    y = file_order_index(yr, "_row").select("_row", F.col(f"`{yr.columns[0]}`").try_cast("double").try_cast("int").alias(label))
     n_x, n_y = x.count(), y.count()
     if n_x != n_y:
         raise ValueError(f"X has {n_x} rows but y has {n_y}")

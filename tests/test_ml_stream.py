@@ -182,8 +182,10 @@ def test_soft_vote_models_equals_frame_vote(spark, split):
                                      {"n_estimators": 5, "max_depth": 4, "seed": seed}), tv)
         models.append(m)
     chained = M.soft_vote_models(models, te, ["row_id"])
-    frames = [M.predict(m, te, ["row_id"]).select("row_id", "probability") for m in models]
-    grouped = soft_vote(frames, "row_id")
+    wide = te.select("row_id")
+    for i, m in enumerate(models):
+        wide = wide.join(M.predict(m, te, ["row_id"]).select("row_id", F.col("probability").alias(f"p{i}")), "row_id")
+    grouped = soft_vote(wide, ["p0", "p1", "p2"], ["row_id"])
     assert rows(chained.select("row_id", "prediction")) == rows(grouped.select("row_id", "prediction"))
 
 

@@ -55,10 +55,97 @@ def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(1)
     vals = rng.normal(size=301).round(2).tolist() + [0.5] * 40
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    for method in ("auto", "sketch"):
-        got = {r["p"]: r["value"] for r in P.exact_quantiles(df, ["v"], [0.25, 0.5, 0.75], method=method).collect()}
-        for p in (0.25, 0.5, 0.75):
-            assert abs(got[p] - np.percentile(vals, p * 100)) < 1e-12
+    got = {r["p"]: r["value"] for r in P.exact_quantiles(df, ["v"], [0.25, 0.5, 0.75]).collect()}
+    for p in (0.25, 0.5, 0.75):
+        assert abs(got[p] - np.percentile(vals, p * 100)) < 1e-12
+
+
+def test_correlation_with_nan_null_and_large_offsets(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) + np.array([1.7e9, 0, -50, 3])
+    data = [[float(v) for v in row] for row in x]
+    for i in range(0, 400, 7):
+        data[i][i % 4] = None if i % 2 else NAN
+    cols = ["a", "b", "c", "d"]
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in P.correlation_matrix(spark.createDataFrame(data, "a double, b double, c double, d double"), cols).collect()}
+    y = np.array([[NAN if v is None else v for v in row] for row in data])
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols[i:], i):
+            both = ~np.isnan(y[:, i]) & ~np.isnan(y[:, j])
+            assert abs(got[(a, b)] - np.corrcoef(y[both, i], y[both, j])[0, 1]) < 1e-9
+
+
+def test_large_integers_keep_apart(spark):
+    df = spark.createDataFrame([(2 ** 53 + i,) for i in range(4)], "id long")
+    assert P.distinct_counts(df).first()["n_distinct"] == 4
+    row = [str(v) for v in [4, 1.5, 7, 71, 9007199254740993] + [0.5] * 24]
+    good, _ = parse_records(spark.createDataFrame([(",".join(row),)], "record string"))
+    assert good.first()["messageid"] == 9007199254740993 and good.first()["type"] == 4
+    good, rejects = parse_records(spark.createDataFrame([(",".join(["4.0"] + row[1:]),), (",".join(["4.5"] + row[1:]),)], "record string"))
+    assert good.count() == 1 and rejects.count() == 1
+
+
+def test_percentages_of_large_totals(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    from beaconflow.functions.columns import pct
+    rng = np.random.default_rng(2)
+    data = [(int(n), int(t)) for t in rng.integers(10 ** 12, 10 ** 14, 3000) for n in [rng.integers(0, t)]]
+    got = spark.createDataFrame(data, "n long, t long").select("n", "t", pct("n", "t").alias("p")).collect()
+    assert all(r.p == float((Decimal(r.n) * 100 / r.t).quantize(Decimal("0.01"), ROUND_HALF_UP)) for r in got)
+
+
+def test_contract_refuses_a_repeated_column(spark):
+    from beaconflow.sources.messages import check_contract
+    df = load_messages(spark, SF_SMALL).select(*MESSAGE_29)
+    assert check_contract(df) is df
+    with pytest.raises(ValueError):
+        check_contract(df.select("*", "posx"))
+
+
+def test_rows_without_label_or_prediction_are_not_judged(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (None, 0), (1, None)], "label int, prediction int")
+    r = E.scores(df).first()
+    assert (r["n"], r["macro_f1"], r["accuracy"]) == (2, 1.0, 1.0)
+
+
+def test_auc_equals_pair_counting(spark):
+    rng = np.random.default_rng(3)
+    data = [(int(rng.integers(0, 3)), [round(float(v), 1) for v in rng.random(3)]) for _ in range(300)] + [(None, [0.1, 0.2, 0.3])]
+    got = {r["class"]: r["auc"] for r in E.auc_one_vs_rest(spark.createDataFrame(data, "label int, probability array<double>")).collect()}
+    want = []
+    for k in range(3):
+        pos = [p[k] for c, p in data if c == k]
+        neg = [p[k] for c, p in data if c is not None and c != k]
+        want.append(sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg))
+        assert abs(got[str(k)] - want[-1]) < 1e-12
+    assert abs(got["mean"] - sum(want) / 3) < 1e-12
+
+
+def test_rows_without_a_class_are_split_and_sampled_as_a_class(spark):
+    m = load_messages(spark, SF_SMALL).select("row_id", F.when(F.col("row_id") % 2 == 0, F.col("class") % 3).alias("class"))
+    n = m.where("class is null").count()
+    s = {r["split"]: r["n"] for r in X.stratified_split(m).where("class is null").groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert s == {"test": int(0.2 * n), "val": int(0.2 * (n - int(0.2 * n))), "train": n - int(0.2 * n) - int(0.2 * (n - int(0.2 * n)))}
+    assert X.stratified_sample(m, rate=0.2).where("class is null").count() == int(0.2 * n)
+    r = rank_within(m, ["class"], ["row_id"], num_partitions=3)
+    assert sorted(x["_rank"] for x in r.where("class is null").collect()) == list(range(n))
+
+
+def test_pairs_of_many_files_keep_their_order(spark, tmp_path):
+    from beaconflow.sources.messages import read_xy
+    import csv
+    n, parts = 4000, (50, 2900, 300, 750)  # sizes that task packing would reorder
+    for name, value in (("x", lambda i: i), ("y", lambda i: i % 13)):
+        at = 0
+        (tmp_path / name).mkdir()
+        for k, size in enumerate(parts):
+            with open(tmp_path / name / f"part-{k}.csv", "w", newline="") as f:
+                w = csv.writer(f)
+                w.writerow(["v"])
+                w.writerows([[value(i)] for i in range(at, at + size)])
+            at += size
+    got = read_xy(spark, str(tmp_path / "x"), str(tmp_path / "y"))
+    assert got.count() == n and got.where("v % 13 <> class or v <> row_index").count() == 0
 
 
 def test_describe_approx_close(spark):
@@ -147,9 +234,8 @@ def test_class_never_predicted_counts(spark):
 
 
 def test_soft_vote_tie_goes_to_first(spark):
-    a = spark.createDataFrame([(1, [0.5, 0.5]), (2, [0.2, 0.8])], "row_id long, probability array<double>")
-    b = spark.createDataFrame([(1, [0.5, 0.5]), (2, [0.6, 0.4])], "row_id long, probability array<double>")
-    got = {r["row_id"]: r["prediction"] for r in E.soft_vote([a, b]).collect()}
+    df = spark.createDataFrame([(1, [0.5, 0.5], [0.5, 0.5]), (2, [0.2, 0.8], [0.6, 0.4])], "row_id long, a array<double>, b array<double>")
+    got = {r["row_id"]: r["prediction"] for r in E.soft_vote(df, ["a", "b"], ["row_id"]).collect()}
     assert got == {1: 0, 2: 1}
 
 
@@ -203,8 +289,8 @@ def test_scaler_and_weights(spark):
     assert {r["weight"] for r in Z.class_weights(m, "class", None).collect()} == {1.0}
 
 
-@pytest.mark.parametrize("digits", [1, 2, 5])
-def test_hash_rank_cutoffs_exact(spark, digits):
+@pytest.mark.parametrize("step,last", [(1, 3), (2, 10_000), (3, 1)])
+def test_hash_rank_cutoffs_exact(spark, step, last):
     from beaconflow.functions.ranking import hash_rank_cutoffs
     m = load_messages(spark, SF_SMALL).select("class", F.md5(F.col("row_id").cast("string")).alias("h"))
     local = {}
@@ -212,7 +298,7 @@ def test_hash_rank_cutoffs_exact(spark, digits):
         local.setdefault(r["class"], []).append(r["h"])
     targets = [(c, k) for c, hs in local.items() for k in (0, len(hs) // 3, len(hs) - 1, len(hs))]
     t = spark.createDataFrame(targets, "class int, _k long")
-    got = {(r["class"], r["_k"]): r["_cut"] for r in hash_rank_cutoffs(m, ["class"], "h", t, digits).collect()}
+    got = {(r["class"], r["_k"]): r["_cut"] for r in hash_rank_cutoffs(m, ["class"], "h", t, step, last).collect()}
     for c, k in targets:
         hs = sorted(local[c])
         assert got[(c, k)] == (hs[k] if k < len(hs) else None)
@@ -278,30 +364,38 @@ def test_rate_windows_stream_matches_batch(spark, tmp_path):
     assert rows(streamed.where(F.col("window_start") < last - 3600)) == rows(batch.where(F.col("window_start") < last - 3600))
 
 
-def test_exact_quantiles_fallback_and_ties(spark):
-    # heavy ties and a tiny accuracy force both the widening and the full-ranking fallback paths
-    vals = [1.0] * 50 + [2.0] * 3 + [float(i) for i in range(100, 160)]
-    df = spark.createDataFrame([(v, -v) for v in vals], "a double, b double")
-    for acc in (10, 10000):
-        got = {(r["feature"], r["p"]): r["value"]
-               for r in P.exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75], acc, method="sketch").collect()}
+def test_exact_quantiles_of_tied_values(spark):
+    # one constant column and one of three values: equal values are counted before they are ranked, so
+    # no partition of the ranking holds more rows than there are distinct values
+    vals = [1.0] * 5000 + [2.0] * 3 + [float(i) for i in range(100, 160)]
+    df = spark.createDataFrame([(v, -v, 7.0, float(i % 3)) for i, v in enumerate(vals)], "a double, b double, c double, d double")
+    got = {(r["feature"], r["p"]): r["value"] for r in P.exact_quantiles(df, ["a", "b", "c", "d"], [0.25, 0.5, 0.75]).collect()}
+    cols = {"a": vals, "b": [-v for v in vals], "c": [7.0] * len(vals), "d": [float(i % 3) for i in range(len(vals))]}
+    for c, v in cols.items():
         for p in (0.25, 0.5, 0.75):
-            assert abs(got[("a", p)] - np.percentile(vals, p * 100)) < 1e-12
-            assert abs(got[("b", p)] - np.percentile([-v for v in vals], p * 100)) < 1e-12
-    ranked = {(r["feature"], r["p"]): r["value"] for r in P.exact_quantiles_ranked(df, ["a"], [0.5]).collect()}
-    assert abs(ranked[("a", 0.5)] - np.percentile(vals, 50)) < 1e-12
-
-
-def test_sender_folds_snake_order_brute_force(spark):
-    m = load_messages(spark, SF_MID).select("senderpseudo")
-    got = {r["senderpseudo"]: r["fold"] for r in X.sender_folds(m, k=4).collect()}
-    sizes = {}
-    for r in m.collect():
-        sizes[r["senderpseudo"]] = sizes.get(r["senderpseudo"], 0) + 1
-    order = sorted(sizes, key=lambda s: (-sizes[s], s))
-    for rank, s in enumerate(order):
-        q, pos = divmod(rank, 4)
-        assert got[s] == (pos if q % 2 == 0 else 3 - pos)
+            assert abs(got[(c, p)] - np.percentile(v, p * 100)) < 1e-12
+    counted = P._long_values(df, list(cols)).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = rank_within(counted, ["feature"], ["value"], weight=F.col("_n"), num_partitions=8)
+    n = counted.count()
+    assert n == 2 * 62 + 1 + 3 and ranked.count() == n
+    assert ranked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= n
+
+
+def test_sender_folds_give_the_largest_sender_to_the_lightest_fold(spark):
+    def check(df, k):
+        got = {r["senderpseudo"]: r["fold"] for r in X.sender_folds(df, k=k).collect()}
+        sizes = {}
+        for r in df.collect():
+            sizes[r["senderpseudo"]] = sizes.get(r["senderpseudo"], 0) + 1
+        load = [0] * k
+        for s in sorted(sizes, key=lambda s: (-sizes[s], s)):
+            f = load.index(min(load))
+            assert got[s] == f
+            load[f] += sizes[s]
+        return load
+    check(load_messages(spark, SF_MID).select("senderpseudo"), 4)
+    hot = spark.createDataFrame([(1,)] * 400 + [(i,) for i in range(2, 62) for _ in range(10)], "senderpseudo long")
+    assert check(hot, 5) == [400, 150, 150, 150, 150]
 
 
 def test_preparation_job(spark, tmp_path):

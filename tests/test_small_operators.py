@@ -61,13 +61,11 @@ def test_alternate_paths_agree(spark):
     from beaconflow.operators import scaling as Z
     m = load_messages(spark, SF_SMALL)
     w = Z.class_weights(m, "class")
-    as_map = {r["row_id"]: r["weight"] for r in Z.with_weight(m, w, "class").select("row_id", "weight").collect()}
-    as_join = {r["row_id"]: r["weight"] for r in Z.with_weight(m, w, "class", max_classes=2).select("row_id", "weight").collect()}
-    assert as_map == as_join
-    cols = ["posx", "posy", "spdy", "hedy"]
-    gram = {(r["col_a"], r["col_b"]): r["corr"] for r in P.correlation_matrix(m, cols, method="gram").collect()}
-    pair = {(r["col_a"], r["col_b"]): r["corr"] for r in P.correlation_matrix(m, cols, method="pairwise").collect()}
-    assert all(abs(gram[k] - pair[k]) < 1e-9 for k in gram)
+    by_class = {r["class"]: r["weight"] for r in w.collect()}
+    got = Z.with_weight(m.withColumn("weight_of", F.lit(1)), w, "class").select("class", "weight").collect()
+    assert len(got) == m.count() and all(r["weight"] == by_class[r["class"]] for r in got)
+    none = Z.with_weight(m.select("row_id", F.lit(None).cast("int").alias("class")), w, "class")
+    assert none.count() == m.count() and none.where("weight is not null").count() == 0
     exact = {r["feature"]: r["n_distinct"] for r in P.distinct_counts(m, ["posx", "posy"]).collect()}
     approx = {r["feature"]: r["n_distinct"] for r in P.distinct_counts(m, ["posx", "posy"], approx=True).collect()}
     assert all(abs(approx[c] - exact[c]) <= 0.1 * exact[c] + 2 for c in exact)
