@@ -18,7 +18,9 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     might deal rows out differently.
     """
     path = scratch_dir(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    # small row groups and pages checked at every row: a column of large blobs is held in small parts only
+    (df.write.option("parquet.block.size", 16 << 20).option("parquet.page.size.row.check.min", 1)
+     .option("parquet.page.size.row.check.max", 100).parquet(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
