@@ -64,6 +64,22 @@ def test_chains_stars_and_odd_texts(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_members_that_no_star_connects(spark, monkeypatch):
+    """Pairs of texts that are close to each other, but not to the hub of their buckets; over several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng, docs = random.Random(6), []
+    base = [f"w{i}" for i in range(150)]
+    for i in range(40):
+        own = [f"o{i}_{j}" if rng.random() < 0.05 else w for j, w in enumerate(base)]
+        docs.append((2 * i, " ".join(own)))
+        docs.append((2 * i + 1, " ".join(own[:60] + ["x"] + own[60:])))
+    docs.append((999, " ".join(base)))
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    want = brute(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+    assert len({c for _, c, _ in want.values()}) > 3
+
+
 def test_null_and_repeated_keys(spark):
     long = " ".join(f"v{i}" for i in range(50))
     rows = [(None, long), (None, long), (7, long), (7, long), (7, "other words here now"), (3, "other words here now"), (9, long)]
@@ -80,8 +96,8 @@ def test_signatures_estimate_similarity():
         b = np.unique(np.concatenate((a, rng.integers(0, 2**63, 300 - len(same)).astype(np.uint64))))
         sig = minhash.signatures([a, b], 252)
         assert abs((sig[0] == sig[1]).mean() - len(a) / len(b)) < 0.12
-    one = minhash.signatures([np.array([5], np.uint64)], 252)
-    assert (one == 5).all()
+    one = np.array([5], np.uint64)
+    assert (minhash.signatures([one], 252) == 5).all() and sum(b > 0 for b in minhash.digests([one])[0]) == 1
 
 
 def test_components_of_a_long_chain(spark):
