@@ -875,37 +875,45 @@ def q_score_batch(spark, sf_dir):
     return score_batch(m, load_model(path)).select("row_id", "prediction", "confidence")
 
 
-def _stream_source(spark, sf_dir, chunks: int = 4):
-    """Messages appended as Parquet files in ``row_id`` order (one append per id range),
-    so that the file stream delivers each sender's messages in order across micro-batches."""
+def _stream_in_slices(spark, sf_dir, build, name, slices: int = 4, columns=lambda m: m, tail=None):
+    """Run ``build`` (stream -> stream) over messages that arrive in ``row_id`` slices; returns what the sink holds.
+
+    Each slice is appended to the source folder, in as many files as Spark writes, and an
+    ``availableNow`` run with the same checkpoint takes it in: state goes on from run to run.  ``tail`` (messages ->
+    rows) is appended last.
+    """
     from ..schema import MESSAGE_29
     from ..session import scratch_dir
-    src = scratch_dir(spark, "stream-src")
-    m = load_messages(spark, sf_dir).select("row_id", *MESSAGE_29)
+    src, out, ckpt = (scratch_dir(spark, f"{name}-{k}") for k in ("src", "out", "ckpt"))
+    m = columns(load_messages(spark, sf_dir).select("row_id", *MESSAGE_29))
     lo, hi = m.agg(F.min("row_id"), F.max("row_id")).first()
-    step = (hi - lo) // chunks + 1
-    for i in range(chunks):
-        part = m.where((F.col("row_id") >= lo + i * step) & (F.col("row_id") < lo + (i + 1) * step))
-        # one file per id range, written in order: each micro-batch is the next range
-        part.coalesce(1).sortWithinPartitions("row_id").write.mode("append").parquet(src)
-    schema = spark.read.parquet(src).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    step = (hi - lo) // slices + 1
+    parts = [m.where((F.col("row_id") >= lo + i * step) & (F.col("row_id") < lo + (i + 1) * step)) for i in range(slices)]
+    for part in parts + ([tail(m)] if tail else []):
+        part.write.mode("append").parquet(src)
+        q = build(spark.readStream.schema(m.schema).parquet(src)).writeStream.format("parquet").option(
+            "checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start(out)
+        q.awaitTermination()
+    return spark.read.parquet(out)
 
 
-def _run_stream(spark, sdf, name):
-    from ..session import scratch_dir
-    out, ckpt = scratch_dir(spark, f"{name}-out"), scratch_dir(spark, f"{name}-ckpt")
-    q = sdf.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append") \
-        .trigger(availableNow=True).start(out)
-    q.awaitTermination()
-    return spark.read.parquet(out)
+_STREAM_COLS = ["row_id", "senderpseudo", "posx", "posy", "posx_n", "spdx", "spdy", "hedy", "hedx_n", *ENGINEERED_17]
 
 
-@register("stream_features")
+def _stream_sql(order: str) -> str:
+    """Running features: like the batch ones, with the stds over the messages so far."""
+    running = S.FEATURES_CTE.replace("OVER (PARTITION BY senderpseudo)", f"OVER (PARTITION BY senderpseudo ORDER BY {order})")
+    running = running.replace("ORDER BY row_id)", f"ORDER BY {order})")
+    kept = ("row_id", "senderpseudo", "sender_sequence", "hour", "night_hours")
+    return S.with_messages("SELECT " + ", ".join(c if c in kept else S.r6(c if c in FEATURES_8 else f"coalesce({c}, 0)", c)
+                                                 for c in _STREAM_COLS) + " FROM features", running)
+
+
+@register("stream_features", _stream_sql("row_id"))
 def q_stream_features(spark, sf_dir):
     """Per-sender state across micro-batches (applyInPandasWithState), Parquet sink, availableNow."""
     from ..streaming.features import stream_features
-    return _run_stream(spark, stream_features(_stream_source(spark, sf_dir)), "stream-features")
+    return round_doubles(_stream_in_slices(spark, sf_dir, stream_features, "stream-features").select(*_STREAM_COLS))
 
 
 @register("stream_scores")
@@ -915,9 +923,8 @@ def q_stream_scores(spark, sf_dir):
     from .models import fit, make_pipeline, model_features
     tv, _ = _ml_split(spark, sf_dir)
     model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
-    s = stream_scores(_stream_source(spark, sf_dir), model)
-    return _run_stream(spark, s.select("row_id", "senderpseudo", "prediction",
-                                       F.array_max("probability").alias("confidence")), "stream-scores")
+    return _stream_in_slices(spark, sf_dir, lambda sdf: stream_scores(sdf, model).select(
+        "row_id", "senderpseudo", "prediction", F.array_max("probability").alias("confidence")), "stream-scores")
 
 
 # --------------------------------------------------------------------------- more sources / sinks / profile
@@ -1281,10 +1288,14 @@ def q_preparation_run(spark, sf_dir):
     return t.groupBy("split", "class_group").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("stream_features_event_time")
+@register("stream_features_event_time", _stream_sql("sendtime, row_id"))
 def q_stream_features_event_time(spark, sf_dir):
-    """T1 in event-time mode: send time as event time, 10-minute watermark, rows buffered in state and
-    emitted in event-time order; the last 10 minutes wait behind the final watermark (append mode)."""
-    from ..streaming.features import stream_features
-    src = _stream_source(spark, sf_dir).withColumn("ts", F.timestamp_seconds("sendtime"))
-    return _run_stream(spark, stream_features(src, event_time="ts", delay="10 minutes"), "stream-features-et")
+    """T1 in event-time mode: watermark, rows wait in state and leave in event-time order; a last row
+    beyond the delay lets the waiting ones out, so that all messages are emitted."""
+    from ..streaming.features import end_of_stream, stream_features
+    delay = "10 minutes"
+    out = _stream_in_slices(
+        spark, sf_dir, lambda sdf: stream_features(sdf, event_time="ts", delay=delay), "stream-features-et",
+        columns=lambda m: m.withColumn("ts", F.timestamp_micros(F.round(F.col("sendtime") * 1_000_000).cast("long"))),
+        tail=lambda m: end_of_stream(m, "ts", delay))
+    return round_doubles(out.select(*_STREAM_COLS))

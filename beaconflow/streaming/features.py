@@ -10,7 +10,12 @@ message count, the last values needed for lag differences, and running moments
 - event-time mode (``event_time=..., delay=...``): the stream is watermarked,
   rows wait in state until the watermark passes them and are emitted in
   event-time order; an event-time timeout flushes quiet senders.  Messages up to
-  ``delay`` late are placed correctly.
+  ``delay`` late are placed correctly.  Times are compared as epoch microseconds,
+  so the session's time zone plays no part.  At the end of a finite run
+  ``end_of_stream`` moves the watermark past the last rows.
+
+Messages without a sender have no sequence: they pass through beside the state,
+with position 0 and zero differences, as in the batch operator.
 
 F12/F13 over the whole sender are not causal; the stream emits their running
 value so far.  A sender's rows of one micro-batch form one group (bounded by the
@@ -125,7 +130,7 @@ def _advance_buffered(key, pdfs, state):
     frames = [f for f in pdfs if len(f)]
     new = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=_BUF_COLS)
     if len(new):
-        new = new.assign(_t=pd.to_datetime(new["_ts"]).astype("int64") / 1e9).drop(columns=["_ts"])
+        new = new.drop(columns=["_ts"]).rename(columns={"_us": "_t"})
     counters, buf = None, pd.DataFrame(columns=_BUF_COLS)
     if state.exists:
         st = state.get
@@ -133,15 +138,15 @@ def _advance_buffered(key, pdfs, state):
         buf = pd.DataFrame({c: list(v) for c, v in zip(_BUF_COLS, st[12:])})
     parts = [f for f in (buf, new[_BUF_COLS] if len(new) else None) if f is not None and len(f)]
     rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in _BUF_COLS})
-    rows = rows.astype({"row_id": "int64", **{c: "float64" for c in _BUF_COLS if c != "row_id"}})
-    wm = state.getCurrentWatermarkMs() / 1000.0
+    rows = rows.astype({"row_id": "int64", "_t": "int64", **{c: "float64" for c in _BASE}})
+    wm = state.getCurrentWatermarkMs() * 1000
     ready = rows[rows["_t"] <= wm].sort_values(["_t", "row_id"], kind="stable")
     wait = rows[rows["_t"] > wm]
     out, counters = _sequence(key, ready, counters)
     cnt = counters if counters is not None else (None,) * 12
     state.update((*cnt, *[wait[c].tolist() for c in _BUF_COLS]))
     if len(wait):
-        state.setTimeoutTimestamp(int(wait["_t"].max() * 1000) + 1)
+        state.setTimeoutTimestamp(int(wait["_t"].max()) // 1000 + 1)
     yield out
 
 
@@ -170,15 +175,44 @@ def stream_features(sdf: DataFrame, group: str = "senderpseudo", event_time: str
     _ship_by_value()
     cols = ["row_id", group, *_BASE]
     if event_time is None:
-        src = sdf.select(*cols).where(F.col(group).isNotNull())
-        return src.groupBy(group).applyInPandasWithState(
+        src = sdf.select(*cols)
+        sent, unsent = src.where(F.col(group).isNotNull()), src.where(F.col(group).isNull())
+        seen = sent.groupBy(group).applyInPandasWithState(
             _advance, _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    # a message without event time cannot be placed in time order; it is left out of this mode
-    src = (sdf.withWatermark(event_time, delay).select(*cols, F.col(event_time).alias("_ts"))
-           .where(F.col(group).isNotNull() & F.col("_ts").isNotNull()))
-    buf_schema = ", ".join([f"b_{c} array<{'long' if c == 'row_id' else 'double'}>" for c in _BUF_COLS])
-    return src.groupBy(group).applyInPandasWithState(
-        _advance_buffered, _OUT_SCHEMA, f"{_STATE_SCHEMA}, {buf_schema}", "append", GroupStateTimeout.EventTimeTimeout)
+    else:
+        src = sdf.withWatermark(event_time, delay).select(*cols, F.col(event_time).alias("_ts"), F.unix_micros(event_time).alias("_us"))
+        # A message without event time cannot be placed in time order; it is left out of this mode.  The
+        # filters look at the event time, so Spark keeps them above the watermark, which sees every row.
+        of_sender = F.when(F.col(group).isNotNull(), F.col("_ts"))
+        of_none = F.when(F.col(group).isNull() & F.col("row_id").isNotNull(), F.col("_ts"))
+        sent, unsent = src.where(of_sender.isNotNull()), src.where(of_none.isNotNull())
+        buf_schema = ", ".join([f"b_{c} array<{'long' if c in ('row_id', '_t') else 'double'}>" for c in _BUF_COLS])
+        seen = sent.groupBy(group).applyInPandasWithState(
+            _advance_buffered, _OUT_SCHEMA, f"{_STATE_SCHEMA}, {buf_schema}", "append", GroupStateTimeout.EventTimeTimeout)
+    seen = seen.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c in _BASE else F.col(c) for c in seen.columns])
+    return seen.unionByName(_without_sender(unsent, group, seen.columns))
+
+
+def _without_sender(src: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """The features of messages that have no sender, a projection."""
+    speed = F.sqrt(F.col("spdx") * F.col("spdx") + F.col("spdy") * F.col("spdy"))
+    heading = F.sqrt(F.col("hedx_n") * F.col("hedx_n") + F.col("hedy") * F.col("hedy"))
+    known = {"sender_sequence": F.lit(0).cast("long"), "hour": F.lit(0).cast("long"), "night_hours": F.lit(0), "inter_arrival_time": F.lit(1.0),
+             "speed_magnitude": F.coalesce(speed, F.lit(0.0)), "heading_magnitude": F.coalesce(heading, F.lit(0.0)),
+             "inter_arrival_speed_ratio": F.coalesce(F.lit(1.0) / (speed + F.lit(1e-6)), F.lit(0.0)),
+             "senderpseudo": F.col(group).cast("long")}
+    return src.select(*[known[c].alias(c) if c in known else F.col(c) if c in src.columns else F.lit(0.0).alias(c) for c in columns])
+
+
+def end_of_stream(messages: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """A row without sender and id, later than all ``messages`` by more than ``delay``.
+
+    Appended to the source of a finite run it moves the watermark past the rows that still wait; it
+    yields no feature row itself.
+    """
+    last = messages.agg((F.max(event_time) + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 SECOND")).alias(event_time))
+    return last.select(*[F.col(event_time) if f.name == event_time else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in messages.schema.fields])
 
 
 def stream_scores(sdf: DataFrame, model, event_time: str | None = None, delay: str = "30 seconds") -> DataFrame:
