@@ -8,23 +8,20 @@ interaction terms; every remaining missing value becomes 0.  A message without
 a sender has sequence 0, all differences and stds 0.
 
 Scale design.  A plain ``Window.partitionBy(sender)`` puts every message of a
-sender into one task; one sender may hold a third of all rows.  Instead rows
-are windowed by ``(sender, bucket)`` where ``bucket = floor(order / width)``
-bounds the rows per task.  One small aggregate per (sender, bucket) carries
-what crosses a bucket boundary: the row count (for the running position), the
-last message (for the first lag of the next bucket), and mergeable moments
-(n, mean, M2) for the two whole-sender stds.  A window over that small table
-(one row per bucket) resolves offsets, the previous bucket and sender-level
-stds; an equi-join on (sender, bucket) brings them back.  The row side keeps
-its (sender, bucket) hash partitioning through the window, the aggregate and
-the join; both branches read the same projected columns, so the input is
-scanned and shuffled once (the exchange is reused).
+sender into one task; one sender may hold a third of all rows.  Sender sizes
+are counted first (a partial aggregate).  When no sender exceeds the bound, one
+window per sender does everything: one shuffle, no join.  Senders above it are cut at
+quantiles of their own order key, so that a part holds about as many rows as the bound
+whatever the key looks like (a clock gone wrong changes nothing), and rows are windowed by
+(sender, part).  One small aggregate per (sender, part) carries
+what crosses a border: the row count (for the running position), the lagged
+values of the last message (for the first lag of the next part), and mergeable moments
+(n, mean, M2) for the two whole-sender stds; an equi-join on (sender, part) brings
+them back.  Messages without a sender have no sequence and are spread by a hash.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,38 +42,42 @@ def _hyp(a: Column, b: Column) -> Column:
     return F.sqrt(a * a + b * b)
 
 
-def auto_bucket_width(df: DataFrame, order: str, rows_per_bucket: int = 1 << 20) -> float:
-    """Width of an order-key bucket holding ~``rows_per_bucket`` rows of *all* senders.
+#: Quantiles of the order key at which a large sender can be cut.
+MOST_PARTS = 1000
 
-    One narrow aggregate (min, max, count of one column), run once; the result is
-    used as a literal, so both branches of the feature plan share it.  Any single
-    (sender, bucket) holds at most that many rows when the order key is spread
-    evenly; pass ``bucket_width`` explicitly when the message rate is known
-    (e.g. seconds of ``sendtime``).
-    """
-    o = F.col(order).cast("double")
-    lo, hi, n = df.select(F.min(o), F.max(o), F.count(o)).first()
-    if n == 0 or lo is None:
-        return 1.0
-    return float(max(1.0, math.ceil((hi - lo + 1.0) * rows_per_bucket / n)))
+
+def sender_cuts(df: DataFrame, group: str, order: str, rows_per_part: int) -> DataFrame | None:
+    """``_cg, _cuts``: for each sender with more than ``rows_per_part`` rows, ascending order keys at which to cut it
+    into parts of about that size (MOST_PARTS parts at most); None when there is no such sender."""
+    sizes = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_cg")).agg(F.count(F.lit(1)).alias("_cn"))
+    large = sizes.where(F.col("_cn") > rows_per_part).checkpoint(eager=True)  # at most rows / rows_per_part senders
+    if large.isEmpty():
+        return None
+    steps = [i / MOST_PARTS for i in range(1, MOST_PARTS)]
+    keys = df.select(F.col(group).alias("_kg"), F.col(order).cast("double").alias("_ko"))
+    q = keys.join(large, F.col("_kg") == F.col("_cg")).groupBy("_cg").agg(
+        F.first("_cn").alias("_cn"), F.percentile_approx("_ko", steps, 10 * MOST_PARTS).alias("_q"))
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("_cn") / rows_per_part)).cast("int")
+    at = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.floor(i * F.lit(MOST_PARTS) / parts).cast("int") - 1)
+    return q.where(parts > 1).select("_cg", F.array_sort(F.array_distinct(F.transform(at, lambda i: F.get(F.col("_q"), i)))).alias("_cuts"))
 
 
 def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "row_id",
                       tiebreak: str | None = None, fixed: bool = False,
-                      bucket_width: float | Column | None = None, rows_per_bucket: int = 1 << 20,
+                      bucket_width: float | Column | None = None, rows_per_part: int = 1 << 20,
                       keep: list[str] | None = None) -> DataFrame:
     """Add the 17 sequence features to ``df`` (``keep`` selects the passed-through columns;
     default: all input columns).
 
     ``order`` (plus ``tiebreak``) must order each sender's messages uniquely, as for
-    any lag: with ties the previous message is not defined.
+    any lag: with ties the previous message is not defined.  Senders with more than
+    ``rows_per_part`` rows are cut (``sender_cuts``); ``bucket_width`` cuts every sender at
+    multiples of a width of the order key instead, without counting.
 
     ``fixed=True`` repairs the two reference quirks: ``night_hours`` uses
     ``hour >= 22 or hour < 5`` instead of an empty interval, and an extra
     ``inter_arrival_seconds`` (difference of ``sendtime``) is added.
     """
-    width = bucket_width if isinstance(bucket_width, Column) else d(
-        bucket_width if bucket_width is not None else auto_bucket_width(df, order, rows_per_bucket))
     ordering = [F.col(order)] + ([F.col(tiebreak)] if tiebreak else [])
     ord_struct = F.struct(*ordering)
     if fixed and "sendtime" not in _LAGGED:
@@ -90,10 +91,21 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     inputs = ["spdx", "spdy", "posx", "posy", "hedy", "hedx_n"] + (["sendtime"] if fixed else [])
     needed = list(dict.fromkeys([*base, group, order, *([tiebreak] if tiebreak else []), *inputs]))
     df = df.select(*[F.col(f"`{c}`") for c in needed])
-    rows = (df.withColumn("_gn", F.col(group).isNull())
-            .withColumn("_g", F.coalesce(F.col(group), F.lit(0).cast(df.schema[group].dataType)))
-            .withColumn("_b", F.coalesce(F.floor(F.col(order).cast("double") / width), F.lit(-(1 << 62)))))
-    keys = ["_g", "_gn", "_b"]
+    if bucket_width is not None:
+        width = bucket_width if isinstance(bucket_width, Column) else d(bucket_width)
+        part, cut = F.coalesce(F.floor(F.col(order).cast("double") / width), F.lit(-(1 << 62))), True
+    else:
+        cuts = sender_cuts(df, group, order, rows_per_part)
+        cut = cuts is not None
+        if cut:
+            df = df.join(cuts, F.col(group) == F.col("_cg"), "left")
+            below = F.filter("_cuts", lambda c: c < F.col(order).cast("double"))
+            part = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(below)).cast("long")
+    salt = F.pmod(F.xxhash64(order), F.lit(1 << 20)).cast(df.schema[group].dataType)
+    rows = df.withColumn("_gn", F.col(group).isNull()).withColumn("_g", F.coalesce(F.col(group), salt))
+    keys = ["_g", "_gn"]
+    if cut:
+        rows, keys = rows.withColumn("_b", part).drop("_cg", "_cuts"), [*keys, "_b"]
     wb = Window.partitionBy(*keys).orderBy(*ordering)
     rows = rows.withColumn("_rn", F.row_number().over(wb))
     for c in lagged:
@@ -102,13 +114,17 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     # Position change inside the bucket (the bucket's first row is resolved later).
     pc_in = F.when(F.col("_rn") > 1, _hyp(F.coalesce(F.col("posx") - F.col("_l_posx"), d(0)),
                                           F.coalesce(F.col("posy") - F.col("_l_posy"), d(0))))
-    rows = rows.withColumn("_speed", speed).withColumn("_pc_in", pc_in)
+    rows = rows.withColumn("_speed", speed)
+    if not cut:
+        whole = Window.partitionBy(*keys)
+        pc = _hyp(F.coalesce(F.col("posx") - F.col("_l_posx"), d(0)), F.coalesce(F.col("posy") - F.col("_l_posy"), d(0)))
+        out = (rows.withColumn("_off", F.lit(0)).withColumn("_s_std", F.stddev_samp("_speed").over(whole))
+               .withColumn("_p_std", F.stddev_samp(pc).over(whole)))
+        return _finish(out, base, group, lagged, fixed, carried=False)
+    rows = rows.withColumn("_pc_in", pc_in)
 
     # --- one row per (sender, bucket) -------------------------------------------------
-    # The last row carries every projected column (not only the lagged ones): the bucket
-    # branch then reads the same columns as the row branch, so both share one scan and
-    # one shuffle (the exchange is reused) instead of scanning the input twice.
-    last_vals = F.struct(*[F.col(f"`{c}`").alias(c) for c in dict.fromkeys(lagged + needed)])
+    last_vals = F.struct(*[F.col(c).alias(c) for c in lagged])
     buckets = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max_by(last_vals, ord_struct).alias("_last"),
@@ -152,12 +168,17 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     carry = buckets.select(*keys, "_off", "_prev", F.col("_s_std"), F.col("_p_std"))
 
     # --- back to the rows ----------------------------------------------------------------
-    out = rows.join(carry, keys, "inner")
+    return _finish(rows.join(carry, keys, "inner"), base, group, lagged, fixed, carried=True)
+
+
+def _finish(out: DataFrame, base: list[str], group: str, lagged: list[str], fixed: bool, carried: bool) -> DataFrame:
+    """The 17 features from rows with ``_rn``, ``_off``, ``_speed``, the stds and the lagged values (of the row
+    before in the same part; ``carried``: of the part before in ``_prev``)."""
     no_sender = F.col(group).isNull()
     first = F.col("_rn") == 1
 
     def prev(c: str) -> Column:
-        return F.when(first, F.col(f"_prev.{c}")).otherwise(F.col(f"_l_{c}"))
+        return F.when(first, F.col(f"_prev.{c}")).otherwise(F.col(f"_l_{c}")) if carried else F.col(f"_l_{c}")
 
     seq = (F.col("_off") + F.col("_rn") - 1).cast("long")
     feats: dict[str, Column] = {}
@@ -192,30 +213,6 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     return out.select(*base, *feats.keys())
 
 
-def engineer_features_simple(df: DataFrame, group: str = "senderpseudo", order: str = "row_id") -> DataFrame:
-    """Direct whole-sender window form of the same features (tests only: one task per sender)."""
-    w = Window.partitionBy(group).orderBy(order)
-    wall = Window.partitionBy(group)
-    no_sender = F.col(group).isNull()
-    out = df.withColumn("sender_sequence", F.when(no_sender, 0).otherwise(F.row_number().over(w) - 1).cast("long"))
-    out = out.withColumn("inter_arrival_time", d(1)).withColumn("speed_magnitude", _hyp(F.col("spdx"), F.col("spdy")))
-    for c, name in _DIFFS:
-        out = out.withColumn(name, F.when(no_sender, d(0)).otherwise(F.coalesce(F.col(c) - F.lag(c).over(w), d(0))))
-    out = (out.withColumn("acceleration_magnitude", _hyp(F.col("acceleration_x"), F.col("acceleration_y")))
-           .withColumn("position_change_magnitude", _hyp(F.col("position_change_x"), F.col("position_change_y")))
-           .withColumn("heading_magnitude", _hyp(F.col("hedx_n"), F.col("hedy")))
-           .withColumn("speed_consistency", F.when(no_sender, d(0)).otherwise(
-               F.coalesce(F.stddev_samp("speed_magnitude").over(wall), d(0))))
-           .withColumn("position_consistency", F.when(no_sender, d(0)).otherwise(
-               F.coalesce(F.stddev_samp("position_change_magnitude").over(wall), d(0))))
-           .withColumn("hour", F.pmod("sender_sequence", F.lit(24)).cast("long"))
-           .withColumn("night_hours", F.lit(0).cast("int"))
-           .withColumn("speed_position_interaction", F.col("speed_magnitude") * F.col("position_change_magnitude"))
-           .withColumn("inter_arrival_speed_ratio", F.col("inter_arrival_time") / (F.col("speed_magnitude") + d(1e-6))))
-    return out.fillna(0.0, subset=["speed_magnitude", "heading_magnitude", "speed_position_interaction",
-                                   "inter_arrival_speed_ratio", "acceleration_magnitude"])
-
-
 def sender_consistency(feats: DataFrame, group: str = "senderpseudo") -> DataFrame:
     """Per-sender summary: message count and the two consistency stds."""
     return feats.groupBy(group).agg(

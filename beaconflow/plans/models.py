@@ -10,6 +10,7 @@ in parallel, as ``CrossValidator(parallelism=...)`` does).
 
 from __future__ import annotations
 
+import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 
@@ -22,8 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import argmax
-from ..operators.evaluate import scores
+from ..operators.evaluate import scores, soft_vote
 from ..operators.features import engineer_features
 from ..operators.labels import regroup
 from ..schema import ENGINEERED_25, FEATURES_8
@@ -47,8 +47,21 @@ def model_features(drop_id: bool = False) -> list[str]:
     return [c for c in ENGINEERED_25 if not (drop_id and c == "senderpseudo")]
 
 
+#: Settings that each kind of model takes; others are refused rather than ignored.
+PARAMS_OF = {
+    "forest": {"n_estimators", "max_depth", "subsample", "colsample_bytree", "seed"},
+    "boosted": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "gamma", "min_child_weight", "seed"},
+    "tree": {"max_depth", "seed"}, "logreg": {"max_iter", "reg_lambda", "seed"}, "svc_ovr": {"max_iter", "seed"},
+    "mlp": {"max_iter", "hidden", "seed"},
+}
+PARAMS_OF["gbt_ovr"] = PARAMS_OF["boosted"]
+
+
 def _depth(v) -> int:
-    return max(1, min(30, int(v)))
+    """Spark's trees have 1 to 30 levels below the root."""
+    if not 1 <= int(v) <= 30:
+        raise ValueError(f"max_depth {v} is not between 1 and 30")
+    return int(v)
 
 
 # Tree learners: node ids cached between levels (checkpointed every 10 iterations into the
@@ -59,6 +72,10 @@ TREE_EXEC = dict(cacheNodeIds=True, maxMemoryInMB=1024)
 def make_classifier(kind: str, label: str, weight: str | None, params: dict | None = None, n_features: int = 25,
                     n_classes: int = 6, features: str = "features"):
     p = dict(params or {})
+    if kind not in PARAMS_OF:
+        raise ValueError(f"unknown model kind {kind!r}")
+    if unused := sorted(set(p) - PARAMS_OF[kind]):
+        raise ValueError(f"a {kind} model has no settings {unused}")
     seed = int(p.get("seed", 42))
     common = dict(featuresCol=features, labelCol=label)
     if kind == "forest":
@@ -75,7 +92,8 @@ def make_classifier(kind: str, label: str, weight: str | None, params: dict | No
                             subsamplingRate=float(p.get("subsample", d["subsample"])),
                             featureSubsetStrategy=str(p.get("colsample_bytree", d["colsample_bytree"])),
                             minInfoGain=float(p.get("gamma", 0.0)),
-                            minWeightFractionPerNode=min(0.49, float(p.get("min_child_weight", 0.0)) / 1000.0),
+                            # a leaf's least weight, with every row weighing one
+                            minInstancesPerNode=max(1, math.ceil(float(p.get("min_child_weight", 1.0)))),
                             seed=seed, checkpointInterval=10, featuresCol=features, **TREE_EXEC)
         clf = OneVsRest(classifier=gbt, **common)
     elif kind == "tree":
@@ -90,8 +108,6 @@ def make_classifier(kind: str, label: str, weight: str | None, params: dict | No
         clf = MultilayerPerceptronClassifier(layers=[n_features, hidden, n_classes], maxIter=int(p.get("max_iter", 100)),
                                              seed=seed, **common)
         weight = None  # no weight column support
-    else:
-        raise ValueError(f"unknown model kind {kind!r}")
     if weight and hasattr(clf, "setWeightCol"):
         clf.setWeightCol(weight)
     return clf
@@ -197,13 +213,8 @@ def soft_vote_models(models: list[PipelineModel], df: DataFrame, keep: list[str]
     out = df
     for i, m in enumerate(models):
         out = _renamed(m, i).transform(out)
-    probs = [_probability_of(out, i) for i in range(len(models))]
-    acc = probs[0]
-    for p_ in probs[1:]:
-        acc = F.zip_with(acc, p_, lambda a, b: a + b)
-    mean = F.transform(acc, lambda v: v / F.lit(float(len(models))))
-    res = out.select(*keep, mean.alias("probability"))
-    return res.withColumn("prediction", argmax(F.col("probability")))
+        out = out.withColumn(f"_vote_{i}", _probability_of(out, i))
+    return soft_vote(out, [f"_vote_{i}" for i in range(len(models))], keep)
 
 
 def feature_importance(model: PipelineModel, features: list[str], top: int = 15) -> DataFrame:
@@ -243,6 +254,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
-
-def argmax_prediction(df: DataFrame, prob: str = "probability") -> DataFrame:
-    return df.withColumn("prediction", argmax(F.col(prob)))

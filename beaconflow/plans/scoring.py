@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import rank_within
+from ..functions.ranking import file_order_index, rank_within
+from ..operators.features import engineer_features
+from ..schema import FEATURES_8, MESSAGE_29
+from ..sources.messages import check_contract, parse_records, select_features
 
 
 def export_table(pred: DataFrame, order: str = "row_id", prob: str = "probability",
@@ -38,27 +41,28 @@ def score_batch(df: DataFrame, model, key: str = "row_id", order: str = "row_id"
     Input order is kept through ``key`` (derived from file order when absent);
     nothing is collected.
     """
-    from ..operators.features import engineer_features
-    from ..schema import FEATURES_8, MESSAGE_29
-    from ..sources.messages import check_contract, select_features
-    from .models import load_model, predict
-
-    if isinstance(model, str):
-        model = load_model(model)
-    if key not in df.columns:  # keep the input order: a dense index in scan (file) order, no sort
-        from ..functions.ranking import file_order_index
+    if key not in df.columns:  # keep the input order: a dense index in file order, no sort
         df = file_order_index(df, key)
-    check_contract(df.drop(key))  # exactly the 29 message columns, in any order
+    return scored(features_of(df, key, order, group, bucket_width), model, key)
+
+
+def features_of(df: DataFrame, key: str, order: str, group: str, bucket_width: float | None = None) -> DataFrame:
+    """``key`` and the model features of messages that have exactly the 29 message columns besides ``key``."""
+    check_contract(df.drop(key))  # in any order
     base = select_features(df, [key] + [c for c in FEATURES_8 if c != key])
-    feats = engineer_features(base, group=group, order=order, bucket_width=bucket_width)
-    pred = predict(model, feats, [key])
-    # Q4: confidence in % with 2 decimals, per-class % with 1 decimal
+    return engineer_features(base, group=group, order=order, bucket_width=bucket_width)
+
+
+def scored(feats: DataFrame, model, key: str) -> DataFrame:
+    """Class and probabilities by a fitted pipeline or its path; Q4: confidence in % with 2 decimals, per-class % with 1."""
+    from .models import load_model, predict
+    pred = predict(load_model(model) if isinstance(model, str) else model, feats, [key])
     return (pred.withColumn("confidence", F.round(F.array_max("probability") * 100, 2))
             .withColumn("class_pct", F.transform("probability", lambda p: F.round(p * 100, 1))))
 
 
 def score_records(records: DataFrame, model, history: DataFrame | None = None, col: str = "record",
-                  key: str = "row_id") -> tuple[DataFrame, DataFrame]:
+                  key: str = "row_id", group: str = "senderpseudo") -> tuple[DataFrame, DataFrame]:
     """Q2: text records -> typed rows (rejects kept apart) -> scored.
 
     A record alone has no previous message, so when ``history`` (earlier messages
@@ -66,17 +70,14 @@ def score_records(records: DataFrame, model, history: DataFrame | None = None, c
     sender's history before the sequence features are computed; only the new
     records are returned.
     """
-    from ..schema import MESSAGE_29
-    from ..sources.messages import parse_records
-
     good, rejects = parse_records(records, col, keep=[key])
     # Parsed records are a small, stable input; a reliable checkpoint keeps the parse
     # expressions out of the union + window + semi-join plan that follows.
     good = good.checkpoint(eager=True)
     if history is None:
         return score_batch(good, model, key=key), rejects
-    both = (history.select(key, *MESSAGE_29).withColumn("_new", F.lit(False))
-            .unionByName(good.withColumn("_new", F.lit(True))))
-    scored = score_batch(both.drop("_new"), model, key=key)
-    new_keys = good.select(key)
-    return scored.join(new_keys, key, "left_semi"), rejects
+    # only the records' senders matter, and only the new rows are scored
+    senders = good.select(group).distinct()
+    past = history.select(key, *MESSAGE_29).join(senders, group, "left_semi")
+    feats = features_of(past.unionByName(good.select(key, *MESSAGE_29)), key, key, group)
+    return scored(feats.join(good.select(key), key, "left_semi"), model, key), rejects

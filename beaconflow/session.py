@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -20,33 +21,46 @@ def partitions_for(input_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES,
 def get_session(app: str = "beaconflow", cores: int | str | None = None,
                 shuffle_partitions: int | None = None, extra: dict | None = None,
                 input_bytes: int | None = None) -> SparkSession:
-    """Session for local runs and tests.
-
-    On a cluster the launcher supplies master, memory and ``spark.checkpoint.dir``;
-    this helper only fills in what is unset.  ``input_bytes`` sizes the shuffle
-    partitions (~128 MB each, ``partitions_for``); file splits and AQE's advisory
-    partition size use the same target.  AQE (coalescing, skew-join splitting,
-    runtime broadcast by measured size) is switched on explicitly because several
-    operators rely on it for skewed senders.
+    """The running session, or a new one.
+
+    What the launcher has set (master, memory, ``spark.checkpoint.dir``, any SQL setting) stays; only what is
+    unset is filled in.  ``input_bytes`` sizes the shuffle partitions (~128 MB each,
+    ``partitions_for``); file splits and AQE's advisory partition size use the same target.
+    AQE (coalescing, skew-join splitting, runtime broadcast by measured size) is on because several
+    operators rely on it for skewed senders.  ``extra`` is set in any case.
     """
-    cores = cores or os.environ.get("BENCH_CPUS") or "*"
-    if shuffle_partitions is None and input_bytes:
-        shuffle_partitions = partitions_for(input_bytes)
-    parts = shuffle_partitions or (int(cores) * 2 if str(cores).isdigit() else 16)
-    b = (SparkSession.builder.appName(app)
-         .master(os.environ.get("SPARK_MASTER", f"local[{cores}]"))
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-         .config("spark.sql.shuffle.partitions", str(parts))
-         .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TARGET_PARTITION_BYTES))
-         .config("spark.sql.files.maxPartitionBytes", str(TARGET_PARTITION_BYTES))
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))
+    running = SparkSession.getActiveSession()
+    if running is None:
+        cores = cores or os.environ.get("BENCH_CPUS") or "*"
+        if shuffle_partitions is None and input_bytes:
+            shuffle_partitions = partitions_for(input_bytes)
+        parts = shuffle_partitions or (int(cores) * 2 if str(cores).isdigit() else 16)
+        wanted = {
+            "spark.master": os.environ.get("SPARK_MASTER", f"local[{cores}]"),
+            "spark.app.name": app,
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+            "spark.sql.shuffle.partitions": str(parts),
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.coalescePartitions.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+            "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+            "spark.sql.session.timeZone": "UTC",
+            "spark.sql.execution.arrow.pyspark.enabled": "true",
+            "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "16g"),
+        }
+        launched: set[str] = set()
+        if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit: its settings are in the JVM already
+            SparkContext._ensure_initialized()
+            launched = {k for k, _ in SparkConf().getAll()}
+        b = SparkSession.builder
+        for k, v in wanted.items():
+            if k not in launched:
+                b = b.config(k, v)
+    else:
+        b = SparkSession.builder
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -2,10 +2,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from beaconflow.operators.features import engineer_features, engineer_features_simple
+from beaconflow.operators.features import engineer_features
 from beaconflow.schema import ENGINEERED_17
 from beaconflow.sources.messages import load_messages
 from conftest import SF_SMALL, rows
+from simple_features import engineer_features_simple
 
 COLS = ["row_id", "senderpseudo"] + ENGINEERED_17
 
@@ -81,16 +82,27 @@ def test_fixed_mode(spark):
 
 
 def test_hot_sender_is_split_and_exact(spark):
-    from beaconflow.operators.features import auto_bucket_width
+    from beaconflow.operators.features import sender_cuts
     from conftest import SF_MID
     m = load_messages(spark, SF_MID)
-    # one sender owns a third of all messages
-    hot = m.withColumn("senderpseudo", F.when(F.pmod("row_id", F.lit(3)) == 0, F.lit(999_999)).otherwise(F.col("senderpseudo")))
+    # one sender owns a third of all messages, some have none, and one clock is far off: order keys are not spread evenly
+    hot = m.withColumn("senderpseudo", F.when(F.col("row_id") % 11 == 0, F.lit(None)).when(F.pmod("row_id", F.lit(3)) == 0, F.lit(999_999))
+                       .otherwise(F.col("senderpseudo")))
+    hot = hot.withColumn("row_id", F.when(F.col("row_id") % 1000 == 3, F.col("row_id") - 10 ** 9).otherwise(F.col("row_id")))
     per_task = 600
-    fast = engineer_features(hot, rows_per_bucket=per_task)
+    fast = engineer_features(hot, rows_per_part=per_task)
     assert rows(fast, COLS) == rows(engineer_features_simple(hot), COLS)
-    width = auto_bucket_width(hot, "row_id", per_task)
-    sizes = hot.groupBy("senderpseudo", F.floor(F.col("row_id") / width).alias("b")).count()
-    biggest = sizes.agg(F.max("count")).first()[0]
-    hot_rows = hot.where(F.col("senderpseudo") == 999_999).count()
-    assert hot_rows > 3000 and biggest <= per_task
+    cuts = {r["_cg"]: r["_cuts"] for r in sender_cuts(hot, "senderpseudo", "row_id", per_task).collect()}
+    keys = [r[0] for r in hot.where("senderpseudo = 999999").select("row_id").collect()]
+    parts = {}
+    for k in keys:
+        b = sum(c < k for c in cuts[999_999])
+        parts[b] = parts.get(b, 0) + 1
+    assert set(cuts) == {999_999} and len(keys) > 3000 and max(parts.values()) <= 1.1 * per_task
+    assert sender_cuts(m, "senderpseudo", "row_id", 10 ** 6) is None
+    assert rows(engineer_features(hot), COLS) == rows(engineer_features_simple(hot), COLS)
+
+
+def test_no_large_sender_needs_one_shuffle_and_no_join(spark):
+    plan = engineer_features(load_messages(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

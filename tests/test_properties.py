@@ -4,10 +4,11 @@ import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from beaconflow.operators.features import engineer_features, engineer_features_simple
+from beaconflow.operators.features import engineer_features
 from beaconflow.operators.profile import exact_quantiles
 from beaconflow.schema import ENGINEERED_17
 from conftest import rows
+from simple_features import engineer_features_simple
 
 COLS = ["row_id", "senderpseudo"] + ENGINEERED_17
 SCHEMA = ("row_id long, senderpseudo long, spdx double, spdy double, posx double, posy double, "
