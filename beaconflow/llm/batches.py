@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .common import ship_package
+
 #: A slice holds at most so many bytes of text (one longer text is a slice of its own) and rows.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 2000
 #: The six bytes that separate words.
@@ -42,6 +44,7 @@ def map_texts(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
 
     ``raw`` columns are handed over as Arrow arrays; results may be Arrow arrays too.
     """
+    ship_package(df.sparkSession)
     made = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
@@ -11,12 +15,32 @@ from ..session import scratch_dir
 ROWS_PER_PARTITION = 1_000_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each application (as ``spark-submit --py-files`` does)."""
+    sc = spark.sparkContext
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(top):
+        return
+    _SHIPPED.add(sc.applicationId)
+    path = os.path.join(tempfile.mkdtemp(prefix="code-"), "beaconflow_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(top)))
+    sc.addPyFile(path)
+
+
 def pin(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs the re-read of a file, never a recomputation that
     might deal rows out differently.
     """
+    ship_package(df.sparkSession)
     path = scratch_dir(df.sparkSession, f"llm-{name}")
     # small row groups and pages checked at every row: a column of large blobs is held in small parts only
     (df.write.option("parquet.block.size", 16 << 20).option("parquet.page.size.row.check.min", 1)
