@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +106,12 @@ def encode_with(enc: Encoder, b: bytes, known: list[tuple[int, int, np.ndarray]]
     return np.concatenate([ids for _, _, ids in done])
 
 
-def shared_chunks(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """From ``k, t1, t2, text`` (t1, t2: hash of the text): places of shared chunks, and who encodes each.
+def shared_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``k, t1, t2, text`` (t1, t2: hash of the text): distinct texts, places of chunks, and who encodes shared ones.
 
-    Places: ``t1, t2, start, size, c1, c2``, one for each distinct text and place of a chunk that occurs
-    more than once.  Owners: ``t1, t2, k, todo`` with the chunks to encode from that row's text.
+    Texts: ``tid, t1, t2, k``.  Places: ``tid, at, c1, c2``, one for each distinct text and chunk; ``at`` is the
+    chunk's start * 2**32 + size.  Owners: ``t1, t2, k, todo`` with the chunks that occur more than once and are to
+    be encoded from that row's text.
     """
     def work(rows: dict[str, list]) -> dict[str, list]:
         out = []
@@ -118,65 +120,85 @@ def shared_chunks(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             edges = chunk_edges(b)
             for s, e in zip(edges, edges[1:]):
                 h = xxhash.xxh3_128_intdigest(b[s:e])
-                chunks.append({"start": s, "size": e - s, "c1": (h >> 64) - (1 << 63), "c2": (h & (1 << 64) - 1) - (1 << 63)})
+                chunks.append((s << 32 | e - s, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
             out.append(chunks)
-        return rows | {"chunks": out}
+        return rows | {c: [[x[i] for x in chunks] for chunks in out] for i, c in enumerate(("at", "c1", "c2"))}
 
     kind = docs.schema["k"].dataType.simpleString()
-    chunk = "struct<start: int, size: int, c1: long, c2: long>"
-    cut = map_texts(docs, work, f"k {kind}, t1 long, t2 long, chunks array<{chunk}>")
-    # exact copies have the same chunks: one row for all of them
-    texts = pin(cut.groupBy("t1", "t2").agg(F.min("k").alias("k"), F.first("chunks").alias("chunks")), "chunks")
-    place = texts.select("t1", "t2", "k", F.explode("chunks").alias("c")).select("t1", "t2", "k", "c.*")
-    first = (place.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "k", "start", "size")).alias("at"))
-             .where("n > 1").select("c1", "c2", "at.*"))
-    owners = first.groupBy("t1", "t2", "k").agg(F.collect_list(F.struct("start", "size", "c1", "c2")).alias("todo"))
-    return place.drop("k"), owners
-
-
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    cut = map_texts(docs, work, f"k {kind}, t1 long, t2 long, at array<long>, c1 array<long>, c2 array<long>")
+    # exact copies have the same chunks: one row for all of them, numbered as it is written
+    texts = pin(cut.groupBy("t1", "t2").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("at", "c1", "c2")])
+                .withColumn("tid", F.monotonically_increasing_id()), "chunks")
+    place = texts.select("tid", F.explode(F.arrays_zip("at", "c1", "c2")).alias("c")).select("tid", "c.*")
+    first = place.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "at")).alias("p")).where("n > 1")
+    todo = first.select("p.tid", "p.at", "c1", "c2").groupBy("tid").agg(F.collect_list(F.struct("at", "c1", "c2")).alias("todo"))
+    texts = texts.select("tid", "t1", "t2", "k")
+    return texts, place, texts.join(todo, "tid").select("t1", "t2", "k", "todo")
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """``key`` and ``ids`` (array of int) of every row's whole text (null: empty), as ``tokenizers`` gives them.
 
-    Rows with equal or null keys stay apart; other columns are ignored.  Tokenizer files that are no
-    plain byte-level BPE have no safe places to repair joins at: their texts are encoded as they stand.
+    With ``decoded`` also the text that the ids decode to, made in the same pass.  Rows with equal or null keys stay
+    apart; other columns are ignored.  Tokenizer files that are no plain byte-level BPE have no safe places to repair
+    joins at: their texts are encoded as they stand.
     """
     kind = docs.schema[key].dataType.simpleString()
     x = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    schema = f"k {kind}, ids array<int>" + ", decoded string" * decoded
+
+    def result(rows: dict[str, list], ids: list[np.ndarray]) -> dict[str, list]:
+        back = {"decoded": [encoder(path).decode(i) for i in ids]} if decoded else {}
+        return {"k": rows["k"], "ids": int_lists(ids), **back}
+
     if not encoder(path).exact:
         def plain(rows: dict[str, list]) -> dict[str, list]:
-            return {"k": rows["k"], "ids": int_lists([encoder(path).encode(t) for t in rows["text"]])}
-        return map_texts(x, plain, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+            return result(rows, [encoder(path).encode(t) for t in rows["text"]])
+        return map_texts(x, plain, schema).withColumnRenamed("k", key)
 
+    packed = "<u2" if len(encoder(path).pieces) <= 1 << 16 else "<u4"
     x = x.withColumns({f"t{i}": F.xxhash64(F.lit(i), F.col("text")) for i in (1, 2)})
-    place, owners = shared_chunks(x, path)
+    texts, place, owners = shared_chunks(x)
+
+    def squeeze(rows: dict[str, list]) -> dict[str, list]:
+        z = zstandard.ZstdCompressor(level=3)
+        return rows | {"z": [z.compress(t.encode()) for t in rows.pop("text")]}
+
+    # The texts go compressed through the one shuffle that both joins below share; the filter (hashes are never
+    # null) is what an inner join adds by itself, and makes both sides alike.
+    z = map_texts(x, squeeze, f"k {kind}, t1 long, t2 long, z binary").where("t1 is not null and t2 is not null")
 
     def encode_chunks(rows: dict[str, list]) -> dict[str, list]:
         out, enc = {"c1": [], "c2": [], "ids": []}, encoder(path)
-        for t, todo in zip(rows["text"], rows["todo"]):
-            b = t.encode()
+        for t, todo, k, owner in zip(rows["z"], rows["todo"], rows["k"], rows["o_k"]):
+            if k != owner:
+                continue
+            b = zstandard.ZstdDecompressor().decompress(t)
             for c in todo:
+                start, size = c["at"] >> 32, c["at"] & 0xFFFFFFFF
                 out["c1"].append(c["c1"])
                 out["c2"].append(c["c2"])
-                out["ids"].append(enc.encode(b[c["start"]:c["start"] + c["size"]].decode()).astype("<u4").tobytes())
+                out["ids"].append(enc.encode(b[start:start + size].decode()).astype(packed).tobytes())
         return out
 
     o = owners.select(*[F.col(c).alias(f"o_{c}") for c in ("t1", "t2", "k")], "todo")
     same = (F.col("t1") == F.col("o_t1")) & (F.col("t2") == F.col("o_t2"))
-    held = x.join(o, same & F.col("k").eqNullSafe(F.col("o_k"))).select("text", "todo")
-    once = map_texts(held, encode_chunks, "c1 long, c2 long, ids binary").dropDuplicates(["c1", "c2"])
-    parts = (place.join(once, ["c1", "c2"]).groupBy("t1", "t2")
-             .agg(F.collect_list(F.struct("start", "size", "ids")).alias("known")))
-    y = x.join(parts.withColumnsRenamed({"t1": "o_t1", "t2": "o_t2"}), same, "left").select("k", "text", "known")
+    # joined by the text's hash alone, as below, so that both joins share one shuffle of the texts
+    held = z.join(o, same).select("k", "o_k", "z", "todo")
+    once = map_texts(held, encode_chunks, "c1 long, c2 long, ids binary", ("z",)).dropDuplicates(["c1", "c2"])
+    parts = place.join(once, ["c1", "c2"]).groupBy("tid").agg(F.collect_list(F.struct("at", "ids")).alias("known"))
+    parts = texts.join(parts, "tid").select(F.col("t1").alias("o_t1"), F.col("t2").alias("o_t2"), "known")
+    y = z.join(parts, same, "left").select("k", "z", "known")
 
     def assemble(rows: dict[str, list]) -> dict[str, list]:
         enc, ids = encoder(path), []
-        for t, known in zip(rows["text"], rows["known"]):
-            stretches = sorted((p["start"], p["start"] + p["size"], p["ids"]) for p in known or [])
-            ids.append(encode_with(enc, t.encode(), [(s, e, np.frombuffer(i, "<u4")) for s, e, i in stretches])
-                       if stretches else enc.encode(t))
-        return {"k": rows["k"], "ids": int_lists(ids)}
+        for t, known in zip(rows["z"], rows["known"]):
+            b = zstandard.ZstdDecompressor().decompress(t)
+            stretches = [(a >> 32, (a >> 32) + (a & 0xFFFFFFFF), np.frombuffer(i, packed)) for a, i in sorted((p["at"], p["ids"]) for p in known or [])]
+            ids.append(encode_with(enc, b, stretches) if stretches else enc.encode(b.decode()))
+        return result(rows, ids)
 
-    return map_texts(y, assemble, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return map_texts(y, assemble, schema, ("z",)).withColumnRenamed("k", key)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

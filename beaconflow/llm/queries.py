@@ -103,10 +103,9 @@ def op4_best_fit_packing(spark, sf_dir):
 @query
 def op2_bpe_encode_decode(spark, sf_dir):
     """All whole ``documents`` texts to ids with chunk reuse, and back."""
-    path = tokenizer_path()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
-    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

@@ -60,8 +60,9 @@ def test_odd_texts_copies_and_shared_passages(spark):
     got = sorted([(r.doc_id, r.ids) for r in bpe.encode(df, PATH).collect()], key=key)
     assert got == sorted([(k, plain(t)) for k, t in rows], key=key)
     x = df.selectExpr("doc_id as k", "coalesce(text, '') as text").selectExpr("k", "xxhash64(1, text) as t1", "xxhash64(2, text) as t2", "text")
-    place, owners = bpe.shared_chunks(x, PATH)
-    assert place.count() > 100 and owners.count() >= 1
+    texts, place, owners = bpe.shared_chunks(x)
+    assert texts.count() == len({t or "" for _, t in rows}) and place.groupBy("c1", "c2").count().where("count > 15").count() > 3
+    assert owners.count() >= 1 and owners.selectExpr("sum(size(todo))").first()[0] < place.count() / 4
     assert bpe.encode(df.limit(0), PATH).collect() == []
     back = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert sorted(r.decoded for r in back) == sorted(t or "" for _, t in rows)
