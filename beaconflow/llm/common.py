@@ -86,3 +86,19 @@ def before(laid: DataFrame, values: dict[str, Column], group: list[str]) -> Data
     cond = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group] + [F.col("_pid") == F.col("_p")]
     x = x.join(F.broadcast(part), cond, "left")
     return x.select(*laid.columns, *[(F.col(f"_i_{k}") + F.coalesce(F.col(f"_o_{k}"), F.lit(0))).alias(k) for k in values])
+
+
+#: Hashes of a sample are compared as numbers below this.
+HASH_RANGE = 1 << 62
+
+
+def hashed_sample(df: DataFrame, n: int, key: list[Column | str], total: int | None = None) -> DataFrame:
+    """The ``n`` rows with the smallest hash of ``key`` (all rows if there are fewer), without the columns' order mattering.
+
+    With N rows about the 2n smallest hashes lie below 2n / N of the hash range: only those rows
+    are looked at further, so what is gathered stays near 2n rows however many tasks the input has.
+    """
+    total = df.count() if total is None else total
+    h = F.pmod(F.xxhash64(*key, F.lit(29)), F.lit(HASH_RANGE))
+    below = min(HASH_RANGE, (2 * n + 100) * HASH_RANGE // max(total, 1))
+    return df.withColumn("_sampled", h).where(F.col("_sampled") < F.lit(below)).orderBy("_sampled").limit(n).drop("_sampled")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import add_columns
+from .common import HASH_RANGE
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PAD = max(WIDTHS) - 1
@@ -117,11 +118,14 @@ def labelled_windows(labelled: DataFrame, per_lang: int = 1000, windows: int = 3
     Documents are taken in the order of a hash of their id, passages start at hashed places anywhere in
     the text.  At most ``per_lang * windows`` short passages of each language reach the driver.
     """
-    d = labelled.where("text is not null and lang is not null and length(text) > 0").select(
-        "lang", F.xxhash64("doc_id", F.lit(11)).alias("_h"), F.expr(
-            f"transform(sequence(1, {windows}), i -> substring(text, 1 + cast(pmod(xxhash64(doc_id, i), "
-            f"greatest(1, char_length(text) - {WINDOW} + 1)) as int), {WINDOW + PAD}))").alias("_w"))
-    # rank <= bound: Spark keeps only that many rows of a language in each task before the shuffle
+    d = labelled.where("text is not null and lang is not null and length(text) > 0")
+    size = d.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))  # one row per language
+    h = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HASH_RANGE))
+    # below this share of the hash range lie about twice as many documents as are wanted
+    share = F.least(F.lit(1.0), (2 * per_lang + 100) / F.col("_n"))
+    d = d.join(size, d["lang"] == size["_l"]).where(h < share * F.lit(float(HASH_RANGE))).select("lang", h.alias("_h"), F.expr(
+        f"transform(sequence(1, {windows}), i -> substring(text, 1 + cast(pmod(xxhash64(doc_id, i), "
+        f"greatest(1, char_length(text) - {WINDOW} + 1)) as int), {WINDOW + PAD}))").alias("_w"))
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_w"))).where(F.col("_r") <= per_lang)
     rows = sorted((r.lang, r._r, r._w) for r in d.select("lang", "_r", "_w").collect())
     pairs = [(w, lang) for lang, _, ws in rows for w in ws if any(map(str.isalpha, w))]

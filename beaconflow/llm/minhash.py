@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import WordHashes, map_texts, mix64, ngrams
+from .batches import map_texts, mix64, ngrams, word_hashes
 from .common import pin
 from .graph import components
 
@@ -24,10 +24,10 @@ from .graph import components
 BLOCK, DIGEST, SLACK = 1024, 512, 4.0
 
 
-def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles of a text, A-Z lowered; fewer words are one shingle, none is empty."""
-    words = (text or "").encode().lower().split()
-    return np.unique(ngrams(hashes.of(words), min(n, len(words)))) if words else np.zeros(0, np.uint64)
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the ``n``-word shingles of each text, A-Z lowered; fewer words are one shingle, none is empty."""
+    words, size = word_hashes([(t or "").encode() for t in texts])
+    return [np.unique(ngrams(words[e - k:e], min(n, k))) if k else np.zeros(0, np.uint64) for k, e in zip(size.tolist(), np.cumsum(size).tolist())]
 
 
 def one_permutation(sets: list[np.ndarray], bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +71,8 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """From ``k, text``: ``k, n_shingles, s1, s2`` (hash of the whole set; null when empty), ``bands`` and ``digest``."""
-    hashes = WordHashes()
-
     def work(cols: dict[str, list]) -> dict[str, list]:
-        sets = [shingle_set(t, n, hashes) for t in cols["text"]]
+        sets = shingle_sets(cols["text"], n)
         live = [i for i, s in enumerate(sets) if len(s)]
         out = {"k": cols["k"], "n_shingles": [len(s) for s in sets], **{c: [None] * len(sets) for c in ("s1", "s2", "bands", "digest")}}
         if live:
@@ -92,14 +90,14 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Of ``hub, id`` pairs those whose sets have 100 * intersection >= ``percent`` * union, as ``a, b``."""
     kind = pairs.schema["hub"].dataType.simpleString()
-    hashes, last = WordHashes(), {}
+    last: dict = {}
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         a, b = [], []
-        for hub, i, x, y in zip(cols["hub"], cols["id"], cols["x"], cols["y"]):
+        for hub, i, x, two in zip(cols["hub"], cols["id"], cols["x"], shingle_sets(cols["y"], n)):
             if last.get("text") != x:  # rows come sorted by hub
-                last.update(text=x, set=shingle_set(x, n, hashes))
-            one, two = last["set"], shingle_set(y, n, hashes)
+                last.update(text=x, set=shingle_sets([x], n)[0])
+            one = last["set"]
             at = np.searchsorted(one, two)
             both = int((one[np.minimum(at, len(one) - 1)] == two).sum()) if len(one) else 0
             if both and 100 * both >= percent * (len(one) + len(two) - both):

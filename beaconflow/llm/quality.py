@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import SPACES, WordHashes, add_columns, ngrams
+from .batches import SPACES, add_columns, ngrams, word_hashes
+from .common import hashed_sample
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -25,11 +26,14 @@ FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_sh
 UPPER, DIGITS, MARKS = bytes(range(65, 91)), bytes(range(48, 58)), b"!\"'()*+,-./:;<=>?@[\\]^_`{|}~#$%&"
 
 
-def text_statistics(text: str | None, hashes: WordHashes) -> tuple:
-    """The five counts, then the features other than ``n_words``; null counts as empty (all zero)."""
+def text_statistics(text: str | None, words: np.ndarray | None = None) -> tuple:
+    """The five counts, then the features other than ``n_words``; null counts as empty (all zero).
+
+    ``words``: the hashes of the text's words, where they are known already.
+    """
     b = (text or "").encode()
-    words = b.split()  # on bytes, split() takes exactly the six SPACES
-    n = len(words)
+    h = word_hashes([b], lower=False)[0] if words is None else words
+    n = len(h)
     if not n:
         return (0, 0, len(b) - len(b.translate(None, SYMBOLS)), 0, 0, *[0.0] * (len(FEATURES) - 1))
     share = lambda drop, of: (len(b) - len(b.translate(None, drop))) / of
@@ -42,8 +46,8 @@ def text_statistics(text: str | None, hashes: WordHashes) -> tuple:
             if line in seen:
                 dup += 1
             seen.add(line)
-    h, repeat = hashes.of(words), 0
-    if n >= 10 or n > 5:
+    repeat = 0
+    if n > 5:
         windows, back, times = np.unique(ngrams(h, 5), return_inverse=True, return_counts=True)
         if len(windows) < n - 4:
             edge = np.zeros(n + 1, np.int32)
@@ -59,10 +63,13 @@ def text_statistics(text: str | None, hashes: WordHashes) -> tuple:
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the columns ``keep``, COUNTS and FEATURES of every row's whole text."""
-    hashes, names = WordHashes(), [*COUNTS, *FEATURES[1:]]
+    names = [*COUNTS, *FEATURES[1:]]
 
     def work(texts: list) -> dict[str, list]:
-        return {c: list(v) for c, v in zip(names, zip(*[text_statistics(t, hashes) for t in texts]))}
+        words, n = word_hashes([(t or "").encode() for t in texts], lower=False)
+        ends = np.cumsum(n)
+        rows = [text_statistics(t, words[e - k:e]) for t, k, e in zip(texts, n, ends)]
+        return {c: list(v) for c, v in zip(names, zip(*rows))}
 
     new = ", ".join([*[f"{c} long" for c in COUNTS], *[f"{c} double" for c in FEATURES[1:]]])
     return add_columns(docs, [key, *keep], text, new, work)
@@ -110,11 +117,15 @@ def best_condition(x: np.ndarray, bad: np.ndarray, cuts: int = 64) -> Condition
     return found
 
 
-def learn_rules(x: np.ndarray, bad: np.ndarray, max_rules: int = 12, precision: float = 0.95, least: int = 5,
-                seed: int = 3) -> list[list[Condition]]:
-    """Sequential covering; a rule is kept when on held-back rows it covers ``least`` bad ones with ``precision``."""
-    rng, rules = np.random.default_rng(seed), []
-    while len(rules) < max_rules and bad.sum() >= 2 * least:
+def learn_rules(x: np.ndarray, bad: np.ndarray, max_rules: int = 12, precision: float = 0.98, least: int = 5,
+                patience: int = 8, seed: int = 3) -> list[list[Condition]]:
+    """Sequential covering; a rule is kept when on held-back rows it covers ``least`` bad ones with ``precision``.
+
+    Each rule is grown and tried on a random division of the rows; learning ends after ``patience`` divisions in a row
+    without a rule that stands.
+    """
+    rng, rules, failed = np.random.default_rng(seed), [], 0
+    while len(rules) < max_rules and bad.sum() >= 2 * least and failed < patience:
         grow = rng.random(len(x)) < 2 / 3
         rule, inside = [], grow.copy()
         while bad[inside].sum() and not bad[inside].all() and len(rule) < 6:
@@ -129,16 +140,18 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, max_rules: int = 12, precision:
             hit = covers(rule[:k], x) & ~grow
             p, n = (hit & bad).sum(), (hit & ~bad).sum()
             worth.append(((p - n) / (p + n) if p + n else -1, p))
+        failed += 1
         if not worth:
-            break
+            continue
         k = max(range(len(worth)), key=lambda i: (round(float(worth[i][0]), 3), worth[i][1], -i)) + 1
         # of several limits on one side of a statistic only the tightest says anything
         last = {(c.feature, c.above): c for c in rule[:k]}
         rule = list(last.values())
         hit = covers(rule, x) & ~grow
         if (hit & bad).sum() < least or (hit & bad).sum() < precision * hit.sum():
-            break
+            continue
         rules.append(rule)
+        failed = 0
         left = ~covers(rule, x)
         x, bad = x[left], bad[left]
     return rules
@@ -151,8 +164,8 @@ def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     Null labels and ids are skipped; no labelled row, or one class only, gives no rules.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_bad"))
-    rows = (stats.join(known, stats[key] == known["_k"]).select((F.col("_bad") == 0).alias("_bad"), *FEATURES, key)
-            .orderBy(F.xxhash64(F.col(key), F.lit(5)), key).limit(sample).collect())
+    labelled = stats.join(known, stats[key] == known["_k"]).select((F.col("_bad") == 0).alias("_bad"), *FEATURES, key)
+    rows = sorted(hashed_sample(labelled, sample, [key]).collect())
     if not rows:
         return []
     x = np.array([[float(r[f]) for f in FEATURES] for r in rows])

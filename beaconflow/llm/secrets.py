@@ -172,6 +172,25 @@ def candidates(index: DataFrame, grams: list[str], queries: list[list[Clause]])
     return masks.select("k", bits.alias("rules")).where("rules != 0")
 
 
+def _look(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...], hint: str) -> tuple[DataFrame, int]:
+    """``docs`` with the column ``hint``: a bit for each rule whose trigrams the row's key was indexed with; and the bits of
+    rules that scan every text."""
+    queries = [trigram_query(r) for r in rules]
+    grams = sorted({g for q in queries for clause in q for option in clause for g in option})
+    always = sum(1 << i for i, q in enumerate(queries) if not q)
+    if not grams:
+        return docs.withColumn(hint, F.lit(0)), always
+    index = pin(postings(docs, grams, key, text), "postings")
+    hit = candidates(index, grams, queries).select(F.col("k").alias("_at"), F.col("rules").alias(hint))
+    x = docs.join(hit, F.col(f"`{key}`").eqNullSafe(F.col("_at")), "left").drop("_at")
+    return x.withColumn(hint, F.coalesce(hint, F.lit(0))), always
+
+
+def spans_of(text: str | None, rules: tuple[Rule, ...], bits: int) -> list[tuple[int, int, int]]:
+    """(start, number of the rule, end) of the matches of the rules in ``bits``, in order."""
+    return sorted((s, i, e) for i, r in enumerate(rules) if text and bits >> i & 1 for s, e in r.spans(text))
+
+
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES,
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: ``key``, the columns ``keep``, and ``_spans`` (kind, start, end).
@@ -179,29 +198,24 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     Spans are in code points, end exclusive, ordered by start, then by the rules' order.  A null or empty
     text has none.  Rows with equal or null keys are kept apart (the index only says where to look).
     """
-    queries = [trigram_query(r) for r in rules]
-    grams = sorted({g for q in queries for clause in q for option in clause for g in option})
-    always = sum(1 << i for i, q in enumerate(queries) if not q)
-    x = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_text"), *[c for c in keep if c not in (key,)])
-    if grams:
-        index = pin(postings(docs, grams, key, text), "postings")
-        hit = candidates(index, grams, queries).select(F.col("k").alias("_at"), F.col("rules").alias("_hit"))
-        x = x.join(hit, F.col("_k").eqNullSafe(F.col("_at")), "left").drop("_at")
-    else:
-        x = x.withColumn("_hit", F.lit(0))
-    x = x.withColumn("_rules", F.coalesce("_hit", F.lit(0)).bitwiseOR(F.lit(always))).drop("_hit")
+    names = {c: f"_d{i}" for i, c in enumerate(dict.fromkeys([key, text, *keep]))}
+    x, always = _look(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), names[key], names[text], rules, "_hit")
 
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        out = []
-        for t, bits in zip(rows.pop("_text"), rows.pop("_rules")):
-            found = [(s, i, e) for i, r in enumerate(rules) if t and bits >> i & 1 for s, e in r.spans(t)]
-            out.append([{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in sorted(found)])
-        return rows | {"_spans": out}
+    def work(cols: dict) -> dict:
+        found = [spans_of(t, rules, bits | always) for t, bits in zip(cols["_t"].to_pylist(), cols["_hit"])]
+        return cols | {"_spans": [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in f] for f in found]}
 
+    out = {c: names[c] for c in dict.fromkeys([key, *keep])}
     types = {f.name: f.dataType.simpleString() for f in x.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in x.columns if c not in ("_text", "_rules"))
-    spans = "array<struct<kind: string, start: int, end: int>>"
-    return map_texts(x, work, f"{schema}, _spans {spans}", ("_text",)).withColumnRenamed("_k", key)
+    sent = [a for a in out.values() if a != names[text]]
+    same = types[names[text]] == "string"
+    if names[text] in out.values() and not same:
+        sent.append(names[text])
+    y = x.select(*sent, F.col(names[text]).cast("string").alias("_t"), "_hit")
+    back = {c: "_t" if a == names[text] and same else a for c, a in out.items()}
+    schema = ", ".join([*[f"{a} {types[a] if a != '_t' else 'string'}" for a in back.values()], "_spans array<struct<kind: string, start: int, end: int>>"])
+    found = map_texts(y, work, schema, ("_t",), (*sent, "_t"))
+    return found.select(*[F.col(a).alias(c) for c, a in back.items()], "_spans")
 
 
 def span_text(spans: str = "_spans", kinds: tuple[str, ...] | None = None) -> Column:
@@ -220,27 +234,23 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
 
     Null texts stay null; all other columns stay as they are.
     """
-    inner = [c for c in docs.columns if c != key]
-    taken = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    x = docs.select(*[F.col(c).alias(taken[c]) for c in docs.columns])
-    found = find_secrets(x, taken[key], taken[text], rules, tuple(taken[c] for c in inner))
-    types = {f.name: f.dataType.simpleString() for f in x.schema}
-    t = taken[text]
+    names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    x, always = _look(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), names[key], names[text], rules, "_hit")
+    types, t = {f.name: f.dataType.simpleString() for f in x.schema}, names[text]
 
-    def work(rows: dict[str, list]) -> dict[str, list]:
+    def work(cols: dict) -> dict:
         out = []
-        for s, spans in zip(rows[t], rows.pop("_spans")):
+        for s, bits in zip(cols[t], cols["_hit"]):
             parts, at = [], 0
-            for sp in spans or []:
-                if sp["end"] <= at:
+            for start, _, end in spans_of(s, rules, bits | always):
+                if end <= at:
                     continue
-                if sp["start"] >= at:
-                    parts += [s[at:sp["start"]], mark]
-                at = sp["end"]
-            out.append(s if s is None or not parts else "".join(parts) + s[at:])
-        rows[t] = out
-        return rows
-
-    schema = ", ".join(f"{c} {types[c]}" for c in found.columns if c != "_spans")
-    fixed = map_texts(found, work, schema, (t,))
-    return fixed.select(*[F.col(taken[c]).alias(c) for c in docs.columns])
+                if start >= at:
+                    parts += [s[at:start], mark]
+                at = end
+            out.append(s if not parts else "".join(parts) + s[at:])
+        return cols | {t: out}
+
+    schema = ", ".join(f"{a} {types[a]}" for a in names.values())
+    fixed = map_texts(x, work, schema, (t,), tuple(a for a in names.values() if a != t))
+    return fixed.select(*[F.col(a).alias(c) for c, a in names.items()])

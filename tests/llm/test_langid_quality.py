@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 
 from beaconflow.llm import langid, quality
-from beaconflow.llm.batches import WordHashes
 from beaconflow.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -61,9 +60,8 @@ ODD = [None, "", "   \n\n", "a", "a b c d e a b c d e", "é é é é é é é",
 
 
 def test_statistics_of_odd_texts(spark):
-    hashes = WordHashes()
     for t in ODD:
-        assert quality.text_statistics(t, hashes)[:5] == brute_counts(t), t
+        assert quality.text_statistics(t)[:5] == brute_counts(t), t
     df = spark.createDataFrame([(None if i == 1 else i % 4, t, 0) for i, t in enumerate(ODD)], "doc_id long, text string, n_words int")
     got = sorted(tuple(r)[:6] for r in quality.statistics(df).na.fill(-1, ["doc_id"]).collect())
     assert got == sorted((-1 if i == 1 else i % 4, *brute_counts(t)) for i, t in enumerate(ODD))

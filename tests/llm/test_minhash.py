@@ -6,7 +6,6 @@ import re
 import numpy as np
 
 from beaconflow.llm import graph, minhash
-from beaconflow.llm.batches import WordHashes
 from beaconflow.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -89,10 +88,10 @@ def test_null_and_repeated_keys(spark):
 
 
 def test_signatures_estimate_similarity():
-    rng, hashes = np.random.default_rng(1), WordHashes()
+    rng = np.random.default_rng(1)
     for share in (0.5, 0.8):
         same = [f"s{i}" for i in range(int(300 * share))]
-        a = minhash.shingle_set(" ".join(same), 1, hashes)
+        a = minhash.shingle_sets([" ".join(same)], 1)[0]
         b = np.unique(np.concatenate((a, rng.integers(0, 2**63, 300 - len(same)).astype(np.uint64))))
         sig = minhash.signatures([a, b], 252)
         assert abs((sig[0] == sig[1]).mean() - len(a) / len(b)) < 0.12

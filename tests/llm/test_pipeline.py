@@ -7,7 +7,6 @@ import pytest
 
 import corpus_pipeline as P
 from beaconflow.llm import quality
-from beaconflow.llm.batches import WordHashes
 from test_minhash import brute
 from test_packing import check
 from test_secrets import brute as brute_spans
@@ -40,13 +39,12 @@ def test_quality_stage(spark, steps):
     before, after = rows(steps[0]), rows(steps[1])
     assert all(before[k] == v for k, v in after.items())
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    hashes = WordHashes()
     for k, r in before.items():
-        n, _, _, _, again = quality.text_statistics(r[1], hashes)[:5]
+        n, _, _, _, again = quality.text_statistics(r[1])[:5]
         if n < 10 or 100 * again > 20 * n:
             assert k not in after
     good = [k in after for k, r in labels.items() if r.quality == 1 and k in before and not
-            (lambda s: s[0] < 10 or 100 * s[4] > 20 * s[0])(quality.text_statistics(before[k][1], hashes))]
+            (lambda s: s[0] < 10 or 100 * s[4] > 20 * s[0])(quality.text_statistics(before[k][1]))]
     assert np.mean(good) > 0.99
     assert np.mean([k in after for k, r in labels.items() if r.quality == 0 and k in before]) < 0.15
 
