@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconflow.llm import langid, minhash, packing, quality, secrets
-from beaconflow.llm.common import pin
+from beaconflow.llm.common import hashed_sample, pin
 from beaconflow.llm.queries import table, tokenizer_path
 
 #: Below this mean probability a text is in none of the languages that were learned.
@@ -21,7 +21,7 @@ LABELLED = 30_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the decision list, which is learned from up to LABELLED of the ``labels``."""
-    labels = table(spark, sf_dir, "labels").where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    labels = pin(hashed_sample(table(spark, sf_dir, "labels").where("quality is not null"), LABELLED, ["doc_id"]), "labels")
     sample = docs.join(F.broadcast(labels.select("doc_id").distinct()), "doc_id")
     rules = quality.learn(quality.statistics(sample), labels, sample=LABELLED)
     return quality.judge(quality.statistics(docs, keep=tuple(docs.columns)), rules).where("kept").select(*docs.columns)
