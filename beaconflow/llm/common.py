@@ -93,7 +93,7 @@ HASH_RANGE = 1 << 62
 
 
 def hashed_sample(df: DataFrame, n: int, key: list[Column | str], total: int | None = None) -> DataFrame:
-    """The ``n`` rows with the smallest hash of ``key`` (all rows if there are fewer), without the columns' order mattering.
+    """The ``n`` rows with the smallest hash of ``key`` (all rows if there are fewer).
 
     With N rows about the 2n smallest hashes lie below 2n / N of the hash range: only those rows
     are looked at further, so what is gathered stays near 2n rows however many tasks the input has.

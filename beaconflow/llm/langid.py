@@ -119,11 +119,14 @@ def labelled_windows(labelled: DataFrame, per_lang: int = 1000, windows: int = 3
     the text.  At most ``per_lang * windows`` short passages of each language reach the driver.
     """
     d = labelled.where("text is not null and lang is not null and length(text) > 0")
-    size = d.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))  # one row per language
+    # documents of each language: as many numbers as the network has outputs
+    size = d.groupBy("lang").count().collect()
+    if not size:
+        return [], []
     h = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HASH_RANGE))
     # below this share of the hash range lie about twice as many documents as are wanted
-    share = F.least(F.lit(1.0), (2 * per_lang + 100) / F.col("_n"))
-    d = d.join(size, d["lang"] == size["_l"]).where(h < share * F.lit(float(HASH_RANGE))).select("lang", h.alias("_h"), F.expr(
+    below = F.create_map(*[F.lit(v) for r in size for v in (r["lang"], min(1.0, (2 * per_lang + 100) / r["count"]) * HASH_RANGE)])
+    d = d.where(h < below[F.col("lang")]).select("lang", h.alias("_h"), F.expr(
         f"transform(sequence(1, {windows}), i -> substring(text, 1 + cast(pmod(xxhash64(doc_id, i), "
         f"greatest(1, char_length(text) - {WINDOW} + 1)) as int), {WINDOW + PAD}))").alias("_w"))
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_w"))).where(F.col("_r") <= per_lang)
