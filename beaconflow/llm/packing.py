@@ -3,8 +3,8 @@
 Pieces are counted by length, so the packing problem is as large as the sequence length, not the
 corpus.  Its linear program (how often to use each configuration of lengths that fits one sequence) is
 solved by multiplicative weights: a knapsack dynamic program prices the best configuration under the
-present weights, and lengths that it covers lose weight.  The solution is rounded down; what is left is
-solved again, and the last few pieces are placed best-fit.  Each piece then finds its place from its
+present weights, and lengths that it covers lose weight.  The solution is rounded down and what is left is
+solved again, either to the last piece or until nothing fills a sequence, the rest best-fit by counts.  Each piece then finds its place from its
 rank among the pieces of its length.
 """
 
@@ -66,24 +66,40 @@ def refill(config: Counter, left: np.ndarray, capacity: int) -> tuple[Counter, i
 
 
 def place_best_fit(need: np.ndarray, capacity: int) -> Counter:
-    """Best-fit decreasing on counts: configurations of the few pieces that rounding left."""
-    open_: list[list[int]] = []
-    free: list[int] = []
+    """Best-fit decreasing on counts: uses of configurations, as one piece after the other would give.
+
+    A sequence that takes a piece stays the fullest that fits until it has no room for another, so sequences
+    of one room and content fill up together; each length parts at most one such group.
+    """
+    groups: Counter = Counter()  # (room, pieces): sequences
     for l in range(capacity, 0, -1):
-        for _ in range(int(need[l])):
-            fits = [(f, i) for i, f in enumerate(free) if f >= l]
-            if fits:
-                i = min(fits)[1]
-                open_[i].append(l)
-                free[i] -= l
-            else:
-                open_.append([l])
-                free.append(capacity - l)
-    return Counter(tuple(sorted(Counter(x).items())) for x in open_)
+        n = int(need[l])
+        for room, held in sorted(g for g in groups if g[0] >= l) if n else ():
+            k = room // l
+            full = min(groups[room, held], n // k)
+            n -= full * k
+            rest = n if full < groups[room, held] else 0
+            for uses, copies in ((full, k), (1, rest)):
+                if uses and copies:
+                    groups[room, held] -= uses
+                    groups[room - copies * l, (*held, (l, copies))] += uses
+            n -= rest
+            if not groups[room, held]:
+                del groups[room, held]
+            if not n:
+                break
+        k = capacity // l
+        for uses, copies in ((n // k, k), (1, n % k)):
+            if uses and copies:
+                groups[capacity - copies * l, ((l, copies),)] += uses
+    out: Counter = Counter()
+    for (_, held), uses in groups.items():
+        out[tuple(sorted(held))] += uses
+    return out
 
 
 def solve(histogram: np.ndarray, capacity: int, eta: float, eps: float = 0.2, bend: float = 1.0,
-          stop: float = 0.0006) -> Counter:
+          stop: float = 1.0) -> Counter:
     """Uses of configurations ((length, copies), ...) that together give every piece a place.
 
     Multiplicative weights on the covering program: a length's weight starts above its share
@@ -91,7 +107,7 @@ def solve(histogram: np.ndarray, capacity: int, eta: float, eps: float = 0.2, be
     ``exp(eta * lag)``, where lag is the part of its pieces not yet covered beyond the mean.  A step
     uses the best configuration with each length, the longest first, for a part ``eps`` of its
     scarcest pieces, rounded to whole uses, if it fills a sequence but for a part ``within``; that
-    part doubles when no configuration does.  What is left when it passes ``stop`` goes best-fit.
+    part doubles when no configuration does, up to 1, where every one does.  What is left when none does at ``stop`` goes best-fit.
     """
     left, total = histogram.astype(np.int64).copy(), np.maximum(histogram, 1)
     size, used = np.arange(capacity + 1) / capacity, Counter()
@@ -112,19 +128,21 @@ def solve(histogram: np.ndarray, capacity: int, eta: float, eps: float = 0.2, be
             for l, k in p.items():
                 left[l] -= n * k
         if not placed:
-            within *= 2
-            if within > stop:
+            if within >= stop:
                 used.update(place_best_fit(left, capacity))
                 break
+            within = min(2 * within, 1.0)
     return used
 
 
-def configurations(histogram: np.ndarray, capacity: int, rates: tuple[float, ...] = (0.005, 0.01, 0.02)) -> list[tuple[tuple, int]]:
-    """The best of the solutions for a few learning rates.
+def configurations(histogram: np.ndarray, capacity: int, rates: tuple[float, ...] = (0.005, 0.01, 0.02),
+                   stops: tuple[float, ...] = (0.0005, 1.0)) -> list[tuple[tuple, int]]:
+    """The best of best-fit decreasing and the solutions for a few learning rates, with and without widening.
 
     Its size is bounded by ``capacity`` and the steps (logarithmic in the number of pieces), not by the corpus.
     """
-    return sorted(min((solve(histogram, capacity, r) for r in rates), key=lambda u: sum(u.values())).items())
+    found = [place_best_fit(histogram, capacity), *(solve(histogram, capacity, r, stop=s) for s in stops for r in rates)]
+    return sorted(min(found, key=lambda u: sum(u.values())).items())
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:

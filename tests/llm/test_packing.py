@@ -1,7 +1,9 @@
 """Packing: pieces against the tokenizers library, layouts checked piece by piece, counts against best-fit decreasing."""
 
 import bisect
+import signal
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -77,3 +79,46 @@ def test_configurations_cover_exactly():
         assert (seen == counts).all()
         lengths = np.repeat(np.arange(257), counts)
         assert sum(n for _, n in plan) <= best_fit(lengths.tolist(), 256)
+
+
+def by_pieces(need, capacity):
+    seqs = []
+    for l in np.repeat(np.arange(len(need)), need)[::-1].tolist():
+        fits = [(capacity - sum(s), i) for i, s in enumerate(seqs) if capacity - sum(s) >= l]
+        if fits:
+            seqs[min(fits)[1]].append(l)
+        else:
+            seqs.append([l])
+    return seqs
+
+
+def test_best_fit_by_counts_is_best_fit_by_pieces():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        need = rng.integers(0, 9, 65) * (rng.random(65) < 0.4)
+        need[0] = 0
+        got = packing.place_best_fit(need, 64)
+        assert sum(got.values()) == len(by_pieces(need, 64))
+        assert all(0 < sum(l * k for l, k in c) <= 64 and n > 0 for c, n in got.items())
+        seen = Counter()
+        for c, n in got.items():
+            for l, k in c:
+                seen[l] += k * n
+        assert seen == Counter({l: int(n) for l, n in enumerate(need) if n})
+
+
+def test_a_million_pieces_of_a_length():
+    signal.alarm(100)  # piece by piece it would take days
+    try:
+        for lengths, most in (({600: 10**6}, 10**6), ({600: 10**6, 300: 10**6}, 10**6), ({600: 10**6, 550: 3 * 10**5, 410: 7 * 10**5, 333: 99}, 13 * 10**5)):
+            counts = np.zeros(1025, np.int64)
+            for l, n in lengths.items():
+                counts[l] = n
+            plan, seen = packing.configurations(counts, 1024), Counter()
+            for config, n in plan:
+                assert sum(l * k for l, k in config) <= 1024
+                for l, k in config:
+                    seen[l] += k * n
+            assert seen == Counter(lengths) and sum(n for _, n in plan) <= most
+    finally:
+        signal.alarm(0)
