@@ -3,7 +3,8 @@
 Each pass orders all vectors lexicographically by the concatenated signs of random projections: close
 vectors share long prefixes and come to stand near each other.  A vector is compared with a bounded
 window of neighbours, pairs found at or above the cosine are confirmed links, and their union over
-the passes gives the components.  Links are then counted exactly inside the components, in bounded blocks.
+the passes gives the components.  Where more vectors share a prefix than a window holds (a hot topic), those of
+different components are compared exactly, in bounded blocks.  Links are then counted exactly inside the components, in bounded blocks.
 """
 
 from __future__ import annotations
@@ -25,14 +26,19 @@ from .graph import components
 BITS, STEP, BLOCK = 32, 512, 1024
 
 
+def signs_for(n: int, window: int) -> int:
+    """Signs of a prefix that half a window of ``n`` evenly spread vectors share; where more than a window do, see run_links."""
+    return 0 if n <= window + 1 else min(BITS, math.ceil(math.log2(2 * n / window)))
+
+
 def passes_for(n: int, cosine: float, window: int, miss: float = 1e-4) -> int:
-    """Passes after which a pair at exactly ``cosine`` was apart in every window with a probability of ``miss``.
+    """Passes after which a pair at exactly ``cosine`` shared no prefix with a probability of ``miss``.
 
-    Two vectors share a sign with probability 1 - angle / pi and stand within the window when they
-    share about log2(n / window) signs.
+    Two vectors share a sign with probability 1 - angle / pi.  Those that share a prefix are compared, unless a
+    partition's border parts them (at most one place in 64 is that near to one).
     """
-    same = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    near = same ** max(0.0, math.log2(max(n, 1) / window))
+    same, signs = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi, signs_for(n, window)
+    near = same ** signs * (1 - (signs > 0) / 64)
     return 1 if near >= 1 - miss else math.ceil(math.log(miss) / math.log(1 - near))
 
 
@@ -100,6 +106,49 @@ def neighbour_links(rows: DataFrame, cosine: float, window: int, kind: str) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
+def run_links(keys: DataFrame, classes: DataFrame, comp: DataFrame, cosine: float, window: int, kind: str) -> DataFrame | None:
+    """Links (a, b) inside runs: vectors that share the prefix of a pass (``turn, dim, prefix, id``), more than a window holds.
+
+    Members of a run's largest component so far are linked already; each of the others is compared with all members, in
+    blocks of about BLOCK rows against BLOCK rows, so a run of any size is spread over tasks.  None if there is no such run.
+    """
+    run = ["turn", "dim", "prefix"]
+    size = keys.groupBy(*run).agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > window + 1)
+    x = pin(keys.join(size, run).join(comp.withColumnRenamed("node", "id"), "id", "left")
+            .withColumn("component", F.coalesce("component", "id")), "runs")
+    main = x.groupBy(*run, "component", "total").agg(F.count(F.lit(1)).alias("n")).groupBy(*run, "total").agg(
+        F.max(F.struct("n", "component")).alias("most"))
+    main = main.where("total > most.n").select(*run, F.col("most.component").alias("main"), F.ceil(F.col("total") / BLOCK).alias("blocks"),
+                                               F.ceil((F.col("total") - F.col("most.n")) / BLOCK).alias("far_blocks"))
+    if main.isEmpty():
+        return None
+    where = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    x = x.join(main, run).withColumn("p", where % F.col("blocks")).withColumn("q", where % F.col("far_blocks"))
+    every = x.select(*run, "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("q"), "id", F.lit(False).alias("far"))
+    far = x.where("component <> main").select(*run, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"), "q", "id", F.lit(True).alias("far"))
+
+    def compare(t: pd.DataFrame) -> pd.DataFrame:
+        m, f = t[~t["far"]], t[t["far"]]
+        ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(m) and len(f):
+            mi, fi = m["id"].to_numpy(), f["id"].to_numpy()
+            linked = unit(list(f["v"]), kind) @ unit(list(m["v"]), kind).T >= cosine
+            other = linked & (fi[:, None] != mi[None, :])
+            r, c = np.flatnonzero(other.any(axis=1)), np.flatnonzero(other.any(axis=0))
+            if len(r):
+                both, part = np.concatenate((fi[r], mi[c])), linked[np.ix_(r, c)]
+                square = np.zeros((len(both), len(both)), bool)
+                square[:len(r), len(r):], square[len(r):, :len(r)] = part, part.T
+                square |= both[:, None] == both[None, :]  # one vector may stand on both sides
+                label = stars(square)
+                hang = np.flatnonzero(both[label] != both)
+                ids = both[label][hang], both[hang]
+        return pd.DataFrame({"a": ids[0], "b": ids[1]})
+
+    both = every.unionByName(far).join(classes.select("id", "v"), "id")
+    return both.groupBy(*run, "p", "q").applyInPandas(compare, "a long, b long")
+
+
 def link_counts(classes: DataFrame, comp: DataFrame, cosine: float, kind: str) -> DataFrame:
     """``id, others``: for each class in a component, the vectors of other classes of the component linked with it.
 
@@ -178,17 +227,18 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     classes = pin(map_texts(groups, packed, "h1 long, h2 long, low long, copies long, v binary", ("e",), ("e",))
                   .withColumn("id", F.monotonically_increasing_id()), "vectors")
     n = classes.count()
-    turns = passes_for(n, cosine, window)
+    turns, signs = passes_for(n, cosine, window), signs_for(n, window)
 
-    def sort_keys(cols: dict[str, list]) -> dict[str, list]:
-        out = {c: [] for c in ("turn", "dim", "sort", "id", "v")}
+    def sort_keys(cols: dict[str, list], whole: bool = True) -> dict[str, list]:
+        out = {c: [] for c in (("turn", "dim", "sort", "id", "v") if whole else ("turn", "dim", "prefix", "id"))}
         size = np.array([len(v) for v in cols["v"]])
         for dim in np.unique(size).tolist():
             at = np.flatnonzero(size == dim)
             blobs, ids = [cols["v"][i] for i in at], [cols["id"][i] for i in at]
             x = unit(blobs, kind)
             for t in range(turns):
-                for c, v in zip(out, ([t] * len(at), [dim] * len(at), pass_keys(x, t).tolist(), ids, blobs)):
+                key = pass_keys(x, t) if whole else pass_keys(x, t) >> (BITS - signs)
+                for c, v in zip(out, ([t] * len(at), [dim] * len(at), key.tolist(), ids, blobs)):
                     out[c] += v
         return out
 
@@ -196,7 +246,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     # a partition holds many windows, so few neighbours are parted by its borders
     parts = max(1, n * turns // (64 * window))
     rows = rows.repartitionByRange(parts, "turn", "dim", "sort", "id").sortWithinPartitions("turn", "dim", "sort", "id")
-    comp = components(neighbour_links(rows, cosine, window, kind).distinct())
+    links = pin(neighbour_links(rows, cosine, window, kind).distinct(), "links")
+    comp = components(links)
+    keys = map_texts(classes.select("id", "v"), lambda cols: sort_keys(cols, False), "turn int, dim int, prefix long, id long", ("v",))
+    more = run_links(keys, classes, comp, cosine, window, kind) if signs else None
+    if more is not None:
+        comp = components(links.unionByName(more).distinct())
     counts = link_counts(classes.select("id", "copies", "v"), comp, cosine, kind)
     node = comp.withColumnRenamed("node", "id")
     named = classes.select("id", "low").join(node, "id").groupBy("component").agg(F.min("low").alias("c"))

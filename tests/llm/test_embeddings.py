@@ -64,6 +64,34 @@ def test_clusters_of_all_widths(spark):
     assert result(got) == sorted(brute(rows), key=str)
 
 
+def test_close_pairs_inside_a_hot_topic(spark):
+    rng = np.random.default_rng(11)
+    center = rng.standard_normal(256)
+    center /= np.linalg.norm(center)
+
+    def within(n, cosine):  # of vectors in a cone with that cosine between any two
+        x = rng.standard_normal((n, 256))
+        x -= (x @ center)[:, None] * center
+        return np.sqrt(cosine) * center + np.sqrt(1 - cosine) * x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    cone = within(900, 0.8)
+    twins = []
+    for a, c in zip(cone[:80], np.linspace(0.902, 0.95, 80)):
+        z = rng.standard_normal(256)
+        z -= (z @ a) * a + ((z @ center) - (z @ a) * (a @ center)) / (1 - (a @ center) ** 2) * (center - (a @ center) * a)
+        twins.append(c * a + np.sqrt(1 - c * c) * z / np.linalg.norm(z))
+    rows = [(5000 - i, v.tolist()) for i, v in enumerate(np.concatenate((cone, twins, rng.standard_normal((1800, 256)))))]
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = np.triu(unit @ unit.T >= 0.9, 1)
+    assert 75 <= near.sum() <= 90 and near.sum(axis=0).max() == 1 == near.sum(axis=1).max()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), window=8).collect()}
+    for i, j in zip(*np.nonzero(near)):
+        assert got[5000 - i] == got[5000 - j] == (1, 5000 - j)
+    assert sum(n for n, _ in got.values()) == 2 * near.sum()
+
+
 def test_blocks_of_a_large_component(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rows = clusters(5)[:300]
