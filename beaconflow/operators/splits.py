@@ -21,6 +21,16 @@ def seeded_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
 
 
+def row_hash(df: DataFrame, key: str, seed: int) -> Column:
+    """``seeded_hash`` of the key; a row without a key is hashed by all its other columns, in name order.
+
+    So rows without a key are dealt like any others; only rows that are equal in every column share a hash.
+    """
+    others = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sorted(set(df.columns) - {key})]
+    own = F.concat_ws("|", F.lit("null"), *others)
+    return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.coalesce(F.col(key).cast("string"), own)))
+
+
 def _cutoffs(keys: DataFrame, group_cols: list[str], hcol: str, counts_to_cuts) -> DataFrame:
     """Per group and cut, the hash at rank k (hash order inside the group).
 
@@ -63,9 +73,9 @@ def stratified_split(df: DataFrame, label: str = "class", key: str = "row_id", t
     """Per class, first floor(test*n) rows in hash order -> test, next floor(val*(n - n_test)) -> val, rest -> train.
 
     ``key`` must identify rows uniquely: rows with equal keys share a hash and always
-    fall on the same side of a cut.
+    fall on the same side of a cut.  Rows without a key are dealt by ``row_hash``.
     """
-    hk = seeded_hash(key, seed)
+    hk = row_hash(df, key, seed)
     keys = df.select(label, hk.alias("_h"))
 
     def cuts(n):
@@ -90,9 +100,10 @@ def stratified_sample(df: DataFrame, label: str = "class", rate: float = 0.2, ke
                       seed: int = 42) -> DataFrame:
     """Exactly floor(rate * n_c) rows per class, without replacement (first in hash order).
 
-    ``key`` must identify rows uniquely (equal keys share a hash and are kept or dropped together).
+    ``key`` must identify rows uniquely (equal keys share a hash and are kept or dropped together).  Rows
+    without a key are dealt by ``row_hash``.
     """
-    hk = seeded_hash(key, seed)
+    hk = row_hash(df, key, seed)
     c = _cutoffs(df.select(label, hk.alias("_h")), [label], "_h",
                  lambda n: F.array(F.floor(F.lit(float(rate)) * n).cast("long")))
     c = c.select(label, "_k", "_cut")

@@ -1331,6 +1331,39 @@ def q_stratified_split_missing_labels(spark, sf_dir):
     return stratified_split(_with_gaps(spark, sf_dir).select("row_id", "class"), "class", "row_id")
 
 
+_NO_KEY = "(SELECT CASE WHEN row_id % 3 = 0 THEN NULL ELSE row_id END AS k, class, messageid FROM messages) m"
+_NO_KEY_HASH = ("md5(concat('42', ':', coalesce(CAST(k AS VARCHAR), concat_ws('|', 'null', "
+                "coalesce(CAST(class AS VARCHAR), ''), coalesce(CAST(messageid AS VARCHAR), '')))))")
+
+
+def _without_keys(spark, sf_dir):
+    return load_messages(spark, sf_dir).select(F.when(F.col("row_id") % 3 != 0, F.col("row_id")).alias("k"), "class", "messageid")
+
+
+@register("stratified_split_missing_keys", S.with_messages(f"""
+    SELECT messageid, class,
+      CASE WHEN rk < nt THEN 'test' WHEN rk < nt + floor(CAST(0.2 AS DOUBLE) * (n - nt)) THEN 'val' ELSE 'train' END AS split
+    FROM (SELECT *, floor(CAST(0.2 AS DOUBLE) * n) AS nt FROM (
+      SELECT messageid, class, row_number() OVER (PARTITION BY class ORDER BY {_NO_KEY_HASH}) - 1 AS rk,
+        count(*) OVER (PARTITION BY class) AS n
+      FROM {_NO_KEY}) r) c"""))
+def q_stratified_split_missing_keys(spark, sf_dir):
+    """X2 where every third row has no key: those rows are dealt by the hash of their other columns."""
+    from ..operators.splits import stratified_split
+    return stratified_split(_without_keys(spark, sf_dir), "class", "k").select("messageid", "class", "split")
+
+
+@register("stratified_sample_missing_keys", S.with_messages(f"""
+    SELECT messageid, class FROM (
+      SELECT messageid, class, row_number() OVER (PARTITION BY class ORDER BY {_NO_KEY_HASH}) AS rk,
+        count(*) OVER (PARTITION BY class) AS n
+      FROM {_NO_KEY}) r WHERE rk <= floor(CAST(0.2 AS DOUBLE) * n)"""))
+def q_stratified_sample_missing_keys(spark, sf_dir):
+    """X4 where every third row has no key."""
+    from ..operators.splits import stratified_sample
+    return stratified_sample(_without_keys(spark, sf_dir), "class", 0.2, "k").select("messageid", "class")
+
+
 @register("correlation_missing_values", S.with_messages(S.union_all([
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, {S.r6(f'corr({a}, {b})', 'corr')} FROM gaps"
     for i, a in enumerate(["posx", "posy", "spdx", "hedx", "sendtime"])

@@ -1,5 +1,8 @@
 """Registry guard: every query stays registered, documented and (where it has one) paired with its oracle."""
 
+import subprocess
+import sys
+
 import __spark_entry__ as E
 
 EXPECTED = [
@@ -25,6 +28,7 @@ EXPECTED = [
     'training_run', 'union_splits', 'variance_topk', 'xy_pair_load',
     'zero_variance',
     'auc_fixed_score', 'correlation_missing_values', 'distinct_counts_large_ids', 'fill_missing', 'filter_remap_counts',
+    'stratified_sample_missing_keys', 'stratified_split_missing_keys',
     'parse_records_large_ids', 'rate_windows_stream', 'stratified_split_missing_labels', 'xy_pair_many_files',
 ]
 
@@ -40,3 +44,21 @@ def test_oracles_pair_with_queries_and_queries_are_documented():
     assert len(o) >= 73
     undocumented = [n for n, f in q.items() if not (f.__doc__ or "").strip() and n not in o]
     assert not undocumented, undocumented
+
+
+#: An importer that finds no ``beaconflow.llm``, as if the folder were gone.
+HIDDEN = """
+import sys
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith("beaconflow.llm"):
+            raise ModuleNotFoundError("No module named 'beaconflow.llm'", name="beaconflow.llm")
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as E
+print(sum(n.startswith("op") and n[2].isdigit() or n == "pipeline" for n in E.queries()), len(E.queries()) > 80)
+"""
+
+
+def test_the_rest_imports_without_the_training_data_operators():
+    out = subprocess.run([sys.executable, "-c", HIDDEN], cwd=E.__file__.rsplit("/", 1)[0], capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == ["0", "True"], out.stderr[-500:]
