@@ -93,10 +93,24 @@ def test_odd_rows_through_all_stages(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     got = P.run(spark, str(tmp_path)).collect()
-    assert sorted({r.doc_id for r in got}, key=str) == [1, 6, None]
+    assert sorted({r.doc_id for r in got}, key=str) == [1, 6]
     assert len({(r.doc_id, r.piece, r.start, r.ids_crc32) for r in got}) == len(got)
 
 
+def test_near_dedup_keeps_what_is_no_copy(spark):
+    """Rows of one id with different texts, copies under several ids and copies without an id."""
+    a, b, c = (" ".join(f"{w}{i} and so on" for i in range(60)) for w in ("one", "two", "three"))
+    rows = [(2, a, "x"), (2, b, "x"), (1, a, "x"), (3, b + " more", "x"), (None, c, "x"), (None, c + " end", "x"), (None, a, "x"),
+            (4, "", "x"), (4, None, "x"), (5, None, "x"), (6, "alone", "y"), (6, "alone", "x"), (None, None, "x")]
+    docs = spark.createDataFrame([(*r, None, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text, r.lang) for r in P.near_dedup(spark, docs.repartition(3), "").collect()), key=repr)
+    texts = [t for _, t, _ in got]
+    assert (1, a, "x") in got and (2, b, "x") in got and sum(t in (c, c + " end") for t in texts) == 1
+    rest = [r for r in got if r[1] not in (a, b, c, c + " end", b + " more")]
+    assert rest == sorted([(4, "", "x"), (4, None, "x"), (5, None, "x"), (6, "alone", "x"), (None, None, "x")], key=repr)
+    assert len(got) == 8
+
+
 def test_empty_tables(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
