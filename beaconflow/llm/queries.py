@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, langid, lm, minhash, packing, quality, secrets, sharding
+from . import bpe, chat, embeddings, htmltext, langid, lm, minhash, packing, quality, secrets, sharding
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,23 @@ def op8_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
     return lm.score_texts(docs.withColumn("_held", held), "_held")
+
+
+@query
+def op13_html_extraction(spark, sf_dir):
+    """Main text of all ``pages``."""
+    return htmltext.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+# The pages of the tables mark their article by an element: its headings and paragraphs, tags and references replaced.
+ORACLE["op13_html_extraction"] = r"""
+WITH a AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(?:p|h1)>') AS parts FROM pages),
+b AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(
+      replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM a),
+c AS (
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(
+      array_to_string(parts, chr(10)), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""
