@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, htmltext, langid, lm, minhash, packing, quality, secrets, sharding
+from . import bpe, chat, embeddings, htmltext, langid, lm, minhash, packing, phrases, quality, secrets, sharding
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,35 @@ c AS (
       array_to_string(parts, chr(10)), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS text FROM b)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
 """
+
+
+@query
+def op12_phrase_mining(spark, sf_dir):
+    """The first 2000 collocations of each language of all ``documents``."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_phrase_mining"] = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda x: x <> '') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM s, (VALUES (1), (2), (3), (4)) sizes(m) WHERE i + m - 1 <= len(ws)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 30),
+cut AS (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c),
+sc AS (
+  SELECT cut.lang, cut.phrase, cut.m AS m, cut.a AS a, cut.k AS k, x.f AS l, y.f AS r, CAST((CAST(a AS HUGEINT) * 2000000) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.ws[1:cut.k], ' ')
+    JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.ws[cut.k + 1:cut.m], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM sc) WHERE o = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.a >= 80 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT * FROM (
+  SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM kept JOIN total ON total.lang = kept.lang) WHERE rank <= 2000
+"""
