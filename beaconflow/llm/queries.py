@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, htmltext, langid, lm, minhash, packing, phrases, quality, secrets, sharding
+from . import alignment, bpe, chat, embeddings, htmltext, langid, lm, minhash, packing, phrases, quality, secrets, sharding
 from .common import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,9 +18,9 @@ ORACLE: dict[str, str] = {}
 BPE_FILE = "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = BPE_FILE) -> str:
     import public_tokenizers
-    return public_tokenizers.path(BPE_FILE)
+    return public_tokenizers.path(name)
 
 
 def query(f):
@@ -128,6 +128,12 @@ def op8_lm_score(spark, sf_dir):
     return lm.score_texts(docs.withColumn("_held", held), "_held")
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    """Groups, links and corpus-wide pair counts of the tokens of all ``documents`` under two tokenizers."""
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query
 def op13_html_extraction(spark, sf_dir):
     """Main text of all ``pages``."""
