@@ -1006,14 +1006,9 @@ def q_auc_ovr(spark, sf_dir):
     return auc_one_vs_rest(predict(model, te, ["rule_class"]), "rule_class")
 
 
-@register("score_records")
-def q_score_records(spark, sf_dir):
-    """Q2: the most recent message of every sender as a CSV text record, scored after its sender's history."""
+def _latest_as_records(spark, sf_dir):
+    """The most recent message of every sender as a CSV text record, and all other messages."""
     from ..schema import MESSAGE_29
-    from .models import fit, make_pipeline, model_features
-    from .scoring import score_records
-    tv, _ = _ml_split(spark, sf_dir)
-    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
     m = load_messages(spark, sf_dir).drop("class")
     last = m.groupBy("senderpseudo").agg(F.max("row_id").alias("row_id")).select("row_id")  # one per sender
     # the records arrive as a file (one CSV text line per message), as uploads do
@@ -1022,7 +1017,17 @@ def q_score_records(spark, sf_dir):
     m.join(last, "row_id", "left_semi").select(
         "row_id", F.concat_ws(",", *[F.col(c).cast("string") for c in MESSAGE_29]).alias("record")).write.parquet(path)
     text = spark.read.parquet(path)
-    hist = m.join(last, "row_id", "left_anti")
+    return text, m.join(last, "row_id", "left_anti")
+
+
+@register("score_records")
+def q_score_records(spark, sf_dir):
+    """Q2: the most recent message of every sender as a CSV text record, scored after its sender's history."""
+    from .models import fit, make_pipeline, model_features
+    from .scoring import score_records
+    tv, _ = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("forest", model_features(), "rule_class", "weight", ML_FOREST), tv)
+    text, hist = _latest_as_records(spark, sf_dir)
     scored, _ = score_records(text, model, history=hist)
     return scored.select("row_id", "prediction", "confidence")
 
@@ -1451,3 +1456,45 @@ def q_rate_windows_stream(spark, sf_dir):
         spark, sf_dir, lambda sdf: rate_windows(sdf, "ts", "1 hour", watermark="10 minutes"), "rate-windows",
         columns=lambda m: m.withColumn("ts", F.timestamp_micros(F.round(F.col("sendtime") * 1_000_000).cast("long"))),
         tail=lambda m: end_of_stream(m, "ts", "2 hours"))
+
+
+# --------------------------------------------------------------------------- a committed model: scoring against SQL
+def _served(select: str, features: str = "") -> str:
+    from .served_model import served_sql
+    return S.with_messages(select, (features or S.FEATURES_CTE) + ", " + served_sql("features"))
+
+
+_PCT = ", ".join(f"CAST(round(p[{k + 1}] * 100, 1) AS DOUBLE) AS pct_{k}" for k in range(6))
+
+
+@register("score_batch_nodes", _served(f"SELECT row_id, prediction, round(list_max(p) * 100, 2) AS confidence, {_PCT} FROM served"))
+def q_score_batch_nodes(spark, sf_dir):
+    """Q1/Q4/M4/M5: every message through contract, features and the committed node table; confidence and class percentages."""
+    from .scoring import score_batch
+    from .served_model import served_model
+    scored = score_batch(load_messages(spark, sf_dir).drop("class"), served_model(spark))
+    return scored.select("row_id", "prediction", "confidence", *[F.get("class_pct", F.lit(k)).alias(f"pct_{k}") for k in range(6)])
+
+
+@register("score_records_nodes", _served(
+    f"SELECT row_id, prediction, round(list_max(p) * 100, 2) AS confidence, {_PCT} FROM served "
+    "WHERE row_id IN (SELECT max(row_id) FROM messages GROUP BY senderpseudo)"))
+def q_score_records_nodes(spark, sf_dir):
+    """Q2/Q4: each sender's latest message as a CSV text record, scored after its sender's history by the committed node table."""
+    from .scoring import score_records
+    from .served_model import served_model
+    text, hist = _latest_as_records(spark, sf_dir)
+    scored, _ = score_records(text, served_model(spark), history=hist)
+    return scored.select("row_id", "prediction", "confidence", *[F.get("class_pct", F.lit(k)).alias(f"pct_{k}") for k in range(6)])
+
+
+@register("stream_scores_nodes", _served(
+    "SELECT row_id, CAST(senderpseudo AS BIGINT) AS senderpseudo, prediction, list_max(p) AS confidence FROM served JOIN messages USING (row_id)",
+    S.FEATURES_CTE.replace("OVER (PARTITION BY senderpseudo)", "OVER (PARTITION BY senderpseudo ORDER BY row_id)")))
+def q_stream_scores_nodes(spark, sf_dir):
+    """Streaming features scored by the committed node table, row by row, across micro-batches."""
+    from ..streaming.features import stream_scores
+    from .served_model import served_model
+    model = served_model(spark)
+    return _stream_in_slices(spark, sf_dir, lambda sdf: stream_scores(sdf, model).select(
+        "row_id", "senderpseudo", "prediction", F.array_max("probability").alias("confidence")), "stream-served")

@@ -28,6 +28,7 @@ from ..operators.features import engineer_features
 from ..operators.labels import regroup
 from ..schema import ENGINEERED_25, FEATURES_8
 from ..sources.messages import load_messages, with_rule_class
+from .node_table import NodeModel, score_nodes
 
 # Reference model settings (fixed values): boosted trees of the final model, of the
 # feature search, and the forest.
@@ -133,8 +134,10 @@ def with_probability(pred: DataFrame) -> DataFrame:
     return pred.withColumn("probability", F.transform(sig, lambda s: s / tot))
 
 
-def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
-    """M4/M5: prediction and class probabilities (argmax of the vector is the class)."""
+def predict(model: PipelineModel | NodeModel, df: DataFrame, keep: list[str]) -> DataFrame:
+    """M4/M5: prediction and class probabilities (argmax of the vector is the class), by a pipeline or a node table."""
+    if isinstance(model, NodeModel):
+        return score_nodes(model, df, keep)
     out = with_probability(model.transform(df))
     return out.select(*keep, F.col("prediction").cast("int").alias("prediction"), "probability")
 
