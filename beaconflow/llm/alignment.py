@@ -23,14 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .batches import map_texts
+from .batches import map_texts, mix64
 from .common import pin
 from .sums import pack, unpack
 from .tokens import byte_letters, encoder
 
-#: Windows that a worker remembers (the memory is emptied when full), and tokens of a side up to which it does.
-REMEMBERED, SHORT = 100_000, 64
-
 
 class Sides:
     """Both tokenizers: ids of texts, the bytes of every id, and which tokens are marked by a space."""
@@ -60,6 +57,8 @@ class Sides:
             p = self.pieces.id_to_piece(i)
             self.b_bytes.append(bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode())
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        # ids as they are written: A before a comma or the bar, B before a comma, a semicolon or the end of a window
+        self.shown = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.b_bytes)) for c in ",;\n"]
         self.a_marked, self.b_marked = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
 
     def encode_a(self, texts: list[str]) -> list[np.ndarray]:
@@ -68,8 +67,8 @@ class Sides:
             return [self.fast.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
         return [np.array(e.ids, np.uint32) for e in self.slow.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
-    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(i, np.uint32) for i in self.pieces.encode(texts, num_threads=1)]
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
+        return self.pieces.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=2)
@@ -77,63 +76,93 @@ def sides(bpe_path: str, piece_path: str) -> Sides:
     return Sides(bpe_path, piece_path)
 
 
-def align(a: list[int], b: list[int], a_size: np.ndarray, b_size: np.ndarray) -> tuple[str, int, list[tuple[int, int]]]:
-    """One window: its groups as text, their number, and the linked id pairs (one for each pair of occurrences).
-
-    Groups end where tokens of both sides do; tokens whose byte ranges end together are linked.
-    """
-    ends_a, ends_b = np.cumsum(a_size[a]).tolist(), np.cumsum(b_size[b]).tolist()
-    shared = sorted(set(ends_a) & set(ends_b))
-    groups, links, i, j = [], [], 0, 0
-    for end in shared:
-        i0, j0 = i, j
-        while i < len(a) and ends_a[i] <= end:
-            i += 1
-        while j < len(b) and ends_b[j] <= end:
-            j += 1
-        groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-        links += [(x, y) for p, x in enumerate(a[i0:i], i0) if ends_a[p] == end for q, y in enumerate(b[j0:j], j0) if ends_b[q] == end]
-    return ";".join(groups), len(groups), links
+def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches of a flat array: the places they cover, and each place's offset in its stretch."""
+    offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(starts, sizes) + offset, offset
 
 
-_MEMORY: dict[tuple[bytes, bytes], tuple[str, int, list[tuple[int, int]]]] = {}
+def tuple_hash(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of ids."""
+    offset = np.arange(len(ids)) - np.repeat(starts, sizes)
+    h = mix64(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + offset.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    return mix64(np.add.reduceat(h, starts) + sizes.astype(np.uint64))
 
 
-def windows(a: np.ndarray, b: np.ndarray, s: Sides) -> list[tuple[str, int, list[tuple[int, int]]]]:
-    """The aligned windows of a run of texts, whose tokens cover the same bytes on both sides, in order.
+class Windows:
+    """The token windows of a run of texts and the alignment of the distinct ones.
 
-    An anchor is a byte offset where a space-marked token begins on both sides; there the tokens before it end together.
+    ``a`` and ``b`` are the ids of all texts one after another; both sides cover the same bytes.  A window begins at
+    every byte offset where a space-marked token begins on both sides: there the tokens before it end together.
+    Windows with equal id tuples share a number (``of``) and are aligned once.
     """
-    at_a, at_b = np.cumsum(s.a_size[a]) - s.a_size[a], np.cumsum(s.b_size[b]) - s.b_size[b]
-    mark_a, mark_b = np.flatnonzero(s.a_marked[a]), np.flatnonzero(s.b_marked[b])
-    _, pa_, pb_ = np.intersect1d(at_a[mark_a], at_b[mark_b], return_indices=True)
-    ia, ib = (np.concatenate(([0], m[p], [len(x)])) for m, p, x in ((mark_a, pa_, a), (mark_b, pb_, b)))
-    keep = np.append(True, (np.diff(ia) > 0) | (np.diff(ib) > 0))
-    ia, ib = (ia[keep] * 4).tolist(), (ib[keep] * 4).tolist()
-    raw_a, raw_b, out = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), []
-    known, put = _MEMORY.get, out.append
-    for i0, i1, j0, j1 in zip(ia, ia[1:], ib, ib[1:]):
-        key = (raw_a[i0:i1], raw_b[j0:j1])
-        w = known(key)
-        if w is None:
-            w = align(np.frombuffer(key[0], "<u4").tolist(), np.frombuffer(key[1], "<u4").tolist(), s.a_size, s.b_size)
-            if len(key[0]) <= 4 * SHORT and len(key[1]) <= 4 * SHORT:
-                if len(_MEMORY) >= REMEMBERED:
-                    _MEMORY.clear()
-                _MEMORY[key] = w
-        put(w)
-    return out
-
 
-def aligned_texts(texts: list[str | None], s: Sides) -> list[tuple[int, int, list]]:
-    """For each text (tokens of A, tokens of B, windows); nothing for null, empty and unfaithfully tokenised texts."""
+    def __init__(self, a: np.ndarray, b: np.ndarray, s: Sides):
+        at_a, at_b = np.cumsum(s.a_size[a]) - s.a_size[a], np.cumsum(s.b_size[b]) - s.b_size[b]
+        mark_a, mark_b = np.flatnonzero(s.a_marked[a]), np.flatnonzero(s.b_marked[b])
+        _, pa_, pb_ = np.intersect1d(at_a[mark_a], at_b[mark_b], assume_unique=True, return_indices=True)
+        self.ia, self.ib = mark_a[pa_], mark_b[pb_]
+        if not len(self.ia) or self.ia[0] or self.ib[0]:
+            self.ia, self.ib = np.append(0, self.ia), np.append(0, self.ib)
+        na, nb = np.diff(self.ia, append=len(a)), np.diff(self.ib, append=len(b))
+        key = tuple_hash(a, self.ia, na) + tuple_hash(b, self.ib, nb) * np.uint64(3)
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        # the id tuples themselves decide: a window that only shares its hash stands for itself
+        like = first[of]
+        other = (na != na[like]) | (nb != nb[like])
+        if not other.any():
+            for ids, starts, sizes in ((a, self.ia, na), (b, self.ib, nb)):
+                place, _ = spread(starts[like], sizes)
+                other |= np.logical_or.reduceat(ids != ids[place], starts)
+        if other.any():
+            of[other] = len(first) + np.arange(int(other.sum()))
+            first = np.append(first, np.flatnonzero(other))
+        self.of = of
+        self.align(*[ids[spread(starts[first], sizes[first])[0]] for ids, starts, sizes in ((a, self.ia, na), (b, self.ib, nb))], na[first], nb[first], s)
+
+    def align(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, s: Sides) -> None:
+        """Groups, links and texts of the distinct windows, all at once.
+
+        Groups end where tokens of both sides do; tokens whose byte ranges end together are linked, one link for each pair
+        of occurrences (tokens without bytes end with the one before them).
+        """
+        ends_a, ends_b = np.cumsum(s.a_size[a]), np.cumsum(s.b_size[b])
+        shared = np.intersect1d(ends_a, ends_b)
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        # tokens that end at a shared end, by group: from ... and how many
+        from_a, from_b = np.searchsorted(ends_a, shared), np.searchsorted(ends_b, shared)
+        upto_a, upto_b = np.searchsorted(ends_a, shared, side="right"), np.searchsorted(ends_b, shared, side="right")
+        each = (upto_a - from_a) * (upto_b - from_b)
+        _, r = spread(np.zeros(len(shared), np.int64), each)
+        wide = np.repeat(upto_b - from_b, each)
+        self.links = a[np.repeat(from_a, each) + r // wide].astype(np.int64) << 32 | b[np.repeat(from_b, each) + r % wide]
+        # a group belongs to the window of its last tokens
+        last = np.cumsum(na) - 1
+        window = np.searchsorted(last, upto_a - 1)
+        self.n_groups = np.bincount(window, minlength=len(na))
+        self.n_links = np.bincount(window, weights=each, minlength=len(na)).astype(np.int64)
+        # texts: the ids of each group's A, then B, each with the sign that follows it
+        kind_a = (np.append(np.diff(group_a), 1) > 0).astype(np.int64)
+        kind_b = (np.append(np.diff(group_b), 1) > 0).astype(np.int64)
+        kind_b[np.cumsum(nb) - 1] = 2
+        count_a, count_b = np.cumsum(np.bincount(group_a, minlength=len(shared))), np.cumsum(np.bincount(group_b, minlength=len(shared)))
+        order = np.zeros(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.append(0, count_b)[group_a]] = a * np.int64(2) + kind_a
+        order[np.arange(len(b)) + count_a[group_b]] = b * np.int64(3) + kind_b + 2 * len(s.a_bytes)
+        self.texts = "".join([s.shown[c] for c in order.tolist()]).split("\n")[:-1]
+
+
+def faithful(texts: list[str | None], s: Sides) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Which texts both sides give back byte by byte, and their ids; null and empty texts are not among them."""
     live = [i for i, t in enumerate(texts) if t]
     some = [texts[i] for i in live]
-    out: list[tuple[int, int, list]] = [(0, 0, [])] * len(texts)
+    out: tuple[list, list, list] = ([], [], [])
     for i, t, a, b in zip(live, some, s.encode_a(some), s.encode_b(some)):
         want = (" " + t).encode()
-        if b"".join([s.b_bytes[x] for x in b.tolist()]) == want and b"".join([s.a_bytes[x] for x in a.tolist()]) == want:
-            out[i] = (len(a), len(b), windows(a, b, s))
+        # the fast encoder only splits bytes, so those of A are the text's
+        if b"".join([s.b_bytes[x] for x in b]) == want and (s.fast or b"".join([s.a_bytes[x] for x in a.tolist()]) == want):
+            for o, x in zip(out, (i, a, np.array(b, np.uint32))):
+                o.append(x)
     return out
 
 
@@ -154,26 +183,27 @@ def align_tokens(docs: DataFrame, bpe_path: str, piece_path: str, key: str = "do
     def block(rows: dict[str, list]) -> dict[str, list]:
         """One row for the slice: its documents, the windows of each, and the distinct windows' pairs."""
         s = sides(bpe_path, piece_path)
-        number: dict[int, int] = {}
-        kept, seq, out = [], [], []
-        for k, (n_a, n_b, found) in zip(rows["k"], aligned_texts(rows["text"], s)):
-            for w in found:
-                i = number.get(id(w))
-                if i is None:
-                    i = number[id(w)] = len(kept)
-                    kept.append(w)
-                seq.append(i)
-            joined = ";".join([w[0] for w in found])
-            out.append({"k": k, "n_a": n_a, "n_b": n_b, "n_groups": sum([w[1] for w in found]), "n_links": sum([len(w[2]) for w in found]),
-                        "sha": hashlib.sha256(joined.encode()).hexdigest() if n_a else "", "n": len(found)} | ({"groups": joined} if groups else {}))
-        times = np.bincount(seq, minlength=len(kept)) if kept else np.zeros(0, np.int64)
-        sizes = np.array([len(w[2]) for w in kept], np.int64)
-        code = np.array([p << 32 | q for w in kept for p, q in w[2]], np.int64)
+        out = [{"k": k, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "sha": "", "n": 0} | ({"groups": ""} if groups else {}) for k in rows["k"]]
+        sizes, code, of, times = (np.zeros(0, np.int64) for _ in range(4))
+        live, a, b = faithful(rows["text"], s)
+        if live:
+            w = Windows(np.concatenate(a), np.concatenate(b), s)
+            sizes, code, of = w.n_links, w.links, w.of
+            # a text begins with a window
+            ends = np.searchsorted(w.ia, np.cumsum([0, *map(len, a)]))
+            for i, x, y, p, q in zip(live, a, b, ends.tolist(), ends[1:].tolist()):
+                mine = of[p:q]
+                joined = ";".join([w.texts[c] for c in mine.tolist()])
+                out[i].update(n_a=len(x), n_b=len(y), n_groups=int(w.n_groups[mine].sum()), n_links=int(sizes[mine].sum()),
+                              sha=hashlib.sha256(joined.encode()).hexdigest(), n=q - p)
+                if groups:
+                    out[i]["groups"] = joined
+            times = np.bincount(of, minlength=len(sizes))
         pairs, place = np.unique(code, return_inverse=True)
         n = np.bincount(place, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
         # a place for each link of each distinct window, and the windows of the documents one after another
         return {"m": [rows["m"][0]], "docs": [out], "pairs": [pairs.tolist()], "n": [n.tolist()],
-                "links": [pack(place.astype(np.int32))], "sizes": [pack(sizes.astype(np.int32))], "seq": [pack(np.array(seq, np.int32))]}
+                "links": [pack(place.astype(np.int32))], "sizes": [pack(sizes.astype(np.int32))], "seq": [pack(of.astype(np.int32))]}
 
     blocks = pin(map_texts(x, block, f"m long, docs {made}, pairs array<long>, n array<long>, links binary, sizes binary, seq binary"), "aligned")
     pair = blocks.select("m", F.explode(F.arrays_zip("pairs", "n")).alias("p")).select("m", F.col("p.pairs").alias("pair"), F.col("p.n").alias("n"))

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -76,18 +77,39 @@ def test_odd_texts(spark):
     assert any(w[0] == 0 for w, t in zip(brute(ODD), ODD) if t) and A.align_tokens(df.limit(0), BPE, PIECE).collect() == []
 
 
-def test_a_long_text_and_a_full_memory(spark, monkeypatch):
+def test_a_long_text(spark):
     text = " ".join(f"word{i % 1009} thnterble énoncé{i % 31}" for i in range(60_000))
-    monkeypatch.setattr(A, "REMEMBERED", 50)
-    s = A.sides(BPE, PIECE)
-    (n_a, n_b, found), = A.aligned_texts([text], s)
     want, = brute([text])
-    assert (n_a, n_b, sum(w[1] for w in found), ";".join(w[0] for w in found)) == (want[0], want[1], want[2], want[7])
     got = A.align_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), BPE, PIECE).first()
     assert tuple(got[c] for c in COLUMNS) == want[:7]
+    s = A.sides(BPE, PIECE)
+    _, (a,), (b,) = A.faithful([text], s)
+    w = A.Windows(a, b, s)
+    assert len(w.of) == 180_000 and len(w.texts) < 2_500 and ";".join(w.texts[i] for i in w.of) == want[7]
+
+
+class Toy:
+    """Four ids on both sides, of one, two, three and no bytes; the first of each window is marked."""
+
+    a_bytes = b_bytes = [b"x"] * 8
+    a_size = b_size = np.array([1, 2, 3, 0, 1, 2, 3, 0])
+    a_marked = b_marked = np.arange(8) >= 4
+    shown = [f"{i}{c}" for i in range(8) for c in ",|"] + [f"{i}{c}" for i in range(8) for c in ",;\n"]
+
+
+def toy(a, b):
+    w = A.Windows(np.array(a), np.array(b), Toy())
+    ends = np.cumsum(w.n_links)
+    return [(w.texts[i], int(w.n_groups[i]), [(c >> 32, c & 0xFFFFFFFF) for c in w.links[ends[i] - w.n_links[i]:ends[i]].tolist()]) for i in w.of]
+
+
+def test_tokens_that_end_together():
+    assert toy([4, 1, 2], [6, 2]) == [("4,1|6;2|2", 2, [(1, 6), (2, 2)])]
+    assert toy([6, 3], [4, 1]) == [("6,3|4,1", 1, [(6, 1), (3, 1)])]
+    assert toy([4, 5, 0, 4], [4, 5, 0, 4]) == [("4|4", 1, [(4, 4)]), ("5|5;0|0", 2, [(5, 5), (0, 0)]), ("4|4", 1, [(4, 4)])]
 
 
-def test_tokens_that_end_together_across_a_window():
-    size = __import__("numpy").array([1, 2, 3, 0])
-    assert A.align([0, 1, 2], [2, 2], size, size) == ("0,1|2;2|2", 2, [(1, 2), (2, 2)])
-    assert A.align([2, 3], [0, 1], size, size) == ("2,3|0,1", 1, [(2, 1), (3, 1)])
+def test_windows_that_share_a_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(A, "tuple_hash", lambda ids, starts, sizes: np.zeros(len(starts), np.uint64))
+    assert toy([4, 5, 4, 6], [4, 5, 4, 6]) == [("4|4", 1, [(4, 4)]), ("5|5", 1, [(5, 5)]), ("4|4", 1, [(4, 4)]), ("6|6", 1, [(6, 6)])]
+    assert toy([4, 5, 0], [4, 5, 0]) == [("4|4", 1, [(4, 4)]), ("5|5;0|0", 2, [(5, 5), (0, 0)])]
