@@ -94,13 +94,12 @@ def node_table(spark: SparkSession, rows: list[tuple], features: list[str], n_cl
     return NodeModel(with_depth(spark.createDataFrame(full, schema)), features, n_classes, link)
 
 
-def _probability(scores: list[Column], link: str) -> Column:
-    """Probabilities of summed leaf vectors."""
+def _with_probability(df: DataFrame, scores: Column, link: str) -> DataFrame:
+    """Adds ``probability`` to a frame whose rows have the array ``scores`` of summed leaf vectors."""
+    df = df.withColumn("_v", scores)
     if link == "softmax":
-        top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        scores = [F.exp(s - top) for s in scores]
-    total = sum(scores[1:], scores[0])
-    return F.array(*[s / total for s in scores])
+        df = df.withColumn("_v", F.transform("_v", lambda s: F.exp(s - F.array_max("_v"))))
+    return df.withColumn("probability", F.transform("_v", lambda s: s / F.aggregate("_v", F.lit(0.0), lambda a, b: a + b)))
 
 
 def _with_class(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -131,9 +130,8 @@ def score_nodes(model: NodeModel, df: DataFrame, keep: list[str]) -> DataFrame:
     sums = x.groupBy(*own, "_h").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_s{k}").alias(f"_s{k}") for k in range(model.n_classes)])
     times = (F.col("_n") / trees).cast("int")
     sums = sums.withColumn("_i", F.explode(F.sequence(F.lit(1), times)))
-    out = sums.select(*[F.col(o).alias(c) for o, c in zip(own, keep)],
-                      _probability([F.col(f"_s{k}") / times for k in range(model.n_classes)], model.link).alias("probability"))
-    return _with_class(out, keep)
+    out = sums.select(*[F.col(o).alias(c) for o, c in zip(own, keep)], F.array(*[F.col(f"_s{k}") / times for k in range(model.n_classes)]).alias("_sum"))
+    return _with_class(_with_probability(out, F.col("_sum"), model.link), keep)
 
 
 def score_rows(model: NodeModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -162,8 +160,8 @@ def score_rows(model: NodeModel, df: DataFrame, keep: list[str]) -> DataFrame:
     steps = F.sequence(F.lit(1), F.lit(levels)) if levels else F.array().cast("array<int>")
     leaves = F.transform("_roots", lambda root: F.get("_leaf", F.aggregate(steps, root, down)))
     zero = F.array(*[F.lit(0.0)] * model.n_classes)
-    x = x.withColumn("_sum", F.aggregate(leaves, zero, lambda a, b: F.zip_with(a, b, lambda p, q: p + q)))
-    return _with_class(x.withColumn("probability", _probability([F.get("_sum", F.lit(k)) for k in range(model.n_classes)], model.link)), keep)
+    summed = F.aggregate(leaves, zero, lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+    return _with_class(_with_probability(x, summed, model.link), keep)
 
 
 def save_nodes(model: NodeModel, path: str) -> None:
