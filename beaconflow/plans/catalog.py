@@ -1498,3 +1498,48 @@ def q_stream_scores_nodes(spark, sf_dir):
     model = served_model(spark)
     return _stream_in_slices(spark, sf_dir, lambda sdf: stream_scores(sdf, model).select(
         "row_id", "senderpseudo", "prediction", F.array_max("probability").alias("confidence")), "stream-served")
+
+
+# --------------------------------------------------------------------------- boosting against SQL
+_STUMP_SETTINGS = {"n_estimators": 1, "max_depth": 1, "learning_rate": 0.3, "subsample": 1.0, "colsample_bytree": 1.0,
+                   "gamma": 0.0, "min_child_weight": 1.0, "reg_alpha": 5.0, "reg_lambda": 3.0}
+
+
+def _stumps_sql() -> str:
+    soft = "(CASE WHEN {g} > 5 THEN {g} - 5 WHEN {g} < -5 THEN {g} + 5 ELSE 0 END)"
+    leaf = lambda g, h: f"-CAST(0.3 AS DOUBLE) * {soft.format(g=g)} / ({h} + 3)"
+    worth = lambda g, h: f"{soft.format(g=g)} * {soft.format(g=g)} / ({h} + 3)"
+    long = S.union_all([f"SELECT row_id, y, {i} AS f, {c} AS v FROM base" for i, c in enumerate(("fa", "fb", "fc"))])
+    margins = ", ".join(f"max(w) FILTER (k = {k}) AS m{k}" for k in range(6))
+    total = " + ".join(f"exp(m{k})" for k in range(6))
+    return S.with_messages(
+        "SELECT row_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS prediction, "
+        + ", ".join(S.r6(f"p[{k + 1}]", f"p{k}") for k in range(6))
+        + f" FROM (SELECT row_id, [{', '.join(f'exp(m{k}) / ({total})' for k in range(6))}] AS p FROM "
+        f"(SELECT row_id, {margins} FROM scored GROUP BY row_id) a) b",
+        f"base AS (SELECT row_id, {_RULE_SQL} AS y, floor(posy / 5) AS fa, floor(posx / 5) AS fb, messageid % 16 AS fc FROM messages), "
+        f"long AS ({long}), classes(k) AS (VALUES (0), (1), (2), (3), (4), (5)), "
+        "sums AS (SELECT k, f, v, sum(CAST(1 AS DOUBLE) / 6 - CAST(y = k AS DOUBLE)) AS g, count(*) * CAST(10 AS DOUBLE) / 36 AS h "
+        "FROM long CROSS JOIN classes GROUP BY k, f, v), "
+        "run AS (SELECT k, f, v, sum(g) OVER (PARTITION BY k, f ORDER BY v) AS gl, sum(h) OVER (PARTITION BY k, f ORDER BY v) AS hl, "
+        "sum(g) OVER (PARTITION BY k, f) AS g, sum(h) OVER (PARTITION BY k, f) AS h FROM sums), "
+        "best AS (SELECT * FROM run WHERE hl >= 1 AND h - hl >= 1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY "
+        "gl * gl / hl + (g - gl) * (g - gl) / (h - hl) - g * g / h DESC, f, v) = 1), "
+        f"tree AS (SELECT k, f, v, CASE WHEN kept THEN {leaf('gl', 'hl')} ELSE {leaf('g', 'h')} END AS wl, "
+        f"CASE WHEN kept THEN {leaf('(g - gl)', '(h - hl)')} ELSE {leaf('g', 'h')} END AS wr FROM "
+        f"(SELECT *, {worth('gl', 'hl')} + {worth('(g - gl)', '(h - hl)')} - {worth('g', 'h')} >= 0 AS kept FROM best) b), "
+        "scored AS (SELECT long.row_id, tree.k, CASE WHEN long.v <= tree.v THEN wl ELSE wr END AS w FROM long JOIN tree ON tree.f = long.f)")
+
+
+@register("boosted_stumps", _stumps_sql())
+def q_boosted_stumps(spark, sf_dir):
+    """M1: one round of regularised boosting with one split a class, on all messages and three coarse features."""
+    from ..sources.messages import with_rule_class
+    from .boosting import fit_boosted
+    from .models import predict
+    m = with_rule_class(load_messages(spark, sf_dir)).select(
+        "row_id", "rule_class", F.floor(F.col("posy") / 5).cast("double").alias("fa"),
+        F.floor(F.col("posx") / 5).cast("double").alias("fb"), (F.col("messageid") % 16).cast("double").alias("fc"))
+    model = fit_boosted(m, ["fa", "fb", "fc"], "rule_class", params=_STUMP_SETTINGS)
+    p = predict(model, m, ["row_id"])
+    return round_doubles(p.select("row_id", "prediction", *[F.get("probability", F.lit(k)).alias(f"p{k}") for k in range(6)]))
