@@ -4,10 +4,10 @@ Top-order marginalisation: every word begins one window of up to ``most`` words,
 piece.  Only these longest windows are counted; a ROLLUP over their word columns sums the counts of all shorter
 prefixes, and every occurrence of a phrase is the prefix of exactly one window.
 
-A window may be cut earlier: a phrase of at least ``least`` occurrences holds no pair of words with fewer.  A first
-pass adds up pairs by hash in ``slots`` counters (two pairs may share one, so a counter never falls short), and
-windows end before pairs whose counter stays below ``least``.  This loses no candidate, whatever the number of slots;
-more slots only leave fewer windows to count.
+A window may be cut earlier: a phrase of at least ``least`` occurrences holds no word, pair or longer part with fewer.
+Two passes add up parts by hash in counters (parts may share one, so a counter never falls short): words and pairs, then
+longer parts whose pairs may be frequent.  Windows end before a part whose counter stays below ``least``.  This loses no
+candidate, whatever the number of counters; more of them only leave fewer windows to count.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from ..functions.ranking import rank_within
 from .batches import map_texts, mix64
 from .common import pin
 from .sums import pack, unpack
@@ -27,10 +27,8 @@ from .sums import pack, unpack
 LOWER = {**{i: i + 32 for i in range(65, 91)}, 9: 32}
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(10 if b in BREAKS else LOWER.get(b, b) for b in range(256))
-#: Slots of one written piece of the pair counters; bytes of text for one slot; fewest and most slots (powers of two).
+#: Slots of one written piece of the counters; bytes of text for one slot; fewest and most slots (powers of two).
 CHUNK, BYTES_PER_SLOT, FEWEST, MOST = 16, 48, 18, 28
-#: Top lists are cut within so many parts of a language before its parts are put together.
-PARTS = 64
 
 
 def word_ids(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
@@ -47,15 +45,37 @@ def word_ids(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
     return ids, list(number)[1:]
 
 
-def pair_slots(ids: np.ndarray, words: list[bytes], lang: str, bits: int) -> np.ndarray:
-    """For each place the slot of the pair that begins there; -1 where no pair does."""
+def part_slots(ids: np.ndarray, words: list[bytes], lang: str, bits: int, most: int) -> list[np.ndarray]:
+    """For parts of 1 to ``most`` words: the slot of the part that begins at each place, -1 where its piece is too short."""
     if not len(ids):
-        return np.zeros(0, np.int64)
+        return [np.zeros(0, np.int64)] * most
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    h = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words] + [0], np.uint64)[ids]
-    pair = mix64(mix64(h[:-1]) + h[1:])
-    slot = (pair >> np.uint64(64 - bits)).astype(np.int64)
-    return np.append(np.where((ids[:-1] >= 0) & (ids[1:] >= 0), slot, -1), -1)
+    word = mix64(np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words] + [0], np.uint64))[ids]
+    out, h, whole = [], word, ids >= 0
+    for m in range(1, most + 1):
+        if m > 1:
+            whole = whole & (np.append(ids[m - 1:], np.full(min(m - 1, len(ids)), -1))[:len(ids)] >= 0)
+            h = mix64(h + np.append(word[m - 1:], np.zeros(min(m - 1, len(ids)), np.uint64))[:len(ids)])
+        out.append(np.where(whole, (h >> np.uint64(64 - bits)).astype(np.int64), -1))
+    return out
+
+
+def after(x: np.ndarray, i: int) -> np.ndarray:
+    """What stands ``i`` places later (nothing beyond the end)."""
+    return np.append(x[i:], np.zeros(min(i, len(x)), bool))
+
+
+def may_begin(slots: list[np.ndarray], often: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """For parts of 1, 2, ... words: whether one that begins at a place may be frequent, by the counters known so far."""
+    out: list[np.ndarray] = []
+    for m, slot in enumerate(slots, 1):
+        go = slot >= 0
+        if out:
+            go &= out[-1] & after(out[-1], 1)
+        if m in often:
+            go &= (often[m][slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+        out.append(go)
+    return out
 
 
 def by_lang(rows: dict[str, list]) -> dict[str, list[str]]:
@@ -66,54 +86,61 @@ def by_lang(rows: dict[str, list]) -> dict[str, list[str]]:
     return out
 
 
-def frequent_slots(x: DataFrame, bits: int, least: int) -> np.ndarray:
-    """A bit for each slot: whether its pairs occur ``least`` times or more (2**bits bits in all).
+def frequent_slots(x: DataFrame, sizes: list[int], known: dict[int, np.ndarray], bits: int, least: int) -> dict[int, np.ndarray]:
+    """For parts of each of ``sizes``: a bit for each slot, whether its parts occur ``least`` times or more.
 
-    Every slice of texts sends its counters, no higher than ``least``, in pieces of 2**CHUNK slots; sums are cut at
-    ``least`` too, so that a byte holds each.  What reaches the driver is bounded by 2**MOST bits, 32 MB.
+    Parts that cannot be frequent by the ``known`` bits are left out.  Every slice of texts sends its counters, no higher
+    than ``least``, in pieces of 2**CHUNK slots; sums are cut at ``least`` too, so that a byte holds each.  What reaches the
+    driver is bounded by 2**MOST bits (32 MB) for each size.
     """
-    top = min(least, 255)
-    if least > 255:
-        raise ValueError("counters hold at most 255")
+    if not 0 < least < 256:
+        raise ValueError("a counter holds 1 to 255")
+    shared = x.sparkSession.sparkContext.broadcast(known)
 
     def count(rows: dict[str, list]) -> dict[str, list]:
-        slots = [s for lang, texts in by_lang(rows).items() for s in [pair_slots(*word_ids(texts), lang, bits)]]
-        slots = np.concatenate(slots) if slots else np.zeros(0, np.int64)
-        slot, n = np.unique(slots[slots >= 0], return_counts=True)
-        ends = np.flatnonzero(np.diff(slot >> CHUNK, append=-1)) + 1
-        out = {"chunk": [], "blob": []}
-        for a, b in zip([0, *ends[:-1]], ends):
-            out["chunk"].append(int(slot[a] >> CHUNK))
-            places = (slot[a:b] & (1 << CHUNK) - 1).astype(np.uint16)
-            out["blob"].append(pack(np.append(places.view(np.uint8), np.minimum(n[a:b], top).astype(np.uint8))))
+        out: dict[str, list] = {"size": [], "chunk": [], "blob": []}
+        found: dict[int, list[np.ndarray]] = {m: [np.zeros(0, np.int64)] for m in sizes}
+        for lang, texts in by_lang(rows).items():
+            slots = part_slots(*word_ids(texts), lang, bits, max(sizes))
+            go = may_begin(slots, shared.value)
+            for m in sizes:
+                found[m].append(slots[m - 1][go[m - 1]])
+        for m in sizes:
+            slot, n = np.unique(np.concatenate(found[m]), return_counts=True)
+            ends = np.flatnonzero(np.diff(slot >> CHUNK, append=-1)) + 1
+            for a, b in zip([0, *ends[:-1]], ends):
+                out["size"].append(m)
+                out["chunk"].append(int(slot[a] >> CHUNK))
+                places = (slot[a:b] & (1 << CHUNK) - 1).astype(np.uint16)
+                out["blob"].append(pack(np.append(places.view(np.uint8), np.minimum(n[a:b], least).astype(np.uint8))))
         return out
 
     def add(batches):
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for c, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist()):
+            for m, c, blob in zip(*[batch.column(i).to_pylist() for i in ("size", "chunk", "blob")]):
                 raw = unpack(blob, np.uint8)
                 n = len(raw) // 3
-                have = total.setdefault(c, np.zeros(1 << CHUNK, np.uint8))
+                have = total.setdefault((m, c), np.zeros(1 << CHUNK, np.uint8))
                 places = raw[:2 * n].view(np.uint16)
-                have[places] = np.minimum(have[places].astype(np.int64) + raw[2 * n:], top)
+                have[places] = np.minimum(have[places].astype(np.int64) + raw[2 * n:], least)
         if total:
-            blobs = [pack(np.packbits(v >= least)) for v in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)] + [
+                pa.array([pack(np.packbits(v >= least)) for v in total.values()], pa.binary())], ["size", "chunk", "blob"])
 
-    pieces = map_texts(x, count, "chunk int, blob binary")
-    summed = pieces.repartition("chunk").mapInArrow(add, "chunk int, blob binary")
-    bits_of = np.zeros((1 << bits) // 8, np.uint8)
-    step = (1 << CHUNK) // 8
+    schema = "size int, chunk int, blob binary"
+    summed = map_texts(x, count, schema).repartition("size", "chunk").mapInArrow(add, schema)
+    out, step = {m: np.zeros((1 << bits) // 8, np.uint8) for m in sizes}, (1 << CHUNK) // 8
     for r in summed.toLocalIterator():
-        bits_of[r.chunk * step:(r.chunk + 1) * step] = unpack(bytes(r.blob), np.uint8)
-    return bits_of
+        out[r["size"]][r.chunk * step:(r.chunk + 1) * step] = unpack(bytes(r.blob), np.uint8)
+    return out
 
 
-def windows(x: DataFrame, often: np.ndarray, bits: int, most: int) -> DataFrame:
+def windows(x: DataFrame, often: dict[int, np.ndarray], bits: int, most: int) -> DataFrame:
     """``lang, w1..w<most>, n``: the windows that words begin, with how often; '' beyond the end of a window.
 
-    A window ends with its piece, and before a pair that is too rare.  Equal windows of a slice are one row.
+    A window ends with its piece, and before a part that is too rare (all of it, where its first word is).  Equal windows
+    of a slice are one row.
     """
     shared = x.sparkSession.sparkContext.broadcast(often)
     columns = [f"w{i + 1}" for i in range(most)]
@@ -122,18 +149,14 @@ def windows(x: DataFrame, often: np.ndarray, bits: int, most: int) -> DataFrame:
         out: dict[str, list] = {c: [] for c in ["lang", *columns, "n"]}
         for lang, texts in by_lang(rows).items():
             ids, words = word_ids(texts)
-            slot = pair_slots(ids, words, lang, bits)
-            go = (slot >= 0) & (shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
-            # the lead columns: the word that follows by one, two, ... places, while every pair on the way is frequent
+            go = may_begin(part_slots(ids, words, lang, bits, most), shared.value)
+            # the lead columns: the words that follow by one, two, ... places, as far as the window goes
             here = np.flatnonzero(ids >= 0)
-            key, on = ids[here], np.ones(len(here), bool)
-            leads, none = [ids[here]], len(words)
-            for i in range(1, most):
-                on = on & go[np.minimum(here + i - 1, len(ids) - 1)]
-                lead = np.where(on, ids[np.minimum(here + i, len(ids) - 1)], none)
-                leads.append(lead)
+            leads, none, key = [], len(words), np.zeros(len(here), np.int64)
+            for i in range(most):
+                leads.append(np.where(go[i][here], ids[np.minimum(here + i, len(ids) - 1)], none))
                 # equal prefixes have equal numbers, so a key stays below places * words
-                key = np.unique(key, return_inverse=True)[1] * (none + 1) + lead
+                key = (np.unique(key, return_inverse=True)[1] if i else key) * (none + 1) + leads[i]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             if not len(first):
                 continue
@@ -158,7 +181,10 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", most: i
     size = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(FEWEST, min(MOST, (size // BYTES_PER_SLOT).bit_length()))
     columns = [f"w{i + 1}" for i in range(most)]
-    counted = windows(x, frequent_slots(x, bits, least), bits, most).groupBy("lang", *columns).agg(F.sum("n").alias("n"))
+    often = frequent_slots(x, list(range(1, min(2, most) + 1)), {}, bits, least)
+    if most > 2:
+        often |= frequent_slots(x, list(range(3, most + 1)), often, bits, least)
+    counted = windows(x, often, bits, most).groupBy("lang", *columns).agg(F.sum("n").alias("n"))
     sums = counted.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("_g"))
     # grouping_id has a bit for every column that was summed away; a padded prefix belongs to a shorter phrase
     depth = sum(F.when(F.col("_g").bitwiseAND(F.lit(1 << i)) == 0, 1).otherwise(0) for i in range(most))
@@ -199,9 +225,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", most:
     held = F.coalesce(F.col("longer").cast("decimal(19,0)") * 100 >= F.col("a").cast("decimal(19,0)") * covered, F.lit(False))
     left = scored.join(longer, ["lang", "phrase"], "left").where(~held)
 
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
-    some = left.withColumn("_part", part).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_r") <= top)
-    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    # ranked over range partitions: no language is gathered in one task
+    ranked = rank_within(pin(left, "scored"), ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")])
+    best = ranked.where(F.col("_rank") < top).withColumn("rank", F.col("_rank") + 1)
     total = f.where("size = 0").select("lang", F.col("f").alias("n"))
     return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

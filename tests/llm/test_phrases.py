@@ -78,7 +78,15 @@ def test_one_very_long_text_and_ties(spark):
     assert rows(P.collocations(df)) == brute([("en", text)])
 
 
-def test_word_ids():
+def test_word_ids_and_slots():
     ids, words = P.word_ids(["A b. a", "", "B"])
     assert words == [b"a", b"b"] and ids.tolist() == [0, 1, -1, 0, -1, -1, 1, -1]
-    assert np.array_equal(P.pair_slots(ids, words, "en", 20) >= 0, [True, False, False, False, False, False, False, False])
+    one, two, three = P.part_slots(ids, words, "en", 20, 3)
+    assert (one >= 0).tolist() == (ids >= 0).tolist() and (two >= 0).tolist() == [True] + [False] * 7 and (three < 0).all()
+
+
+def test_other_numbers_of_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(100)
+    rows_ = [(r.lang, r.text) for r in docs.collect()]
+    for most in (2, 5):
+        assert rows(P.collocations(docs, least=4, most=most)) == brute(rows_, least=4, most=most)
