@@ -1543,3 +1543,40 @@ def q_boosted_stumps(spark, sf_dir):
     model = fit_boosted(m, ["fa", "fb", "fc"], "rule_class", params=_STUMP_SETTINGS)
     p = predict(model, m, ["row_id"])
     return round_doubles(p.select("row_id", "prediction", *[F.get("probability", F.lit(k)).alias(f"p{k}") for k in range(6)]))
+
+
+# --------------------------------------------------------------------------- stacking, hold-out search
+@register("stacking")
+def q_stacking(spark, sf_dir):
+    """Tree, logistic regression and forest (library defaults) fitted on train_val, a logistic model stacked on their
+    out-of-fold probabilities over five sender folds, and the mean vote of the three, all scored on the unseen senders."""
+    from ..operators.evaluate import scores, soft_vote
+    from ..operators.splits import group_kfold
+    from .stacking import fit_stack, predict_stack, with_probabilities
+    tv, te = _ml_split(spark, sf_dir)
+    kinds = ["tree", "logreg", "forest"]
+    stack = fit_stack(group_kfold(tv, k=5), kinds, "rule_class", weight="weight")
+    votes = with_probabilities(te, stack.base, kinds, 6).select(
+        "rule_class", *[F.array(*[F.col(f"p_{k}_{c}") for c in range(6)]).alias(f"v_{k}") for k in kinds])
+    frames = [(k, soft_vote(votes, [f"v_{k}"], ["rule_class"])) for k in kinds]
+    frames += [("voting", soft_vote(votes, [f"v_{k}" for k in kinds], ["rule_class"])), ("stacking", predict_stack(stack, te, ["rule_class"]))]
+    out = None
+    for name, pred in frames:
+        row = scores(pred, "rule_class", "prediction").select(F.lit(name).alias("model"), "n", "accuracy", "macro_f1", "weighted_f1")
+        out = row if out is None else out.unionByName(row)
+    return round_doubles(out)
+
+
+@register("holdout_search")
+def q_holdout_search(spark, sf_dir):
+    """H7: decision-tree depths 2 to 12 and leaf sizes 1 and 20 tried on one sender split by macro F1 (all 12 points)."""
+    from ..operators.splits import group_holdout
+    from .models import model_features
+    from .search import holdout_search
+    tv, _ = _ml_split(spark, sf_dir)
+    data = group_holdout(tv, ratio=0.8, seed=7, names=("train", "valid"), out="inner").withColumn("validation", F.col("inner") == "valid")
+    grid = {"maxDepth": [2, 4, 6, 8, 10, 12], "minInstancesPerNode": [1, 20]}
+    points = [(d, n) for d in grid["maxDepth"] for n in grid["minInstancesPerNode"]]
+    found = holdout_search(data, "rule_class", model_features(), grid, "tree", parallelism=4)
+    return spark.createDataFrame([(d, n, round(float(v), 6)) for (d, n), v in zip(points, found.validationMetrics)],
+                                 "max_depth int, min_rows int, macro_f1 double")

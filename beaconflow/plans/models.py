@@ -142,10 +142,13 @@ def predict(model: PipelineModel | NodeModel, df: DataFrame, keep: list[str]) ->
     return out.select(*keep, F.col("prediction").cast("int").alias("prediction"), "probability")
 
 
-def fit(pipeline: Pipeline, df: DataFrame) -> tuple[PipelineModel, float]:
-    """Fit with the input persisted for the fit's several passes (scaler, split finding, tree levels)."""
+def fit(pipeline: Pipeline, df: DataFrame, persist: bool = True) -> tuple[PipelineModel, float]:
+    """Fit with the input persisted for the fit's several passes (scaler, split finding, tree levels).
+
+    ``persist=False`` where the input is a filter of a persisted frame: no second copy is kept.
+    """
     t = time.time()
-    cached = df.storageLevel != StorageLevel.NONE
+    cached = not persist or df.storageLevel != StorageLevel.NONE
     if not cached:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -171,7 +174,7 @@ def cross_validate(df: DataFrame, kind: str = "forest", label: str = "label", fo
 
     def run(i):
         tr, va = df.where(F.col(fold_col) != i), df.where(F.col(fold_col) == i)
-        model, secs = fit(pipe, tr)
+        model, secs = fit(pipe, tr, persist=False)
         s = scores(predict(model, va, [label]), label, "prediction").first()
         rows = [(i, "accuracy", float(s["accuracy"])), (i, "macro_f1", float(s["macro_f1"])),
                 (i, "weighted_f1", float(s["weighted_f1"])), (i, "n_valid", float(s["n"])),
