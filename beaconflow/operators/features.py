@@ -11,9 +11,9 @@ Scale design.  A plain ``Window.partitionBy(sender)`` puts every message of a
 sender into one task; one sender may hold a third of all rows.  Sender sizes
 are counted first (a partial aggregate).  When no sender exceeds the bound, one
 window per sender does everything: one shuffle, no join.  Senders above it are cut at
-quantiles of their own order key, so that a part holds about as many rows as the bound
-whatever the key looks like (a clock gone wrong changes nothing), and rows are windowed by
-(sender, part).  One small aggregate per (sender, part) carries
+quantiles of their own order key, and parts that are still above it are cut again, so that a part holds
+about as many rows as the bound whatever the key looks like (a clock gone wrong changes nothing) and however
+many rows a sender has; rows are windowed by (sender, part).  One small aggregate per (sender, part) carries
 what crosses a border: the row count (for the running position), the lagged
 values of the last message (for the first lag of the next part), and mergeable moments
 (n, mean, M2) for the two whole-sender stds; an equi-join on (sender, part) brings
@@ -42,24 +42,46 @@ def _hyp(a: Column, b: Column) -> Column:
     return F.sqrt(a * a + b * b)
 
 
-#: Quantiles of the order key at which a large sender can be cut.
+#: Parts into which one step cuts a sender, or a part of one, at most; still larger parts are cut again.
 MOST_PARTS = 1000
 
 
-def sender_cuts(df: DataFrame, group: str, order: str, rows_per_part: int) -> DataFrame | None:
-    """``_cg, _cuts``: for each sender with more than ``rows_per_part`` rows, ascending order keys at which to cut it
-    into parts of about that size (MOST_PARTS parts at most); None when there is no such sender."""
-    sizes = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_cg")).agg(F.count(F.lit(1)).alias("_cn"))
-    large = sizes.where(F.col("_cn") > rows_per_part).checkpoint(eager=True)  # at most rows / rows_per_part senders
-    if large.isEmpty():
-        return None
-    steps = [i / MOST_PARTS for i in range(1, MOST_PARTS)]
-    keys = df.select(F.col(group).alias("_kg"), F.col(order).cast("double").alias("_ko"))
-    q = keys.join(large, F.col("_kg") == F.col("_cg")).groupBy("_cg").agg(
-        F.first("_cn").alias("_cn"), F.percentile_approx("_ko", steps, 10 * MOST_PARTS).alias("_q"))
-    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("_cn") / rows_per_part)).cast("int")
-    at = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.floor(i * F.lit(MOST_PARTS) / parts).cast("int") - 1)
-    return q.where(parts > 1).select("_cg", F.array_sort(F.array_distinct(F.transform(at, lambda i: F.get(F.col("_q"), i)))).alias("_cuts"))
+def with_parts(df: DataFrame, group: str, order: str, rows_per_part: int) -> DataFrame | None:
+    """``df`` with ``_b``, the part of its sender that a row belongs to, ascending with the order key; None when no
+    sender has more than ``rows_per_part`` rows.
+
+    Every step counts the rows of each (sender, part), cuts those above the bound at quantiles of their own order keys, and
+    goes on until none is left that two different keys could divide.  A step's cuts are joined to the rows by (sender,
+    part): at most rows / rows_per_part rows with MOST_PARTS keys each, found by halving.
+    """
+    key, cut, steps = F.col(order).cast("double"), False, [i / MOST_PARTS for i in range(1, MOST_PARTS)]
+    rows = df.withColumn("_b", F.lit(0).cast("long"))
+    while True:
+        sizes = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_cg"), F.col("_b").alias("_cb")).agg(
+            F.count(F.lit(1)).alias("_cn"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+        large = sizes.where((F.col("_cn") > rows_per_part) & (F.col("_lo") < F.col("_hi"))).select("_cg", "_cb", "_cn", "_lo").checkpoint(eager=True)
+        if large.isEmpty():
+            return rows if cut else None
+        cut, same = True, [F.col(group) == F.col("_cg"), F.col("_b") == F.col("_cb")]
+        q = rows.select(group, "_b", key.alias("_ko")).join(large, same).groupBy("_cg", "_cb").agg(
+            F.first("_cn").alias("_cn"), F.first("_lo").alias("_lo"), F.percentile_approx("_ko", steps, 10 * MOST_PARTS).alias("_q"))
+        parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("_cn") / rows_per_part)).cast("int")
+        at = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.floor(i * F.lit(MOST_PARTS) / parts).cast("int") - 1)
+        # a row goes behind every cut below its key; the least key itself separates copies of it from the rest
+        found = F.array_sort(F.array_distinct(F.concat(F.transform(at, lambda i: F.get(F.col("_q"), i)), F.array("_lo"))))
+        cuts = q.where(parts > 1).select("_cg", "_cb", F.filter(found, lambda c: c >= F.col("_lo")).alias("_cuts"))
+        rows = rows.join(cuts, same, "left")
+        span = F.struct(F.lit(0).alias("lo"), F.size("_cuts").alias("hi"))
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            below = F.get(F.col("_cuts"), mid) < key
+            return F.struct(F.when((s["lo"] < s["hi"]) & below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                            F.when((s["lo"] < s["hi"]) & ~F.coalesce(below, F.lit(False)), mid).otherwise(s["hi"]).alias("hi"))
+
+        place = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_PARTS.bit_length() + 1)), span, halve, lambda s: s["lo"])
+        part = F.when(F.col("_cuts").isNull() | key.isNull(), F.lit(0)).otherwise(place)
+        rows = rows.withColumn("_b", F.col("_b") * (MOST_PARTS + 1) + part).drop("_cg", "_cb", "_cuts")
 
 
 def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "row_id",
@@ -71,7 +93,7 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
 
     ``order`` (plus ``tiebreak``) must order each sender's messages uniquely, as for
     any lag: with ties the previous message is not defined.  Senders with more than
-    ``rows_per_part`` rows are cut (``sender_cuts``); ``bucket_width`` cuts every sender at
+    ``rows_per_part`` rows are cut (``with_parts``); ``bucket_width`` cuts every sender at
     multiples of a width of the order key instead, without counting.
 
     ``fixed=True`` repairs the two reference quirks: ``night_hours`` uses
@@ -93,19 +115,15 @@ def engineer_features(df: DataFrame, group: str = "senderpseudo", order: str = "
     df = df.select(*[F.col(f"`{c}`") for c in needed])
     if bucket_width is not None:
         width = bucket_width if isinstance(bucket_width, Column) else d(bucket_width)
-        part, cut = F.coalesce(F.floor(F.col(order).cast("double") / width), F.lit(-(1 << 62))), True
+        df, cut = df.withColumn("_b", F.coalesce(F.floor(F.col(order).cast("double") / width), F.lit(-(1 << 62)))), True
     else:
-        cuts = sender_cuts(df, group, order, rows_per_part)
-        cut = cuts is not None
-        if cut:
-            df = df.join(cuts, F.col(group) == F.col("_cg"), "left")
-            below = F.filter("_cuts", lambda c: c < F.col(order).cast("double"))
-            part = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(below)).cast("long")
+        parted = with_parts(df, group, order, rows_per_part)
+        df, cut = (parted, True) if parted is not None else (df, False)
     salt = F.pmod(F.xxhash64(order), F.lit(1 << 20)).cast(df.schema[group].dataType)
     rows = df.withColumn("_gn", F.col(group).isNull()).withColumn("_g", F.coalesce(F.col(group), salt))
     keys = ["_g", "_gn"]
     if cut:
-        rows, keys = rows.withColumn("_b", part).drop("_cg", "_cuts"), [*keys, "_b"]
+        keys = [*keys, "_b"]
     wb = Window.partitionBy(*keys).orderBy(*ordering)
     rows = rows.withColumn("_rn", F.row_number().over(wb))
     for c in lagged:

@@ -1580,3 +1580,12 @@ def q_holdout_search(spark, sf_dir):
     found = holdout_search(data, "rule_class", model_features(), grid, "tree", parallelism=4)
     return spark.createDataFrame([(d, n, round(float(v), 6)) for (d, n), v in zip(points, found.validationMetrics)],
                                  "max_depth int, min_rows int, macro_f1 double")
+
+
+# --------------------------------------------------------------------------- features of senders that are cut into parts
+@register("engineer_features_cut", ORACLE["engineer_features"])
+def q_engineer_features_cut(spark, sf_dir):
+    """F1-F18 where every sender above 20 messages is cut into parts (the path of senders too large for one task)."""
+    from ..operators.features import engineer_features
+    f = engineer_features(load_messages(spark, sf_dir), keep=["row_id", "senderpseudo"], rows_per_part=20)
+    return round_doubles(f.select("row_id", "senderpseudo", "sender_sequence", "hour", "night_hours", *_FEAT_DOUBLES))

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from beaconflow.operators.features import engineer_features
@@ -81,9 +82,12 @@ def test_fixed_mode(spark):
     assert bad == 0
 
 
-def test_hot_sender_is_split_and_exact(spark):
-    from beaconflow.operators.features import sender_cuts
+@pytest.mark.parametrize("most", [1000, 3])
+def test_hot_sender_is_split_and_exact(spark, monkeypatch, most):
+    """Parts hold about the bound however large a sender is: with three parts a step the hot sender is cut again and again."""
+    from beaconflow.operators import features
     from conftest import SF_MID
+    monkeypatch.setattr(features, "MOST_PARTS", most)
     m = load_messages(spark, SF_MID)
     # one sender owns a third of all messages, some have none, and one clock is far off: order keys are not spread evenly
     hot = m.withColumn("senderpseudo", F.when(F.col("row_id") % 11 == 0, F.lit(None)).when(F.pmod("row_id", F.lit(3)) == 0, F.lit(999_999))
@@ -92,17 +96,22 @@ def test_hot_sender_is_split_and_exact(spark):
     per_task = 600
     fast = engineer_features(hot, rows_per_part=per_task)
     assert rows(fast, COLS) == rows(engineer_features_simple(hot), COLS)
-    cuts = {r["_cg"]: r["_cuts"] for r in sender_cuts(hot, "senderpseudo", "row_id", per_task).collect()}
-    keys = [r[0] for r in hot.where("senderpseudo = 999999").select("row_id").collect()]
-    parts = {}
-    for k in keys:
-        b = sum(c < k for c in cuts[999_999])
-        parts[b] = parts.get(b, 0) + 1
-    assert set(cuts) == {999_999} and len(keys) > 3000 and max(parts.values()) <= 1.1 * per_task
-    assert sender_cuts(m, "senderpseudo", "row_id", 10 ** 6) is None
+    parts = features.with_parts(hot, "senderpseudo", "row_id", per_task).where("senderpseudo is not null").groupBy("senderpseudo", "_b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).orderBy("_b").collect()
+    mine = [p for p in parts if p.senderpseudo == 999_999]
+    assert max(p.n for p in parts) <= 1.1 * per_task and sum(p.n for p in mine) > 3000 and len(mine) > 5
+    assert all(p.hi < q.lo for p, q in zip(mine, mine[1:]))
+    assert features.with_parts(m, "senderpseudo", "row_id", 10 ** 6) is None
     assert rows(engineer_features(hot), COLS) == rows(engineer_features_simple(hot), COLS)
 
 
+def test_equal_order_keys_end_the_cutting(spark):
+    from beaconflow.operators.features import with_parts
+    df = spark.createDataFrame([(1, 5.0)] * 50 + [(1, 6.0)] * 3 + [(2, None)] * 40, "senderpseudo int, row_id double")
+    got = {(r.senderpseudo, r._b): r["count"] for r in with_parts(df, "senderpseudo", "row_id", 10).groupBy("senderpseudo", "_b").count().collect()}
+    assert sorted(got.values()) == [3, 40, 50]
+
+
 def test_no_large_sender_needs_one_shuffle_and_no_join(spark):
     plan = engineer_features(load_messages(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
