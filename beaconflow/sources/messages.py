@@ -125,29 +125,25 @@ def parse_records(df: DataFrame, col: str = "record", keep: list[str] | None = N
     a reason.  Pure column expressions, so it runs inside whole-stage codegen.
     """
     keep = keep or []
-    # Parse once into arrays (a separate projection: Catalyst does not inline a
-    # non-cheap expression into its 30 references).
-    parts = F.transform(F.split(F.trim(F.col(col)), ","), lambda x: F.trim(x))
-    step = df.select(*keep, F.col(col), parts.alias("_parts"),
-                     F.transform(parts, lambda x: x.try_cast("double")).alias("_vals"))
-    casts, ints_ok = [], F.lit(True)
+    # A generated column is never inlined into the expressions that use it, so every record is split once and every field
+    # read once, whatever filters are pushed down later.
+    step = df.select(*keep, F.col(col), F.inline(F.array(F.struct(F.split(F.trim(F.col(col)), ",").alias("_parts")))))
+    values = []
     for i, f in enumerate(MESSAGE_SCHEMA.fields):
-        num = F.get(F.col("_vals"), i)
+        text = F.trim(F.get(F.col("_parts"), i))
+        value = text.try_cast("double")
         if isinstance(f.dataType, (T.IntegerType, T.LongType)):
             kind = f.dataType.simpleString()
-            text = F.get(F.col("_parts"), i)
             # digits are read as an integer (a double has no room for ids above 2**53); integral
             # numbers written as floats ("4.0") come through the double
-            whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(kind)).when(num == F.floor(num), num.try_cast(kind))
-            ints_ok = ints_ok & whole.isNotNull()
-            num = whole
-        casts.append(num.alias(f.name))
-    n = F.size("_vals")
-    bad_num = F.exists("_vals", lambda x: x.isNull()) | ~F.coalesce(ints_ok, F.lit(False))
-    reason = (F.when(n < 29, F.lit("too few values"))
-              .when(n > 29, F.lit("too many values"))
-              .when(bad_num, F.lit("non-numeric value")))
-    tagged = step.select(*keep, F.col(col), reason.alias("_reason"), *casts)
+            value = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(kind)).when(value == F.floor(value), value.try_cast(kind))
+        values.append(value.alias(f.name))
+    read = step.select(*keep, F.col(col), F.inline(F.array(F.struct(F.size("_parts").alias("_n"), *values))))
+    missing = F.array_contains(F.array(*[F.col(c).isNull() for c in MESSAGE_29]), True)
+    reason = (F.when(F.col("_n") < 29, F.lit("too few values"))
+              .when(F.col("_n") > 29, F.lit("too many values"))
+              .when(missing, F.lit("non-numeric value")))
+    tagged = read.withColumn("_reason", reason)
     good = tagged.where(F.col("_reason").isNull()).select(*keep, *MESSAGE_29)
     rejects = tagged.where(F.col("_reason").isNotNull()).select(*keep, F.col(col), F.col("_reason").alias("reason"))
     return good, rejects
