@@ -8,6 +8,8 @@ bottom up, and a leaf is worth -rate * soft(G, reg_alpha) / (H + reg_lambda).  T
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 import re
 import sys
@@ -25,7 +27,7 @@ from .node_table import NodeModel, node_table
 
 #: The nine parameters and the seed, with the reference's final settings; the last four are its learner's own defaults.
 SETTINGS = dict(n_estimators=501, max_depth=8, learning_rate=0.068, subsample=0.92, colsample_bytree=0.80, seed=42,
-                gamma=0.0, min_child_weight=1.0, reg_alpha=0.0, reg_lambda=1.0)
+                gamma=0.0, min_child_weight=1.0, reg_alpha=0.0, reg_lambda=1.0, max_leaves=None)
 #: p (1 - p) never counts as less; rounds between reliable checkpoints; histogram bins of a feature.
 LEAST_CURVATURE, CHECKPOINT_EVERY, BINS = 1e-6, 10, 256
 LARGEST = sys.float_info.max
@@ -59,19 +61,57 @@ def worth(g: float, h: float, alpha: float, lam: float) -> float:
     return soft(g, alpha) ** 2 / (h + lam) if h + lam > 0 else 0.0
 
 
+def largest_leaves(tree: tuple, sums: dict[int, tuple[float, float]], p: dict) -> tuple:
+    """The tree cut to at most ``max_leaves`` leaves: from the root, the split of most gain is taken first, and so on.
+
+    A node that is not split any more becomes (leaf numbers,) of all below it.  Splits without gain are not taken.  Since a
+    node's own split does not depend on when it is taken, this is the tree that leaf-wise growth gives.
+    """
+    reg, count = (p["reg_alpha"], p["reg_lambda"]), itertools.count()
+
+    def weigh(t: tuple) -> dict:
+        if len(t) == 1:
+            g, h = sums.get(t[0], (0.0, 0.0))
+            return {"g": g, "h": h, "numbers": [t[0]], "split": None}
+        left, right = weigh(t[2]), weigh(t[3])
+        n = {"g": left["g"] + right["g"], "h": left["h"] + right["h"], "numbers": left["numbers"] + right["numbers"], "taken": False}
+        gain = worth(left["g"], left["h"], *reg) + worth(right["g"], right["h"], *reg) - worth(n["g"], n["h"], *reg)
+        return n | {"split": (t[0], t[1], left, right), "gain": gain}
+
+    root = weigh(tree)
+    open_ = [(-root["gain"], next(count), root)] if root["split"] else []
+    leaves = 1
+    while open_ and leaves < p["max_leaves"]:
+        gain, _, n = heapq.heappop(open_)
+        if gain >= 0:
+            break
+        n["taken"], leaves = True, leaves + 1
+        for child in n["split"][2:]:
+            if child["split"]:
+                heapq.heappush(open_, (-child["gain"], next(count), child))
+
+    def cut(n: dict) -> tuple:
+        if n["split"] and n["taken"]:
+            return (*n["split"][:2], cut(n["split"][2]), cut(n["split"][3]))
+        return (n["numbers"],)
+
+    return cut(root)
+
+
 def prune(tree: tuple, sums: dict[int, tuple[float, float]], p: dict) -> tuple[tuple, float, float]:
     """The tree with the values of its leaves, (value, leaf numbers) each, and its gradient and curvature.
 
     A split of two leaves goes when their worth exceeds that of their parent by less than ``gamma``; then its parent
-    may go too.
+    may go too.  A leaf of ``tree`` is one leaf number or a list of several.
     """
     def leaf(g: float, h: float, numbers: list[int]) -> tuple:
         w = -p["learning_rate"] * soft(g, p["reg_alpha"]) / (h + p["reg_lambda"]) if h + p["reg_lambda"] > 0 else 0.0
         return (w, numbers)
 
     if len(tree) == 1:
-        g, h = sums.get(tree[0], (0.0, 0.0))
-        return leaf(g, h, [tree[0]]), g, h
+        numbers = tree[0] if isinstance(tree[0], list) else [tree[0]]
+        g, h = (sum(sums.get(i, (0.0, 0.0))[j] for i in numbers) for j in (0, 1))
+        return leaf(g, h, numbers), g, h
     (left, gl, hl), (right, gr, hr) = prune(tree[2], sums, p), prune(tree[3], sums, p)
     g, h = gl + gr, hl + hr
     reg = p["reg_alpha"], p["reg_lambda"]
@@ -118,7 +158,8 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, weight: str | No
     ``max_depth``: levels below a root; ``learning_rate`` scales leaves; ``subsample``: share of rows that a round's trees
     see (by hash of ``key``, or of the whole row without one); ``colsample_bytree``: share of features that a tree sees;
     ``min_child_weight``: least sum of curvatures in a child; ``gamma``: least gain (soft(G)^2 / (H + reg_lambda) of the
-    children less that of the parent) of a split that stays; ``reg_alpha`` and ``reg_lambda``: see the module.  Rows without
+    children less that of the parent) of a split that stays; ``reg_alpha`` and ``reg_lambda``: see the module;
+    ``max_leaves``: at most so many leaves a tree, those of most gain (``largest_leaves``; None: no bound).  Rows without
     a label are left out; missing features go right.  Margins start at 0; g = w (p - y), h = 2 w p (1 - p).
 
     Rows keep their margins in a persisted frame, checkpointed every CHECKPOINT_EVERY rounds; trees of a round are
@@ -179,7 +220,10 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, weight: str | No
         margins = []
         for k in classes:
             tree = parse_tree(trees[k].toDebugString) if trees[k] is not None else (0,)
-            cut, _, _ = prune(tree, {s["leaf"]: (s["g"], s["h"]) for s in sums if s["k"] == k}, p)
+            mine = {s["leaf"]: (s["g"], s["h"]) for s in sums if s["k"] == k}
+            if p["max_leaves"]:
+                tree = largest_leaves(tree, mine, p)
+            cut, _, _ = prune(tree, mine, p)
             values = leaf_values(cut)
             rows += node_rows(cut, r * n_classes + k, k, n_classes, columns[k])
             by_leaf = F.array(*[F.lit(float(values[i])) for i in range(len(values))])

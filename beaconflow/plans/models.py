@@ -28,12 +28,14 @@ from ..operators.features import engineer_features
 from ..operators.labels import regroup
 from ..schema import ENGINEERED_25, FEATURES_8
 from ..sources.messages import load_messages, with_rule_class
+from .boosting import SETTINGS, fit_boosted
 from .node_table import NodeModel, score_nodes
 
 # Reference model settings (fixed values): boosted trees of the final model, of the
 # feature search, and the forest.
 BOOSTED_FINAL = dict(max_depth=8, learning_rate=0.068, n_estimators=501, subsample=0.92, colsample_bytree=0.80, seed=42)
 BOOSTED_SEARCH = dict(max_depth=15, learning_rate=0.05, n_estimators=100, subsample=0.8, colsample_bytree=0.8, seed=42)
+LEAF_WISE_SEARCH = BOOSTED_SEARCH | {"max_leaves": 31}
 FOREST = dict(n_estimators=100, max_depth=10, seed=42)
 
 
@@ -56,6 +58,7 @@ PARAMS_OF = {
     "mlp": {"max_iter", "hidden", "seed"},
 }
 PARAMS_OF["gbt_ovr"] = PARAMS_OF["boosted"]
+PARAMS_OF["softmax"] = set(SETTINGS)
 
 
 def _depth(v) -> int:
@@ -159,6 +162,15 @@ def fit(pipeline: Pipeline, df: DataFrame, persist: bool = True) -> tuple[Pipeli
     return model, time.time() - t
 
 
+def fit_kind(kind: str, df: DataFrame, features: list[str], label: str = "label", weight: str | None = None, params: dict | None = None,
+             n_classes: int = 6, persist: bool = True) -> tuple[PipelineModel | NodeModel, float]:
+    """A fitted model of any kind and its seconds; ``softmax`` is the regularised boosting of ``plans.boosting``."""
+    if kind != "softmax":
+        return fit(make_pipeline(kind, features, label, weight, params, n_classes), df, persist)
+    t = time.time()
+    return fit_boosted(df, features, label, weight, params, n_classes), time.time() - t
+
+
 def cross_validate(df: DataFrame, kind: str = "forest", label: str = "label", fold_col: str = "fold",
                    weight: str | None = None, params: dict | None = None, features: list[str] | None = None,
                    test: DataFrame | None = None, key: str = "row_id", parallelism: int = 1) -> dict:
@@ -244,7 +256,7 @@ def compare_models(train: DataFrame, test: DataFrame, kinds: list[str], label: s
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for kind in kinds:
-        model, secs = fit(make_pipeline(kind, features, label, weight, (params or {}).get(kind)), train)
+        model, secs = fit_kind(kind, train, features or model_features(), label, weight, (params or {}).get(kind))
         s = scores(predict(model, test, [label]), label, "prediction").first()
         rows.append((kind, float(s["accuracy"]), float(s["macro_f1"]), float(s["weighted_f1"]), float(secs)))
     train.unpersist()

@@ -117,6 +117,47 @@ def test_samples_rounds_and_odd_rows(data, spark):
         B.fit_boosted(df, FEATURES, "label", None, {"depth": 3}, K)
 
 
+def test_a_leaf_budget_takes_the_splits_of_most_gain(data):
+    """At most so many leaves; every tree of the budget is the best of all ways to cut the whole tree down, one gain at a time."""
+    df, *_ = data
+    p = BASE | {"n_estimators": 1, "max_depth": 5, "min_child_weight": 3.0}
+    full = B.fit_boosted(df, FEATURES, "label", "weight", p, K)
+    for budget in (2, 4, 7):
+        cut = B.fit_boosted(df, FEATURES, "label", "weight", p | {"max_leaves": budget}, K)
+        for t in range(K):
+            rows = [r for r in cut.nodes.collect() if r.tree == t]
+            whole = sum(r.feature is None for r in full.nodes.collect() if r.tree == t)
+            assert sum(r.feature is None for r in rows) == min(budget, whole) and whole > 7
+    tree = (0, 0.5, (1, 0.5, (0,), (1,)), (2, 0.5, (3, 0.5, (2,), (3,)), (4,)))
+    sums = {0: (4.0, 2.0), 1: (-3.0, 2.0), 2: (6.0, 1.0), 3: (-6.5, 1.0), 4: (-1.0, 5.0)}
+    reg = {"reg_alpha": 0.0, "reg_lambda": 1.0}
+    gain = lambda a, b: B.worth(*a, 0, 1) + B.worth(*b, 0, 1) - B.worth(a[0] + b[0], a[1] + b[1], 0, 1)
+    g1, g2, g3 = gain((4, 2), (-3, 2)), gain((-0.5, 2), (-1, 5)), gain((6, 1), (-6.5, 1))
+    assert g3 > g1 > 0 > g2  # the largest gain lies behind a split without any
+    assert B.largest_leaves(tree, sums, reg | {"max_leaves": 2}) == (0, 0.5, ([0, 1],), ([2, 3, 4],))
+    assert B.largest_leaves(tree, sums, reg | {"max_leaves": 9}) == (0, 0.5, (1, 0.5, ([0],), ([1],)), ([2, 3, 4],))
+
+
+def test_a_search_over_all_nine_parameters(data, spark):
+    """History never rises, every parameter varies, and candidates that differ in rounds only share a fit."""
+    from unittest.mock import patch
+
+    from beaconflow.plans import search
+    from beaconflow.schema import PARAM_NAMES
+    df = data[0].selectExpr("*", "case when row_id % 4 = 0 then 'valid' else 'train' end as split")
+    bounds = [(1, 2), (0.1, 0.5), (1, 3), (0.6, 1.0), (0.6, 1.0), (0, 2), (1, 5), (0, 5), (0.5, 3)]
+    start = [1, 0.3, 2, 0.9, 0.9, 0.0, 1.0, 0.0, 1.0]
+    found = search.param_search(df, "label", FEATURES, bounds, start, generations=1, population=4, seed=3)
+    history = [r.best_objective for r in found["history"].orderBy("generation").collect()]
+    assert len(history) == 2 and history[1] <= history[0] and 0 < found["best_macro_f1"] <= 1
+    runs = found["runs"].collect()
+    assert len(runs) == 8 and all(len({round(r[n], 6) for r in runs}) > 1 for n in PARAM_NAMES)
+    fits = []
+    with patch.object(search, "fit_kind", lambda kind, train, f, l, w, p, **k: (fits.append(p["n_estimators"]), (B.fit_boosted(train, f, l, w, p), 0.0))[1]):
+        search.param_search(df, "label", FEATURES, [(v, v) if i != 2 else (1, 4) for i, v in enumerate(start)], start, generations=0, population=4, seed=3)
+    assert len(fits) == 1
+
+
 def test_parse_tree():
     text = """DecisionTreeRegressionModel: uid=x, depth=2, numNodes=5, numFeatures=2
   If (feature 1 <= 5.5E-4)
