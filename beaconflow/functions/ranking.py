@@ -32,6 +32,9 @@ def rank_within(df: DataFrame, group_cols: list[str], order: list[Column | str],
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    if num_partitions is None:
+        # counting, sampling the ranges and dealing the rows out read the input three times: it is computed once
+        df = df.checkpoint(eager=True)
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_PARTITION))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(c) for c in group_cols] + order_cols

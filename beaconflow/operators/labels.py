@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import argmax
+from ..functions.columns import argmax, pct
 from ..schema import CLASS_GROUP, CLASS_NAMES
 
 
@@ -56,7 +56,7 @@ def filter_remap(df: DataFrame, label: str = "class", targets: list[int] | None
     counts = df.agg(F.count(F.lit(1)).alias("before"),
                     F.count(F.when(F.col(label).isin(targets), 1)).alias("after"))
     counts = (counts.withColumn("removed", F.col("before") - F.col("after"))
-              .withColumn("removed_pct", F.round(F.try_divide(F.col("removed") * 100.0, F.col("before")), 1)))
+              .withColumn("removed_pct", F.when(F.col("before") > 0, pct("removed", F.greatest("before", F.lit(1)), 1))))
     return kept, mapping, counts
 
 

@@ -181,39 +181,52 @@ def variance_topk(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (col_a <= col_b, upper triangle).
 
-    A pair uses the rows where both values are present (NaN counts as missing).  Every task turns
-    its rows into co-moment sums of all pairs with a few matrix products (values shifted by the columns' means,
-    so that large offsets such as epoch seconds do not cancel digits) and emits one row
-    per pair; the sums are added by a grouped aggregate.  A constant column gives NULL.
+    A pair uses the rows where both values are present (NaN counts as missing).  Every task turns its rows into
+    counts, means and co-moments of all pairs with a few matrix products, about a point near its own rows (so that large
+    offsets such as epoch seconds do not cancel digits), and emits one row per pair; the rows of the tasks are merged by
+    their distance from the common mean.  One scan of the data.  A constant column gives NULL.
     """
     x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
-    mean = x.agg(*[F.avg(c).alias(c) for c in x.columns]).first()  # one value per column
-    shift = [mean[c] if mean[c] is not None and math.isfinite(mean[c]) else 0.0 for c in x.columns]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    a, b = [i for i, _ in pairs], [j for _, j in pairs]
+    a, b, k = [i for i, _ in pairs], [j for _, j in pairs], len(cols)
 
     def moments(batches):
         import numpy as np
         import pyarrow as pa
-        k = len(shift)
-        total = np.zeros((6, k, k))
+        total, shift = np.zeros((6, k, k)), None
         for batch in batches:
-            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, k))
+            if not batch.num_rows:
+                continue
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
             here = ~np.isnan(v)
+            if shift is None:  # a point near this task's rows
+                low = np.where(here & np.isfinite(v), v, 0.0)
+                shift = low.sum(axis=0) / np.maximum((here & np.isfinite(v)).sum(axis=0), 1)
             m, v = here.astype(float), np.where(here, v - shift, 0.0)
             total += np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.array(t[a, b]) for t in total]],
-                                         names=["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"])
-
-    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    s = x.mapInArrow(moments, "a int, b int, " + ", ".join(f"{c} double" for c in names)).groupBy("a", "b").agg(
-        *[F.sum(c).alias(c) for c in names])
-    n = F.col("n")
-
-    def spread(sq, s1):  # n * variance; rounding noise of a constant column counts as none
-        v = n * F.col(sq) - F.col(s1) * F.col(s1)
-        return F.when(v > F.lit(1e-12) * n * F.col(sq), v)
-    r = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy")))
+        if shift is not None:
+            n, sx, sy, sxx, syy, sxy = total[:, a, b]
+            some = n > 0
+            one = np.maximum(n, 1)
+            out = [n, shift[a], shift[b], sx / one, sy / one, sxx - sx * sx / one, syy - sy * sy / one, sxy - sx * sy / one]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a)[some], pa.int32()), pa.array(np.array(b)[some], pa.int32()),
+                                              *[pa.array(t[some]) for t in out]], names=["a", "b", *names])
+
+    # a task's mean is its point (p) and the small rest (d): differences of means keep their digits
+    names = ["n", "px", "py", "dx", "dy", "cxx", "cyy", "cxy"]
+    s = x.mapInArrow(moments, "a int, b int, " + ", ".join(f"{c} double" for c in names))
+    pair = Window.partitionBy("a", "b")  # a row for each task
+    s = s.withColumn("_n", F.sum("n").over(pair))
+    s = s.withColumns({f"_r{v}": F.col(f"p{v}") - F.min(f"p{v}").over(pair) + F.col(f"d{v}") for v in "xy"})
+    s = s.withColumns({f"_d{v}": F.col(f"_r{v}") - F.sum(F.col("n") * F.col(f"_r{v}")).over(pair) / F.col("_n") for v in "xy"})
+    s = s.groupBy("a", "b").agg(
+        F.max("_n").alias("n"), *[F.sum(F.col(f"c{u}{v}") + F.col("n") * F.col(f"_d{u}") * F.col(f"_d{v}")).alias(f"s{u}{v}") for u, v in ("xx", "yy", "xy")],
+        *[F.max(F.abs(f"p{v}")).alias(f"_m{v}") for v in "xy"])
+
+    def spread(sq, at):  # rounding noise of a constant column counts as none
+        noise = F.col("n") * F.pow(F.lit(1e-14) * F.col(at), F.lit(2))
+        return F.when((F.col(sq) > noise) & (F.col(sq) > 0), F.col(sq))
+    r = F.try_divide(F.col("sxy"), F.sqrt(spread("sxx", "_mx")) * F.sqrt(spread("syy", "_my")))
     name = F.array(*[F.lit(c) for c in cols])
     return s.select(name[F.col("a")].alias("col_a"), name[F.col("b")].alias("col_b"),
                     F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).when(~F.isnan(r), r).alias("corr"))
@@ -244,11 +257,6 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
 
 
-def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                         for c in cols]))).where(F.col("value").isNotNull() & ~F.isnan("value"))
-
-
 def _pick_and_interpolate(ranked: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
     """targets: keys + p, _h, _fl, _r0, _r1 (ranks inside ``ranked``'s groups) -> (feature, p, value)."""
     extra = [c for c in ("p", "_h", "_fl") if c not in keys]
@@ -267,16 +275,19 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
 
     Values are counted per (column, value) first, with partial aggregation, so a value that most rows
     share is one row; the distinct values are ranked over range partitions with their counts as
-    weights, and the two ranks around each h are read.  One path at every size.
+    weights, and the two ranks around each h are read.  One path at every size.  Columns go by their number; the names
+    come back at the end.
     """
-    long = _long_values(df, cols)
+    named = F.array(*[F.lit(c) for c in cols])
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).cast("short").alias("feature"), F.col(c).cast("double").alias("value"))
+                                        for i, c in enumerate(cols)]))).where(F.col("value").isNotNull() & ~F.isnan("value"))
     vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = rank_within(vc, ["feature"], ["value"], weight=F.col("_n"))
     n = ranked.groupBy("feature").agg(F.sum("_w").alias("_cnt"))  # from the ranked table, no extra scan
     t = n.select("feature", "_cnt", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     t = t.withColumn("_h", (F.col("_cnt") - 1) * F.col("p")).withColumn("_fl", F.floor("_h").cast("long"))
     t = t.withColumn("_r0", F.col("_fl")).withColumn("_r1", F.least(F.col("_fl") + 1, F.col("_cnt") - 1))
-    return _pick_and_interpolate(ranked, ["feature"], t)
+    return _pick_and_interpolate(ranked, ["feature"], t).withColumn("feature", F.get(named, F.col("feature").cast("int")))
 
 
 def profile_describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:

@@ -1589,3 +1589,49 @@ def q_engineer_features_cut(spark, sf_dir):
     from ..operators.features import engineer_features
     f = engineer_features(load_messages(spark, sf_dir), keep=["row_id", "senderpseudo"], rows_per_part=20)
     return round_doubles(f.select("row_id", "senderpseudo", "sender_sequence", "hour", "night_hours", *_FEAT_DOUBLES))
+
+
+@register("rbf_svm")
+def q_rbf_svm(spark, sf_dir):
+    """One-vs-rest support vector machines with an RBF kernel (256 random Fourier features), scored on the unseen senders."""
+    from .models import fit, make_pipeline, model_features, predict
+    tv, te = _ml_split(spark, sf_dir)
+    model, _ = fit(make_pipeline("svc_rbf", model_features(), "rule_class"), tv)
+    return predict(model, te, ["row_id", "rule_class"]).select("row_id", "rule_class", "prediction")
+
+
+# --------------------------------------------------------------------------- stored sketches
+_SKETCHED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
+
+
+@register("merged_sketches", "SELECT * FROM (" + S.union_all([
+    f"""SELECT '{c}' AS feature, count(*) AS n_rows, count({c}) AS "count", {S.r6(f'avg(CAST({c} AS DOUBLE))', 'mean')},
+      {S.r6(f'stddev_samp(CAST({c} AS DOUBLE))', 'std')}, {S.r6(f'min(CAST({c} AS DOUBLE))', 'min')}, {S.r6(f'max(CAST({c} AS DOUBLE))', 'max')},
+      TRUE AS distinct_within, TRUE AS quantiles_within FROM lineitem""" for c in _SKETCHED]) + ") x")
+def q_merged_sketches(spark, sf_dir):
+    """Sketches of four parts of ``lineitem`` stored one after another and merged; exact moments, and whether distinct
+    counts and quartile ranks of the merge lie within the stated errors of the exact ones."""
+    from ..operators.sketches import DISTINCT_ERROR, RANK_ERROR, merged_profile, sketch_rows
+    from ..session import scratch_dir
+    from ..sources.messages import read_table
+    path, li = scratch_dir(spark, "sketches"), read_table(spark, sf_dir, "lineitem")
+    for i in range(4):  # as if the parts arrived one by one
+        sketch_rows(li.where(F.pmod("l_orderkey", F.lit(4)) == i).withColumn("_part", F.lit(i)), _SKETCHED, "_part").write.mode("append").parquet(path)
+    got = merged_profile(spark.read.parquet(path)).checkpoint(eager=True)
+    q = {r["feature"]: r for r in got.collect()}  # one row a column
+    exact = []
+    for c in _SKETCHED:
+        v = F.col(c).cast("double")
+        exact += [F.count_distinct(v).alias(f"d_{c}")]
+        for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+            # the ranks that the value covers, as shares
+            exact += [F.avg((v < q[c][n]).cast("double")).alias(f"lo_{c}_{n}"), F.avg((v <= q[c][n]).cast("double")).alias(f"hi_{c}_{n}")]
+    e = li.agg(*exact)
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"d_{c}").alias("d"), *[
+        ((F.col(f"lo_{c}_{n}") <= p + RANK_ERROR) & (F.col(f"hi_{c}_{n}") >= p - RANK_ERROR)).alias(f"in_{n}")
+        for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]) for c in _SKETCHED]
+    e = e.select(F.inline(F.array(*rows)))
+    return round_doubles(got.join(F.broadcast(e), "feature").select(  # one row a column
+        "feature", "n_rows", "count", "mean", "std", "min", "max",
+        (F.abs(F.col("n_distinct") - F.col("d")) <= F.greatest(F.lit(2.0), DISTINCT_ERROR * F.col("d"))).alias("distinct_within"),
+        (F.col("in_q25") & F.col("in_q50") & F.col("in_q75")).alias("quantiles_within")))

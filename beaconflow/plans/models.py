@@ -29,6 +29,7 @@ from ..operators.labels import regroup
 from ..schema import ENGINEERED_25, FEATURES_8
 from ..sources.messages import load_messages, with_rule_class
 from .boosting import SETTINGS, fit_boosted
+from .fourier import RandomFourier
 from .node_table import NodeModel, score_nodes
 
 # Reference model settings (fixed values): boosted trees of the final model, of the
@@ -55,6 +56,7 @@ PARAMS_OF = {
     "forest": {"n_estimators", "max_depth", "subsample", "colsample_bytree", "seed"},
     "boosted": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "gamma", "min_child_weight", "seed"},
     "tree": {"max_depth", "seed"}, "logreg": {"max_iter", "reg_lambda", "seed"}, "svc_ovr": {"max_iter", "seed"},
+    "svc_rbf": {"max_iter", "dims", "rbf_gamma", "reg_lambda", "seed"},
     "mlp": {"max_iter", "hidden", "seed"},
 }
 PARAMS_OF["gbt_ovr"] = PARAMS_OF["boosted"]
@@ -107,6 +109,9 @@ def make_classifier(kind: str, label: str, weight: str | None, params: dict | No
                                  family="multinomial", **common)
     elif kind == "svc_ovr":
         clf = OneVsRest(classifier=LinearSVC(maxIter=int(p.get("max_iter", 50)), featuresCol=features), **common)
+    elif kind == "svc_rbf":  # on random Fourier features, see make_pipeline
+        svc = LinearSVC(maxIter=int(p.get("max_iter", 50)), regParam=float(p.get("reg_lambda", 1e-4)), standardization=False, featuresCol="fourier")
+        clf = OneVsRest(classifier=svc, featuresCol="fourier", labelCol=label)
     elif kind == "mlp":
         hidden = int(p.get("hidden", 32))
         clf = MultilayerPerceptronClassifier(layers=[n_features, hidden, n_classes], maxIter=int(p.get("max_iter", 100)),
@@ -123,6 +128,11 @@ def make_pipeline(kind: str = "forest", features: list[str] | None = None, label
     asm = VectorAssembler(inputCols=features, outputCol="_raw_features", handleInvalid="keep")
     scaler = StandardScaler(inputCol="_raw_features", outputCol="features", withMean=True, withStd=True)
     clf = make_classifier(kind, label, weight, params, len(features), n_classes)
+    if kind == "svc_rbf":
+        p = params or {}
+        spread = RandomFourier(inputCol="features", outputCol="fourier", dims=int(p.get("dims", 256)), gamma=float(p.get("rbf_gamma", 0.0)),
+                               seed=int(p.get("seed", 42)))
+        return Pipeline(stages=[asm, scaler, spread, clf])
     return Pipeline(stages=[asm, scaler, clf])
 
 
@@ -205,14 +215,18 @@ def cross_validate(df: DataFrame, kind: str = "forest", label: str = "label", fo
 
 
 def _renamed(model: PipelineModel, i: int) -> PipelineModel:
-    """Copy of a fitted assembler -> scaler -> classifier pipeline writing ``_*_{i}`` columns."""
-    asm, scaler, clf = [st.copy() for st in model.stages]
+    """Copy of a fitted assembler -> scaler [-> Fourier map] -> classifier pipeline writing ``_*_{i}`` columns."""
+    asm, scaler, *maps, clf = [st.copy() for st in model.stages]
     asm.setOutputCol(f"_raw_{i}")
     scaler.setInputCol(f"_raw_{i}").setOutputCol(f"_feat_{i}")
-    clf.setFeaturesCol(f"_feat_{i}").setPredictionCol(f"_pred_{i}").setRawPredictionCol(f"_rawp_{i}")
+    for m in maps:
+        m._set(inputCol=f"_feat_{i}", outputCol=f"_map_{i}")
+    clf.setFeaturesCol(f"_map_{i}" if maps else f"_feat_{i}").setPredictionCol(f"_pred_{i}").setRawPredictionCol(f"_rawp_{i}")
+    for inner in getattr(clf, "models", []):  # of a one-vs-rest model: they read and write columns themselves
+        inner.setFeaturesCol(clf.getFeaturesCol()).setRawPredictionCol(f"_rawp_{i}")
     if hasattr(clf, "setProbabilityCol"):
         clf.setProbabilityCol(f"_prob_{i}")
-    return PipelineModel([asm, scaler, clf])
+    return PipelineModel([asm, scaler, *maps, clf])
 
 
 def _probability_of(df: DataFrame, i: int):

@@ -28,7 +28,7 @@ EXPECTED = [
     'training_run', 'union_splits', 'variance_topk', 'xy_pair_load',
     'zero_variance',
     'auc_fixed_score', 'correlation_missing_values', 'distinct_counts_large_ids', 'fill_missing', 'filter_remap_counts',
-    'boosted_stumps', 'engineer_features_cut', 'holdout_search', 'stacking', 'score_batch_nodes', 'score_records_nodes', 'stratified_sample_missing_keys', 'stratified_split_missing_keys', 'stream_scores_nodes',
+    'boosted_stumps', 'engineer_features_cut', 'holdout_search', 'merged_sketches', 'rbf_svm', 'stacking', 'score_batch_nodes', 'score_records_nodes', 'stratified_sample_missing_keys', 'stratified_split_missing_keys', 'stream_scores_nodes',
     'parse_records_large_ids', 'rate_windows_stream', 'stratified_split_missing_labels', 'xy_pair_many_files',
 ]
 
