@@ -257,6 +257,12 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
 
 
+def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The values that are there, each with the number of its column."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(i).cast("short").alias("feature"), F.col(c).cast("double").alias("value"))
+                                        for i, c in enumerate(cols)]))).where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
 def _pick_and_interpolate(ranked: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
     """targets: keys + p, _h, _fl, _r0, _r1 (ranks inside ``ranked``'s groups) -> (feature, p, value)."""
     extra = [c for c in ("p", "_h", "_fl") if c not in keys]
@@ -279,8 +285,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
     come back at the end.
     """
     named = F.array(*[F.lit(c) for c in cols])
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).cast("short").alias("feature"), F.col(c).cast("double").alias("value"))
-                                        for i, c in enumerate(cols)]))).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    long = _long_values(df, cols)
     vc = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = rank_within(vc, ["feature"], ["value"], weight=F.col("_n"))
     n = ranked.groupBy("feature").agg(F.sum("_w").alias("_cnt"))  # from the ranked table, no extra scan
