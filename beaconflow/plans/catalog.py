@@ -1042,7 +1042,7 @@ def q_evaluate_subset(spark, sf_dir):
     inner = group_holdout(tv, ratio=0.8, seed=7, names=("train", "valid"), out="inner")
     feats = model_features()
     best = feature_search(inner.where(F.col("inner") == "train"), inner.where(F.col("inner") == "valid"), feats,
-                          "rule_class", players=16, generations=3, fitness="naive_bayes", weight_method=None)["best"]
+                          "rule_class", players=32, generations=30, fitness="naive_bayes", weight_method=None, seed=42)["best"]
     r = evaluate_subset(tv, te, feats, best, "rule_class", "weight", "forest", ML_FOREST)
     return r["report"].withColumn("n_selected", F.lit(r["n_selected"])).withColumn(
         "reduction_pct", F.lit(r["reduction_pct"]))
