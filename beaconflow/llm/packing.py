@@ -3,9 +3,8 @@
 Pieces are counted by length, so the packing problem is as large as the sequence length, not the
 corpus.  Its linear program (how often to use each configuration of lengths that fits one sequence) is
 solved by multiplicative weights: a knapsack dynamic program prices the best configuration under the
-present weights, and lengths that it covers lose weight.  The solution is rounded down and what is left is
-solved again, either to the last piece or until nothing fills a sequence, the rest best-fit by counts.  Each piece then finds its place from its
-rank among the pieces of its length.
+present weights, and lengths that it covers lose weight.  The fractional solution is rounded down and what is left is
+covered the same way by whole uses.  Each piece then finds its place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -65,84 +64,82 @@ def refill(config: Counter, left: np.ndarray, capacity: int) -> tuple[Counter, i
     return out, filled
 
 
-def place_best_fit(need: np.ndarray, capacity: int) -> Counter:
-    """Best-fit decreasing on counts: uses of configurations, as one piece after the other would give.
+def steps(need: np.ndarray, capacity: int, eta: float, eps: float, bend: float, whole: bool):
+    """Multiplicative weights on the covering program: yields (configuration, uses) and takes them from ``need``.
 
-    A sequence that takes a piece stays the fullest that fits until it has no room for another, so sequences
-    of one room and content fill up together; each length parts at most one such group.
+    A length's weight starts above its share of a sequence (``bend`` favours long pieces, which fit worst) and is
+    multiplied after each step by ``exp(eta * lag)``, where lag is the part of its pieces not yet covered beyond the mean.
+    A step uses the best configuration with each length, the longest first, for a part ``eps`` of its scarcest pieces,
+    if it fills a sequence but for a part ``within``; that part doubles when no configuration does, up to 1, where every one
+    does.  ``whole``: uses are whole numbers and take only pieces that are there, to the last one.  Otherwise uses are real,
+    and the steps end when a thousandth of the mass is left.  Each step first yields (None, bound): by duality no packing
+    has fewer sequences than the needs' total weight over the most weight that a sequence can hold.
     """
-    groups: Counter = Counter()  # (room, pieces): sequences
-    for l in range(capacity, 0, -1):
-        n = int(need[l])
-        for room, held in sorted(g for g in groups if g[0] >= l) if n else ():
-            k = room // l
-            full = min(groups[room, held], n // k)
-            n -= full * k
-            rest = n if full < groups[room, held] else 0
-            for uses, copies in ((full, k), (1, rest)):
-                if uses and copies:
-                    groups[room, held] -= uses
-                    groups[room - copies * l, (*held, (l, copies))] += uses
-            n -= rest
-            if not groups[room, held]:
-                del groups[room, held]
-            if not n:
-                break
-        k = capacity // l
-        for uses, copies in ((n // k, k), (1, n % k)):
-            if uses and copies:
-                groups[capacity - copies * l, ((l, copies),)] += uses
-    out: Counter = Counter()
-    for (_, held), uses in groups.items():
-        out[tuple(sorted(held))] += uses
-    return out
-
-
-def solve(histogram: np.ndarray, capacity: int, eta: float, eps: float = 0.2, bend: float = 1.0,
-          stop: float = 1.0) -> Counter:
-    """Uses of configurations ((length, copies), ...) that together give every piece a place.
-
-    Multiplicative weights on the covering program: a length's weight starts above its share
-    of a sequence (``bend`` favours long pieces, which fit worst) and is multiplied after each step by
-    ``exp(eta * lag)``, where lag is the part of its pieces not yet covered beyond the mean.  A step
-    uses the best configuration with each length, the longest first, for a part ``eps`` of its
-    scarcest pieces, rounded to whole uses, if it fills a sequence but for a part ``within``; that
-    part doubles when no configuration does, up to 1, where every one does.  What is left when none does at ``stop`` goes best-fit.
-    """
-    left, total = histogram.astype(np.int64).copy(), np.maximum(histogram, 1)
-    size, used = np.arange(capacity + 1) / capacity, Counter()
-    mass = size * histogram
+    left, total = need.copy(), np.maximum(need, 1)
+    size = np.arange(capacity + 1) / capacity
+    mass = size * need
     boost, within = np.zeros(capacity + 1), 0.0005
-    while left.sum() > 0:
+    while left.sum() > 0 and (whole or (size * left).sum() > 0.001 * mass.sum()):
         lag = left / total
         boost += eta * (lag - (lag * mass).sum() / mass.sum())
         weight, placed = np.where(left > 0, size * (1 + bend * size) * np.exp(boost), 0), 0
+        yield None, float((weight * need).sum() / price(weight, capacity)[0][capacity])
         for p in best_with_each(weight, capacity):
-            p, filled = refill(p, left, capacity)
+            if whole:
+                p, filled = refill(p, left, capacity)
+            else:
+                p = Counter({l: k for l, k in p.items() if left[l] > 0})
+                filled = sum(l * k for l, k in p.items())
             if not p or filled < (1 - within) * capacity:
                 continue
-            most = min(left[l] // k for l, k in p.items())
-            n = int(min(most, max(1, eps * most)))
-            used[tuple(sorted(p.items()))] += n
+            most = min(left[l] // k if whole else left[l] / k for l, k in p.items())
+            n = int(min(most, max(1, eps * most))) if whole else most if most < 0.5 else eps * most
             placed += n
             for l, k in p.items():
-                left[l] -= n * k
+                left[l] = max(left[l] - n * k, 0)
+            yield tuple(sorted(p.items())), n
         if not placed:
-            if within >= stop:
-                used.update(place_best_fit(left, capacity))
-                break
             within = min(2 * within, 1.0)
-    return used
 
 
-def configurations(histogram: np.ndarray, capacity: int, rates: tuple[float, ...] = (0.005, 0.01, 0.02),
-                   stops: tuple[float, ...] = (0.0005, 1.0)) -> list[tuple[tuple, int]]:
-    """The best of best-fit decreasing and the solutions for a few learning rates, with and without widening.
+def solve(histogram: np.ndarray, capacity: int, eta: float, eps: float = 0.2, bend: float = 1.0) -> tuple[Counter, float]:
+    """Uses of configurations ((length, copies), ...) that together give every piece a place, and a lower bound.
+
+    A fractional solution of the covering program is rounded down; the pieces that this leaves are covered the same way by
+    whole uses of priced configurations, to the last piece.
+    """
+    share, bound = Counter(), float(np.ceil((np.arange(capacity + 1) * histogram).sum() / capacity))
+    for config, n in steps(histogram.astype(float), capacity, eta, eps, bend, whole=False):
+        if config is None:
+            bound = max(bound, float(np.ceil(n - 1e-6)))
+        else:
+            share[config] += n
+    left, used = histogram.astype(np.int64).copy(), Counter()
+    for config, x in share.items():
+        n = int(x + 1e-9)
+        if n and all(left[l] >= n * k for l, k in config):
+            used[config] += n
+            for l, k in config:
+                left[l] -= n * k
+    for config, n in steps(left, capacity, eta, eps, bend, whole=True):
+        if config is not None:
+            used[config] += n
+    return used, bound
+
+
+def configurations(histogram: np.ndarray, capacity: int, settings: tuple[tuple[float, float], ...] = ((0.005, 0.2), (0.005, 0.5), (0.01, 0.2))) -> list[tuple[tuple, int]]:
+    """The best of the solutions for a few ``settings`` (learning rate, part of a step); the first that meets its lower bound.
 
     Its size is bounded by ``capacity`` and the steps (logarithmic in the number of pieces), not by the corpus.
     """
-    found = [place_best_fit(histogram, capacity), *(solve(histogram, capacity, r, stop=s) for s in stops for r in rates)]
-    return sorted(min(found, key=lambda u: sum(u.values())).items())
+    best: Counter | None = None
+    for rate, part in settings:
+        used, bound = solve(histogram, capacity, rate, part)
+        if best is None or sum(used.values()) < sum(best.values()):
+            best = used
+        if sum(best.values()) <= bound:  # no packing has fewer
+            break
+    return sorted(best.items())
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from beaconflow.llm import packing
 from beaconflow.llm.queries import QUERIES
+from beaconflow.llm.tokens import encoder
 
 SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +82,39 @@ def test_configurations_cover_exactly():
         assert sum(n for _, n in plan) <= best_fit(lengths.tolist(), 256)
 
 
+def place_best_fit(need: np.ndarray, capacity: int) -> Counter:
+    """Best-fit decreasing on counts: uses of configurations, as one piece after the other would give.
+
+    A sequence that takes a piece stays the fullest that fits until it has no room for another, so sequences
+    of one room and content fill up together; each length parts at most one such group.
+    """
+    groups: Counter = Counter()  # (room, pieces): sequences
+    for l in range(capacity, 0, -1):
+        n = int(need[l])
+        for room, held in sorted(g for g in groups if g[0] >= l) if n else ():
+            k = room // l
+            full = min(groups[room, held], n // k)
+            n -= full * k
+            rest = n if full < groups[room, held] else 0
+            for uses, copies in ((full, k), (1, rest)):
+                if uses and copies:
+                    groups[room, held] -= uses
+                    groups[room - copies * l, (*held, (l, copies))] += uses
+            n -= rest
+            if not groups[room, held]:
+                del groups[room, held]
+            if not n:
+                break
+        k = capacity // l
+        for uses, copies in ((n // k, k), (1, n % k)):
+            if uses and copies:
+                groups[capacity - copies * l, ((l, copies),)] += uses
+    out: Counter = Counter()
+    for (_, held), uses in groups.items():
+        out[tuple(sorted(held))] += uses
+    return out
+
+
 def by_pieces(need, capacity):
     seqs = []
     for l in np.repeat(np.arange(len(need)), need)[::-1].tolist():
@@ -97,7 +131,7 @@ def test_best_fit_by_counts_is_best_fit_by_pieces():
     for _ in range(60):
         need = rng.integers(0, 9, 65) * (rng.random(65) < 0.4)
         need[0] = 0
-        got = packing.place_best_fit(need, 64)
+        got = place_best_fit(need, 64)
         assert sum(got.values()) == len(by_pieces(need, 64))
         assert all(0 < sum(l * k for l, k in c) <= 64 and n > 0 for c, n in got.items())
         seen = Counter()
@@ -122,3 +156,50 @@ def test_a_million_pieces_of_a_length():
             assert seen == Counter(lengths) and sum(n for _, n in plan) <= most
     finally:
         signal.alarm(0)
+
+
+def histogram_of(sf, capacity=1024):
+    import pyarrow.parquet as pq
+    enc, counts = encoder(PATH), np.zeros(capacity + 1, np.int64)
+    for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(enc.encode(t or "")) + 1
+        counts[capacity] += n // capacity
+        if n % capacity:
+            counts[n % capacity] += 1
+    return counts
+
+
+def test_the_program_is_solved_and_not_best_fit():
+    """Within 0.1 % of the lower bound, which no packing can pass, and below what best-fit decreasing gives."""
+    counts = histogram_of("sf0.1")
+    plan = packing.configurations(counts, 1024)
+    used, bound = packing.solve(counts, 1024, 0.005)
+    assert bound <= sum(n for _, n in plan) <= sum(used.values()) <= 1.001 * bound
+    assert sum(n for _, n in plan) < sum(place_best_fit(counts, 1024).values())
+    assert bound >= np.ceil((np.arange(1025) * counts).sum() / 1024)
+
+
+def test_the_bound_holds_against_all_packings():
+    """Small cases by exhaustive search: bound <= optimum <= what the solver uses."""
+    rng = np.random.default_rng(8)
+
+    def least(items, capacity):
+        best = [len(items)]
+
+        def put(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for r in sorted({x for x in rooms if x >= items[i]}):
+                k = rooms.index(r)
+                put(i + 1, rooms[:k] + [r - items[i]] + rooms[k + 1:])
+            put(i + 1, rooms + [capacity - items[i]])
+        put(0, [])
+        return best[0]
+
+    for _ in range(30):
+        items = sorted(rng.integers(3, 13, 9).tolist(), reverse=True)
+        used, bound = packing.solve(np.bincount(items, minlength=21), 20, 0.01)
+        assert bound <= least(items, 20) <= sum(used.values())
