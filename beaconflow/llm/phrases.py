@@ -86,6 +86,17 @@ def by_lang(rows: dict[str, list]) -> dict[str, list[str]]:
     return out
 
 
+def pack_counts(places: np.ndarray, n: np.ndarray) -> bytes:
+    """Increasing places below 2**16 and their counts below 256; gaps, low and high bytes apart, pack better than places."""
+    gaps = np.diff(places, prepend=0)
+    return pack(np.concatenate([gaps & 255, gaps >> 8, n]).astype(np.uint8))
+
+
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, high, n = unpack(blob, np.uint8).reshape(3, -1).astype(np.int64)
+    return np.cumsum(low + (high << 8)), n
+
+
 def frequent_slots(x: DataFrame, sizes: list[int], known: dict[int, np.ndarray], bits: int, least: int) -> dict[int, np.ndarray]:
     """For parts of each of ``sizes``: a bit for each slot, whether its parts occur ``least`` times or more.
 
@@ -111,19 +122,16 @@ def frequent_slots(x: DataFrame, sizes: list[int], known: dict[int, np.ndarray],
             for a, b in zip([0, *ends[:-1]], ends):
                 out["size"].append(m)
                 out["chunk"].append(int(slot[a] >> CHUNK))
-                places = (slot[a:b] & (1 << CHUNK) - 1).astype(np.uint16)
-                out["blob"].append(pack(np.append(places.view(np.uint8), np.minimum(n[a:b], least).astype(np.uint8))))
+                out["blob"].append(pack_counts(slot[a:b] & (1 << CHUNK) - 1, np.minimum(n[a:b], least)))
         return out
 
     def add(batches):
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for m, c, blob in zip(*[batch.column(i).to_pylist() for i in ("size", "chunk", "blob")]):
-                raw = unpack(blob, np.uint8)
-                n = len(raw) // 3
+                places, n = unpack_counts(blob)
                 have = total.setdefault((m, c), np.zeros(1 << CHUNK, np.uint8))
-                places = raw[:2 * n].view(np.uint16)
-                have[places] = np.minimum(have[places].astype(np.int64) + raw[2 * n:], least)
+                have[places] = np.minimum(have[places].astype(np.int64) + n, least)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)] + [
                 pa.array([pack(np.packbits(v >= least)) for v in total.values()], pa.binary())], ["size", "chunk", "blob"])
