@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,16 +146,15 @@ def frequent_slots(x: DataFrame, sizes: list[int], known: dict[int, np.ndarray],
 
 
 def windows(x: DataFrame, often: dict[int, np.ndarray], bits: int, most: int) -> DataFrame:
-    """``lang, w1..w<most>, n``: the windows that words begin, with how often; '' beyond the end of a window.
+    """``lang, window, n``: the windows that words begin, blanks between their words, with how often.
 
     A window ends with its piece, and before a part that is too rare (all of it, where its first word is).  Equal windows
-    of a slice are one row.
+    of a slice are one row.  One string for a window is about half as long a row as a column for each word.
     """
     shared = x.sparkSession.sparkContext.broadcast(often)
-    columns = [f"w{i + 1}" for i in range(most)]
 
     def count(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ["lang", *columns, "n"]}
+        out: dict[str, list] = {"lang": [], "window": [], "n": []}
         for lang, texts in by_lang(rows).items():
             ids, words = word_ids(texts)
             go = may_begin(part_slots(ids, words, lang, bits, most), shared.value)
@@ -168,15 +168,15 @@ def windows(x: DataFrame, often: dict[int, np.ndarray], bits: int, most: int) ->
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             if not len(first):
                 continue
-            names = pa.array([w.decode() for w in words] + [""])
-            for c, lead in zip(columns, leads):
-                out[c].append(names.take(pa.array(lead[first])))
+            names = pa.array([w.decode() for w in words] + [None], pa.string())
+            held = [names.take(pa.array(lead[first])) for lead in leads]
+            # words hold no blanks, so a window can be split again; one without words is ''
+            out["window"].append(pc.binary_join_element_wise(pc.fill_null(held[0], ""), *held[1:], " ", null_handling="skip"))
             out["n"].append(pa.array(n.astype(np.int64)))
             out["lang"].append(pa.array([lang]).take(pa.array(np.zeros(len(first), np.int64))))
         return {c: pa.concat_arrays(v) if v else [] for c, v in out.items()}
 
-    schema = ", ".join(["lang string", *[f"{c} string" for c in columns], "n long"])
-    return map_texts(x, count, schema)
+    return map_texts(x, count, "lang string, window string, n long")
 
 
 def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 4, least: int = 30) -> DataFrame:
@@ -192,7 +192,9 @@ def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", most: i
     often = frequent_slots(x, list(range(1, min(2, most) + 1)), {}, bits, least)
     if most > 2:
         often |= frequent_slots(x, list(range(3, most + 1)), often, bits, least)
-    counted = windows(x, often, bits, most).groupBy("lang", *columns).agg(F.sum("n").alias("n"))
+    counted = windows(x, often, bits, most).groupBy("lang", "window").agg(F.sum("n").alias("n"))
+    word = F.split("window", " ")  # '' beyond the end of a window
+    counted = counted.select("lang", *[F.coalesce(F.get(word, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)], "n")
     sums = counted.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("_g"))
     # grouping_id has a bit for every column that was summed away; a padded prefix belongs to a shorter phrase
     depth = sum(F.when(F.col("_g").bitwiseAND(F.lit(1 << i)) == 0, 1).otherwise(0) for i in range(most))
